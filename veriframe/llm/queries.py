@@ -7,12 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from veriframe.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op02_decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op03_simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op06_line_dedup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.withColumnsRenamed({"__lines": "n_lines", "__deleted": "n_deleted"})
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op09_quality import quality
 
