@@ -96,7 +96,7 @@ def _sum(array: str, n: str) -> Column:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, __h1, runs: the ranges (from, to) of worded lines to delete, for documents that have any."""
-    found = materialize(fingerprints(docs).distinct())
+    found = materialize(fingerprints(docs))  # repeated rows repeat their marks, which changes no result
     place = F.struct("doc_id", "__h1", "pos", "left", "right")
     first = found.groupBy("n", "print").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1").select("n", "print", "f")
     later = found.join(first, ["n", "print"]).filter(~F.struct("doc_id", "__h1", "pos").eqNullSafe(F.struct("f.doc_id", "f.__h1", "f.pos")))
