@@ -28,7 +28,7 @@ from veriframe.llm.common import WORD, materialize
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-CELL_ROWS = 50_000
+CELL_ROWS = 1_000
 SEED = "mix-1"
 
 
