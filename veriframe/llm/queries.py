@@ -32,6 +32,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumnsRenamed({"__lines": "n_lines", "__deleted": "n_deleted"})
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op07_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op09_quality import quality
 
