@@ -6,9 +6,11 @@ Words are maximal runs of bytes other than space and the five ASCII controls
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,76 @@ def hash_shingles(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+_PIECE = 1 << 20
+_PRIME = 0x9E3779B97F4A7C15
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_PIECE + 1, base % (1 << 64), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _pieces(buf: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of about _PIECE bytes that end after white space (later, if a word is longer)."""
+    at = 0
+    while at < len(buf):
+        end = at + _PIECE
+        if end < len(buf):
+            gap = _GAP.search(buf, end - 4096) or _GAP.search(buf, at)
+            end = gap.end() if gap else len(buf)
+        yield at, min(end, len(buf))
+        at = end
+
+
+_GAP = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (bytes) of every word of buf.
+
+    A word's hash is a polynomial in its bytes, from one running sum over the buffer and a division by
+    the power of its start; no Python object is made for a word.
+    """
+    found = []
+    for low, high in _pieces(buf):
+        b = np.frombuffer(buf, np.uint8, high - low, low)
+        space = (b == 32) | ((b >= 9) & (b <= 13))
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        if len(b) <= _PIECE:
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[b] * _powers(_PRIME)[: len(b)])))
+            h = (total[end] - total[start]) * _powers(pow(_PRIME, -1, 1 << 64))[start]
+        else:  # a word longer than a piece
+            h = np.array([_long_hash(buf[low + s : low + e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+        found.append((mix64(h + (end - start).astype(np.uint64)), start + low, end + low))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _long_hash(word: bytes) -> int:
+    """The same polynomial, piece after piece."""
+    total, scale = 0, 1
+    for at in range(0, len(word), _PIECE):
+        b = np.frombuffer(word, np.uint8, min(_PIECE, len(word) - at), at)
+        total = (total + scale * int((_LETTER[b] * _powers(_PRIME)[: len(b)]).sum(dtype=np.uint64))) % (1 << 64)
+        scale = scale * pow(_PRIME, _PIECE, 1 << 64) % (1 << 64)
+    return total
+
+
+def end_to_end(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts: hash, start and end within their own text, and each text's first word."""
+    h, start, end = word_hashes(b"\n".join(texts))
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    base = np.concatenate(([0], np.cumsum(size)))
+    first = np.searchsorted(start, base)
+    own = np.repeat(base[:-1], np.diff(first))
+    return h, start - own, end - own, first
+
+
 class WordHasher:
     """XXH64 of words with a bounded memo: words repeat, so most are looked up."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import WordHasher, hash_shingles, slices
+from veriframe.llm.common import end_to_end, hash_shingles, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -42,8 +42,8 @@ _NEAR = np.array([sum(1 << i for i in c) for r in range(BLOCK_RADIUS + 1) for c
 _BITMAP = 20
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().split()
+def folded(text: str | None) -> bytes:
+    return (text or "").lower().encode()
 
 
 def signed_bits(shingles: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -64,19 +64,43 @@ def similarity(a: Counter, b: Counter, weight: dict) -> float:
     return shared / union if union else 0.0
 
 
+class Tables:
+    """The multi-index of the items of one length: for each block and value the items near it.
+
+    A row of ``near[block, value]`` flags the items whose block differs from the value in at most
+    BLOCK_RADIUS bits, so one lookup for each block serves all probes, for all windows at once.
+    """
+
+    def __init__(self, members: list[int], prints: np.ndarray):
+        self.members, self.prints = np.array(members), prints
+        self.near = np.zeros((BLOCKS, 256, len(members)), bool)
+        for block in range(BLOCKS):
+            for probe in _NEAR:
+                self.near[block, prints[:, block] ^ probe, np.arange(len(members))] = True
+
+    def within(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, differing bits) for every pair within RADIUS."""
+        met = self.near[0, windows[:, 0]]
+        for block in range(1, BLOCKS):
+            met |= self.near[block, windows[:, block]]
+        w, i = np.nonzero(met)
+        bits = np.bitwise_count(windows[w] ^ self.prints[i]).sum(axis=1)
+        good = bits <= RADIUS
+        return w[good], self.members[i[good]], bits[good]
+
+
 class Index:
     """Items by length: their multisets, weights and blocks."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        hasher = WordHasher()
         self.items, self.weight = [], {}
         by_length = defaultdict(list)
         for item_id, text in items:
-            words = words_of(text)
+            words, start, end, _ = end_to_end([folded(text)])
             if len(words) < MIN_ITEM_WORDS:
                 continue
-            shingles = hash_shingles(hasher(words), SHINGLE)
-            weight = shingle_weight(words)
+            shingles = hash_shingles(words, SHINGLE)
+            weight = shingle_weight(end - start)
             self.weight |= dict(zip(shingles.tolist(), weight.tolist(), strict=True))
             by_length[len(shingles)].append(len(self.items))
             blocks = to_blocks(signed_bits(shingles, weight).sum(axis=0))
@@ -84,19 +108,7 @@ class Index:
         self.known = np.array(sorted(self.weight), np.uint64)
         self.bitmap = np.zeros(1 << _BITMAP, bool)
         self.bitmap[(self.known >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
-        self.lengths = {}
-        for n, members in by_length.items():
-            tables = [defaultdict(list) for _ in range(BLOCKS)]
-            for i in members:
-                for t, v in zip(tables, self.items[i][3].tolist(), strict=True):
-                    t[v].append(i)
-            self.lengths[n] = (min(self.items[i][2] for i in members), tables)
-
-    def near(self, blocks: np.ndarray, tables) -> list[tuple[int, int]]:
-        """(item, differing bits) for every item of the tables within RADIUS."""
-        met = {i for t, v in zip(tables, blocks, strict=True) for x in (_NEAR ^ v).tolist() for i in t.get(x, ())}
-        far = ((i, int(np.bitwise_count(self.items[i][3] ^ blocks).sum())) for i in met)
-        return [(i, d) for i, d in far if d <= RADIUS]
+        self.lengths = {n: (min(self.items[i][2] for i in members), Tables(members, np.stack([self.items[i][3] for i in members]))) for n, members in by_length.items()}
 
     def occurs(self, shingles: np.ndarray) -> np.ndarray:
         """Which shingles are in the benchmark."""
@@ -107,9 +119,9 @@ class Index:
             hit[at] = self.known[place] == shingles[at]
         return hit
 
-    def search(self, words: list[bytes], shingles: np.ndarray, hit: np.ndarray) -> list[tuple]:
+    def search(self, sizes: np.ndarray, shingles: np.ndarray, hit: np.ndarray) -> list[tuple]:
         """(item_id, similarity, from word, words, differing bits), the best window for each item."""
-        weight = shingle_weight(words)
+        weight = shingle_weight(sizes)
         heavy = np.concatenate(([0], np.cumsum(weight * hit)))
         best: dict[int, tuple] = {}
         for n, (least, tables) in self.lengths.items():
@@ -121,15 +133,15 @@ class Index:
                 low, high = int(group[0]), int(group[-1]) + n
                 sums = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(signed_bits(shingles[low:high], weight[low:high]), axis=0, dtype=np.int64)))
                 prints = to_blocks(sums[group - low + n] - sums[group - low])
-                for s, blocks in zip(group.tolist(), prints, strict=True):
-                    own = None
-                    for i, bits in self.near(blocks, tables):
-                        if own is None:
-                            own = Counter(shingles[s : s + n].tolist())
-                            local = dict(zip(shingles[s : s + n].tolist(), weight[s : s + n].tolist(), strict=True))
-                        score = similarity(self.items[i][1], own, _Both(self.weight, local))
-                        if score >= THRESHOLD and (i not in best or score > best[i][1]):
-                            best[i] = (self.items[i][0], score, s, n + SHINGLE - 1, bits)
+                at = -1
+                for w, i, bits in zip(*(x.tolist() for x in tables.within(prints)), strict=True):
+                    if w != at:
+                        at, s = w, int(group[w])
+                        own = Counter(shingles[s : s + n].tolist())
+                        local = _Both(self.weight, dict(zip(shingles[s : s + n].tolist(), weight[s : s + n].tolist(), strict=True)))
+                    score = similarity(self.items[i][1], own, local)
+                    if score >= THRESHOLD and (i not in best or score > best[i][1]):
+                        best[i] = (self.items[i][0], score, s, n + SHINGLE - 1, bits)
         return list(best.values())
 
 
@@ -143,25 +155,25 @@ class _Both:
         return self.b[s] if s in self.b else self.a[s]
 
 
-def shingle_weight(words: list[bytes]) -> np.ndarray:
+def shingle_weight(sizes: np.ndarray) -> np.ndarray:
     """Bytes of the words of each shingle."""
-    sizes = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
-    k = min(SHINGLE, len(words))
-    return sizes[k:] - sizes[:-k] if k else sizes[:0]
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+    k = min(SHINGLE, len(sizes))
+    return sums[k:] - sums[:-k] if k else sums[:0]
 
 
-def scan(texts: list[str | None], index: Index, hasher) -> Iterator[list[tuple]]:
+def scan(texts: list[str | None], index: Index) -> Iterator[list[tuple]]:
     """The matches of each text. Texts are laid end to end, so the lookup is one vector operation."""
-    words = [words_of(t) for t in texts]
-    sizes = [len(w) for w in words]
-    flat = hasher([x for w in words for x in w])
-    shingles = hash_shingles(flat, SHINGLE) if len(flat) >= SHINGLE else np.zeros(0, np.uint64)
+    words, start, end, first = end_to_end([folded(t) for t in texts])
+    shingles = hash_shingles(words, SHINGLE) if len(words) >= SHINGLE else np.zeros(0, np.uint64)
     hit = index.occurs(shingles) if len(index.items) and len(shingles) else np.zeros(len(shingles), bool)
-    at = 0
-    for w, n in zip(words, sizes, strict=True):
-        own = slice(at, at + max(0, n - SHINGLE + 1))
-        at += n
-        yield index.search(w, shingles[own], hit[own]) if hit[own].any() else []
+    hits = np.concatenate(([0], np.cumsum(hit)))
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        last = high - SHINGLE + 1
+        if last <= low or hits[last] == hits[low]:
+            yield []
+        else:
+            yield index.search((end - start)[low:high], shingles[low:last], hit[low:last])
 
 
 def _indexes(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
@@ -183,9 +195,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHAR
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher = WordHasher()
             for b in slices(batches):
-                scanned = scan(b.column("text").to_pylist(), shared.value, hasher)
+                scanned = scan(b.column("text").to_pylist(), shared.value)
                 rows = [(d, *m) for d, ms in zip(b.column("doc_id").to_pylist(), scanned, strict=True) for m in ms]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
                 if rows:
@@ -202,9 +213,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher = WordHasher()
             for b in slices(batches):
-                yield b.filter(pa.array([not m for m in scan(b.column("text").to_pylist(), shared.value, hasher)], pa.bool_()))
+                yield b.filter(pa.array([not m for m in scan(b.column("text").to_pylist(), shared.value)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
