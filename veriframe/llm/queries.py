@@ -19,6 +19,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op04_license import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op05_pii import report
 
@@ -38,6 +44,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op08_tokens import count_tokens, masking_edits
+
+    return count_tokens(masking_edits(table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op09_quality import quality
 
