@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veriframe.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op01_substring import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op02_decontaminate import matches
 
