@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from veriframe.functions import vocab as V
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ws(c: Column) -> Column:
     """Null to empty; runs of white space (no-break too) to one space; trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -39,7 +44,8 @@ def tokens(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token sets; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    share = lambda x: F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(F.size(F.array_intersect(x["a"], x["b"])) / F.size(F.array_union(x["a"], x["b"])))
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def same_set(a: Column, b: Column) -> Column:
@@ -64,8 +70,7 @@ def volume_text(c: Column) -> Column:
 
 
 def is_batch_lot(c: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return t.rlike(V.BATCH_LOT) | (t.rlike(V.BATCH) & t.rlike(V.LOT))
+    return let(F.lower(F.trim(F.coalesce(c, F.lit("")))), lambda t: t.rlike(V.BATCH_LOT) | (t.rlike(V.BATCH) & t.rlike(V.LOT)))
 
 
 def is_noise(c: Column, batch: bool = True) -> Column:
@@ -92,13 +97,11 @@ _FRAGMENT_WORDS = tuple(dict.fromkeys([*V.GEO_WORDS, *(w for p in V.CLASS_PREFIX
 
 
 def is_class_fragment(c: Column) -> Column:
-    t = low(c)
-    return ~has_class_noun(t) & t.rlike(rf"^(?:(?:{'|'.join(_FRAGMENT_WORDS)})(?: |$))+$")
+    return let(low(c), lambda t: ~has_class_noun(t) & t.rlike(rf"^(?:(?:{'|'.join(_FRAGMENT_WORDS)})(?: |$))+$"))
 
 
 def is_warning_fragment(c: Column) -> Column:
-    t = low(c)
-    return F.contains(t, F.lit("government warning")) | t.rlike(r"^\(\s*2\s*\)") | t.rlike(V.any_of(V.WARNING_FRAGMENTS))
+    return low(c).rlike(rf"government warning|^\(\s*2\s*\)|{V.any_of(V.WARNING_FRAGMENTS)}")
 
 
 def has_distillery(c: Column) -> Column:
@@ -107,8 +110,7 @@ def has_distillery(c: Column) -> Column:
 
 def is_class_prefix(c: Column) -> Column:
     """A class prefix where a brand should be; empty counts."""
-    t = low(c)
-    return (t == "") | (~has_distillery(t) & ((t == "small batch") | is_class_fragment(t)))
+    return let(low(c), lambda t: (t == "") | (~has_distillery(t) & ((t == "small batch") | is_class_fragment(t))))
 
 
 def count_of(c: Column, keep: str) -> Column:
@@ -116,12 +118,15 @@ def count_of(c: Column, keep: str) -> Column:
 
 
 def is_garbled(c: Column) -> Column:
-    t, raw = brand_fold(c), ws(c)
-    digits, letters = count_of(t, "0-9"), count_of(t, "A-Z")
-    return (
-        (t == "") | (digits >= 2) | ((digits == 1) & (F.length(t) < 14)) | raw.rlike("[^A-Za-z0-9' .-]")
-        | ((letters >= 8) & (count_of(t, "AEIOU") / F.greatest(letters, F.lit(1)) < 0.15))
-    )
+    def judged(x: Column) -> Column:
+        t, raw, digits, letters = x["t"], x["raw"], count_of(x["t"], "0-9"), x["n"]
+        return (
+            (t == "") | (digits >= 2) | ((digits == 1) & (F.length(t) < 14)) | raw.rlike("[^A-Za-z0-9' .-]")
+            | ((letters >= 8) & (count_of(t, "AEIOU") / F.greatest(letters, F.lit(1)) < 0.15))
+        )
+
+    both = let(F.struct(brand_fold(c).alias("t"), ws(c).alias("raw")), lambda x: F.struct(x["t"].alias("t"), x["raw"].alias("raw"), count_of(x["t"], "A-Z").alias("n")))
+    return let(both, judged)
 
 
 def is_garbled_prose(c: Column) -> Column:
@@ -133,44 +138,50 @@ def unannotated(c: Column) -> Column:
 
 
 def trim_warning(c: Column) -> Column:
-    t = ws(c)
-    return F.coalesce(F.nullif(ws(F.regexp_extract(t, V.WARNING_BLOCK, 1)), F.lit("")), t)
+    return let(ws(c), lambda t: let(ws(F.regexp_extract(t, V.WARNING_BLOCK, 1)), lambda m: F.when(m == "", t).otherwise(m)))
 
 
 def distillery_brand(c: Column) -> Column:
     """The brand that a line with a distillery word gives, or empty; behind a warning's end too."""
-    t = unannotated(c)
-    tail = F.regexp_replace(F.trim(F.regexp_extract(t, r"(?i)health problems\.?\s*(.+)$", 1)), r"^[ .]+|[ .]+$", "")
-    t = F.when(F.contains(F.lower(t), F.lit("government warning")), tail).otherwise(t)
-    return F.when((t != "") & ~is_noise(t) & ~is_warning_fragment(t) & has_distillery(t), t).otherwise(F.lit(""))
+    def own(t: Column) -> Column:
+        tail = F.regexp_replace(F.trim(F.regexp_extract(t, r"(?i)health problems\.?\s*(.+)$", 1)), r"^[ .]+|[ .]+$", "")
+        return F.when(F.contains(F.lower(t), F.lit("government warning")), tail).otherwise(t)
+
+    # the distillery word is the rarest and cheapest to look for
+    named = lambda t: F.when(has_distillery(t), F.when((t != "") & ~is_noise(t) & ~is_warning_fragment(t), t).otherwise(F.lit(""))).otherwise(F.lit(""))
+    return let(let(unannotated(c), own), named)
 
 
 def missing_parts(c: Column) -> Column:
     """Markers and phrases that a warning lacks, in order."""
-    t = warning_fold(c)
-    parts = [(p, F.contains(t, F.lit(p))) for p in V.WARNING_MARKERS]
-    for p in V.WARNING_PHRASES:
-        has = F.contains(t, F.lit(p))
-        for alias in V.WARNING_ALIASES.get(p, ()):
-            has = has | F.contains(t, F.lit(alias))
-        parts.append((p, has))
-    return F.filter(F.array(*[F.when(~has, F.lit(p)) for p, has in parts]), lambda x: x.isNotNull())
+    def missing(t: Column) -> Column:
+        parts = []
+        for p in (*V.WARNING_MARKERS, *V.WARNING_PHRASES):
+            has = F.contains(t, F.lit(p))
+            for alias in V.WARNING_ALIASES.get(p, ()):
+                has = has | F.contains(t, F.lit(alias))
+            parts.append(F.when(~has, F.lit(p)))
+        return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+    return let(warning_fold(c), missing)
 
 
 def readability(c: Column) -> Column:
-    t = low(c)
-    score = F.lit(0.0)
-    for phrase, weight in V.READABILITY:
-        score = score + F.when(F.contains(t, F.lit(phrase)), weight).otherwise(0.0)
-    score = score + F.when(t.rlike(r"\d+\s*%\s*alc"), 0.10).when(t.rlike(r"\d+\s*%"), 0.05).otherwise(0.0)
-    score = score + F.when(t.rlike(r"\d+\s*ml"), 0.08).otherwise(0.0)
-    score = score + F.lit(0.12) * (F.length(F.regexp_replace(t, r"(?U)[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1)))
-    return F.when(t == "", 0.0).otherwise(F.least(score, F.lit(1.0)))
+    def scored(t: Column) -> Column:
+        score = F.lit(0.0)
+        for phrase, weight in V.READABILITY:
+            score = score + F.when(F.contains(t, F.lit(phrase)), weight).otherwise(0.0)
+        score = score + F.when(t.rlike(r"\d+\s*%\s*alc"), 0.10).when(t.rlike(r"\d+\s*%"), 0.05).otherwise(0.0)
+        score = score + F.when(t.rlike(r"\d+\s*ml"), 0.08).otherwise(0.0)
+        score = score + F.lit(0.12) * (F.length(F.regexp_replace(t, r"(?U)[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1)))
+        return F.when(t == "", 0.0).otherwise(F.least(score, F.lit(1.0)))
+
+    return let(low(c), scored)
 
 
 def looks_upright(text: Column, score: Column) -> Column:
-    r, mean = readability(text), score / F.greatest(F.length(ws(text)), F.lit(1))
-    return (r >= 0.55) | ((r >= 0.40) & text.rlike("(?i)government warning")) | ((r >= 0.35) & ((mean >= 0.55) | (score >= 180)))
+    mean = score / F.greatest(F.length(ws(text)), F.lit(1))
+    return let(readability(text), lambda r: (r >= 0.55) | ((r >= 0.40) & text.rlike("(?i)government warning")) | ((r >= 0.35) & ((mean >= 0.55) | (score >= 180))))
 
 
 def repair(c: Column) -> Column:
@@ -204,8 +215,7 @@ def collapsed(c: Column) -> Column:
 
 
 def collapsed_match(a: Column, b: Column) -> Column:
-    x, y = collapsed(a), collapsed(b)
-    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+    return let(F.struct(collapsed(a).alias("a"), collapsed(b).alias("b")), lambda x: (x["a"] != "") & (x["b"] != "") & (F.contains(x["a"], x["b"]) | F.contains(x["b"], x["a"])))
 
 
 def preview(c: Column) -> Column:

@@ -30,41 +30,53 @@ def _rule(*steps: tuple[Column, int, str], other: tuple[int, str]) -> Column:
     return out.otherwise(made(*other))
 
 
+def _told(claim: Column, read: Column, **more: Column):
+    """Claim, read and what several steps of a rule need, each computed once."""
+    return F.struct(claim.alias("claim"), read.alias("read"), *[c.alias(k) for k, c in more.items()])
+
+
 def text_rule(claim: Column, read: Column) -> Column:
-    a, b = T.tokens(claim), T.tokens(read)
-    return _rule(
-        (T.ws(read) == "", REVIEW, "not_read"), (T.low(claim) == T.low(read), PASS, "equal"), (T.same_set(a, b), PASS, "same_words"),
-        (~T.is_garbled_prose(claim) & ~T.is_garbled_prose(read), FAIL, "different"), (T.jaccard(a, b) >= V.CLASS_REVIEW, REVIEW, "near"),
-        other=(FAIL, "different_garbled"),
-    )
+    def judged(x: Column) -> Column:
+        return _rule(
+            (x["low_r"] == "", REVIEW, "not_read"), (x["low_c"] == x["low_r"], PASS, "equal"), (T.same_set(x["a"], x["b"]), PASS, "same_words"),
+            (~T.is_garbled_prose(x["claim"]) & ~T.is_garbled_prose(x["read"]), FAIL, "different"), (T.jaccard(x["a"], x["b"]) >= V.CLASS_REVIEW, REVIEW, "near"),
+            other=(FAIL, "different_garbled"),
+        )
+
+    return T.let(_told(claim, read, low_c=T.low(claim), low_r=T.low(read), a=T.tokens(claim), b=T.tokens(read)), judged)
 
 
 def number_rule(claim: Column, read: Column, value, tolerance: float) -> Column:
-    a, b = value(claim), value(read)
-    return _rule((a.isNull() | b.isNull(), REVIEW, "not_read"), (F.abs(a - b) < tolerance, PASS, "equal"), other=(FAIL, "different"))
+    judged = lambda x: _rule((x["a"].isNull() | x["b"].isNull(), REVIEW, "not_read"), (F.abs(x["a"] - x["b"]) < tolerance, PASS, "equal"), other=(FAIL, "different"))
+    return T.let(F.struct(value(claim).alias("a"), value(read).alias("b")), judged)
 
 
 def warning_rule(claim: Column, read: Column) -> Column:
-    missing = T.missing_parts(read)
-    return _rule(
-        (T.ws(read) == "", REVIEW, "not_read"), (~T.ws(read).rlike(f"^{V.HEADER_COLON}"), FAIL, "header"), (T.ws(claim) == T.ws(read), PASS, "equal"),
-        (T.warning_fold(claim) == T.warning_fold(read), PASS, "equal_folded"),
-        (F.array_contains(missing, "(2)") | F.array_contains(missing, "may cause health problems"), FAIL, "missing_end"),
-        (F.size(missing) > 0, FAIL, "missing_part"), (T.jaccard(T.tokens(claim), T.tokens(read)) >= V.WARNING_REVIEW, REVIEW, "near"),
-        other=(FAIL, "different"),
-    )
+    def judged(x: Column) -> Column:
+        return _rule(
+            (x["ws_r"] == "", REVIEW, "not_read"), (~x["ws_r"].rlike(f"^{V.HEADER_COLON}"), FAIL, "header"), (T.ws(x["claim"]) == x["ws_r"], PASS, "equal"),
+            (T.warning_fold(x["claim"]) == T.warning_fold(x["read"]), PASS, "equal_folded"),
+            (F.array_contains(x["missing"], "(2)") | F.array_contains(x["missing"], "may cause health problems"), FAIL, "missing_end"),
+            (F.size(x["missing"]) > 0, FAIL, "missing_part"), (T.jaccard(T.tokens(x["claim"]), T.tokens(x["read"])) >= V.WARNING_REVIEW, REVIEW, "near"),
+            other=(FAIL, "different"),
+        )
+
+    return T.let(_told(claim, read, ws_r=T.ws(read), missing=T.missing_parts(read)), judged)
 
 
 def brand_rule(claim: Column, read: Column, ratio: Column | None) -> Column:
     """ratio: similarity of claim and read; None leaves garbled reads at REVIEW, "garbled"."""
-    a, b = T.tokens(claim), T.tokens(read)
-    steps = [
-        (T.brand_fold(read) == "", REVIEW, "not_read"), (T.brand_fold(claim) == T.brand_fold(read), PASS, "equal"), (T.same_set(a, b), PASS, "same_words"),
-        (T.confusion_fold(claim) == T.confusion_fold(read), PASS, "same_letters"), (~T.is_garbled(read), FAIL, "different"),
-    ]
-    if ratio is None:
-        return _rule(*steps, other=(REVIEW, "garbled"))
-    return _rule(*steps, (ratio >= V.BRAND_PASS, PASS, "similar"), (ratio >= V.BRAND_REVIEW, REVIEW, "likely"), other=(FAIL, "garbled_different"))
+
+    def judged(x: Column) -> Column:
+        steps = [
+            (x["fold_r"] == "", REVIEW, "not_read"), (x["fold_c"] == x["fold_r"], PASS, "equal"), (T.same_set(T.tokens(x["claim"]), T.tokens(x["read"])), PASS, "same_words"),
+            (T.confusion_fold(x["claim"]) == T.confusion_fold(x["read"]), PASS, "same_letters"), (~T.is_garbled(x["read"]), FAIL, "different"),
+        ]
+        if ratio is None:
+            return _rule(*steps, other=(REVIEW, "garbled"))
+        return _rule(*steps, (ratio >= V.BRAND_PASS, PASS, "similar"), (ratio >= V.BRAND_REVIEW, REVIEW, "likely"), other=(FAIL, "garbled_different"))
+
+    return T.let(_told(claim, read, fold_c=T.brand_fold(claim), fold_r=T.brand_fold(read)), judged)
 
 
 def brand_shown(read: Column) -> Column:

@@ -17,40 +17,50 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def brand_read(lines: Column) -> Column:
     """The brand of an array of lines: the run before the warning, else the longest distillery, else a first line."""
-    flags = F.transform(F.transform(lines, T.unannotated), lambda x: F.struct(x.alias("x"), T.is_noise(x).alias("noise"), T.is_warning_fragment(x).alias("warn"), (T.is_body(x) | T.is_class_fragment(x)).alias("body")))
-    stop = F.array_position(F.transform(flags, lambda f: (f["x"] != "") & ~f["noise"] & f["warn"]), True).cast("int")
-    before = F.when(stop > 0, F.slice(flags, F.lit(1), stop - 1)).otherwise(flags)
+    flag = lambda x: F.struct(x.alias("x"), T.is_noise(x).alias("noise"), T.is_warning_fragment(x).alias("warn"), (T.is_body(x) | T.is_class_fragment(x)).alias("body"))
     free = lambda f: (f["x"] != "") & ~f["noise"] & ~f["body"]
-    run = T.ws(F.array_join(F.transform(F.filter(before, free), lambda f: f["x"]), " "))
-    named = F.filter(F.transform(lines, lambda x, i: F.struct(T.distillery_brand(x).alias("d"), i.alias("i"))), lambda s: s["d"] != "")
-    longest = T.ws(F.array_max(F.transform(named, lambda s: F.struct(F.length(s["d"]).alias("n"), (-s["i"]).alias("k"), s["d"].alias("d"))))["d"])
-    alone = F.try_element_at(F.filter(flags, lambda f: free(f) & ~f["warn"]), F.lit(1))["x"]
-    return F.coalesce(F.nullif(run, F.lit("")), F.nullif(longest, F.lit("")), alone, F.lit(""))
+    value = lambda f: f["x"]
+
+    def run(flags: Column) -> Column:
+        stop = F.array_position(F.transform(flags, lambda f: (f["x"] != "") & ~f["noise"] & f["warn"]), True).cast("int")
+        before = F.slice(flags, F.lit(1), F.coalesce(F.nullif(stop, F.lit(0)) - 1, F.size(flags)))
+        return T.ws(F.array_join(F.transform(F.filter(before, free), value), " "))
+
+    def longest(flags: Column) -> Column:
+        named = F.transform(flags, lambda f, i: F.struct(T.distillery_brand(f["x"]).alias("d"), i.alias("i")))
+        best = F.array_max(F.transform(F.filter(named, lambda s: s["d"] != ""), lambda s: F.struct(F.length(s["d"]).alias("n"), (-s["i"]).alias("k"), s["d"].alias("d"))))
+        return F.when(best.isNotNull(), T.ws(best["d"]))
+
+    alone = lambda flags: F.try_element_at(F.filter(flags, lambda f: free(f) & ~f["warn"]), F.lit(1))["x"]
+    return T.let(F.transform(F.transform(lines, T.unannotated), flag), lambda flags: F.coalesce(F.nullif(run(flags), F.lit("")), longest(flags), alone(flags), F.lit("")))
 
 
 def _geo_first(c: Column) -> Column:
-    words = F.split(c, " ")
     geo = lambda w: F.lower(w).isin(*V.GEO_WORDS)
-    moved = F.array_join(F.concat(F.filter(words, geo), F.filter(words, lambda w: ~geo(w))), " ")
-    return F.when(geo(words[0]), c).otherwise(moved)
+    moved = lambda words: F.array_join(F.concat(F.filter(words, geo), F.filter(words, lambda w: ~geo(w))), " ")
+    return T.let(F.split(c, " "), lambda words: F.when(geo(words[0]), F.array_join(words, " ")).otherwise(moved(words)))
 
 
 def class_read(lines: Column) -> Column:
     """The class of an array of lines: the first with a class noun, with the neighbours that continue it."""
-    at = F.array_position(F.transform(lines, T.has_class_noun), True).cast("int")
-    # an index below 1 is never asked for; missing neighbours are null
-    line = F.try_element_at(lines, F.greatest(at, F.lit(1)))
-    prev = F.when(at > 1, F.try_element_at(lines, F.greatest(at - 1, F.lit(1))))
-    following = F.try_element_at(lines, at + 1)
     prefixed = lambda c: F.lower(c).rlike(V.any_of(V.CLASS_PREFIXES))
     inside = lambda a, b: F.contains(F.lower(b), F.lower(a))
-    small = F.regexp_extract(F.coalesce(prev, F.lit("")), r"(?i)\bsmall\s+batch\b", 0)
-    before = F.when(~T.is_body(prev) & prefixed(prev) & ~inside(prev, line), prev)
-    after = F.when(~T.is_body(following) & prefixed(following), following)
-    parts = F.filter(F.array(before, line, after), lambda x: x.isNotNull())
-    ordered = F.array_distinct(F.concat(F.filter(parts, prefixed), F.filter(parts, lambda x: ~prefixed(x))))
-    merged = F.when((small != "") & ~inside(small, line), F.concat_ws(" ", small, line)).otherwise(F.array_join(ordered, " "))
-    return F.when(at > 0, _geo_first(T.ws(merged))).otherwise(F.lit(""))
+
+    def near(at: Column) -> Column:
+        # an index below 1 is never asked for; missing neighbours are null
+        prev = F.when(at > 1, F.try_element_at(lines, F.greatest(at - 1, F.lit(1))))
+        small = F.regexp_extract(F.coalesce(prev, F.lit("")), r"(?i)\bsmall\s+batch\b", 0)
+        return F.struct(at.alias("at"), F.try_element_at(lines, F.greatest(at, F.lit(1))).alias("line"), prev.alias("prev"), F.try_element_at(lines, at + 1).alias("next"), small.alias("small"))
+
+    def merged(x: Column) -> Column:
+        before = F.when(~T.is_body(x["prev"]) & prefixed(x["prev"]) & ~inside(x["prev"], x["line"]), x["prev"])
+        after = F.when(~T.is_body(x["next"]) & prefixed(x["next"]), x["next"])
+        parts = F.filter(F.array(before, x["line"], after), lambda p: p.isNotNull())
+        ordered = T.let(parts, lambda p: F.array_distinct(F.concat(F.filter(p, prefixed), F.filter(p, lambda y: ~prefixed(y)))))
+        whole = F.when((x["small"] != "") & ~inside(x["small"], x["line"]), F.concat_ws(" ", x["small"], x["line"])).otherwise(F.array_join(ordered, " "))
+        return F.when(x["at"] > 0, _geo_first(T.ws(whole))).otherwise(F.lit(""))
+
+    return T.let(T.let(F.array_position(F.transform(lines, T.has_class_noun), True).cast("int"), near), merged)
 
 
 def parse(reads: DataFrame) -> DataFrame:
@@ -58,12 +68,12 @@ def parse(reads: DataFrame) -> DataFrame:
     df = once(reads.select("record_id", "text"), raw_lines=F.transform(T.split_lines(F.col("text")), T.ws))
     lines = F.col("raw_lines")
     first = lambda test: F.coalesce(F.try_element_at(F.filter(lines, test), F.lit(1)), F.lit(""))
-    warning = F.regexp_extract(F.array_join(lines, "\n"), V.WARNING_BLOCK, 1)
+    warning = lambda w: F.when(w == "", w).otherwise(T.trim_warning(w))
     df = once(
         df, brand=brand_read(lines), class_type=class_read(lines),
         alcohol_content=first(lambda x: F.lower(x).rlike("alc|proof|%")),
         net_contents=F.coalesce(F.try_element_at(F.filter(F.transform(lines, T.volume_text), lambda x: x != ""), F.lit(1)), F.lit("")),
-        government_warning=F.when(warning == "", F.lit("")).otherwise(T.trim_warning(warning)),
+        government_warning=T.let(F.regexp_extract(F.array_join(lines, "\n"), V.WARNING_BLOCK, 1), warning),
     )
     head = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     brand = F.when(F.col("brand") != "", F.col("brand")).when(~T.is_class_prefix(head), head).otherwise(F.lit(""))
