@@ -106,6 +106,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, pai
     named = by_fp.join(found, F.col("fp") == F.col("node"))
     root = materialize(named.groupBy("root").agg(F.min("least").alias("component")))
     of_fp = by_fp.join(found, F.col("fp") == F.col("node"), "left").join(root, "root", "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component_id"))
+    of_fp = materialize(of_fp)  # the join below then has shuffles of its own, and can split a hot fingerprint's rows
     out = rows.join(of_fp, F.col("fp") == F.col("f"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -113,8 +114,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, pai
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, that with the least doc_id; all columns of docs.
 
-    Rows are joined on doc_id to the narrow list of kept ids; among rows that repeat a kept doc_id the
-    one whose text sorts first stays.
+    Rows are joined on doc_id to the narrow list of kept ids; of rows that repeat a kept doc_id any one stays.
     """
     kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
     joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
