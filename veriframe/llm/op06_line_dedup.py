@@ -99,6 +99,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = materialize(fingerprints(docs))  # repeated rows repeat their marks, which changes no result
     place = F.struct("doc_id", "__h1", "pos", "left", "right")
     first = found.groupBy("n", "print").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1").select("n", "print", "f")
+    first = materialize(first)  # a join right above the aggregation couldn't split a hot fingerprint's rows
     later = found.join(first, ["n", "print"]).filter(~F.struct("doc_id", "__h1", "pos").eqNullSafe(F.struct("f.doc_id", "f.__h1", "f.pos")))
     later = later.withColumn("fl", F.col("f.left")).withColumn("fr", F.col("f.right"))
     sized = later.withColumn("nl", _same("left", "fl")).withColumn("nr", _same("right", "fr"))
