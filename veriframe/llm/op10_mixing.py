@@ -7,8 +7,8 @@ that its share crosses. Ordering by size keeps the words taken near the target:
 is about the size of its largest document, not the square root of its number of documents.
 
 All documents of a source expect the same number of copies, so the prefix sum is rank times rate, and
-ranks are built from counts: documents are dealt to cells (source, size class, doc_id modulo the cells
-of that class), cells are counted with partial aggregation, a window over the few cells gives each
+ranks are built from counts: documents are dealt to cells (source, size class, hash of doc_id modulo the
+cells of that class), cells are counted with partial aggregation, a window over the few cells gives each
 cell its first rank, and row_number() inside a cell gives the rest. A class has one cell for each
 ``cell_rows`` documents, so no task gets a whole source, however hot.
 
@@ -46,8 +46,13 @@ def size_class(size: Column) -> Column:
 
 def offset(source: Column, seed: str) -> Column:
     """One number in [0, 1) for each source, from a hash of its name."""
-    h = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), source), F.lit("-"))).cast("binary")), 1, 8)
-    return F.conv(h, 16, 10).cast("double") / F.lit(4294967296.0)
+    name = F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
+    return _spread(name).cast("double") / F.lit(4294967296.0)
+
+
+def _spread(c: Column) -> Column:
+    """32 bits of a hash that every SQL engine has."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
@@ -82,7 +87,7 @@ def _copies(sizes: DataFrame, cell_rows: int, seed: str) -> DataFrame:
     classed = sizes.withColumn("__class", size_class(F.col("size")))
     per_class = classed.groupBy("source", "__class").agg(F.count("*").alias("__n")).select(F.col("source").alias("__s"), F.col("__class").alias("__c"), F.ceil(F.col("__n") / F.lit(cell_rows)).cast("long").alias("__cells"))
     dealt = classed.join(per_class, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")), "left").drop("__s", "__c")
-    dealt = dealt.withColumn("__cell", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("__cells"))).drop("__cells")
+    dealt = dealt.withColumn("__cell", F.pmod(_spread(F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), F.col("__cells"))).drop("__cells")
     w = Window.partitionBy("__s").orderBy("__c", "__k").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy(F.col("source").alias("__s"), F.col("__class").alias("__c"), F.col("__cell").alias("__k")).agg(F.count("*").alias("__n"))
     cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
@@ -133,7 +138,7 @@ fitted as (
 targets as (select source, source_size, least((arg_min(level, fits) over ()) * w, {CAP}::double * source_size) as target from fitted),
 classed as (select *, length(size::varchar) * 100 + substr(size::varchar, 1, 2)::int as class from sizes),
 dealt as (
-  select *, coalesce(doc_id, 0) % ceil(count(*) over (partition by source, class) / {float(CELL_ROWS)})::bigint as cell from classed),
+  select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '-')), 1, 8))::bigint % ceil(count(*) over (partition by source, class) / {float(CELL_ROWS)})::bigint as cell from classed),
 placed as (
   select *, row_number() over (partition by source order by class, cell, size, doc_id) as place from dealt)
 select p.doc_id, p.size, t.source_size, t.target,
