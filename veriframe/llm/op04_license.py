@@ -28,7 +28,7 @@ from veriframe.llm.common import end_to_end, mix64, slices, texts_of
 PIECE, STRIDE = 24, 12
 BITS = 16
 TRAIN_ROWS = 6000
-EPOCHS = 120
+EPOCHS = 60
 PRECISION = 0.98
 CONFIRM = 0.6
 UNKNOWN = "unknown"
