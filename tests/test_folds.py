@@ -87,7 +87,7 @@ def test_quota(spark):
         assert sorted(tuple(r) for r in Q.reserve(df, limit).collect()) == grants(rows, limit)
     left = Q.remaining(spark.createDataFrame([(1, 7), (2, 70)], "tenant long, used long"), 50).collect()
     assert sorted((r["tenant"], r["remaining"]) for r in left) == [(1, 43), (2, 0)]
-    assert Q.remaining(spark.createDataFrame([(1, 7)], "tenant long, used long"), 0).first()["remaining"] == -1
+    assert Q.remaining(spark.createDataFrame([(1, 7)], "tenant long, used long"), 0).first()["remaining"] == Q.NO_LIMIT
 
 
 def test_quota_stream(spark, tmp_path):
@@ -122,3 +122,28 @@ def test_event_windows(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     out = e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     assert out.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_usage_snapshots(spark, tmp_path):
+    from veriframe.sources.usage import read_usage, write_usage
+
+    path = str(tmp_path / "usage")
+    assert read_usage(spark, path).count() == 0
+    grants = spark.createDataFrame([(1, 2, True), (1, 9, False), (2, 3, True)], "tenant long, n int, granted boolean")
+    write_usage(grants, path, 1)
+    write_usage(grants, path, 2, read_usage(spark, path))
+    assert sorted(tuple(r) for r in read_usage(spark, path).collect()) == [(1, 4), (2, 6)]
+
+
+def test_improved_and_clarified_brand(spark):
+    from veriframe.operators import brand as Br
+
+    claims = spark.createDataFrame([(i, "Old Lantern Distillery") for i in range(5)], "record_id long, brand_name string")
+    reads = spark.createDataFrame([(0, "01d L4nt3rn D1st1ll3ry\n45%"), (1, "Small Batch\nRye Whiskey"), (2, "Old Lantern Distillery\n45%"), (3, ""), (4, "Blue Heron\n45%")], "record_id long, text string")
+    more = spark.createDataFrame([(i, p, t) for i in range(4) for p, t in enumerate(("750 mL", "Batch 7 Lot 9", "Old Lantern Distillery", "old lantern distillery"))] + [(4, 0, "zzz")], "record_id long, pos int, line string")
+    found = Br.candidates(more)
+    assert [tuple(r) for r in found.filter("record_id = 0").collect()] == [(0, 2, "Old Lantern Distillery")]
+    got = {r["record_id"]: r["text"] for r in Br.improve(reads, found, claims).collect()}
+    assert got == {0: "Old Lantern Distillery\n45%", 1: "Old Lantern Distillery\nSmall Batch\nRye Whiskey", 2: "Old Lantern Distillery\n45%", 3: "", 4: "Blue Heron\n45%"}
+    shown = {r["record_id"]: r["text"] for r in Br.clarified(reads, claims).collect()}
+    assert shown[0].startswith("Old Lantern Distillery  [script OCR read: 01d") and shown[2] == "Old Lantern Distillery\n45%" and shown[4] == "Blue Heron\n45%"

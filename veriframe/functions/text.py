@@ -166,6 +166,16 @@ def missing_parts(c: Column) -> Column:
     return let(warning_fold(c), missing)
 
 
+def warning_complete(c: Column) -> Column:
+    """Whether a read holds the whole warning, as far as its main phrases tell."""
+    parts = ("government warning:", "surgeon general", "pregnancy", "birth defects", "impairs your ability", "health", "problem")
+    return let(low(c), lambda t: F.forall(F.array(*map(F.lit, parts)), lambda p: F.contains(t, p)))
+
+
+def warning_ok(c: Column) -> Column:
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda t: F.contains(t, F.lit("government warning")) & F.contains(t, F.lit("surgeon general")) & F.contains(t, F.lit("health problem")))
+
+
 def readability(c: Column) -> Column:
     def scored(t: Column) -> Column:
         score = F.lit(0.0)

@@ -25,7 +25,14 @@ def reserve(requests: DataFrame, limit: int) -> DataFrame:
     return folded.select("tenant", F.explode(F.aggregate("x", start, step)["out"]).alias("r")).select("tenant", "r.*")
 
 
+#: Fixed value: what is left where there is no limit.
+NO_LIMIT = 999_999
+
+
 def remaining(usage: DataFrame, limit: int) -> DataFrame:
-    """tenant, used, max_tests, remaining (never below 0; -1 means no limit) of usage (tenant, used)."""
-    left = F.greatest(F.lit(limit).cast("long") - F.col("used"), F.lit(0).cast("long")) if limit > 0 else F.lit(-1).cast("long")
+    """tenant, used, max_tests, remaining (never below 0) of usage (tenant, used); without a limit 0, 0, NO_LIMIT."""
+    if limit <= 0:
+        zero = F.lit(0).cast("long")
+        return usage.select("tenant", zero.alias("used"), zero.alias("max_tests"), F.lit(NO_LIMIT).cast("long").alias("remaining"))
+    left = F.greatest(F.lit(limit).cast("long") - F.col("used"), F.lit(0).cast("long"))
     return usage.select("tenant", "used", F.lit(limit).cast("long").alias("max_tests"), left.alias("remaining"))

@@ -22,6 +22,19 @@ def large_enough(boxes: DataFrame) -> DataFrame:
     return boxes.filter((area() >= F.col("img_w") * F.col("img_h") * 0.02) & (F.col("x1") - F.col("x0") >= F.col("img_w") * 0.08) & (F.col("y1") - F.col("y0") >= F.col("img_h") * 0.08))
 
 
+def resized(images: DataFrame, most: int = 1600) -> DataFrame:
+    """record_id, w, h: sizes of images (record_id, img_w, img_h) scaled down to a width."""
+    small = F.col("img_w") <= most
+    return images.select("record_id", F.when(small, F.col("img_w")).otherwise(most).alias("w"), F.when(small, F.col("img_h")).otherwise((F.col("img_h") * (F.lit(float(most)) / F.col("img_w"))).cast("int")).alias("h"))
+
+
+def rotated(images: DataFrame) -> DataFrame:
+    """record_id, w, h: the canvas that holds an image (record_id, img_w, img_h, degrees) after a turn."""
+    turn = F.abs(F.col("degrees")) >= 0.01
+    c, s = F.abs(F.cos(F.radians("degrees"))), F.abs(F.sin(F.radians("degrees")))
+    return images.select("record_id", F.when(turn, (F.col("img_h") * s + F.col("img_w") * c).cast("int")).otherwise(F.col("img_w")).alias("w"), F.when(turn, (F.col("img_h") * c + F.col("img_w") * s).cast("int")).otherwise(F.col("img_h")).alias("h"))
+
+
 def top_two(boxes: DataFrame) -> DataFrame:
     """The two largest boxes of a record, left to right (place 1, 2)."""
     w = Window.partitionBy("record_id")

@@ -229,6 +229,25 @@ def oracle_sql() -> dict[str, str]:
     best = "select record_id, angle, score from (select *, max(case when angle = 0 then score end) over (partition by record_id) as base from a) where angle = 0 or (score > base and score - base >= 0.10 and not (base > 0 and (score - base) / (case when base > 0 then base else 1 end) < 0.06)) qualify row_number() over (partition by record_id order by score desc, angle) = 1"
     words = "(select record_id, (line_id // 4)::int as block, (line_id % 4)::int as paragraph, case when line_id % 3 = 0 or (p - 1) % 5 = 4 then 0.0 else confidence end as confidence, x_min + (p - 1) * 50 as x0, y_min as y0, x_min + (p - 1) * 50 + 45 as x1, y_max as y1, p, string_split(text, ' ')[p] as t from (select *, unnest(range(1, len(string_split(text, ' ')) + 1)) as p from lines))"
     score = "(record_id % 250)::double"
+    low = f"lower({ws('text')})"
+    named = f"p as ({K.BINS}), named as materialized (select record_id, field_key, refs from (select record_id, case regexp_replace(lower(k), '[^a-z0-9_]', '', 'g') {' '.join(f'when {q(x)} then {q(y)}' for x, y in [*V.BIN_ALIASES.items(), *((f, f) for f in (*V.FIELDS, 'ignore'))])} end as field_key, k, case json_type(payload, '$.\"' || k || '\"') when 'VARCHAR' then payload ->> ('$.\"' || k || '\"') else replace((payload -> ('$.\"' || k || '\"'))::varchar, ' ', '') end as refs, pos from (select record_id, payload, unnest(json_keys(payload)) as k, unnest(range(0, len(json_keys(payload)))) as pos from (select * from p where json_valid(payload)))) where field_key is not null qualify row_number() over (partition by record_id, field_key order by pos desc) = 1)"
+    token = "unnest(regexp_extract_all(refs, '[A-Za-z0-9_.\"-]+')) as t, unnest(range(0, len(regexp_extract_all(refs, '[A-Za-z0-9_.\"-]+')))) as i"
+    numbers = f"(select i, case when regexp_matches(t, '^\"[0-9]+\"$') then try_cast(trim(t, '\"') as int) when regexp_matches(t, '^[0-9]+([.]0+)?$') then nullif(try_cast(t as double)::int, 0) end as n from (select {token})) where n is not null"
+    flat = lambda x: f"lower(regexp_replace({x}, '\\s+', '', 'g'))"
+    own = f"case field_key when 'government_warning' then min(line_no) filter ({like('line', '(?i)' + V.HEADER)}) when 'alcohol_content' then min(line_no) filter (abv is not null) when 'net_contents' then min(line_no) filter (volume <> '') else min(line_no) filter (line = claim or contains({flat('line')}, {flat('claim')}) or contains({flat('claim')}, {flat('line')})) end"
+    refs = f""", {named}, keyed as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as claim from claims),
+given as (select record_id, field_key, n, i from named, lateral (select i, n from {numbers}) where field_key <> 'ignore'), ignored as (select record_id, n from named, lateral (select i, n from {numbers}) where field_key = 'ignore'),
+found as (select record_id, field_key, {own} as n, 0 as i from keyed join flagged using (record_id) anti join given using (record_id, field_key) group by record_id, field_key),
+sizes as (select record_id, max(line_no) as size from numbered group by 1),
+chosen as (select record_id, field_key, n, min(i) as i from (select * from given union all select record_id, field_key, n, i from found) anti join ignored using (record_id, n) join sizes using (record_id) where n between 1 and size group by 1, 2, 3)"""
+    kept = f"not (case field_key when 'government_warning' then not {like('line', '(?i)' + V.HEADER)} and {discard('line')} and not warn when 'brand_name' then named = '' and ({discard('line')} or {garbled('line')}) else {discard('line')} end)"
+    binned = f""", picked as (select record_id, field_key, i, case when field_key = 'brand_name' and named <> '' then named else line end as v from chosen join flagged on chosen.record_id = flagged.record_id and chosen.n = flagged.line_no where {kept}),
+whole as (select record_id, field_key, case when count(*) = 1 and field_key <> 'government_warning' then any_value(v) else {ws("string_agg(v, ' ' order by i)")} end as v from picked group by 1, 2),
+binned as (select record_id, {', '.join(f"coalesce(max(v) filter (field_key = {q(k)}), '') as {k}" for k in V.FIELDS)} from claims left join whole using (record_id) group by record_id)""".replace("select record_id, field_key, i, case", "select chosen.record_id, field_key, i, case")
+    complete = ", complete as (select b.record_id, " + ", ".join(f"coalesce(nullif(b.{k}, ''), p.{k}, '') as {k}" for k in V.FIELDS) + " from binned b left join parsed p using (record_id))"
+    absent = ", ".join(f"case when trim({k}) = '' then {q(k)} end" for k in V.FIELDS)
+    brand_ok = f"(brand_name = '' or ({ml('brand_name')} is null and not {warn('brand_name')}))"
+    images = "select p_partkey as record_id, (800 + (p_partkey * 7) % 3000)::int as img_w, (500 + (p_partkey * 3) % 1900)::int as img_h, (p_partkey % 31 - 15)::double as degrees from part"
     return {
         "abv_net_verdict": base(f"select {status(f'greatest({a}, {n})')} as status, count(*) as n from claims c join lines t4 on c.record_id = t4.record_id and t4.line_id = 4 join lines t5 on c.record_id = t5.record_id and t5.line_id = 5 group by 1"),
         "ws_normalize": f"select doc_id, md5({ws('text')}) as folded from documents",
@@ -255,7 +274,12 @@ def oracle_sql() -> dict[str, str]:
         "record_rollup": base(f"{_long()} select record_id, {status('max(severity)')} as overall_status, coalesce(string_agg(field_key, ',' order by field_pos) filter (severity = 2), '') as failed_keys, coalesce(string_agg(field_key, ',' order by field_pos) filter (severity > 0), '') as rescue_keys from long group by record_id"),
         "missing_parts": base(f"select record_id, array_to_string({missing('government_warning')}, '|') as missing from parsed"),
         "trimmed_warning": base(f"select record_id, {trim_warning('text')} as warning from reads"),
-        "payload_fields": f"with p as ({K.BINS}) select record_id, field_key, refs from (select record_id, case regexp_replace(lower(k), '[^a-z0-9_]', '', 'g') {' '.join(f'when {q(x)} then {q(y)}' for x, y in [*V.BIN_ALIASES.items(), *((f, f) for f in (*V.FIELDS, 'ignore'))])} end as field_key, k, case json_type(payload, '$.\"' || k || '\"') when 'VARCHAR' then payload ->> ('$.\"' || k || '\"') else replace((payload -> ('$.\"' || k || '\"'))::varchar, ' ', '') end as refs, pos from (select record_id, payload, unnest(json_keys(payload)) as k, unnest(range(0, len(json_keys(payload)))) as pos from (select * from p where json_valid(payload)))) where field_key is not null qualify row_number() over (partition by record_id, field_key order by pos desc) = 1",
+        "payload_fields": f"with {named} select record_id, field_key, refs from named",
+        "ref_flatten": f"with {named} select record_id, field_key, coalesce((select string_agg(n, ',' order by i) from {numbers}), '') as line_nos from named",
+        "bin_refs": base(f"{refs} select record_id, field_key, coalesce(string_agg(n, ',' order by i), '') as line_nos from keyed left join chosen using (record_id, field_key) group by 1, 2"),
+        "bin_fields": base(f"{refs}{binned} select * from binned"),
+        "bin_complete": base(f"{refs}{binned}{complete} select * from complete"),
+        "bin_validity": base(f"{refs}{binned}{complete} select record_id, concat_ws(',', {absent}) as missing, {brand_ok} as brand_ok, ({brand_ok} and (government_warning = '' or {like('government_warning', '(?i)' + V.HEADER)}) and concat_ws(',', {absent}) = '') as valid from complete"),
         "line_dedupe_union": base("select record_id, row_number() over (partition by record_id order by part, line_no) as line_no, line from (select * from (select record_id, line_no, line, 0 as part from numbered union all select record_id, line_no, case when line_no % 2 = 0 then upper(line) else line || ' again' end, 1 from numbered) qualify part = 0 or row_number() over (partition by record_id, lower(line) order by part, line_no) = 1)"),
         "positional_pair": "with p as (select p_partkey, p_partkey // 50 as batch_id, p_partkey % 50 as pos, p_name from part), g as (select batch_id, count(*) filter (p_partkey % 97 != 5) as n, count(*) as m from p group by 1) select batch_id, pos, p_name, p_partkey as record_id, n, pos + 1 as k from p join g using (batch_id) where n = m and p_partkey % 97 != 5",
         "hash_pair": base("select c.record_id, c.net_contents, p.net_contents as read from claims c join parsed p using (record_id) where c.record_id % 3 != 0"),
@@ -263,6 +287,10 @@ def oracle_sql() -> dict[str, str]:
         "doc_score": base("select record_id, round(case when record_id % 2 = 0 then avg(confidence) else 0.75 end * length(any_value(r.text)), 6) as score from reads r join lines l using (record_id) group by record_id"),
         "readability": base(f"select record_id, round({readability('text')}, 6) as readability from reads"),
         "upright": base(f"select record_id, line_id, (r >= 0.55 or (r >= 0.40 and {like('text', '(?i)government warning')}) or (r >= 0.35 and ({score} / greatest(length({ws('text')}), 1) >= 0.55 or {score} >= 180))) as upright from (select *, {readability('text')} as r from lines)"),
+        "warning_checks": base("select record_id, (" + " and ".join(f"contains({low}, {q(w)})" for w in ("government warning:", "surgeon general", "pregnancy", "birth defects", "impairs your ability", "health", "problem")) + ") as complete, (contains(lower(text), 'government warning') and contains(lower(text), 'surgeon general') and contains(lower(text), 'health problem')) as ok from reads"),
+        "image_sizes": f"with i as ({images}) select record_id, case when img_w <= 1600 then img_w else 1600 end as w, case when img_w <= 1600 then img_h else trunc(img_h * (1600.0::double / img_w))::int end as h from i",
+        "rotated_sizes": f"with i as ({images}) select record_id, case when abs(degrees) >= 0.01 then trunc(img_h * abs(sin(radians(degrees))) + img_w * abs(cos(radians(degrees))))::int else img_w end as w, case when abs(degrees) >= 0.01 then trunc(img_h * abs(cos(radians(degrees))) + img_w * abs(sin(radians(degrees))))::int else img_h end as h from i",
+        "field_matches": base(f"select record_id, list_sort({tokens('c.brand_name')}) = list_sort({tokens('p.brand_name')}) as brand, list_sort({tokens('c.class_type')}) = list_sort({tokens('p.class_type')}) as class, {abv('c.alcohol_content')} is not distinct from {abv('p.alcohol_content')} as alcohol, {ml('c.net_contents')} is not distinct from {ml('p.net_contents')} as net from claims c join parsed p using (record_id)"),
         "rotation_pick": f"with a as ({K.ANGLES_DUCKDB}) {best}",
         "skew_gate": f"with a as ({K.ANGLES_DUCKDB}) select record_id, angle, case when abs(record_id % 19 - 9) <= 3 then false when abs(record_id % 19 - 9) >= 6 then score - 1.0 >= 0.03 else score - 1.0 >= 0.05 end as worth from a",
         "orientation_conflict": f"with a as ({K.ANGLES_DUCKDB}), best as ({best}) select b.record_id, b.angle as brand_angle, (b.record_id % 2 = 0 and b.angle in (90, 180, 270) and b.score > z.score + 0.05) as conflict from best b join a z on b.record_id = z.record_id and z.angle = 0",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
 from veriframe.operators import bins as B
+from veriframe.operators import brand as Br
 from veriframe.operators import compare as C
 from veriframe.operators import extract as E
 from veriframe.operators import lines as L
@@ -292,6 +293,47 @@ def upright(spark, sf):
     return K.lines(spark, sf).select("record_id", "line_id", T.looks_upright(F.col("text"), score).alias("upright"))
 
 
+@query
+def warning_checks(spark, sf):
+    c = F.col("text")
+    return K.reads(spark, sf).select("record_id", T.warning_complete(c).alias("complete"), T.warning_ok(c).alias("ok"))
+
+
+def _images(spark, sf):
+    return K.part(spark, sf).selectExpr("p_partkey as record_id", "cast(800 + (p_partkey * 7) % 3000 as int) as img_w", "cast(500 + (p_partkey * 3) % 1900 as int) as img_h", "cast(p_partkey % 31 - 15 as double) as degrees")
+
+
+@query
+def image_sizes(spark, sf):
+    return R.resized(_images(spark, sf))
+
+
+@query
+def rotated_sizes(spark, sf):
+    return R.rotated(_images(spark, sf))
+
+
+@query
+def improved_brand(spark, sf):
+    again = K.lines(spark, sf).filter("line_id <= 3 and record_id % 2 = 1").select("record_id", F.col("line_id").alias("pos"), F.when(F.col("line_id") == 1, F.lit("Old Lantern Distillery")).otherwise(F.col("text")).alias("line"))
+    return Br.improve(K.reads(spark, sf), Br.candidates(again), K.claims(spark, sf))
+
+
+@query
+def clarified_text(spark, sf):
+    return Br.clarified(K.reads(spark, sf), K.claims(spark, sf))
+
+
+@query
+def field_matches(spark, sf):
+    """The parts of a scored verification: which fields of the parsed read agree with the claim."""
+    p = parsed(spark, sf).select("record_id", *[F.col(k).alias(f"r_{k}") for k in V.FIELDS])
+    rows = K.claims(spark, sf).join(p, "record_id")
+    words = lambda k: F.array_sort(T.tokens(F.col(k))) == F.array_sort(T.tokens(F.col(f"r_{k}")))
+    same = lambda f, k: f(F.col(k)).eqNullSafe(f(F.col(f"r_{k}")))
+    return rows.select("record_id", words("brand_name").alias("brand"), words("class_type").alias("class"), same(T.abv, "alcohol_content").alias("alcohol"), same(T.millilitres, "net_contents").alias("net"))
+
+
 @query
 def rotation_pick(spark, sf):
     return R.best_rotation(K.angles(spark, sf))
