@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -6,14 +7,18 @@ import numpy as np
 from veriframe.llm import op02_decontaminate as op
 
 
+def plain(t):
+    return re.sub(r"[\x00-\x7f]", lambda m: m[0] if m[0].isalnum() else " ", (t or "").lower())
+
+
 def brute(docs, items):
     """Every window of every item's length, exact weighted similarity."""
     found = {}
     for d, t in docs:
-        w = (t or "").lower().split()
+        w = plain(t).split()
         sh = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         for i, it in items:
-            iw = (it or "").lower().split()
+            iw = plain(it).split()
             if len(iw) < op.MIN_ITEM_WORDS:
                 continue
             ish = Counter(tuple(iw[j : j + 5]) for j in range(len(iw) - 4))
@@ -42,7 +47,7 @@ def sample():
                 own[rng.randrange(len(own))] = "changed"
             at = rng.randint(0, len(w))
             w[at:at] = own
-        docs.append((d, " ".join(w).upper() if d % 3 == 0 else " \n ".join(w)))
+        docs.append((d, " ".join(w).upper() if d % 3 == 0 else '"' + ", ".join(w) + '."' if d % 3 == 1 else " \n ".join(w)))
     return docs + [(100, None), (101, ""), (None, items[3][1]), (102, items[4][1]), (102, items[4][1])], items
 
 

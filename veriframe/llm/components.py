@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import materialize
+from veriframe.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     print_of = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
     was = None
     for _ in range(max_rounds):
-        now = materialize(_star(_star(now, large=True), large=False))
+        last, now = now, materialize(_star(_star(now, large=True), large=False))
+        discard(last)
         mark = now.agg(print_of.alias("x")).first()["x"]
         if mark == was or not mark[0]:
             break

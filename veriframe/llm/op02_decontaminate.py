@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-Words are lower-cased; shingles are five words, each weighing the bytes of its words, so runs of short
+Words are lower-cased and stripped of ASCII punctuation; shingles are five words, each weighing the bytes of its words, so runs of short
 common words count for less. For each length of item (in words) the windows of that length in a document
 are fingerprinted with a weighted SimHash of 64 bits. The items' fingerprints stand in an index of BLOCKS
 tables, one for each block of 8 bits. A query looks up every value within BLOCK_RADIUS bits of its own
@@ -42,8 +42,12 @@ _NEAR = np.array([sum(1 << i for i in c) for r in range(BLOCK_RADIUS + 1) for c
 _BITMAP = 20
 
 
+#: ASCII punctuation to spaces, so that quotes and stops around a passage don't hide it.
+_PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+
+
 def folded(text: str | None) -> bytes:
-    return (text or "").lower().encode()
+    return (text or "").lower().encode().translate(_PLAIN)
 
 
 def signed_bits(shingles: np.ndarray, weight: np.ndarray) -> np.ndarray:
