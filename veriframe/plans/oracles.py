@@ -132,7 +132,7 @@ def readability(x: str) -> str:
     parts = [f"case when contains({t}, {q(p)}) then {w}::double else 0.0::double end" for p, w in V.READABILITY]
     parts.append(f"case when {like(t, r'\d+\s*%\s*alc')} then 0.1::double when {like(t, r'\d+\s*%')} then 0.05::double else 0.0::double end")
     parts.append(f"case when {like(t, r'\d+\s*ml')} then 0.08::double else 0.0::double end")
-    parts.append(f"0.12::double * length({sub(t, r'[^\pL]', '')}) / greatest(length({t}), 1)")
+    parts.append(f"0.12::double * (length({sub(t, r'[^\pL]', '')})::double / greatest(length({t}), 1))")
     return f"case when {t} = '' then 0.0 else least({' + '.join(parts)}, 1.0) end"
 
 
@@ -285,7 +285,7 @@ binned as (select record_id, {', '.join(f"coalesce(max(v) filter (field_key = {q
         "hash_pair": base("select c.record_id, c.net_contents, p.net_contents as read from claims c join parsed p using (record_id) where c.record_id % 3 != 0"),
         "text_containment_join": base("select c.record_id, coalesce(min(n.line_no) filter (n.line = c.class_type or contains(a, b) or contains(b, a)), 0)::int as line_no from claims c join (select *, lower(regexp_replace(line, '\\s+', '', 'g')) as a from numbered) n using (record_id), lateral (select lower(regexp_replace(c.class_type, '\\s+', '', 'g')) as b) group by 1"),
         "doc_score": base("select record_id, round(case when record_id % 2 = 0 then avg(confidence) else 0.75 end * length(any_value(r.text)), 6) as score from reads r join lines l using (record_id) group by record_id"),
-        "readability": base(f"select record_id, round({readability('text')}, 6) as readability from reads"),
+        "readability": base(f"select record_id, floor(({readability('text')}) * 1e6::double + 0.5::double)::bigint as millionths from reads"),
         "upright": base(f"select record_id, line_id, (r >= 0.55 or (r >= 0.40 and {like('text', '(?i)government warning')}) or (r >= 0.35 and ({score} / greatest(length({ws('text')}), 1) >= 0.55 or {score} >= 180))) as upright from (select *, {readability('text')} as r from lines)"),
         "warning_checks": base("select record_id, (" + " and ".join(f"contains({low}, {q(w)})" for w in ("government warning:", "surgeon general", "pregnancy", "birth defects", "impairs your ability", "health", "problem")) + ") as complete, (contains(lower(text), 'government warning') and contains(lower(text), 'surgeon general') and contains(lower(text), 'health problem')) as ok from reads"),
         "image_sizes": f"with i as ({images}) select record_id, case when img_w <= 1600 then img_w else 1600 end as w, case when img_w <= 1600 then img_h else trunc(img_h * (1600.0::double / img_w))::int end as h from i",

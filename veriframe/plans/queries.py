@@ -284,7 +284,8 @@ def doc_score(spark, sf):
 
 @query
 def readability(spark, sf):
-    return K.reads(spark, sf).select("record_id", F.round(T.readability(F.col("text")), 6).alias("readability"))
+    millionths = F.floor(T.readability(F.col("text")) * 1e6 + 0.5)
+    return K.reads(spark, sf).select("record_id", millionths.alias("millionths"))
 
 
 @query
