@@ -81,7 +81,9 @@ def test_documents(spark):
         want |= {ids[i]: min(known) if known else None for i in g}
     assert {r["doc_id"]: r["component_id"] for r in rows} == want
     assert len(op.keep_first(df).collect()) == len({want[d] for d in want})
-    assert op.near_duplicates(df.limit(0)).count() == 0
+    two = op.keep_first(df.union(spark.createDataFrame([(None, "another", "c")], df.schema)))
+    assert two.filter("doc_id is null").count() == 2
+    assert op.near_duplicates(df.limit(0)).count() == 0 and op.keep_first(df.limit(0)).count() == 0
 
 
 def test_components_of_a_path_and_a_star(spark):

@@ -115,7 +115,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, that with the least doc_id; all columns of docs.
 
     Rows are joined on doc_id to the narrow list of kept ids; of rows that repeat a kept doc_id any one stays.
+    Rows without a doc_id can't be told apart, and all stay.
     """
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__d")).distinct()
+    named = docs.filter("doc_id is not null")
+    joined = named.join(kept, F.col("doc_id") == F.col("__d"), "left_semi").dropDuplicates(["doc_id"])
+    return joined.union(docs.filter("doc_id is null"))
