@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriframe import ship
+
 #: Java and RE2 both read this class as the word characters of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one task holds in numpy at a time, in bytes of text.
@@ -24,6 +26,7 @@ SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
