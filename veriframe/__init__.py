@@ -20,4 +20,4 @@ def ship(spark) -> None:
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, Path(root.name) / path.relative_to(root))
-    context.addPyFile(str(target))
+    context.addPyFile(str(target.resolve()))  # as the JVM sees it: a relative or /proc path is not the same there
