@@ -81,6 +81,12 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def list_rows(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of lists of numbers as arrays, without a Python object for each number."""
+    at, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on uint64 arrays."""
     x = x.astype(np.uint64, copy=True)
