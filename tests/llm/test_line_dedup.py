@@ -86,3 +86,36 @@ def test_empty_table_and_extra_columns(spark):
     assert op.dedup_lines(df).count() == 0
     df = spark.createDataFrame([(1, "r", "a b", 7)], df.schema)
     assert op.dedup_lines(df).first()["runs"] == "r"
+
+
+def gone_by_definition(docs):
+    """Positions of lines in a run of MIN_LINES lines or MIN_WORDS words that stands at any earlier position."""
+    earlier, gone = set(), {}
+    for d, t in docs:
+        lines = [" ".join(x.split()) for x in t.split("\n")]
+        own = set()
+        for p in range(len(lines)):
+            for n in range(1, len(lines) - p + 1):
+                run = tuple(lines[p : p + n])
+                if run in earlier and (n >= op.MIN_LINES or sum(len(x.split()) for x in run) >= op.MIN_WORDS):
+                    own |= set(range(p, p + n))
+            # runs that start here count for later places
+            earlier |= {tuple(lines[p : p + n]) for n in range(1, len(lines) - p + 1)}
+        gone[d] = own
+    return gone
+
+
+def test_against_all_earlier_positions(spark):
+    rng = random.Random(9)
+    docs = []
+    for k in range(12):  # lines X, Y stand in another context first
+        x, y, z = (" ".join(f"{c}{k}_{i}" for i in range(10)) for c in "xyz")
+        docs += [(100 * k + 1, f"{x}\n{y}\nother {k}"), (100 * k + 2, f"odd {k}\n{y}\n{z}"), (100 * k + 5, f"{x}\n{y}\n{z}"), (100 * k + 9, f"own {k}\n{x}\n{y}\n{z}\nend {k}")]
+    pool = [" ".join(rng.choices("abcdef", k=rng.choice((1, 3, 15, 45)))) for _ in range(8)]
+    docs += [(5000 + d, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for d in range(60)]
+    want = gone_by_definition(docs)
+    rows = op.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(want[100 * k + 9] == {1, 2, 3} for k in range(12))
+    for r in rows:
+        t = dict(docs)[r["doc_id"]].split("\n")
+        assert r["text"] == "\n".join(line for i, line in enumerate(t) if i not in want[r["doc_id"]]), r["doc_id"]

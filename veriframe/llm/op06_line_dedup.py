@@ -1,16 +1,13 @@
-"""Line dedup: winnowing over the sequence of line hashes.
+"""Line dedup: exact fingerprints of runs of lines.
 
-A document is its sequence of lines with a word, white space folded. Every ``GRAM`` consecutive lines
-make a gram; each window of ``WINDOW`` grams selects its least hash (the last on ties). Two equal runs of
-GRAM + WINDOW - 1 = 3 lines contain an equal window and so select an equal fingerprint. Lines and grams of
-``MIN_WORDS`` words or more are fingerprints always, so a repeated passage of that length is found even
-where it is one line or two. Selection depends on content alone, so equal runs select alike.
+A document is its sequence of lines with a word, white space folded. Every run of MIN_LINES lines is a
+fingerprint, and so is every line and pair of lines of ``MIN_WORDS`` words or more. A longer repeated run is covered by
+the fingerprints in it, so a line belongs to a repeated run exactly if one of its fingerprints occurs earlier.
+Nothing is sampled and nothing depends on what stands around a run elsewhere.
 
 Each fingerprint meets the first occurrence of its hash (order: doc_id, hash of the text, position), never
 all other occurrences: the first is found by an aggregation with map-side combine and joined back, which is
-linear however common a line is. The match is then extended both ways over the ``CONTEXT`` lines that each
-fingerprint carries. Neighbouring fingerprints of a run are at most WINDOW grams apart, so together they
-cover it. A run that comes later than its match and has MIN_LINES lines or MIN_WORDS words is deleted.
+linear however common a line is. All other occurrences are deleted.
 
 Null text counts as empty; texts without a line of words pass unchanged; repeated rows (same doc_id and
 text) are one document and stay alike; null doc_ids sort first; other columns pass through. Lines without
@@ -23,89 +20,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import WordHasher, content_key, hash_shingles, materialize, slices, texts_of
 
-GRAM = 2
-WINDOW = 2
-CONTEXT = 4
-MIN_LINES = GRAM + WINDOW - 1
+MIN_LINES = 3
 MIN_WORDS = 40
 
 
-def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the least hash of each window, the last on ties."""
-    n = len(grams)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    window = min(window, n)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1]
-    return np.unique(np.arange(len(views)) + window - 1 - views.argmin(axis=1))
-
-
 def worded(text: bytes) -> list[list[bytes]]:
     return [w for w in map(bytes.split, text.split(b"\n")) if w]
 
 
 def marks(lines: list[list[bytes]], hasher) -> Iterator[tuple]:
-    """(print, pos, n, words, left, right, left_words, right_words) for each fingerprint of a document.
-
-    left and right are the hashes of the lines before and after, nearest first.
-    """
+    """(print, pos, n, words, and four empty lists: no context is needed) for each fingerprint of a document."""
     h = hasher([b" ".join(x) for x in lines])
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    signed, sizes = h.view(np.int64).tolist(), size.tolist()
-    grams = hash_shingles(h, GRAM) if len(h) >= GRAM else np.zeros(0, np.uint64)
-    heavy = np.flatnonzero(size[: len(grams)] + size[1 : len(grams) + 1] >= MIN_WORDS) if len(grams) else []
-    chosen = [(int(p), GRAM, int(grams[p : p + 1].view(np.int64)[0])) for p in np.union1d(winnow(grams), heavy).astype(np.int64)]
-    chosen += [(int(p), 1, signed[p]) for p in np.flatnonzero(size >= MIN_WORDS)]
-    for p, n, value in chosen:
-        before, after = slice(max(0, p - CONTEXT), p), slice(p + n, p + n + CONTEXT)
-        yield value, p, n, sum(sizes[p : p + n]), signed[before][::-1], signed[after], sizes[before][::-1], sizes[after]
+    total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))))
+    for n in range(1, MIN_LINES + 1):
+        if len(h) < n:
+            return
+        grams, words = hash_shingles(h, n).view(np.int64), total[n:] - total[:-n]
+        chosen = np.arange(len(grams)) if n == MIN_LINES else np.flatnonzero(words >= MIN_WORDS)
+        for p, value, w in zip(chosen.tolist(), grams[chosen].tolist(), words[chosen].tolist(), strict=True):
+            yield value, p, n, w, [], [], [], []
 
 
-_MARKS = "doc_id long, __h1 long, print long, pos int, n int, words long, left array<long>, right array<long>, left_words array<long>, right_words array<long>"
+_MARKS = "doc_id long, __h1 long, print long, pos int, n int"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row for each selected fingerprint of docs (doc_id, __h1, text)."""
+    """One row for each fingerprint of docs (doc_id, __h1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        schema = pa.schema([("doc_id", pa.int64()), ("__h1", pa.int64()), ("print", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("words", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("left", "right", "left_words", "right_words"))])
+        schema = pa.schema([("doc_id", pa.int64()), ("__h1", pa.int64()), ("print", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
         for b in slices(batches):
             ids = zip(b.column("doc_id").to_pylist(), b.column("__h1").to_pylist(), texts_of(b), strict=True)
-            rows = [(d, h, *m) for d, h, t in ids for m in marks(worded(t), hasher)]
+            rows = [(d, h, *m[:3]) for d, h, t in ids for m in marks(worded(t), hasher)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__h1", "text").mapInArrow(run, _MARKS)
 
 
-def _same(a: str, b: str) -> Column:
-    """How many leading elements of two arrays agree."""
-    at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
-    return F.when(at > 0, at - 1).otherwise(F.greatest(F.size(a), F.size(b)))
-
-
-def _sum(array: str, n: str) -> Column:
-    return F.aggregate(F.slice(F.col(array), F.lit(1), F.col(n)), F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, __h1, runs: the ranges (from, to) of worded lines to delete, for documents that have any."""
     found = materialize(fingerprints(docs))  # repeated rows repeat their marks, which changes no result
-    place = F.struct("doc_id", "__h1", "pos", "left", "right")
+    place = F.struct("doc_id", "__h1", "pos")
     first = found.groupBy("n", "print").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1").select("n", "print", "f")
     first = materialize(first)  # a join right above the aggregation couldn't split a hot fingerprint's rows
-    later = found.join(first, ["n", "print"]).filter(~F.struct("doc_id", "__h1", "pos").eqNullSafe(F.struct("f.doc_id", "f.__h1", "f.pos")))
-    later = later.withColumn("fl", F.col("f.left")).withColumn("fr", F.col("f.right"))
-    sized = later.withColumn("nl", _same("left", "fl")).withColumn("nr", _same("right", "fr"))
-    sized = sized.withColumn("lines", F.col("n") + F.col("nl") + F.col("nr"))
-    sized = sized.withColumn("total", F.col("words") + _sum("left_words", "nl") + _sum("right_words", "nr"))
-    runs = sized.filter((F.col("lines") >= MIN_LINES) | (F.col("total") >= MIN_WORDS)).select("doc_id", "__h1", F.struct((F.col("pos") - F.col("nl")).alias("from"), (F.col("pos") + F.col("n") + F.col("nr") - 1).alias("to")).alias("run"))
+    later = found.join(first, ["n", "print"]).filter(~place.eqNullSafe(F.col("f")))
+    runs = later.select("doc_id", "__h1", F.struct(F.col("pos").alias("from"), (F.col("pos") + F.col("n") - 1).alias("to")).alias("run"))
     return runs.groupBy("doc_id", "__h1").agg(F.collect_set("run").alias("runs"))
 
 
