@@ -37,3 +37,16 @@ def test_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"] for r in op.licenses(docs).select("doc_id").collect()}
     assert got == {r["doc_id"] for r in docs.filter("lower(text) rlike '(licensed|released) under'").collect()}
+
+
+def test_short_and_wrapped_notices():
+    model = op.trained()
+    got = lambda t: [(x[1], x[2]) for x in op.scan([t.encode()], model)]
+    assert got("All rights reserved.") == [(0, "reserved")]
+    assert got("Copyright 2021 Acme Inc. All rights reserved.") == [(0, "reserved")]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    assert [f for _, f in got("some prose here\n\n" + gpl)] == ["gpl"]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    assert got("a\n\n" + bsd) == [(2, "bsd")]
+    assert got("prose\nReleased under the MIT License.\nmore") == [(1, "mit")]
+    assert got("we went on a drive\nwith the licence of the state\nand all the rights") == []

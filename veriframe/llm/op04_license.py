@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text; long ones are read in overlapping pieces of ``PIECE`` words. Words are
+Paragraphs are the lines of a text, and besides, for wrapped notices, consecutive lines with a word are read as one;
+long ones are read in overlapping pieces of ``PIECE`` words. A notice that its line alone confirms is reported there; one
+across line ends once, at the line where its first confirmed word pair stands. Words are
 lower-cased and stripped of punctuation, and a piece's sparse features are its hashed words and word pairs. A
 multinomial logistic regression gives each piece a licence family or the class unknown. It is trained once per
 driver on ``TRAIN_ROWS`` generated, labelled paragraphs (perturbed notices, and prose that may speak of
@@ -84,6 +86,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "reserved": (
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher",
         "Copyright 2020 the authors. All rights reserved",
+        "All rights reserved",
     ),
 }
 FAMILIES = (UNKNOWN, *TEMPLATES)
@@ -123,10 +126,12 @@ class Model:
             sums[:, k] = a[end] - a[start] + b[end - 1] - b[start]
         return softmax((sums / np.sqrt(2 * (end - start) - 1)[:, None] + self.bias) / self.temperature)
 
-    def confirm(self, family: str, words: np.ndarray) -> float:
-        """The greatest share of a template's word pairs that the piece holds."""
-        own = set(pairs(words).tolist())
-        return max(len(own & t) / len(t) for t in self.templates[family])
+    def confirm(self, family: str, words: np.ndarray) -> tuple[float, int]:
+        """The greatest share of a template's word pairs that the piece holds, and where the first of them stands."""
+        found = pairs(words).tolist()
+        own = set(found)
+        share, best = max(((len(own & t) / len(t), t) for t in self.templates[family]), key=lambda x: x[0])
+        return share, next((i for i, x in enumerate(found) if x in best), 0)
 
 
 def _pair_set(text: str) -> set[int]:
@@ -229,31 +234,56 @@ def scan(texts: list[bytes], model: Model) -> list[tuple[int, int, str, float, f
     words, start, _, first = end_to_end(folded)
     if not len(words):
         return []
-    low, high, where = [], [], []
+    low, high, where, wrapped = [], [], [], []
+    line = np.zeros(len(words), np.int64)
     for i, t in enumerate(folded):
         a, b = int(first[i]), int(first[i + 1])
         if a == b:
             continue
         ends = np.flatnonzero(np.frombuffer(t, np.uint8) == 10)
-        line = np.searchsorted(ends, start[a:b])
-        cut = np.flatnonzero(np.diff(line)) + 1
-        edges = [0, *cut.tolist(), b - a]
-        for s, e in zip(edges, edges[1:]):
-            for x, y in pieces(e - s):
-                low.append(a + s + x)
-                high.append(a + s + y)
-                where.append((i, int(line[s])))
+        own = line[a:b] = np.searchsorted(ends, start[a:b])
+        for joined in (False, True):
+            cut = np.flatnonzero(np.diff(own) > joined) + 1  # a line without a word ends a block of lines
+            edges = [0, *cut.tolist(), b - a]
+            for s, e in zip(edges, edges[1:]):
+                for x, y in pieces(e - s):
+                    if not joined or own[s + x] != own[s + y - 1]:
+                        low.append(a + s + x)
+                        high.append(a + s + y)
+                        where.append(i)
+                        wrapped.append(joined)
     low, high = np.array(low), np.array(high)
     p = model.probabilities(words, low, high)
     best = p.argmax(axis=1)
     found: dict[tuple, tuple] = {}
+    across: dict[tuple, list] = {}
     for j in np.flatnonzero((best > 0) & (p.max(axis=1) >= model.least)).tolist():
         family, own = FAMILIES[best[j]], words[low[j] : high[j]]
-        share = model.confirm(family, own) if len(own) > 1 else 0.0
-        key = (*where[j], family)
-        if share >= CONFIRM and (key not in found or share > found[key][1]):
-            found[key] = (float(p[j].max()), share, len(own))
-    return [(i, line, family, *v) for (i, line, family), v in sorted(found.items())]
+        share, at = model.confirm(family, own) if len(own) > 1 else (0.0, 0)
+        if share < CONFIRM:
+            continue
+        value = (float(p[j].max()), share, len(own))
+        if wrapped[j]:
+            across.setdefault((where[j], family), []).append((int(low[j]), int(high[j]), int(line[low[j] + at]), value))
+            continue
+        key = (where[j], int(line[low[j]]), family)
+        if key not in found or share > found[key][1]:
+            found[key] = value
+    for (i, family), hits in across.items():
+        told = {n for k, n, f in found if k == i and f == family}
+        last = -1
+        for begin, end, n, value in hits:  # in order of begin
+            if told.intersection(line[begin:end].tolist()):
+                continue
+            key = (i, n, family)
+            if begin < last and (over := next((k for k in ((i, m, family) for m in range(n, int(line[begin]) - 1, -1)) if k in found), None)):
+                # overlapping pieces tell of one notice: the better one counts
+                if value[1] <= found[over][1]:
+                    continue
+                value = max(value, found.pop(over), key=lambda v: v[1])
+            found[key] = value
+            last = end
+    return [(i, n, family, *v) for (i, n, family), v in sorted(found.items())]
 
 
 FOUND = "doc_id long, paragraph long, family string, probability double, template_share double, n_words long"
