@@ -76,3 +76,19 @@ def test_trees_as_expressions_agree_with_their_walk(spark):
     picked = [r["label"] for r in out if r["score"] >= thresholds[r["g"]]]
     assert sum(picked) / len(picked) > 0.95
     assert sum(picked) > 0.7 * sum(r["label"] for r in out)
+
+
+def test_candidates_of_any_length_and_case(spark):
+    rng_hex = hashlib.sha512(b"a").hexdigest()
+    letters = "qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXCVBNM"
+    texts = [
+        f"token={rng_hex * 3} here", f"password={letters}7{letters} here", "write JOHN AT EXAMPLE DOT COM now", "write john at example dot com now",
+        "account " + "1234567890" * 4 + " here", "a" + "1 2" * 40000 + "x", "account 12345678x", "k" * 300000 + "1",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in op.report(df).collect()}
+    assert f"secret:6:{6 + 128 * 3}" in got[0]
+    assert f"secret:9:{9 + 105}" in got[1]
+    assert got[2] == got[3] == "contact:6:29"
+    assert "number:8:48" in got[4]
+    assert "number" not in got[5] and got[6] == ""

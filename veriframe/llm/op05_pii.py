@@ -35,9 +35,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
 #: Generators of the method.
-NUMBER = r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])"
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{12,200}+={0,2}(?![A-Za-z0-9+/_-])"
-SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?(?:\x20at\x20|[(\[]at[)\]])\x20?[A-Za-z0-9-]{1,63}+\x20?(?:\x20dot\x20|[(\[]dot[)\]])\x20?[A-Za-z]{2,24}+"
+#: No length is capped. A number's end is tested after the match (in ``find``), so that a run is read once.
+NUMBER = r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}(?![A-Za-z0-9+/_-])"
+SPELLED = r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\x20at\x20|[(\[]at[)\]])\x20?[A-Za-z0-9-]++\x20?(?:\x20dot\x20|[(\[]dot[)\]])\x20?[A-Za-z]{2,}+"
 GENERATORS = ("number", "secret", "contact")
 
 TRAIN_ROWS = 3000
@@ -115,7 +116,8 @@ def _ip_ok(m: Column) -> Column:
 
 def features(c: Column, generator: int) -> Column:
     """Format and context of a candidate as an array of doubles, in the order of FEATURES."""
-    m, d = c["m"], digits(c["m"])
+    m = F.lower(c["m"]) if generator == 2 else c["m"]  # a spelled-out address reads alike in either case
+    d = digits(m)
     before = F.lower(c["before"])
     has = lambda words: F.when(before.rlike(words), 1.0).otherwise(0.0)
     count = lambda p: (F.length(m) - F.length(F.regexp_replace(m, p, ""))).cast("double")
@@ -273,8 +275,9 @@ def find(docs: DataFrame) -> DataFrame:
     rows = _once(rows, {"any_digit": t.rlike("[0-9]")})
     rows = with_spans(rows, "t", {
         "s0": (EMAIL, F.contains(t, F.lit("@"))), "s1": (IP, any_digit), "s2": (CARD, any_digit), "s3": (PHONE, F.contains(t, F.lit("+"))),
-        "g0": (NUMBER, any_digit), "g1": (TOKEN, any_digit), "g2": (SPELLED, F.contains(t, F.lit("dot"))),
+        "g0": (NUMBER, any_digit), "g1": (TOKEN, any_digit), "g2": (SPELLED, t.rlike("(?i)dot")),
     })
+    rows = rows.withColumn("g0", F.filter("g0", lambda s: ~s["after"].rlike("^[0-9A-Za-z]")))
     n_digits = lambda s: F.length(digits(s["m"]))
     tests = (None, lambda s: _ip_ok(s["m"]), lambda s: luhn(digits(s["m"])), lambda s: (n_digits(s) >= 9) & (n_digits(s) <= 15))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
