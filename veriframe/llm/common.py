@@ -34,9 +34,20 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="veriframe-"))
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="veriframe-"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or the first longer one, that df has no column of (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components as Spark joins: alternating large-star and small-star rounds.
 
-Edges stay distributed; each round is two aggregations (with map-side combine) and two joins whose
-skewed side AQE can split. Rounds grow with the logarithm of the number of nodes. Every round is cut by
+Edges stay distributed; each round is two aggregations (with map-side combine) and two joins. The aggregates are
+written first: a join right above one shares its shuffle, and then the rows of a star's centre couldn't be split. Rounds grow with the logarithm of the number of nodes. Every round is cut by
 a reliable checkpoint in the shared folder, so a lost executor costs one round at most.
 """
 
@@ -17,13 +17,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: a > b, distinct. Large: link each larger neighbour of u to the least of u and its neighbours."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         linked = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")))
         joined = edges.join(least, "a")
         linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return linked.filter("a != b").distinct()
+    out = materialize(linked.filter("a != b").distinct())
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -32,8 +34,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     print_of = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
     was = None
     for _ in range(max_rounds):
-        last, now = now, materialize(_star(_star(now, large=True), large=False))
-        discard(last)
+        half = _star(now, large=True)
+        last, now = now, _star(half, large=False)
+        discard(last, half)
         mark = now.agg(print_of.alias("x")).first()["x"]
         if mark == was or not mark[0]:
             break

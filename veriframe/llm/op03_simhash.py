@@ -8,6 +8,8 @@ the bits with <m(i), v> = 1 (mod 2) and masks the others. The vectors of at most
 don't span the space, so some v is orthogonal to all of them: that table masks every difference, and the
 pair meets in one bucket. So no pair within the radius is missed, with 2**(RADIUS+1) - 1 tables.
 
+The pipeline's stage, at a similarity of 0.8, is in ``near_copies``, which tells why masks can't serve there.
+
 Only distinct fingerprints are dealt (copies share one), and buckets of up to ``PAIRWISE`` members are
 compared pair by pair. A larger bucket is never paired: each of its members is linked to the balls of
 radius RADIUS/2 around it over the bits that the table masks; two members share a ball's point exactly
@@ -81,7 +83,9 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
         raise ValueError("the radius must be even: balls of half of it are shared")
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius))]))
     dealt = fps.select("fp", table.alias("x")).select("fp", "x.t", F.col("x.m").alias("mask"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
-    dealt = materialize(dealt.join(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["t", "key"]))
+    # counts are written first: a join right above their aggregation couldn't split a hot bucket
+    many = materialize(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+    dealt = materialize(dealt.join(many, ["t", "key"]))
     small = dealt.filter(F.col("n") <= pairwise)
     x, y = small.select("t", "key", F.col("fp").alias("a")), small.select("t", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -93,7 +97,8 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
         points = points.select("fp", "t", "mask", F.explode(F.concat(F.array(F.lit(0).cast("long")), free)).alias("bit"), "point").select("fp", "t", "mask", F.col("point").bitwiseXOR(F.col("bit")).alias("point"))
     # a point is a number of 64 bits, whatever table it comes from: fingerprints that share one are within the radius
     points = points.select("fp", "point").distinct()
-    hub = points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    points = materialize(points)
+    hub = materialize(points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1"))
     stars = points.join(hub.select("point", "b"), "point").filter("fp != b").select(F.col("fp").alias("a"), "b")
     return pairs.union(stars).distinct()
 
@@ -101,23 +106,11 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable) for each row of docs."""
     rows = materialize(fingerprints(docs, k))
-    by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(by_fp.select("fp"), radius, pairwise))
+    by_fp = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = materialize(components(links(by_fp.select("fp"), radius, pairwise)))
     named = by_fp.join(found, F.col("fp") == F.col("node"))
     root = materialize(named.groupBy("root").agg(F.min("least").alias("component")))
     of_fp = by_fp.join(found, F.col("fp") == F.col("node"), "left").join(root, "root", "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component_id"))
     of_fp = materialize(of_fp)  # the join below then has shuffles of its own, and can split a hot fingerprint's rows
     out = rows.join(of_fp, F.col("fp") == F.col("f"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that with the least doc_id; all columns of docs.
-
-    Rows are joined on doc_id to the narrow list of kept ids; of rows that repeat a kept doc_id any one stays.
-    Rows without a doc_id can't be told apart, and all stay.
-    """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__d")).distinct()
-    named = docs.filter("doc_id is not null")
-    joined = named.join(kept, F.col("doc_id") == F.col("__d"), "left_semi").dropDuplicates(["doc_id"])
-    return joined.union(docs.filter("doc_id is null"))
