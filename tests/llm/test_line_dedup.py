@@ -1,76 +1,67 @@
 import random
 
 from veriframe.llm import op06_line_dedup as op
-from veriframe.llm.common import WordHasher, content_key
 
 
-def brute(docs):
-    """The same rule on whole sequences: first occurrences from a dict, matches extended in memory."""
-    hasher = WordHasher()
-    seqs = {}
+def gone_by_definition(docs):
+    """Positions of lines in a run of MIN_LINES lines or MIN_WORDS words that stands at any earlier position."""
+    earlier, gone = set(), {}
     for d, t in docs:
-        key = (d is not None, d or 0, t or "")
-        seqs[key] = op.worded((t or "").encode())
-    hashed = {}
-    for (has, d, t), lines in seqs.items():
-        h1 = H1[t]
-        hashed[(has, d, h1)] = (t, list(op.marks(lines, hasher)))
-    first = {}
-    for key in sorted(hashed):
-        for m in sorted(hashed[key][1], key=lambda m: m[1]):
-            first.setdefault((m[0], m[2]), (key, m))
-    gone = {}
-    for key, (t, ms) in hashed.items():
-        for m in ms:
-            k0, m0 = first[(m[0], m[2])]
-            if (k0, m0[1]) == (key, m[1]):
-                continue
-            nl = next((i for i, (a, b) in enumerate(zip(m[4], m0[4])) if a != b), min(len(m[4]), len(m0[4])))
-            nr = next((i for i, (a, b) in enumerate(zip(m[5], m0[5])) if a != b), min(len(m[5]), len(m0[5])))
-            words = m[3] + sum(m[6][:nl]) + sum(m[7][:nr])
-            if m[2] + nl + nr >= op.MIN_LINES or words >= op.MIN_WORDS:
-                gone.setdefault((key[0], key[1], t), set()).update(range(m[1] - nl, m[1] + m[2] + nr))
+        lines = [" ".join(x.split()) for x in t.split("\n") if x.strip()]
+        own = set()
+        for p in range(len(lines)):
+            for n in range(1, len(lines) - p + 1):
+                run = tuple(lines[p : p + n])
+                if run in earlier and (n >= op.MIN_LINES or sum(len(x.split()) for x in run) >= op.MIN_WORDS):
+                    own |= set(range(p, p + n))
+            # runs that start here count for later places
+            earlier |= {tuple(lines[p : p + n]) for n in range(1, len(lines) - p + 1)}
+        gone[d] = own
     return gone
 
 
-H1 = {}
-
-
-def test_against_brute_force_and_guarantee(spark):
-    rng = random.Random(3)
-    pool = [" ".join(rng.choices("abcdefghij", k=rng.choice((1, 3, 6, 45)))) for _ in range(30)]
-    docs = []
-    for d in range(120):
-        lines = [rng.choice(pool) if rng.random() < 0.4 else f"own {d} {i}" for i in range(rng.randint(0, 14))]
-        if rng.random() < 0.4 and docs:
-            other = (rng.choice(docs)[1] or "").split("\n")
-            lines[2:2] = other[1 : 1 + rng.randint(2, 7)]
-        docs.append((d, "\n".join(lines)))
-    docs += [(None, "x\ny\nz"), (500, None), (501, ""), (502, "\n\n"), docs[5], (503, "same\n" * 9)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    for r in content_key(df).collect():
-        H1[r["text"] or ""] = r["__h1"]
-    want = brute(docs)
-    rows = op.dedup_lines(df).collect()
+def check(spark, docs):
+    """The operator on docs (in order of doc_id) against the definition."""
+    want = gone_by_definition(docs)
+    rows = op.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(rows) == len(docs)
+    texts = dict(docs)
     for r in rows:
-        t = r["text_before"] if "text_before" in r else None
-        keys = [k for k in want if k[0] == (r["doc_id"] is not None) and k[1] == (r["doc_id"] or 0)]
-        if not keys:
-            assert r["__deleted"] == 0
-            continue
-        gone = want[keys[0]]
-        kept, k = [], 0
-        for line in keys[0][2].split("\n"):
+        kept, k, gone = [], 0, want[r["doc_id"]]
+        for line in texts[r["doc_id"]].split("\n"):
             if line.strip():
                 k += 1
                 if k - 1 in gone:
                     continue
             kept.append(line)
-        assert r["text"] == "\n".join(kept), (r["doc_id"], t)
-        assert r["__deleted"] == len(gone)
-    # the guarantee: no three lines of a later document stand in the same order in an earlier text
-    assert next(r for r in rows if r["doc_id"] == 503)["__deleted"] >= 7
+        assert (r["text"], r["n_lines"], r["n_deleted"]) == ("\n".join(kept), k, len(gone)), r["doc_id"]
+    return want
+
+
+def test_copied_lines_against_the_definition(spark):
+    rng = random.Random(3)
+    pool = [" ".join(rng.choices("abcdefghij", k=rng.choice((1, 3, 6, 45)))) for _ in range(30)]
+    docs = [(None, "x\ny\nz")]
+    for d in range(120):
+        lines = [rng.choice(pool) if rng.random() < 0.4 else f"own {d} {i}" for i in range(rng.randint(0, 14))]
+        if rng.random() < 0.4 and d:
+            other = rng.choice(docs)[1].split("\n")
+            lines[2:2] = other[1 : 1 + rng.randint(2, 7)] + ["  "]
+        docs.append((d, "\n".join(lines)))
+    check(spark, [*docs, (501, ""), (502, "\n\n"), (503, "same\n" * 9), (504, " x \ny\n\n z")])
+
+
+def test_a_run_of_four_lines_whose_middle_stood_elsewhere(spark):
+    docs = [(1, "b 1\nb 2"), (2, "a 1\nb 1\nb 2\na 4"), (3, "c\na 1\nb 1\nb 2\na 4\nd")]
+    assert check(spark, docs)[3] == {1, 2, 3, 4}
+
+
+def test_repeated_rows_stay_alike(spark):
+    text = "one two\nthree four\nfive six"
+    docs = [(5, text), (5, text), (6, text), (None, text), (None, None)]
+    rows = op.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_deleted"]) for r in rows) == [(0, 0), (0, 0), (5, 3), (5, 3), (6, 3)]
+    assert sum(r["text"] is None for r in rows) == 1
 
 
 def test_long_single_line_is_found(spark):
@@ -82,27 +73,13 @@ def test_long_single_line_is_found(spark):
 
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([], "doc_id long, runs string, text string, n int")
-    assert op.dedup_lines(df).columns == ["doc_id", "runs", "text", "n", "__lines", "__deleted"]
+    assert op.dedup_lines(df).columns == ["doc_id", "runs", "text", "n", "n_lines", "n_deleted"]
     assert op.dedup_lines(df).count() == 0
     df = spark.createDataFrame([(1, "r", "a b", 7)], df.schema)
     assert op.dedup_lines(df).first()["runs"] == "r"
-
-
-def gone_by_definition(docs):
-    """Positions of lines in a run of MIN_LINES lines or MIN_WORDS words that stands at any earlier position."""
-    earlier, gone = set(), {}
-    for d, t in docs:
-        lines = [" ".join(x.split()) for x in t.split("\n")]
-        own = set()
-        for p in range(len(lines)):
-            for n in range(1, len(lines) - p + 1):
-                run = tuple(lines[p : p + n])
-                if run in earlier and (n >= op.MIN_LINES or sum(len(x.split()) for x in run) >= op.MIN_WORDS):
-                    own |= set(range(p, p + n))
-            # runs that start here count for later places
-            earlier |= {tuple(lines[p : p + n]) for n in range(1, len(lines) - p + 1)}
-        gone[d] = own
-    return gone
+    clash = "h int, row string, doc string, text string, print long, pos int, __h1 long, runs int, doc_id long, n_lines int"
+    df = spark.createDataFrame([(1, "r", "d", "a b", 5, 6, 7, 8, 9, 3)], clash)
+    assert op.dedup_lines(df, "lines", "deleted").first() == (1, "r", "d", "a b", 5, 6, 7, 8, 9, 3, 1, 0)
 
 
 def test_against_all_earlier_positions(spark):
@@ -112,10 +89,6 @@ def test_against_all_earlier_positions(spark):
         x, y, z = (" ".join(f"{c}{k}_{i}" for i in range(10)) for c in "xyz")
         docs += [(100 * k + 1, f"{x}\n{y}\nother {k}"), (100 * k + 2, f"odd {k}\n{y}\n{z}"), (100 * k + 5, f"{x}\n{y}\n{z}"), (100 * k + 9, f"own {k}\n{x}\n{y}\n{z}\nend {k}")]
     pool = [" ".join(rng.choices("abcdef", k=rng.choice((1, 3, 15, 45)))) for _ in range(8)]
+    docs.sort()
     docs += [(5000 + d, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for d in range(60)]
-    want = gone_by_definition(docs)
-    rows = op.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert all(want[100 * k + 9] == {1, 2, 3} for k in range(12))
-    for r in rows:
-        t = dict(docs)[r["doc_id"]].split("\n")
-        assert r["text"] == "\n".join(line for i, line in enumerate(t) if i not in want[r["doc_id"]]), r["doc_id"]
+    assert all(check(spark, docs)[100 * k + 9] == {1, 2, 3} for k in range(12))

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veriframe.llm.common import WordHasher, content_key, hash_shingles, materialize, slices, texts_of
+from veriframe.llm.common import WordHasher, content_key, hash_shingles, materialize, slices, texts_of, unused
 
 MIN_LINES = 3
 MIN_WORDS = 40
@@ -34,7 +35,7 @@ def worded(text: bytes) -> list[list[bytes]]:
 
 
 def marks(lines: list[list[bytes]], hasher) -> Iterator[tuple]:
-    """(print, pos, n, words, and four empty lists: no context is needed) for each fingerprint of a document."""
+    """(print, pos, n) for each fingerprint of a document."""
     h = hasher([b" ".join(x) for x in lines])
     total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))))
     for n in range(1, MIN_LINES + 1):
@@ -42,8 +43,8 @@ def marks(lines: list[list[bytes]], hasher) -> Iterator[tuple]:
             return
         grams, words = hash_shingles(h, n).view(np.int64), total[n:] - total[:-n]
         chosen = np.arange(len(grams)) if n == MIN_LINES else np.flatnonzero(words >= MIN_WORDS)
-        for p, value, w in zip(chosen.tolist(), grams[chosen].tolist(), words[chosen].tolist(), strict=True):
-            yield value, p, n, w, [], [], [], []
+        for p, value in zip(chosen.tolist(), grams[chosen].tolist(), strict=True):
+            yield value, p, n
 
 
 _MARKS = "doc_id long, __h1 long, print long, pos int, n int"
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("__h1", pa.int64()), ("print", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
         for b in slices(batches):
             ids = zip(b.column("doc_id").to_pylist(), b.column("__h1").to_pylist(), texts_of(b), strict=True)
-            rows = [(d, h, *m[:3]) for d, h, t in ids for m in marks(worded(t), hasher)]
+            rows = [(d, h, *m) for d, h, t in ids for m in marks(worded(t), hasher)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -88,26 +89,26 @@ def without(text: bytes, runs: list[dict]) -> tuple[bytes, int, int]:
     return b"\n".join(kept), k, len(gone)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with its text deduplicated, and __lines and __deleted (worded lines before, deleted)."""
-    keyed = content_key(docs)
-    runs = repeated_runs(keyed).select(F.col("doc_id").alias("__d"), F.col("__h1").alias("__g"), F.col("runs").alias("__runs"))
-    joined = keyed.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g")), "left").drop("__d", "__g", "__h1")
-    names = docs.columns
-    at = names.index("text")
-    kinds = docs.schema.fields
+def dedup_lines(docs: DataFrame, lines: str = "n_lines", deleted: str = "n_deleted") -> DataFrame:
+    """docs with its text deduplicated, and two columns more: worded lines before, and how many of them went."""
+    if {lines, deleted} & set(docs.columns):
+        raise ValueError(f"docs has a column {lines} or {deleted}: give other names")
+    key = lambda: F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key().alias("row"))
+    # written first: the join then has shuffles of its own, and can split a row that is repeated often
+    runs = materialize(repeated_runs(content_key(docs.select("doc_id", "text"))).select(F.struct("doc_id", F.col("__h1").alias("h")).alias("row"), "runs"))
+    joined = whole.join(runs, "row", "left").select("doc.*", F.col("runs").alias(unused(docs, "runs")))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            new, lines, gone = [], [], []
-            for raw, t, r in zip(b.column("text").to_pylist(), texts_of(b), b.column("__runs").to_pylist(), strict=True):
+            new, total, gone = [], [], []
+            for raw, t, r in zip(b.column(at).to_pylist(), texts_of(b), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 x, k, g = without(t, r or ())
                 new.append(None if raw is None else x.decode() if g else raw)
-                lines.append(k)
+                total.append(k)
                 gone.append(g)
-            columns = [pa.array(new, b.schema.field("text").type) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*names, "__lines", "__deleted"])
+            columns = [pa.array(new, b.column(at).type) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*b.schema.names[:-1], lines, deleted])
 
-    from pyspark.sql import types as T
-
-    return joined.mapInArrow(run, T.StructType([*kinds, T.StructField("__lines", T.LongType()), T.StructField("__deleted", T.LongType())]))
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(deleted, T.LongType())]))

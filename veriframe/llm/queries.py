@@ -40,8 +40,7 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op06_line_dedup import dedup_lines
 
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.withColumnsRenamed({"__lines": "n_lines", "__deleted": "n_deleted"})
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
