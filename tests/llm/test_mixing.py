@@ -53,6 +53,17 @@ def test_targets_and_taken(spark):
     mixed = op.emit(df, cell_rows=50)
     assert mixed.columns == [*df.columns, "copy_no"]
     assert mixed.count() == sum(r["copies"] for r in out)
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, op.emit(df.repartition(5), cell_rows=50).collect()))
+
+
+def test_clashing_columns_and_rows_repeated_often(spark):
+    rows = [(None, None, "a b c", 1, 2, {"x": 1})] * 25_000 + [(k, "s", f"w {k}", 3, 4, {}) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, copy_no int, key int, size map<string,int>").repartition(8)
+    out = op.emit(df)
+    assert out.columns == [*df.columns, "copy_no_"]
+    plan = op.mix(df)
+    assert out.count() == plan.agg({"copies": "sum"}).first()[0] and plan.count() == len(rows)
+    assert abs(plan.filter("source is null").agg({"taken": "sum"}).first()[0] - plan.filter("source is null").first()["target"]) <= 6
 
 
 def test_empty(spark):
