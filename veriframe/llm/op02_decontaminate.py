@@ -1,21 +1,25 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-Words are lower-cased and stripped of ASCII punctuation; shingles are five words, each weighing the bytes of its words, so runs of short
-common words count for less. For each length of item (in words) the windows of that length in a document
-are fingerprinted with a weighted SimHash of 64 bits. The items' fingerprints stand in an index of BLOCKS
-tables, one for each block of 8 bits. A query looks up every value within BLOCK_RADIUS bits of its own
-block in each table; if two fingerprints differ in at most RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits,
-some block differs in BLOCK_RADIUS or fewer, so every item within the radius is met. Those within it are
-verified with the exact weighted (Ruzicka) similarity of the two shingle multisets: 0.8 or more matches.
+Words are lower-cased and stripped of ASCII punctuation; shingles are five words, each weighing the bytes of its
+words, so runs of short common words count for less. For each length of item (in words) the windows of that length in
+a document are fingerprinted with a weighted SimHash of 64 bits. The items' fingerprints stand in BLOCKS inverted
+lists, one for each block of 8 bits. A query looks up every value within BLOCK_RADIUS bits of its own block in each
+list; if two fingerprints differ in at most RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits, some block differs in
+BLOCK_RADIUS or fewer, so every item within the radius is met. Those within it are verified with the exact weighted
+(Ruzicka) similarity of the two shingle multisets: 0.8 or more matches.
 
 Windows that can't reach the threshold are skipped by an exact bound: the weight that a window shares with
 any item is at most that of its shingles that occur in the benchmark, and a match needs 0.8 of the item's.
 
-Documents are read in place (no shuffle). Items are a stated query set, taken in blocks of at most
-``BLOCK_CHARS`` characters of text: one bounded broadcast index and one pass for each block, so a benchmark
-of any size works. Items of fewer than ``MIN_ITEM_WORDS`` words are no evidence and match nothing. Null
-texts count as empty; repeated items each match; repeated documents each give their rows; an empty table of
-either kind gives no match; other columns are ignored by ``matches`` and kept by ``clean``.
+Documents are read in place (no shuffle). Items are a stated query set, taken in blocks of about ``BLOCK_CHARS``
+characters of text, packed by measured size: one broadcast index and one pass for each block, so a benchmark of any
+size works; a single item that is longer is a block of its own. A worker holds the index once: some 250 bytes for each
+word of a block, so about 0.35 GB for a full one of 8 million characters, beside a slice of 8 MB of documents.
+
+Items of fewer than ``SHINGLE`` words have no shingle, are no evidence and match nothing; ``too_short`` lists them. Null
+texts count as empty; items that repeat id and text are one; equal texts under several ids match each; repeated
+documents each give their rows; an empty table of either kind gives no match; long texts are read whole; other columns,
+whatever their names, are ignored by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -33,11 +37,12 @@ from veriframe.llm.common import end_to_end, hash_shingles, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
-MIN_ITEM_WORDS = 8
 BLOCKS = 8
-BLOCK_RADIUS = 2
+BLOCK_RADIUS = 1
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
+#: Windows looked up at a time.
+CHUNK = 2048
 _NEAR = np.array([sum(1 << i for i in c) for r in range(BLOCK_RADIUS + 1) for c in itertools.combinations(range(8), r)], np.uint8)
 _BITMAP = 20
 
@@ -69,28 +74,36 @@ def similarity(a: Counter, b: Counter, weight: dict) -> float:
 
 
 class Tables:
-    """The multi-index of the items of one length: for each block and value the items near it.
+    """The multi-index of the items of one length: for each block, the items in order of its value.
 
-    A row of ``near[block, value]`` flags the items whose block differs from the value in at most
-    BLOCK_RADIUS bits, so one lookup for each block serves all probes, for all windows at once.
+    The lists hold a number for each item and block. Probes of a window are neighbouring values of its blocks; the
+    items of all probes of many windows are gathered at once.
     """
 
     def __init__(self, members: list[int], prints: np.ndarray):
         self.members, self.prints = np.array(members), prints
-        self.near = np.zeros((BLOCKS, 256, len(members)), bool)
-        for block in range(BLOCKS):
-            for probe in _NEAR:
-                self.near[block, prints[:, block] ^ probe, np.arange(len(members))] = True
+        self.order = np.argsort(prints, axis=0, kind="stable").astype(np.int32)
+        counts = np.stack([np.bincount(prints[:, block], minlength=256) for block in range(BLOCKS)])
+        self.start = np.concatenate((np.zeros((BLOCKS, 1), np.int64), np.cumsum(counts, axis=1)), axis=1)
 
     def within(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, differing bits) for every pair within RADIUS."""
-        met = self.near[0, windows[:, 0]]
-        for block in range(1, BLOCKS):
-            met |= self.near[block, windows[:, block]]
-        w, i = np.nonzero(met)
+        """(window, item, differing bits) for every pair within RADIUS, in order of windows."""
+        out = [self._within(windows[at : at + CHUNK], at) for at in range(0, len(windows), CHUNK)]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _within(self, windows: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for block in range(BLOCKS):
+            probes = windows[:, block, None] ^ _NEAR
+            low = self.start[block][probes].ravel()
+            size = self.start[block][probes.astype(np.int64) + 1].ravel() - low
+            at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            window = np.repeat(np.repeat(np.arange(len(windows)), len(_NEAR)), size)
+            found.append(window * len(self.members) + self.order[at, block])
+        w, i = np.divmod(np.unique(np.concatenate(found)), len(self.members))
         bits = np.bitwise_count(windows[w] ^ self.prints[i]).sum(axis=1)
         good = bits <= RADIUS
-        return w[good], self.members[i[good]], bits[good]
+        return w[good] + base, self.members[i[good]], bits[good]
 
 
 class Index:
@@ -101,7 +114,7 @@ class Index:
         by_length = defaultdict(list)
         for item_id, text in items:
             words, start, end, _ = end_to_end([folded(text)])
-            if len(words) < MIN_ITEM_WORDS:
+            if len(words) < SHINGLE:
                 continue
             shingles = hash_shingles(words, SHINGLE)
             weight = shingle_weight(end - start)
@@ -180,13 +193,31 @@ def scan(texts: list[str | None], index: Index) -> Iterator[list[tuple]]:
             yield index.search((end - start)[low:high], shingles[low:last], hit[low:last])
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
+
+
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """item_id, text of the items that have no shingle and so match nothing."""
+    plain = F.regexp_replace("text", r"[\x00-\x7F&&[^A-Za-z0-9]]+", " ")
+    return _items(benchmark).filter(F.regexp_count(plain, F.lit(r"[^\x20]+")) < SHINGLE)
+
+
 def _indexes(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    """Items fall into many small parts by hash; parts are packed into blocks by their sizes."""
+    items = _items(benchmark)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield Index([tuple(r) for r in part.collect()])
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, 16 * total // block_chars)))
+    packed, room = [], 0
+    for r in items.groupBy(part.alias("part")).agg(F.sum(F.length("text")).alias("size")).orderBy("part").toLocalIterator():
+        if r["size"] > room or not packed:
+            packed.append([])
+            room = block_chars
+        packed[-1].append(r["part"])
+        room -= r["size"]
+    for parts in packed:
+        own = items if len(packed) == 1 else items.filter(part.between(parts[0], parts[-1]))  # parts come in order
+        yield Index([tuple(r) for r in own.toLocalIterator()])
 
 
 MATCHES = "doc_id long, item_id long, similarity double, from_word long, n_words long, differing_bits int"
