@@ -54,3 +54,43 @@ def test_corpus_pages(spark):
         art = re.search(r"<article>(.*?)</article>", source[r["page_id"]], re.S)[1]
         parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", q)).split()) for q in re.split(r"</?(?:h1|p)>", art))
         assert r["text"] == "\n".join(x for x in parts if x)
+
+
+def test_formulas_are_text_and_depth_changes_nothing():
+    field = op.trained()
+    page = "<body><nav><a href=x>menu</a></nav><article><p>Let <math><mi>x</mi></math> be a number, and so on.</p></article></body>"
+    assert op.main_text(page, field) == "Let x be a number, and so on."
+    deep = f"<body><div class=cookie-notice><p>We use cookies.</p></div><article>{'<div><b>' * 40_000}<p>Some text, which is deep. It goes on.</p></article></body>"
+    assert op.main_text(deep, field) == "Some text, which is deep. It goes on."
+    many = "<body><article><p>Text.</p>" + "".join(f"<i class=n{k}>" for k in range(30_000)) + "x</b>" * 30_000 + "</article>"
+    assert op.main_text(many, field).startswith("Text.")
+
+
+def test_training_reaches_the_maximum_of_the_likelihood():
+    """Against the sum over all labelings of short pages: no step away from the weights scores better."""
+    rng = random.Random(8)
+    tags = ("nav", "p", "aside", "li")
+    pages, labels = [], []
+    for _ in range(14):
+        n = rng.randint(1, 5)
+        own = [rng.choice(tags) for _ in range(n)]
+        pages.append([((frozenset({f"in:{t}"}), t), "some text", 0) for t in own])
+        labels.append([int(t in ("p", "li")) if rng.random() < 0.8 else rng.randint(0, 1) for t in own])
+    decay = 0.05
+    field = op.train(pages, labels, epochs=600, rate=0.05, decay=decay)
+
+    def objective(emit, step, first):
+        f = op.Field(field.vocabulary)
+        f.emit, f.step, f.first = emit, step, first
+        total = 0.0
+        for p, y in zip(pages, labels, strict=True):
+            s = f.scores(p)
+            value = lambda z: first[z[0]] + sum(s[i][z[i]] for i in range(len(z))) + sum(step[a][b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            every = [value([k >> i & 1 for i in range(len(y))]) for k in range(2 ** len(y))]
+            total += value(y) - np.logaddexp.reduce(every)
+        return total / len(pages) - decay / 2 * sum((w**2).sum() for w in (emit, step, first))
+
+    best, noise = objective(field.emit, field.step, field.first), np.random.default_rng(3)
+    for _ in range(30):
+        moved = [w + noise.normal(0, 0.05, w.shape) for w in (field.emit, field.step, field.first)]
+        assert objective(*moved) < best + 1e-6

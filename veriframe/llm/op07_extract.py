@@ -22,7 +22,6 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -35,8 +34,6 @@ from veriframe.llm.common import slices
 TRAIN_PAGES = 500
 EPOCHS = 80
 MAIN, OTHER = 1, 0
-#: Features look at the innermost elements only, as browsers bound the depth of a tree.
-DEPTH = 256
 
 #: Elements that begin and end a block of text.
 BLOCK = frozenset(
@@ -44,7 +41,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
 #: Elements whose content no reader sees, or that isn't text.
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video map".split())
+HIDDEN = frozenset("head script style template noscript iframe object svg canvas audio video".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -60,39 +57,77 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()))))
 
 
-def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(open elements, text, characters in links) for each leaf block with text, in order.
+class Open:
+    """The open elements of a page. Every step is one look-up, however deep the page is nested.
 
-    Open elements are (tag, words of its names), outermost first.
+    An element's context is the set of features of all elements around it and its own; with ``known``, of those only that a
+    model knows, so that it stays small.
     """
+
+    def __init__(self, known=None):
+        self.known = known
+        self.stack: list[tuple[str, frozenset, int]] = []  # tag, context, blocks up to here
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.hidden = 0
+        self.made: dict[tuple, frozenset] = {}
+
+    def context(self) -> tuple[frozenset, str]:
+        return self.stack[-1][1] if self.stack else frozenset(), self.stack[self.blocks[-1]][0] if self.blocks else ""
+
+    def enter(self, tag: str, names: tuple[str, ...]) -> None:
+        around = self.stack[-1][1] if self.stack else frozenset()
+        key = around, tag, names
+        own = self.made.get(key)
+        if own is None:
+            new = {f"in:{tag}"} if tag in BLOCK else set()
+            new.update(f"name:{w}" for w in names)
+            own = self.made[key] = around.union(f for f in new if self.known is None or f in self.known)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.hidden += tag in HIDDEN
+        self.stack.append((tag, own, len(self.blocks)))
+
+    def leave(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        for tag, _, _ in reversed(self.stack[place:]):
+            self.places[tag].pop()
+            self.hidden -= tag in HIDDEN
+            if tag in BLOCK:
+                self.blocks.pop()
+        del self.stack[place:]
+
+    def last(self, tag: str) -> int | None:
+        found = self.places.get(tag)
+        return found[-1] if found else None
+
+    def holds_block(self, place: int) -> bool:
+        """Whether a block is open within the element at a place."""
+        return len(self.blocks) > self.stack[place][2]
+
+
+def blocks(page: str, known=None) -> list[tuple[tuple, str, int]]:
+    """(context, text, characters in links) for each leaf block with text, in order; see ``Open``."""
     out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, tuple]] = []
-    hidden = links = linked = 0
+    linked = 0
     parts: list[str] = []
-    opened: Counter[str] = Counter()
+    now = Open(known)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(e for e in stack[-DEPTH:] if e[0] in BLOCK or e[1]), text, linked))
+                out.append((now.context(), text, linked))
             parts.clear()
         linked = 0
 
-    def leave(index: int) -> None:
-        nonlocal hidden, links
-        for tag, _ in stack[index:]:
-            opened[tag] -= 1
-            hidden -= tag in HIDDEN
-            links -= tag == "a"
-        del stack[index:]
-
     def add(piece: str) -> None:
         nonlocal linked
-        if piece and not hidden:
+        if piece and not now.hidden:
             parts.append(piece)
-            if links:
+            if now.places.get("a"):
                 linked += len(piece)
 
     at = 0
@@ -103,55 +138,47 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if not tag:
             continue
         if m[1] or m[4]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened[tag] > 0 else None
+            place = now.last(tag)
             if tag in BLOCK:
                 flush()
-            if depth is not None and (tag in BLOCK or tag in HIDDEN or not any(e[0] in BLOCK for e in stack[depth + 1 :])):
-                leave(depth)
+            if place is not None and (tag in BLOCK or tag in HIDDEN or not now.holds_block(place)):
+                now.leave(place)
             continue
         attributes = m[3] or m[6] or ""
         if tag in BLOCK:
             flush()
             # a block ends an open paragraph, an item ends the item before it
-            for i in range(len(stack) - 1, -1, -1):
-                e = stack[i][0]
+            if now.blocks:
+                e = now.stack[now.blocks[-1]][0]
                 if e == "p" or e == tag and tag in ("li", "option", "td", "th", "tr", "dt", "dd"):
-                    leave(i)
-                    break
-                if e in BLOCK:
-                    break
+                    now.leave(now.blocks[-1])
         elif tag == "body" or tag == "br":
             add(" ")
-        if tag == "body" and hidden:
-            leave(next(i for i, e in enumerate(stack) if e[0] in HIDDEN))
+        if tag == "body" and now.hidden:
+            now.leave(min(now.places[t][0] for t in HIDDEN if now.places.get(t)))
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
-            if tag == "textarea" and not hidden:
-                stack.append((tag, ()))
+            if tag == "textarea" and not now.hidden:
+                now.enter(tag, ())
                 add(page[at : end.start()])
                 flush()
-                stack.pop()
+                now.leave(len(now.stack) - 1)
             at = end.start()
             close = page.find(">", at)
             at = len(page) if close < 0 else close + 1
             continue
-        stack.append((tag, _names(attributes) if "=" in attributes else ()))
-        opened[tag] += 1
-        hidden += tag in HIDDEN
-        links += tag == "a"
+        now.enter(tag, _names(attributes) if "=" in attributes else ())
     add(page[at:])
     flush()
     return out
 
 
 @lru_cache(20_000)
-def around(stack: tuple) -> tuple[str, ...]:
+def around(context: tuple[frozenset, str]) -> tuple[str, ...]:
     """Features of the open elements."""
-    found = {f"in:{tag}" for tag, _ in stack if tag in BLOCK} | {f"name:{w}" for _, names in stack for w in names}
-    found.add(f"own:{next((t for t, _ in reversed(stack) if t in BLOCK), '')}")
-    return tuple(sorted(found))
+    return tuple(sorted(context[0] | {f"own:{context[1]}"}))
 
 
 def text_features(text: str, linked: int, place: int, n: int) -> list[str]:
@@ -333,7 +360,7 @@ def trained(n: int = TRAIN_PAGES, seed: int = 17) -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", field.vocabulary)
     return "\n".join(b[1] for b, y in zip(found, field.decode(field.scores(found)), strict=True) if y == MAIN)
 
 
