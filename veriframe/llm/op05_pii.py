@@ -1,13 +1,13 @@
 """Personal data by candidate gradient boosting. DataFrame and SQL functions only; one narrow pass.
 
 Base spans come from four fixed patterns. The method adds spans: high-recall generators propose overlapping
-candidates (long numbers, tokens with digits, spelled-out addresses), each gets format features (length,
-digits, separators, checks) and context features (words before it, characters beside it), and boosted trees
+candidates (long numbers, tokens with digits, spelled-out addresses, grouped account numbers, whatever follows a cue
+such as "password:"), each gets format features (length, digits, separators, checks) and context features (words before it, characters beside it), and boosted trees
 score it. The trees are trained once per application on a generated, labelled sample of ``TRAIN_ROWS`` rows
 (a documented bound: it doesn't grow with the corpus), and are written out as nested CASE expressions, so
 scoring stays in the row's own pass: no shuffle, no Python. A third of the sample is held out to calibrate,
 for each generator, the least threshold with a precision of ``PRECISION``. Added spans never replace or
-overlap base spans.
+overlap base spans; added ones that overlap one another are one span.
 
 Positions without a scan of their own: matches are marked with two control characters, the text is split at
 the first, and the lengths of the pieces add up to the starts, in code points. Texts that hold these
@@ -39,10 +39,17 @@ KINDS = ("email", "ip", "card", "phone")
 NUMBER = r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}(?![A-Za-z0-9+/_-])"
 SPELLED = r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\x20at\x20|[(\[]at[)\]])\x20?[A-Za-z0-9-]++\x20?(?:\x20dot\x20|[(\[]dot[)\]])\x20?[A-Za-z]{2,}+"
-GENERATORS = ("number", "secret", "contact")
-
-TRAIN_ROWS = 3000
-TREES = 12
+IBAN = r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:\x20[A-Za-z0-9]{4}){2,7}+(?:\x20[A-Za-z0-9]{1,3}(?![A-Za-z0-9]))?"
+#: What follows a cue word and a sign, however short and whatever its letters.
+CUES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|pin)"
+CUED = rf"(?i)(?<={CUES}[\x22']{{0,1}}\x20{{0,2}}(?:[:=]|is|=>|:=)\x20{{0,2}}[\x22']{{0,1}})(?<![^\x20\x09-\x0D\x22':=>])[^\x20\x09-\x0D\x22',;<>:=]{{4,}}+"
+ANY_CUE = rf"(?i){CUES}[\x22']?\x20{{0,2}}(?:[:=]|is)"
+GENERATORS = ("number", "secret", "contact", "iban", "cued")
+#: The kind of a span by generator.
+ADDED = ("number", "secret", "contact", "number", "secret")
+
+TRAIN_ROWS = 4000
+TREES = 16
 DEPTH = 3
 PRECISION = 0.99
 CONTEXT = 24
@@ -138,17 +145,27 @@ def features(c: Column, generator: int) -> Column:
         F.when(F.length(d) >= 12, yes(luhn(d))).otherwise(0.0),
         has(r"(phone|tel|call|mobile|fax|cell)[a-z]*[ :.#=]*$"),
         has(r"(ssn|social|passport|national id|tax id|licen[cs]e no)[a-z]*[ :.#=]*[a-z]*[ :.#=]*$"),
-        has(r"(pass(word|wd)?|secret|token|api[ _-]?key|key|pwd)[a-z]*[ \"':=]*$"),
+        has(r"(pass(word|wd|phrase|code)?|secret|token|credential|api[ _-]?key|key|pwd|pin)[a-z]*[ \"':=]*(is)?[ \"'>:=]*$"),
         has(r"(card|visa|account|acct|iban|konto|compte)[a-z]*[ :.#=]*[a-z]*[ :.#=]*$"),
         has(r"(born|birth|dob)[a-z ]*[ :.#=]*$"),
         has(r"(mail|contact|write|reach)[a-z ]*[ :.#=]*$"),
         has(r"(order|version|ref|invoice|isbn|page|serial|sku|id|no|commit|sha|hash|rev)[a-z]*[ :.#=]*$"),
         yes(before.rlike("[a-z0-9]$")),
+        yes(before.rlike(r"[:=][ \"']*$")),
+        yes(m.rlike(r"^[a-z]+[.!?)]*$")),
+        yes(m.rlike(r"[^A-Za-z0-9.()/ -]")),
         yes(c["after"].rlike("^[A-Za-z0-9]")),
     )
 
 
-FEATURES = 22
+FEATURES = 25
+
+
+#: What stands after a cue word in prose and forms and is no secret.
+_PLAIN_ANSWERS = (
+    "required", "required.", "optional", "missing", "none", "null", "true", "false", "expired", "invalid", "wrong", "yours", "here", "valid", "this", "that",
+    "string", "hidden", "changed", "reset", "forgotten", "needed", "always", "never", "only", "sent", "correct", "incorrect", "empty", "stored", "unknown",
+)
 
 
 def labelled(seed: int = 7, n: int = TRAIN_ROWS) -> list[tuple[int, str, str, str, float]]:
@@ -162,6 +179,10 @@ def labelled(seed: int = 7, n: int = TRAIN_ROWS) -> list[tuple[int, str, str, st
     hexa = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
     mixed = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k - 1)) + d(1)
     dot = lambda: rng.choice((" at ", "(at)", "[at]", " (at) "))
+    letters = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    country = lambda: "".join(rng.choices("ABCDEFGHILMNPRST", k=2))
+    sign = lambda: rng.choice((": ", " = ", "=", ':"', ' = "', ":"))
+    cue = lambda signed: plain() + rng.choice(("password", "passwd", "pwd", "secret", "token", "api key", "api_key", "passphrase", "pin")) + (sign() if signed else " is ")
     makers = [
         # personal
         lambda: (0, near(("call", "tel", "phone", "mobile", "")), f"({d(3)}) {d(3)}-{d(4)}", 1.0),
@@ -172,7 +193,15 @@ def labelled(seed: int = 7, n: int = TRAIN_ROWS) -> list[tuple[int, str, str, st
         lambda: (1, near(("password", "token", "secret", "api key", "pwd", "api_key")), rng.choice((hexa(rng.randint(12, 64)), mixed(rng.randint(12, 40)))), 1.0),
         lambda: (1, near(("iban", "account", "konto")), "DE" + d(20), 1.0),
         lambda: (2, near(("mail", "contact", "write", "")), f"{word()}{dot()}{word()}{rng.choice((' dot ', '(dot)', '[dot]'))}com", 1.0),
+        lambda: (3, near(("iban", "account", "konto", "transfer to", "")), country() + d(2) + " " + " ".join(d(4) for _ in range(rng.randint(3, 6))) + rng.choice(("", " " + d(2))), 1.0),
+        lambda: (3, near(("iban", "bank", "pay to", "")), country() + d(2) + " " + letters(4).upper() + " " + " ".join(d(4) for _ in range(rng.randint(2, 5))) + rng.choice(("", " " + d(2))), 1.0),
+        lambda: (4, cue(True), rng.choice((word() + d(rng.randint(1, 4)), word() + word(), mixed(rng.randint(6, 14)), word() + rng.choice("!$%&#*?") + d(2), letters(rng.randint(16, 40)))), 1.0),
+        lambda: (4, cue(False), rng.choice((word() + d(rng.randint(2, 4)), mixed(rng.randint(8, 30)), word() + rng.choice("!$%&#*?") + d(2))), 1.0),
         # other
+        lambda: (3, plain(), letters(2).upper() + d(2) + " " + " ".join([letters(4), *(rng.choice((d(4), letters(4))) for _ in range(rng.randint(1, 3)))]), 0.0),
+        lambda: (3, plain(), f"{rng.choice(('in', 'to', 'no', 'by'))}{d(2)} {letters(4)} {letters(4)} {letters(4)}", 0.0),
+        lambda: (4, cue(True), rng.choice(_PLAIN_ANSWERS), 0.0),
+        lambda: (4, cue(False), rng.choice((*_PLAIN_ANSWERS, letters(rng.randint(4, 9)))), 0.0),
         lambda: (0, near(("order", "invoice", "ref", "isbn", "serial", "")), d(rng.randint(7, 18)), 0.0),
         lambda: (0, plain(), rng.choice((d(16), d(8), d(12))), 0.0),
         lambda: (0, near(("version", "page", "")), f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", 0.0),
@@ -202,7 +231,9 @@ def model(spark: SparkSession) -> tuple[list, list[float]]:
 
     rows = spark.createDataFrame(labelled(), "g int, before string, m string, after string, label double").coalesce(1)
     c = F.struct("m", "before", "after")
-    x = F.when(F.col("g") == 0, features(c, 0)).when(F.col("g") == 1, features(c, 1)).otherwise(features(c, 2))
+    x = features(c, 0)
+    for g in range(1, len(GENERATORS)):
+        x = F.when(F.col("g") == g, features(c, g)).otherwise(x)
     rows = rows.select("g", "label", array_to_vector(x).alias("features"), (F.xxhash64("m", "before") % 3 == 0).alias("held")).cache()
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(rows.filter("not held"))
 
@@ -276,6 +307,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = with_spans(rows, "t", {
         "s0": (EMAIL, F.contains(t, F.lit("@"))), "s1": (IP, any_digit), "s2": (CARD, any_digit), "s3": (PHONE, F.contains(t, F.lit("+"))),
         "g0": (NUMBER, any_digit), "g1": (TOKEN, any_digit), "g2": (SPELLED, t.rlike("(?i)dot")),
+        "g3": (IBAN, any_digit), "g4": (CUED, t.rlike(ANY_CUE)),
     })
     rows = rows.withColumn("g0", F.filter("g0", lambda s: ~s["after"].rlike("^[0-9A-Za-z]")))
     n_digits = lambda s: F.length(digits(s["m"]))
@@ -287,8 +319,29 @@ def find(docs: DataFrame) -> DataFrame:
     scored = {f"c{g}": F.filter(F.transform(f"g{g}", _scorer(trees, g)), _at_least(thresholds[g])) for g in range(len(GENERATORS))}
     rows = _once(rows, scored)
     clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    rows = _once(rows, {f"a{g}": F.coalesce(F.transform(F.filter(f"c{g}", clear), _place(kind)), none) for g, kind in enumerate(GENERATORS)})
-    return rows.select("doc_id", "text", "base", F.concat(*[F.col(f"a{g}") for g in range(len(GENERATORS))]).alias("added"), *[F.size(f"b{i}").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)])
+    place = lambda kind: lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(kind).alias("kind"), c["score"].alias("score"))
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string,score:double>>")
+    clean = [F.coalesce(F.transform(F.filter(f"c{g}", clear), place(kind)), empty) for g, kind in enumerate(ADDED)]
+    rows = _once(rows, {"taken": F.array_sort(F.concat(*clean))})
+    rows = _once(rows, {"added": _merged(F.col("taken"))})
+    return rows.select("doc_id", "text", "base", "added", *[F.size(f"b{i}").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)])
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order; those that overlap are one, of the kind that scores best."""
+    kind = "struct<start:int,end:int,kind:string,score:double>"
+    begin = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"))
+
+    def step(acc: Column, s: Column) -> Column:
+        now = acc["now"]
+        best = F.when(s["score"] > now["score"], s["kind"]).otherwise(now["kind"])
+        grown = F.struct(now["start"].alias("start"), F.greatest(now["end"], s["end"]).alias("end"), best.alias("kind"), F.greatest(now["score"], s["score"]).alias("score"))
+        inside = s["start"] < now["end"]
+        done = F.when(now.isNull() | inside, acc["done"]).otherwise(F.concat(acc["done"], F.array(now)))
+        return F.struct(done.alias("done"), F.when(inside, grown).otherwise(s).alias("now"))
+
+    end = lambda acc: F.transform(F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, end)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
 
 
 def listed(array: Column) -> Column:
@@ -303,6 +356,7 @@ def report(docs: DataFrame) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added") > 0).alias("has_personal_data"),
     )
 
 
