@@ -3,11 +3,12 @@ import random
 import pytest
 
 from veriframe.llm import op08_tokens as op
+from veriframe.llm.queries import VOCABULARY
 
 
 @pytest.fixture(scope="module")
 def counter():
-    return op.Counter(op.read_ranks(op.VOCABULARY))
+    return op.Counter(op.read_ranks(VOCABULARY))
 
 
 def full(counter, text):
@@ -41,9 +42,23 @@ def test_edits_are_local(counter):
 def test_rows(spark, counter):
     rows = [(1, "pay 123456 to 7777 now", "x"), (2, None, ""), (3, "", ""), (None, "12345", ""), (1, "pay 123456 to 7777 now", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    out = op.count_tokens(op.masking_edits(df)).collect()
+    out = op.count_masked(df, VOCABULARY).collect()
     assert len(out) == 5
     r = next(r for r in out if r["doc_id"] == 1)
     assert (r["n_edits"], r["n_tokens_after"], r["n_chars_after"]) == (2, full(counter, "pay 0 to 0 now"), 14)
     assert next(r for r in out if r["doc_id"] == 2)["n_tokens"] == 0
-    assert op.count_tokens(op.masking_edits(df.limit(0))).count() == 0
+    assert op.count_masked(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_given_edits_and_a_long_pretoken(spark, counter):
+    long = "x" * 200_000
+    rows = [(1, f"a {long} b", [(2, 5, "yy"), (200_000, 200_002, None)]), (2, "abc", None), (3, "abc", [])]
+    df = spark.createDataFrame(rows, f"doc_id int, text string, edits {op.EDITS}")
+    out = {r["doc_id"]: r for r in op.count_tokens(df, VOCABULARY).collect()}
+    assert out[1]["n_tokens_after"] == full(counter, f"a yy{long[5:]} b") and out[1]["n_edits"] == 2
+    assert out[2]["n_tokens"] == out[3]["n_tokens_after"] == full(counter, "abc")
+
+
+def test_no_vocabulary():
+    with pytest.raises(FileNotFoundError, match="no vocabulary"):
+        op.read_ranks("/nowhere.tiktoken")

@@ -22,6 +22,8 @@ replacement) are in code points of the text, sorted and disjoint; null edits are
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.common import slices
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 32
@@ -60,6 +61,9 @@ class Counter:
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
+    """Ranks of a file of lines "token in base64, rank"."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: give the path of a tokenizer's file of ranks")
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
@@ -172,36 +176,36 @@ EDITS = "array<struct<start:int,end:int,new:string>>"
 COUNTED = "doc_id long, n_chars long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_pretokens_encoded_again long"
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """Counts before and after the edits of each row of docs (doc_id, text, edits as EDITS)."""
+def _counted(docs: DataFrame, vocabulary: str, pattern: str, edits_of) -> DataFrame:
+    """COUNTED of docs (doc_id, text, perhaps edits); edits_of gives the edits of a text and its edits column."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    given = "edits" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value, pattern)
         names = [x.split()[0] for x in COUNTED.split(", ")]
         for b in slices(batches):
             rows = []
-            for doc_id, text, edits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
+            held = b.column("edits").to_pylist() if given else [None] * b.num_rows
+            for doc_id, text, own in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), held, strict=True):
                 tree = Tree(text or "", counter)
-                chars, tokens, edits = tree.chars, tree.tokens, edits or []
-                for e in reversed(edits):  # from the back: the places of those before stay
-                    tree.edit(e["start"], e["end"], e["new"] or "")
+                chars, tokens, edits = tree.chars, tree.tokens, edits_of(text or "", own)
+                for start, end, new in reversed(edits):  # from the back: the places of those before stay
+                    tree.edit(start, end, new)
                 rows.append((doc_id, chars, tokens, len(edits), tree.chars, tree.tokens, tree.encoded))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, COUNTED)
-
+    return docs.mapInArrow(run, COUNTED)
 
-def masking_edits(docs: DataFrame, pattern: str = r"[0-9]{4,}", new: str = "0") -> DataFrame:
-    """doc_id, text and the edits that replace every match of a pattern."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+def count_tokens(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
+    """Counts before and after the edits of each row of docs (doc_id, text, edits as EDITS)."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast(EDITS).alias("edits"))
+    return _counted(narrow, vocabulary, pattern, lambda text, own: [(e["start"], e["end"], e["new"] or "") for e in own or []])
 
-        found = re.compile(pattern)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
-        for b in slices(batches):
-            edits = [[{"start": m.start(), "end": m.end(), "new": new} for m in found.finditer(t or "")] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(edits, kind)], ["doc_id", "text", "edits"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, text string, edits {EDITS}")
+def count_masked(docs: DataFrame, vocabulary: str, mask: str = r"[0-9]{4,}", new: str = "0", pattern: str = PATTERN) -> DataFrame:
+    """Counts before and after every match of ``mask`` is replaced, for each row of docs (doc_id, text)."""
+    found = re.compile(mask)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _counted(narrow, vocabulary, pattern, lambda text, _: [(m.start(), m.end(), new) for m in found.finditer(text)])

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from veriframe.llm.common import table
 
 
+#: The vocabulary that op8 counts with: a file of a public tokenizer, outside of the repository.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm.op01_substring import passages
 
@@ -50,9 +54,9 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veriframe.llm.op08_tokens import count_tokens, masking_edits
+    from veriframe.llm.op08_tokens import count_masked
 
-    return count_tokens(masking_edits(table(spark, sf_dir, "documents")))
+    return count_masked(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
