@@ -97,7 +97,7 @@ def dedup_lines(docs: DataFrame, lines: str = "n_lines", deleted: str = "n_delet
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key().alias("row"))
     # written first: the join then has shuffles of its own, and can split a row that is repeated often
     runs = materialize(repeated_runs(content_key(docs.select("doc_id", "text"))).select(F.struct("doc_id", F.col("__h1").alias("h")).alias("row"), "runs"))
-    joined = whole.join(runs, "row", "left").select("doc.*", F.col("runs").alias(unused(docs, "runs")))
+    joined = whole.join(runs.hint("merge"), "row", "left").select("doc.*", F.col("runs").alias(unused(docs, "runs")))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
