@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,12 @@ def let(value: Column, body) -> Column:
 
 def ws(c: Column) -> Column:
     """Null to empty; runs of white space (no-break too) to one space; trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){V.SPACE}+", " "))
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, rf"(?U)^{V.SPACE}+|{V.SPACE}+\z", "")
 
 
 def low(c: Column) -> Column:
@@ -69,48 +76,89 @@ def volume_text(c: Column) -> Column:
     return F.regexp_extract(F.coalesce(c, F.lit("")), V.MILLILITRES, 0)
 
 
+def has_any(t: Column, words) -> Column:
+    """Whether any of the words is a part of the text."""
+    return reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+
+
+# The tests below come in two forms: of a line, and (with _in) of a line that is folded already, for
+# tables that fold each line once and test it in many ways. low: lower case, white space folded; bare: lower case, stripped.
+
+
+def batch_lot_in(bare: Column) -> Column:
+    return bare.rlike(V.BATCH_LOT) | (bare.rlike(V.BATCH) & bare.rlike(V.LOT))
+
+
+def noise_in(low: Column, bare: Column) -> Column:
+    return has_any(low, V.NOISE) | batch_lot_in(bare)
+
+
+def discard_in(bare: Column) -> Column:
+    return (bare == "") | has_any(bare, V.NOISE) | batch_lot_in(bare)
+
+
+_FRAGMENT_WORDS = tuple(dict.fromkeys([*V.GEO_WORDS, *(w for p in V.CLASS_PREFIXES for w in p.split())]))
+
+
+def class_fragment_in(low: Column) -> Column:
+    return low.rlike(rf"^(?:(?:{'|'.join(_FRAGMENT_WORDS)})(?: |$))+$") & ~has_any(low, V.CLASS_NOUNS)
+
+
+def warning_fragment_in(low: Column) -> Column:
+    return has_any(low, ("government warning", *V.WARNING_FRAGMENTS)) | low.rlike(r"^\(\s*2\s*\)")
+
+
+def class_prefix_in(low: Column) -> Column:
+    return (low == "") | (((low == "small batch") | class_fragment_in(low)) & ~has_any(low, V.DISTILLERY))
+
+
+def body_in(c: Column, lowered: Column) -> Column:
+    """lowered: the line in lower case, its white space as it is."""
+    return has_any(lowered, ("government warning", *V.CLASS_NOUNS)) | abv(c).isNotNull() | millilitres(c).isNotNull()
+
+
+def bare(c: Column) -> Column:
+    return F.lower(strip(F.coalesce(c, F.lit(""))))
+
+
 def is_batch_lot(c: Column) -> Column:
-    return let(F.lower(F.trim(F.coalesce(c, F.lit("")))), lambda t: t.rlike(V.BATCH_LOT) | (t.rlike(V.BATCH) & t.rlike(V.LOT)))
+    return let(bare(c), batch_lot_in)
 
 
 def is_noise(c: Column, batch: bool = True) -> Column:
     """A noise line; without ``batch`` the word list alone decides, and white space isn't folded."""
     if not batch:
-        return F.lower(c).rlike(V.any_of(V.NOISE))
-    return is_batch_lot(c) | low(c).rlike(V.any_of(V.NOISE))
+        return let(F.lower(c), lambda t: has_any(t, V.NOISE))
+    return let(F.struct(low(c).alias("low"), bare(c).alias("bare")), lambda x: noise_in(x["low"], x["bare"]))
 
 
 def is_discard(c: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return (t == "") | is_batch_lot(c) | t.rlike(V.any_of(V.NOISE))
+    return let(bare(c), discard_in)
 
 
 def has_class_noun(c: Column) -> Column:
-    return F.lower(c).rlike(V.any_of(V.CLASS_NOUNS))
+    return let(F.lower(c), lambda t: has_any(t, V.CLASS_NOUNS))
 
 
 def is_body(c: Column) -> Column:
-    return F.contains(F.lower(c), F.lit("government warning")) | abv(c).isNotNull() | millilitres(c).isNotNull() | has_class_noun(c)
-
-
-_FRAGMENT_WORDS = tuple(dict.fromkeys([*V.GEO_WORDS, *(w for p in V.CLASS_PREFIXES for w in p.split())]))
+    return let(F.struct(c.alias("c"), F.lower(c).alias("low")), lambda x: body_in(x["c"], x["low"]))
 
 
 def is_class_fragment(c: Column) -> Column:
-    return let(low(c), lambda t: ~has_class_noun(t) & t.rlike(rf"^(?:(?:{'|'.join(_FRAGMENT_WORDS)})(?: |$))+$"))
+    return let(low(c), class_fragment_in)
 
 
 def is_warning_fragment(c: Column) -> Column:
-    return low(c).rlike(rf"government warning|^\(\s*2\s*\)|{V.any_of(V.WARNING_FRAGMENTS)}")
+    return let(low(c), warning_fragment_in)
 
 
 def has_distillery(c: Column) -> Column:
-    return F.lower(c).rlike(V.any_of(V.DISTILLERY))
+    return let(F.lower(c), lambda t: has_any(t, V.DISTILLERY))
 
 
 def is_class_prefix(c: Column) -> Column:
     """A class prefix where a brand should be; empty counts."""
-    return let(low(c), lambda t: (t == "") | (~has_distillery(t) & ((t == "small batch") | is_class_fragment(t))))
+    return let(low(c), class_prefix_in)
 
 
 def count_of(c: Column, keep: str) -> Column:
@@ -134,7 +182,7 @@ def is_garbled_prose(c: Column) -> Column:
 
 
 def unannotated(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(c), V.ANNOTATION, ""))
+    return strip(F.regexp_replace(strip(c), V.ANNOTATION, ""))
 
 
 def trim_warning(c: Column) -> Column:
@@ -144,7 +192,7 @@ def trim_warning(c: Column) -> Column:
 def distillery_brand(c: Column) -> Column:
     """The brand that a line with a distillery word gives, or empty; behind a warning's end too."""
     def own(t: Column) -> Column:
-        tail = F.regexp_replace(F.trim(F.regexp_extract(t, r"(?i)health problems\.?\s*(.+)$", 1)), r"^[ .]+|[ .]+$", "")
+        tail = F.regexp_replace(strip(F.regexp_extract(t, r"(?i)health problems\.?\s*(.+)$", 1)), r"^[ .]+|[ .]+$", "")
         return F.when(F.contains(F.lower(t), F.lit("government warning")), tail).otherwise(t)
 
     # the distillery word is the rarest and cheapest to look for
@@ -168,12 +216,17 @@ def missing_parts(c: Column) -> Column:
 
 def warning_complete(c: Column) -> Column:
     """Whether a read holds the whole warning, as far as its main phrases tell."""
-    parts = ("government warning:", "surgeon general", "pregnancy", "birth defects", "impairs your ability", "health", "problem")
-    return let(low(c), lambda t: F.forall(F.array(*map(F.lit, parts)), lambda p: F.contains(t, p)))
+    return let(low(c), lambda t: F.forall(F.array(*map(F.lit, V.WARNING_COMPLETE)), lambda p: F.contains(t, p)))
 
 
 def warning_ok(c: Column) -> Column:
-    return let(F.lower(F.coalesce(c, F.lit(""))), lambda t: F.contains(t, F.lit("government warning")) & F.contains(t, F.lit("surgeon general")) & F.contains(t, F.lit("health problem")))
+    def held(t: Column) -> Column:
+        first, *rest = [F.contains(t, F.lit(p)) for p in V.WARNING_OK]
+        for p in rest:
+            first = first & p
+        return first
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), held)
 
 
 def readability(c: Column) -> Column:
@@ -196,32 +249,36 @@ def looks_upright(text: Column, score: Column) -> Column:
 
 def repair(c: Column) -> Column:
     """Known misreadings of the alcohol line and of the warning; the warning is put on one line, with a full stop."""
-    t = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("Alc.NVol:"), F.lit("Alc./Vol.")), F.lit("Alc.NVol."), F.lit("Alc./Vol."))
-    for pattern, new in ((r"(?i)Alc\.?\s*[/\\]?\s*Vol\.?", "Alc./Vol."), (r"(?i)Alc\s+NVol\.?", "Alc./Vol."), (r"(?i)AlcNVol:?", "Alc./Vol."), (r"(?i)problems_+", "problems."), (r"\(27\s+Consumption", "(2) Consumption")):
+    t = F.coalesce(c, F.lit(""))
+    for old, new in V.REPAIRED_WORDS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    for pattern, new in V.REPAIRED_PATTERNS:
         t = F.regexp_replace(t, pattern, new)
+    for pattern, new, most in V.REPAIRED_AT_MOST:
+        t = F.array_join(F.split(t, pattern, most + 1), new)
     body = ws(F.regexp_extract(t, rf"(?is)({V.HEADER_COLON}.*)", 1))
     head = F.regexp_replace(t, rf"(?is){V.HEADER_COLON}.*", "")
     fixed = body
-    for pattern, new in ((r"(?i)\bdrive\s+car\b", "drive a car"), (r"(?i),\s*and\s+cause\s+health", ", and may cause health"), (r"(?i)\bhealth\s+may\s+problems\b", "may cause health problems"), (r"(?i)\bmay\s+problems\b", "may cause health problems")):
+    for pattern, new in V.REPAIRED_WARNING:
         fixed = F.regexp_replace(fixed, pattern, new)
     fixed = F.when(F.endswith(fixed, F.lit(".")), fixed).otherwise(F.concat(F.regexp_replace(fixed, "_+$", ""), F.lit(".")))
-    return F.when(body == "", F.trim(t)).otherwise(F.array_join(F.concat(split_lines(head), F.array(fixed)), "\n"))
+    return F.when(body == "", strip(t)).otherwise(F.array_join(F.concat(split_lines(head), F.array(fixed)), "\n"))
 
 
 def split_lines(c: Column) -> Column:
     """Trimmed lines of a text without the empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), V.LINE_END), strip), lambda x: x != "")
 
 
 def merge_warning(full: Column, warning: Column) -> Column:
     """Text with its warning replaced by that of a second read; as it is if the second read has none."""
-    body = F.trim(F.regexp_extract(warning, rf"(?is)({V.HEADER_COLON}.*)", 1))
+    body = strip(F.regexp_extract(warning, rf"(?is)({V.HEADER_COLON}.*)", 1))
     head = F.regexp_replace(full, rf"(?is){V.HEADER_COLON}.*", "")
     return F.when(body == "", full).otherwise(F.array_join(F.concat(split_lines(head), F.array(body)), "\n"))
 
 
 def collapsed(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", "")
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"(?U){V.SPACE}+", "")
 
 
 def collapsed_match(a: Column, b: Column) -> Column:

@@ -46,6 +46,28 @@ HEADER_COLON = r"GOVERNMENT\s+WARNING\s*:"
 WARNING_BLOCK = r"(?is)(GOVERNMENT\s+WARNING\s*:.*?health problems\.?)"
 ANNOTATION = r"(?i)\s*\[script OCR read:\s*.+\]\s*$"
 
+#: White space of any kind, with Java's flag U; line ends of a text.
+SPACE = r"[\s\x1C-\x1F]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+#: Known misreadings and what they are read as, in the order in which they are applied.
+REPAIRED_WORDS = (("Alc.NVol:", "Alc./Vol."), ("Alc.NVol.", "Alc./Vol."))
+REPAIRED_PATTERNS = (
+    (r"(?i)Alc\.?\s*[/\\]?\s*Vol\.?", "Alc./Vol."), (r"(?i)Alc\s+NVol\.?", "Alc./Vol."),
+    (r"(?i)AlcNVol:?", "Alc./Vol."), (r"(?i)problems_+", "problems."),
+)
+#: The same for the first so many places only.
+REPAIRED_AT_MOST = ((r"\(27\s+Consumption", "(2) Consumption", 2),)
+REPAIRED_WARNING = (
+    (r"(?i)\bdrive\s+car\b", "drive a car"), (r"(?i),\s*and\s+cause\s+health", ", and may cause health"),
+    (r"(?i)\bhealth\s+may\s+problems\b", "may cause health problems"), (r"(?i)\bmay\s+problems\b", "may cause health problems"),
+)
+#: What a whole warning holds, and what one must hold to count.
+WARNING_COMPLETE = ("government warning:", "surgeon general", "pregnancy", "birth defects", "impairs your ability", "health", "problem")
+WARNING_OK = ("government warning", "surgeon general", "health problem")
+#: The remark beside a brand that is shown as the claim, before and after what was read.
+REMARK = ("  [script OCR read: ", "]")
+
 #: Tolerances and thresholds.
 ABV_TOLERANCE, ML_TOLERANCE = 0.25, 0.01
 BRAND_PASS, BRAND_REVIEW = 0.82, 0.68

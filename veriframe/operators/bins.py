@@ -11,38 +11,52 @@ from veriframe.functions import vocab as V
 
 def clean_payload(c: Column) -> Column:
     """Payload text without code fences."""
-    return F.trim(F.regexp_replace(F.trim(c), r"^```[A-Za-z]*\s*|\s*```$", ""))
+    return T.strip(F.regexp_replace(T.strip(c), r"^```[A-Za-z]*\s*|\s*```$", ""))
 
 
 def payload_fields(payloads: DataFrame) -> DataFrame:
     """record_id, field_key, refs (JSON text) of payloads (record_id, payload): known keys by alias, the last wins.
 
-    A payload that is no JSON object gives no rows.
+    Values keep their kind: a string stays in quotes. A payload that is no JSON object gives no rows.
     """
-    entries = F.map_entries(F.from_json(clean_payload(F.col("payload")), "map<string,string>"))
-    rows = payloads.select("record_id", F.posexplode(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))).alias("pos", "e"))
+    entries = F.map_entries(F.from_json(clean_payload(F.col("payload")), "map<string,variant>"))
+    rows = payloads.select("record_id", F.posexplode(F.coalesce(entries, F.array().cast("array<struct<key:string,value:variant>>"))).alias("pos", "e"))
     token = F.regexp_replace(F.lower("e.key"), "[^a-z0-9_]", "")
     names = V.BIN_ALIASES | {k: k for k in (*V.FIELDS, "ignore")}
     known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    named = rows.select("record_id", "pos", F.try_element_at(known, token).alias("field_key"), F.col("e.value").alias("refs")).filter("field_key is not null")
+    named = rows.select("record_id", "pos", F.try_element_at(known, token).alias("field_key"), F.to_json("e.value").alias("refs")).filter("field_key is not null")
     return named.groupBy("record_id", "field_key").agg(F.max_by("refs", "pos").alias("refs"))
 
 
+def _content(c: Column) -> Column:
+    """The text of a JSON string."""
+    return F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")[0]
+
+
+#: A JSON string, or anything else between brackets, commas and blanks.
+_TOKEN = r'"(?:[^"\\]|\\.)*"|[^\s\[\],]+'
+
+
 def line_refs(c: Column) -> Column:
     """Line numbers in a JSON text: whole positive numbers and strings of digits, nested lists flattened; else none.
 
-    Scalars outside of strings must be above 0; digits in a string are taken as they are.
+    Numbers must be above 0; digits in a string are taken as they are, and a string is one value, whatever stands in it.
     """
-    flat = F.regexp_replace(F.regexp_replace(F.trim(c), r"[\[\]]", " "), r"(?i)\b(true|false|null)\b", " ")
-    items = F.transform(F.split(flat, ","), lambda x: F.trim(x))
-    quoted = lambda x: F.regexp_extract(x, r'^"\s*([0-9]+)\s*"$', 1).try_cast("int")
-    plain = lambda x: F.regexp_extract(x, r"^([0-9]+)(?:\.0+)?$", 1).try_cast("int")
-    return F.filter(F.transform(items, lambda x: F.coalesce(quoted(x), F.when(plain(x) > 0, plain(x)))), lambda x: x.isNotNull())
+    flat = F.regexp_extract_all(F.regexp_replace(c, r"\{[^{}]*\}", "null"), F.lit(_TOKEN), F.lit(0))
+
+    def number(x: Column) -> Column:
+        quoted = F.regexp_extract(x, r'^"\s*([0-9]+)\s*"$', 1).try_cast("int")
+        plain = F.when(x.rlike("^[0-9]"), x.try_cast("double"))
+        return F.coalesce(quoted, F.when((plain > 0) & (plain == F.floor(plain)), plain.cast("int")))
+
+    return F.filter(F.transform(flat, number), lambda x: x.isNotNull())
 
 
 def text_refs(c: Column) -> Column:
-    """Texts in a JSON text that aren't digits."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+    """The texts of a JSON string or list of strings that aren't digits."""
+    items = F.when(F.startswith(c, F.lit('"')), F.array(c)).otherwise(F.transform(F.from_json(c, "array<variant>"), lambda x: F.to_json(x)))
+    texts = F.transform(F.filter(items, lambda x: F.startswith(x, F.lit('"'))), lambda x: T.strip(_content(x)))
+    return F.filter(texts, lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
 
 
 def first_line_with(lines: Column, candidate: Column) -> Column:
@@ -62,7 +76,7 @@ def refs(reads: DataFrame, payloads: DataFrame, claims: DataFrame) -> DataFrame:
     lines = reads.select("record_id", T.split_lines(F.col("text")).alias("lines"))
     df = long.join(lines, "record_id").join(named.filter("field_key != 'ignore'"), ["record_id", "field_key"], "left").join(ignored, "record_id", "left")
     at = lambda test: F.array_position(F.transform("lines", test), True).cast("int")
-    hint = F.when(F.trim("claim") != "", first_line_with(F.col("lines"), F.col("claim"))).otherwise(0)
+    hint = F.when(T.strip(F.col("claim")) != "", first_line_with(F.col("lines"), F.col("claim"))).otherwise(0)
     numbers = F.coalesce(line_refs(F.col("refs")), F.array().cast("array<int>"))
     by_text = F.transform(F.coalesce(text_refs(F.col("refs")), F.array().cast("array<string>")), lambda x: F.coalesce(F.nullif(first_line_with(F.col("lines"), x), F.lit(0)), hint))
     own = (
@@ -109,21 +123,52 @@ def validity(fields: DataFrame, reads: DataFrame) -> DataFrame:
     t = reads.select("record_id", "text")
     brand, warning = F.col("brand_name"), F.col("government_warning")
     brand_ok = (brand == "") | (T.millilitres(brand).isNull() & ~T.is_warning_fragment(brand))
-    missing = F.array_join(F.filter(F.array(*[F.when(F.trim(k) == "", F.lit(k)) for k in V.FIELDS]), lambda x: x.isNotNull()), ",")
+    missing = F.array_join(F.filter(F.array(*[F.when(T.strip(F.col(k)) == "", F.lit(k)) for k in V.FIELDS]), lambda x: x.isNotNull()), ",")
     header = (warning == "") | warning.rlike(f"(?i){V.HEADER}")
-    rows = fields.join(t, "record_id").select("record_id", missing.alias("missing"), brand_ok.alias("brand_ok"), header.alias("header"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("some"))
+    rows = fields.join(t, "record_id").select("record_id", missing.alias("missing"), brand_ok.alias("brand_ok"), header.alias("header"), (T.strip(F.coalesce("text", F.lit(""))) != "").alias("some"))
     return rows.select("record_id", "missing", "brand_ok", (F.col("some") & F.col("brand_ok") & F.col("header") & (F.col("missing") == "")).alias("valid"))
 
 
 def rescued_fields(compared: DataFrame, binned: DataFrame) -> DataFrame:
     """Of the re-mapped fields those that were FAIL or REVIEW and pass their own check; others are empty."""
     target = compared.groupBy("record_id").agg(*[F.max(F.when(F.col("field_key") == k, F.col("severity"))).alias(f"s_{k}") for k in V.FIELDS])
-    brand, warning = F.trim("brand_name"), F.trim("government_warning")
+    text = lambda k: T.strip(F.col(k))
+    brand, warning = text("brand_name"), text("government_warning")
     own = F.coalesce(F.nullif(T.distillery_brand(brand), F.lit("")), brand)
     ok = {
         "brand_name": (own != "") & T.millilitres(own).isNull() & ~T.is_warning_fragment(own),
         "government_warning": warning.rlike(f"(?i){V.HEADER}"),
     }
-    value = lambda k: own if k == "brand_name" else F.trim(k)
-    keep = lambda k: F.when((F.col(f"s_{k}") > 0) & ok.get(k, F.trim(k) != ""), value(k)).otherwise(F.lit("")).alias(k)
+    value = lambda k: own if k == "brand_name" else text(k)
+    keep = lambda k: F.when((F.col(f"s_{k}") > 0) & ok.get(k, text(k) != ""), value(k)).otherwise(F.lit("")).alias(k)
     return binned.join(target, "record_id").select("record_id", *[keep(k) for k in V.FIELDS])
+
+
+def is_object(payload: Column) -> Column:
+    """Whether a payload is a JSON object."""
+    return F.coalesce(F.startswith(F.to_json(F.try_parse_json(clean_payload(payload))), F.lit("{")), F.lit(False))
+
+
+def rescue_outcome(compared: DataFrame, reads: DataFrame, payloads: DataFrame, rescued: DataFrame) -> DataFrame:
+    """record_id, outcome of a rescue: no_targets, no_lines, bad_payload, nothing_valid or rescued.
+
+    The first that applies, in this order; a record without a payload has a bad one.
+    """
+    target = compared.groupBy("record_id").agg(F.max("severity").alias("severity"))
+    lines = reads.select("record_id", F.size(T.split_lines(F.col("text"))).alias("lines"))
+    known = payloads.select("record_id", is_object(F.col("payload")).alias("good"))
+    kept = rescued.select("record_id", F.exists(F.array(*V.FIELDS), lambda x: x != "").alias("some"))
+    rows = target.join(lines, "record_id", "left").join(known, "record_id", "left").join(kept, "record_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    outcome = (
+        F.when(F.col("severity") == 0, "no_targets").when(F.coalesce("lines", F.lit(0)) == 0, "no_lines").when(~yes("good"), "bad_payload")
+        .when(~yes("some"), "nothing_valid").otherwise("rescued")
+    )
+    return rows.select("record_id", outcome.alias("outcome"))
+
+
+def mapping_outcome(payloads: DataFrame, valid: DataFrame) -> DataFrame:
+    """record_id, outcome (bad_payload, invalid or mapped) and missing of a full mapping; valid as ``validity`` gives it."""
+    rows = valid.join(payloads.select("record_id", is_object(F.col("payload")).alias("good")), "record_id", "left")
+    outcome = F.when(~F.coalesce("good", F.lit(False)), "bad_payload").when(~F.col("valid"), "invalid").otherwise("mapped")
+    return rows.select("record_id", outcome.alias("outcome"), F.when(outcome == "invalid", F.col("missing")).otherwise(F.lit("")).alias("missing"))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
 from veriframe.functions.similarity import similarity
-from veriframe.operators.extract import brand_read, once
+from veriframe.operators.extract import brand_read, flagged, once
 
 FLOOR, REPLACE, BONUS = 0.45, 0.85, 0.08
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """record_id, pos, candidate of further reads (record_id, pos, line): brand-like lines, each once, first places."""
-    c = F.trim("line")
+    c = T.strip(F.col("line"))
     own = lines.select("record_id", "pos", c.alias("line"), F.lower(c).alias("k")).filter("line <> ''")
     first = own.withColumn("r", F.row_number().over(Window.partitionBy("record_id", "k").orderBy("pos"))).filter("r = 1")
     c = F.col("line")
@@ -23,16 +23,20 @@ def candidates(lines: DataFrame) -> DataFrame:
     return first.filter(~bad).select("record_id", "pos", T.let(T.distillery_brand(c), lambda d: F.when(d != "", d).otherwise(F.col("line"))).alias("candidate"))
 
 
+def _with_brand(reads: DataFrame) -> DataFrame:
+    """record_id, text, l (lines that aren't blank) and read (the brand) of reads (record_id, text; one for each record)."""
+    rows = once(reads.select("record_id", "text"), l=F.filter(F.split("text", V.LINE_END), lambda x: T.strip(x) != ""))
+    return once(flagged(rows, F.transform("l", T.strip), "text", "l"), read=brand_read(F.col("f"))).drop("f")
+
+
 def improve(reads: DataFrame, found: DataFrame, claims: DataFrame) -> DataFrame:
     """record_id, text: reads whose brand line gives way to the candidate most like the claim, if that is better.
 
     The best candidate (a distillery word counts .08 more) replaces the first line that is nearly as like the
     claim, or a class prefix in the first line; else it goes on top. Python sees brands and lines only.
     """
-    lines = F.split("text", r"\r\n|[\n\r]")
-    rows = once(reads.select("record_id", "text"), l=F.filter(lines, lambda x: F.trim(x) != ""))
-    rows = once(rows, read=brand_read(F.transform("l", lambda x: F.trim(x))))
-    rows = rows.withColumn("read", F.when(F.col("read") == "", F.trim(F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")))).otherwise(F.col("read")))
+    rows = _with_brand(reads)
+    rows = rows.withColumn("read", F.when(F.col("read") == "", T.strip(F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")))).otherwise(F.col("read")))
     rows = rows.withColumn("current", F.when(T.is_class_prefix(F.col("read")), F.lit("")).otherwise(F.col("read")))
     rows = rows.join(claims.select("record_id", F.col("brand_name").alias("claim")), "record_id")
     every = F.lit(True)
@@ -45,7 +49,7 @@ def improve(reads: DataFrame, found: DataFrame, claims: DataFrame) -> DataFrame:
     rows = rows.withColumns({"best": F.when(better, F.col("candidate")).otherwise(F.col("current")), "best_score": F.when(better, F.col("s")).otherwise(F.col("current_score"))})
     rows = rows.withColumn("change", (F.col("best") != "") & (F.col("best_score") >= FLOOR) & ((F.col("best") != F.col("current")) | (F.col("current") == "")) & (F.size("l") > 0))
     each = rows.filter("change").select("record_id", "claim", "best_score", F.posexplode("l").alias("i", "line"))
-    like = each.withColumn("s", similarity(F.col("claim"), F.trim("line"), every)).filter(F.col("s") >= F.col("best_score") * REPLACE).groupBy("record_id").agg(F.min("i").alias("at"))
+    like = each.withColumn("s", similarity(F.col("claim"), T.strip(F.col("line")), every)).filter(F.col("s") >= F.col("best_score") * REPLACE).groupBy("record_id").agg(F.min("i").alias("at"))
     rows = rows.join(like, "record_id", "left")
     at = F.when(F.col("at").isNotNull(), F.col("at")).when((F.col("current") != "") & T.is_class_prefix(F.element_at("l", 1)), 0)
     changed = F.when(at.isNotNull(), F.transform("l", lambda x, i: F.when(i == at, F.col("best")).otherwise(x))).otherwise(F.concat(F.array("best"), F.col("l")))
@@ -54,13 +58,12 @@ def improve(reads: DataFrame, found: DataFrame, claims: DataFrame) -> DataFrame:
 
 def clarified(reads: DataFrame, claims: DataFrame) -> DataFrame:
     """record_id, text for display: a garbled brand that is like the claim is shown as the claim, with a remark."""
-    rows = once(reads.select("record_id", "text"), l=F.filter(F.split("text", r"\r\n|[\n\r]"), lambda x: F.trim(x) != ""))
-    rows = once(rows, read=brand_read(F.transform("l", lambda x: F.trim(x))))
-    rows = rows.withColumn("raw", F.when(F.col("read") != "", F.col("read")).otherwise(F.trim(F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")))))
+    rows = _with_brand(reads)
+    rows = rows.withColumn("raw", F.when(F.col("read") != "", F.col("read")).otherwise(T.strip(F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")))))
     rows = rows.join(claims.select("record_id", F.col("brand_name").alias("claim")), "record_id")
     some = (F.size("l") > 0) & (T.brand_fold(F.col("raw")) != T.brand_fold(F.col("claim")))
     rows = once(rows, garbled=some & T.is_garbled(F.col("raw")), some=some)
     rows = rows.withColumn("s", similarity(F.col("claim"), F.col("raw"), F.col("garbled")))
-    remark = F.concat("claim", F.lit("  [script OCR read: "), "raw", F.lit("]"))
+    remark = F.concat("claim", F.lit(V.REMARK[0]), "raw", F.lit(V.REMARK[1]))
     shown = F.when(F.coalesce(F.col("s") >= V.BRAND_REVIEW, F.lit(False)), F.transform("l", lambda x, i: F.when(i == 0, remark).otherwise(x))).otherwise(F.col("l"))
     return rows.select("record_id", F.when(F.col("some"), F.array_join(shown, "\n")).otherwise(F.col("text")).alias("text"))

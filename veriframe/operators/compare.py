@@ -84,28 +84,39 @@ def brand_shown(read: Column) -> Column:
     return F.when(T.is_class_prefix(read), F.lit("")).otherwise(read)
 
 
-def compare(claims: DataFrame, reads: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Five rows for each record: record_id, field_pos, field_key, claim, read, severity, status, reason.
+#: Reasons for which a read counts as the claim, and is shown as it.
+SHOWN_AS_CLAIM = ("same_words", "same_letters", "similar")
 
-    claims and reads have record_id and the five fields. A claim without a read gives five unread rows.
-    One equi-join on record_id; the similarity function is fed garbled brands only.
+
+def compare(claims: DataFrame, reads: DataFrame, fuzzy: bool = True, fields: tuple[str, ...] = V.FIELDS) -> DataFrame:
+    """A row for each record and field: record_id, field_pos, field_key, claim, read, shown, severity, reason, status.
+
+    claims and reads have record_id and the five fields. A claim without a read gives unread rows.
+    One equi-join on record_id; the similarity function is fed garbled brands only; only the rules of ``fields`` are computed.
+    ``shown`` is the claim where brand or class differ from it by order, case or letters that are often confused only.
     """
+    keys = [k for k in V.FIELDS if k in fields]
     both = claims.alias("c").join(reads.alias("r"), "record_id", "left")
-    cols = [c for k in V.FIELDS for c in (F.coalesce(F.col(f"c.{k}"), F.lit("")).alias(f"c_{k}"), F.coalesce(F.col(f"r.{k}"), F.lit("")).alias(f"r_{k}"))]
-    df = both.select("record_id", *cols).withColumn("r_brand_name", brand_shown(F.col("r_brand_name")))
+    cols = [c for k in keys for c in (F.coalesce(F.col(f"c.{k}"), F.lit("")).alias(f"c_{k}"), F.coalesce(F.col(f"r.{k}"), F.lit("")).alias(f"r_{k}"))]
+    df = both.select("record_id", *cols)
     c, r = (lambda k: F.col(f"c_{k}")), (lambda k: F.col(f"r_{k}"))
     ratio = None
-    if fuzzy:
-        df = df.withColumn("ratio", similarity(c("brand_name"), r("brand_name"), T.is_garbled(r("brand_name"))))
-        ratio = F.col("ratio")
-    df = once(
-        df, brand_name=brand_rule(c("brand_name"), r("brand_name"), ratio), class_type=text_rule(c("class_type"), r("class_type")),
-        alcohol_content=number_rule(c("alcohol_content"), r("alcohol_content"), T.abv, V.ABV_TOLERANCE),
-        net_contents=number_rule(c("net_contents"), r("net_contents"), T.millilitres, V.ML_TOLERANCE),
-        government_warning=warning_rule(c("government_warning"), r("government_warning")),
-    )
-    rows = F.array(*[F.struct(F.lit(i).alias("field_pos"), F.lit(k).alias("field_key"), c(k).alias("claim"), r(k).alias("read"), F.col(k)["severity"].alias("severity"), F.col(k)["reason"].alias("reason")) for i, k in enumerate(V.FIELDS)])
-    return df.select("record_id", F.explode(rows).alias("x")).select("record_id", "x.*").withColumn("status", status(F.col("severity")))
+    if "brand_name" in keys:
+        df = df.withColumn("r_brand_name", brand_shown(F.col("r_brand_name")))
+        if fuzzy:
+            df = df.withColumn("ratio", similarity(c("brand_name"), r("brand_name"), T.is_garbled(r("brand_name"))))
+            ratio = F.col("ratio")
+    rules = {
+        "brand_name": lambda: brand_rule(c("brand_name"), r("brand_name"), ratio), "class_type": lambda: text_rule(c("class_type"), r("class_type")),
+        "alcohol_content": lambda: number_rule(c("alcohol_content"), r("alcohol_content"), T.abv, V.ABV_TOLERANCE),
+        "net_contents": lambda: number_rule(c("net_contents"), r("net_contents"), T.millilitres, V.ML_TOLERANCE),
+        "government_warning": lambda: warning_rule(c("government_warning"), r("government_warning")),
+    }
+    df = once(df, **{k: rules[k]() for k in keys})
+    rows = F.array(*[F.struct(F.lit(V.FIELDS.index(k)).alias("field_pos"), F.lit(k).alias("field_key"), c(k).alias("claim"), r(k).alias("read"), F.col(k)["severity"].alias("severity"), F.col(k)["reason"].alias("reason")) for k in keys])
+    long = df.select("record_id", F.explode(rows).alias("x")).select("record_id", "x.*")
+    shown = F.when(F.col("field_key").isin("brand_name", "class_type") & F.col("reason").isin(*SHOWN_AS_CLAIM), F.col("claim")).otherwise(F.col("read"))
+    return long.withColumns({"shown": shown, "status": status(F.col("severity"))})
 
 
 def rollup(compared: DataFrame) -> DataFrame:
@@ -121,19 +132,40 @@ def with_rescue(claims: DataFrame, reads: DataFrame, rescued: DataFrame, fuzzy:
     rescued: record_id and any of the five fields, null or empty where not rescued.
     """
     renamed = rescued.select("record_id", *[F.col(k).alias(f"s_{k}") for k in V.FIELDS])
-    pick = lambda k: F.coalesce(F.nullif(F.trim(f"s_{k}"), F.lit("")), F.col(k))
+    pick = lambda k: F.coalesce(F.nullif(T.strip(F.col(f"s_{k}")), F.lit("")), F.col(k))
     merged = reads.join(renamed, "record_id", "left").select("record_id", *[pick(k).alias(k) for k in V.FIELDS])
-    keys = renamed.select("record_id", F.explode(F.array(*[F.when(F.coalesce(F.trim(f"s_{k}"), F.lit("")) != "", F.lit(k)) for k in V.FIELDS])).alias("field_key")).filter("field_key is not null").withColumn("hit", F.lit(True))
+    keys = renamed.select("record_id", F.explode(F.array(*[F.when(F.coalesce(T.strip(F.col(f"s_{k}")), F.lit("")) != "", F.lit(k)) for k in V.FIELDS])).alias("field_key")).filter("field_key is not null").withColumn("hit", F.lit(True))
     out = compare(claims, merged, fuzzy).join(keys, ["record_id", "field_key"], "left")
     return out.withColumn("rescued", F.coalesce("hit", F.lit(False)) & (F.col("severity") == PASS)).drop("hit")
 
 
-def results(claims: DataFrame, reads: DataFrame, texts: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """The nested result of each record as JSON text, with its overall status and a preview of the text."""
+def rotation_reason(rotation: Column, skew: Column, upright: Column, inverted: Column, per_region: Column) -> Column:
+    """Why a text was turned before it was read, as a code; empty if it wasn't."""
+    turned, tilted = rotation.isin(90, 180, 270), skew != 0
+    return (
+        F.when(per_region, "per_region").when(inverted & (rotation == 0) & ~tilted, "brand_inverted").when(upright, "").when(turned & tilted, "turned_and_tilted")
+        .when(turned, "turned").when(tilted, "tilted").otherwise("adjusted")
+    )
+
+
+#: Columns of a record's rotation, as ``regions.orientation`` gives them.
+ROTATION = ("rotation_deg", "skew_deg", "was_upright", "brand_inverted", "per_region", "brand_deg", "warning_deg")
+
+
+def results(claims: DataFrame, reads: DataFrame, texts: DataFrame, fuzzy: bool = True, rotations: DataFrame | None = None) -> DataFrame:
+    """The nested result of each record as JSON text, with its overall status and a preview of the text.
+
+    rotations: record_id and ROTATION, if any; a record without one gets none.
+    """
     compared = compare(claims, reads, fuzzy)
-    fields = compared.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("field_pos", "field_key", "claim", "read", "status", "reason"))).alias("fields"), status(F.max("severity")).alias("overall_status"))
+    item = F.struct("field_pos", "field_key", "claim", "shown", "status", "reason")
+    fields = compared.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("fields"), status(F.max("severity")).alias("overall_status"))
     out = fields.join(texts.select("record_id", T.preview(F.col("text")).alias("preview")), "record_id", "left")
-    return out.select("record_id", "overall_status", F.to_json(F.struct("record_id", "overall_status", "fields", "preview")).alias("result"))
+    told = ["record_id", "overall_status", "fields", "preview"]
+    if rotations is not None:
+        named = rotations.select("record_id", F.struct(*ROTATION, rotation_reason(*map(F.col, ROTATION[:5])).alias("reason")).alias("rotation"))
+        out, told = out.join(named, "record_id", "left"), [*told, "rotation"]
+    return out.select("record_id", "overall_status", F.to_json(F.struct(*told)).alias("result"))
 
 
 def score(results: DataFrame, expected: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
+from veriframe.operators.extract import once
 
 _ORDER = ("y_center", "x_min", "line_id")
 
@@ -44,9 +45,16 @@ def numbered_lines(reads: DataFrame) -> DataFrame:
 
 
 def line_kinds(reads: DataFrame) -> DataFrame:
-    c = F.col("line")
-    kinds = {"is_batch_lot": T.is_batch_lot(c), "is_discard": T.is_discard(c), "is_noise": T.is_noise(c), "is_noise_words": T.is_noise(c, batch=False), "is_body": T.is_body(c), "is_class_fragment": T.is_class_fragment(c), "is_warning": T.is_warning_fragment(c), "is_class_prefix": T.is_class_prefix(c)}
-    return numbered_lines(reads).withColumns(kinds)
+    """Lines with a flag for each kind; each line is folded once, and tested in generated code."""
+    line, low, bare, lowered = (F.col(c) for c in ("line", "low", "bare", "lowered"))
+    rows = once(numbered_lines(reads), low=T.low(line), bare=T.bare(line), lowered=F.lower("line"))
+    rows = once(rows, is_batch_lot=T.batch_lot_in(bare), words=T.has_any(low, V.NOISE), bare_words=T.has_any(bare, V.NOISE), fragment=T.class_fragment_in(low))
+    lot, prefix = F.col("is_batch_lot"), (low == "") | (((low == "small batch") | F.col("fragment")) & ~T.has_any(low, V.DISTILLERY))
+    return rows.select(
+        "record_id", "line_no", "line", "is_batch_lot", ((bare == "") | F.col("bare_words") | lot).alias("is_discard"), (F.col("words") | lot).alias("is_noise"),
+        T.has_any(lowered, V.NOISE).alias("is_noise_words"), T.body_in(line, lowered).alias("is_body"), F.col("fragment").alias("is_class_fragment"),
+        T.warning_fragment_in(low).alias("is_warning"), prefix.alias("is_class_prefix"),
+    )
 
 
 def warning_block(lines: DataFrame, max_gap: float = V.GAP_FULL) -> DataFrame:
@@ -58,12 +66,12 @@ def warning_block(lines: DataFrame, max_gap: float = V.GAP_FULL) -> DataFrame:
     texts = F.transform("l", lambda x: x["text"].rlike(f"(?i){V.HEADER}"))
     first = F.array_position(texts, True).cast("int")
     start = F.element_at("l", first)
-    begin = F.struct(F.trim(start["text"]).alias("t"), start["y_max"].alias("at"), F.lit(False).alias("done"))
+    begin = F.struct(T.strip(start["text"]).alias("t"), start["y_max"].alias("at"), F.lit(False).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
         far = F.greatest(x["y_min"] - acc["at"], F.lit(0.0)) > max_gap
         skip = T.is_noise(x["text"], batch=False) & ~F.contains(F.lower(x["text"]), F.lit("warning"))
-        joined = F.concat_ws(" ", acc["t"], F.trim(x["text"]))
+        joined = F.concat_ws(" ", acc["t"], T.strip(x["text"]))
         ends = F.lower(T.ws(joined)).rlike(V.any_of(V.WARNING_END))
         taken = F.struct(joined.alias("t"), x["y_max"].alias("at"), ends.alias("done"))
         return F.when(acc["done"], acc).when(far, F.struct(acc["t"].alias("t"), acc["at"].alias("at"), F.lit(True).alias("done"))).when(skip, acc).otherwise(taken)
@@ -130,11 +138,40 @@ def union_lines(first: DataFrame, second: DataFrame) -> DataFrame:
     return kept.select("record_id", F.row_number().over(Window.partitionBy("record_id").orderBy("part", "line_no")).alias("line_no"), "line")
 
 
-def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
+def merged_reads(brand: DataFrame, warning: DataFrame) -> DataFrame:
+    """record_id, text, raw_lines of two reads (record_id, text, raw_lines) of a record, that of its brand and that of its warning.
+
+    Both are repaired, the second's warning replaces the first's, and the second's new lines follow the first's.
+    """
+    rows = brand.alias("b").join(warning.alias("w"), "record_id")
+    b, w = T.repair(F.col("b.text")), T.repair(F.col("w.text"))
+    text = F.when(w == "", b).otherwise(T.repair(T.merge_warning(b, w)))
+    low = lambda lines: F.transform(lines, F.lower)
+    first = F.col("b.raw_lines")
+
+    def fresh(lines: Column) -> Column:
+        known = lambda x, i: F.array_contains(low(first), F.lower(x)) | (F.array_position(low(lines), F.lower(x)) - 1 < i)
+        return F.filter(lines, lambda x, i: ~known(x, i))
+
+    return rows.select("record_id", text.alias("text"), F.concat(first, fresh(F.col("w.raw_lines"))).alias("raw_lines"))
+
+
+def upper_median(df: DataFrame, key: str, value: str, parts: int = 256) -> DataFrame:
     """The element at n // 2 of a key's sorted values, rounded to three places.
 
-    Ranks by window; values of one key stream through a sort that can spill, no list is built.
+    A key's values fall into ``parts`` ranges of equal width. They are counted first; only the range that holds the
+    rank is sorted, so a key with most of the rows isn't sorted in one task.
     """
-    w = Window.partitionBy(key)
-    ranked = df.select(key, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.filter("r = n div 2 + 1").select(key, F.round(value, 3).alias("median"))
+    rows = df.select(key, F.col(value).cast("double").alias("v")).filter("v is not null")
+    ends = rows.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    width = (F.col("high") - F.col("low")) / F.lit(parts)
+    part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(parts - 1))).otherwise(0).cast("int")
+    dealt = rows.join(ends, key).withColumn("part", part)
+    counts = dealt.groupBy(key, "part").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    w = Window.partitionBy(key).orderBy("part")
+    counts = counts.withColumn("before", F.sum("c").over(w) - F.col("c")).withColumn("rank", F.expr("n div 2 + 1") - F.col("before"))
+    chosen = counts.filter("rank between 1 and c").select(key, "part", "rank")
+    each = dealt.groupBy(key, "part", "v").agg(F.count("*").alias("c")).join(chosen, [key, "part"])
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy("v"))
+    found = each.withColumn("upto", upto).filter("upto >= rank").groupBy(key).agg(F.min("v").alias("v"))
+    return found.select(key, F.round("v", 3).alias("median"))

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def reserve(requests: DataFrame, limit: int) -> DataFrame:
     """requests (tenant, seq, n) -> the same with granted and used (after it).
 
-    A rejected request takes nothing, so a running sum would be wrong: a fold in order of seq inside the
-    tenant's array. A tenant's requests of one batch are folded together; a stream folds them batch by batch.
+    A rejected request takes nothing, so a running sum would be wrong: the count is carried from row to row in order of
+    seq. A tenant's requests stream through one task in sorted batches; no tenant is held as a whole, however many there are.
     """
-    item = F.array_sort(F.collect_list(F.struct("seq", F.col("n").cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<seq:bigint,n:bigint,granted:boolean,used:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = (acc["used"] + x["n"] <= limit) if limit > 0 else F.lit(True)
-        used = F.when(ok, acc["used"] + x["n"]).otherwise(acc["used"])
-        row = F.struct(x["seq"].cast("long").alias("seq"), x["n"].alias("n"), ok.alias("granted"), used.alias("used"))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = requests.groupBy("tenant").agg(item.alias("x"))
-    return folded.select("tenant", F.explode(F.aggregate("x", start, step)["out"]).alias("r")).select("tenant", "r.*")
+    dealt = requests.select("tenant", F.col("seq").cast("long").alias("seq"), F.col("n").cast("long").alias("n"))
+    kind = dealt.schema["tenant"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant, used = None, 0
+        for b in batches:
+            granted, after = [], []
+            for t, n in zip(b.column("tenant").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if t != tenant:
+                    tenant, used = t, 0
+                ok = limit <= 0 or used + n <= limit
+                used += n if ok else 0
+                granted.append(ok)
+                after.append(used)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(granted, pa.bool_()), pa.array(after, pa.int64())], ["tenant", "seq", "n", "granted", "used"])
+
+    return dealt.repartition("tenant").sortWithinPartitions("tenant", "seq").mapInArrow(run, f"tenant {kind}, seq long, n long, granted boolean, used long")
 
 
 #: Fixed value: what is left where there is no limit.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriframe.functions import text as T
+
 PAD = 8
 SPLIT = 0.48
 
@@ -85,6 +87,20 @@ def merged_boxes(boxes: DataFrame, overlap: float = 0.35) -> DataFrame:
     return grouped.select("record_id", F.posexplode(F.aggregate("b", start, step)).alias("place", "m")).select("record_id", "place", "m.*")
 
 
+def regions(boxes: DataFrame, images: DataFrame, pad: int = PAD) -> DataFrame:
+    """record_id, role, x0, y0, x1, y1: the brand's and the warning's region of each image (record_id, img_w, img_h).
+
+    Boxes too small are left out, overlapping ones merged, the two largest get their roles and a margin; an
+    image without boxes is split in halves.
+    """
+    size = images.select("record_id", "img_w", "img_h")
+    merged = merged_boxes(large_enough(boxes)).withColumnRenamed("place", "box_id").join(boxes.select("record_id", "img_w", "img_h").distinct(), "record_id")
+    two = roles(merged).join(boxes.select("record_id", "img_w", "img_h").distinct(), "record_id")
+    wide = padded(two.withColumn("box_id", F.col("role")), pad).withColumnRenamed("box_id", "role")
+    without = size.join(wide.select("record_id").distinct(), "record_id", "left_anti")
+    return wide.unionByName(halves(without))
+
+
 def selection_score(readable: Column, score: Column) -> Column:
     return score * (F.lit(0.25) + F.lit(0.75) * readable)
 
@@ -107,6 +123,65 @@ def best_rotation(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(w.orderBy(F.col("score").desc(), "angle"))).filter("r = 1").select("record_id", "angle", "score")
 
 
+def best_read(candidates: DataFrame) -> DataFrame:
+    """record_id, angle, score, upright of candidates (record_id, angle, text, score): reads of a record turned by 0 to 270 degrees.
+
+    A read's worth is its score weighed by how readable its text is. A record whose read at 0 looks upright stays there;
+    else the best angle is taken that is worth it.
+    """
+    worth = selection_score(T.readability(F.col("text")), F.col("score"))
+    rows = candidates.select("record_id", "angle", worth.alias("worth"), ((F.col("angle") == 0) & T.looks_upright(F.col("text"), F.col("score"))).alias("up"))
+    rows = rows.withColumn("upright", F.max("up").over(Window.partitionBy("record_id")))
+    kept = rows.filter(~F.col("upright") | (F.col("angle") == 0)).select("record_id", "angle", F.col("worth").alias("score"), "upright")
+    best = best_rotation(kept)
+    return best.join(kept.filter("angle = 0").select("record_id", "upright"), "record_id").select("record_id", "angle", "score", "upright")
+
+
+def best_skew(candidates: DataFrame, readable: float | None = None) -> DataFrame:
+    """record_id, skew, score of candidates (record_id, pos, skew, text, score): the best small turn that is worth it, else 0.
+
+    The candidate of skew 0 is the read as it is; of equals the first by pos counts. With ``readable``, a read
+    of that readability isn't turned.
+    """
+    r = T.readability(F.col("text"))
+    rows = candidates.select("record_id", "pos", "skew", r.alias("r"), selection_score(r, F.col("score")).alias("worth"))
+    base = F.col("skew") == 0
+    by = rows.groupBy("record_id").agg(
+        F.max(F.when(base, F.col("worth"))).alias("base"), F.max(F.when(base, F.col("r"))).alias("r"),
+        F.max(F.when(~base, F.struct("worth", (-F.col("pos")).alias("k"), "skew"))).alias("best"),
+    )
+    good = F.coalesce((F.col("best.worth") > F.col("base")) & skew_worth(F.col("best.skew"), F.col("base"), F.col("best.worth")), F.lit(False))
+    if readable is not None:
+        good = good & (F.col("r") < readable)
+    return by.select("record_id", F.when(good, F.col("best.skew")).otherwise(0).alias("skew"), F.when(good, F.col("best.worth")).otherwise(F.col("base")).alias("score"))
+
+
+def orientation(scored: DataFrame, margin: float = 0.05) -> DataFrame:
+    """How a record is read: record_id, decision, and the columns of a rotation (see compare.ROTATION).
+
+    scored: record_id, angle and upright (of the whole, see ``best_read``), brand_angle, brand_score, brand_upright (the brand's
+    score at 0), warning_angle (null without two regions), skew (of the turned whole), sweeps (false: read directly).
+    direct: no turn was tried. per_region: whole at 0, warning at 0, the brand better turned by more than the margin.
+    uniform: whole at 0 and not upright, both regions turned alike. whole: else, by its own angle.
+    """
+    apart = (F.col("warning_angle") == 0) & F.col("brand_angle").isin(90, 180, 270) & (F.col("brand_score") > F.col("brand_upright") + margin)
+    alike = ~F.col("upright") & (F.col("brand_angle") == F.col("warning_angle")) & (F.col("brand_angle") != 0)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    whole = F.col("angle") == 0
+    decision = F.when(~F.col("sweeps"), "direct").when(whole & yes(apart), "per_region").when(whole & yes(alike), "uniform").otherwise("whole")
+    rows = scored.withColumn("decision", decision)
+    is_ = lambda d: F.col("decision") == d
+    turn = F.when(is_("uniform"), F.col("brand_angle")).when(is_("whole"), F.col("angle")).otherwise(0)
+    skew = F.when(is_("uniform") | is_("whole"), F.coalesce("skew", F.lit(0))).otherwise(0)
+    own = lambda c: F.when(is_("per_region"), F.col(c)).otherwise(turn)
+    upright = is_("direct") | (~is_("per_region") & (turn == 0) & (skew == 0))
+    inverted = is_("per_region") & (F.col("brand_angle") == 180) & (F.col("warning_angle") == 0)
+    return rows.select(
+        "record_id", "decision", turn.cast("int").alias("rotation_deg"), skew.cast("int").alias("skew_deg"), upright.alias("was_upright"), inverted.alias("brand_inverted"),
+        is_("per_region").alias("per_region"), own("brand_angle").cast("int").alias("brand_deg"), own("warning_angle").cast("int").alias("warning_deg"),
+    )
+
+
 def orientation_conflict(pairs: DataFrame, margin: float = 0.05) -> DataFrame:
     """Adds conflict to pairs (brand_angle, brand_score, brand_upright, warning_angle)."""
     return pairs.withColumn("conflict", (F.col("warning_angle") == 0) & F.col("brand_angle").isin(90, 180, 270) & (F.col("brand_score") > F.col("brand_upright") + margin))

@@ -28,9 +28,9 @@ _LINES = f"""
 select record_id, line_id,
   case line_id
     when 1 then case when k % 17 = 0 then '' when k % 11 = 0 then replace(brand_name, 'o', 'u') when k % 13 = 0 then replace(replace(brand_name, 'l', '1'), 'e', '3')
-                     when k % 19 = 0 then upper(brand_name) when k % 29 = 0 then '  ' || brand_name || '  ' else brand_name end
+                     when k % 19 = 0 then upper(brand_name) when k % 29 = 0 then '  ' || brand_name || '  ' when k % 27 = 0 then chr(9) || brand_name || chr(160) when k % 33 = 1 then brand_name || ' [script OCR read: xyz]' else brand_name end
     when 2 then case when k % 2 = 0 then 'Batch No. 7 Lot ' || cast(k as string) when k % 5 = 1 then 'Small Batch' else 'Bottled by hand' end
-    when 3 then case when k % 7 = 0 then replace(class_type, 'i', 'y') when k % 23 = 0 then 'Kentucky' else class_type end
+    when 3 then case when k % 43 = 0 then chr(9) || class_type when k % 7 = 0 then replace(class_type, 'i', 'y') when k % 23 = 0 then 'Kentucky' else class_type end
     when 4 then case when k % 5 = 0 then '41.5% Alc./Vol.' when k % 31 = 0 then '' else alcohol_content end
     when 5 then case when k % 6 = 0 then '700 ML' when k % 25 = 0 then '25 fl oz' else net_contents end
     when 6 then case when k % 9 = 0 then 'Government Warning: (1) According to the' when k % 37 = 0 then '' else 'GOVERNMENT  WARNING : ( 1 ) According to the' end
@@ -38,7 +38,7 @@ select record_id, line_id,
     when 8 then case when k % 8 = 0 then 'Consumption of alcoholic beverages impairs your ability to drive a car or operate machinery, and may cause health problems.'
                      when k % 15 = 0 then '(2) Consumption of alcoholic drinks impairs your ability to drive car or operate machinery , and may cause health problems'
                      else '( 2 ) Consumption of alcoholic beverages impairs your ability to drive a car or operate machinery, and may cause health problems.' end
-    else case when k % 3 = 0 then 'www.example.com scan here' else 'Product of somewhere' end end as text,
+    else case when k % 21 = 0 then chr(160) || chr(9) when k % 3 = 0 then 'www.example.com scan here' else 'Product of somewhere' end end as text,
   cast(50 + (k * line_id) % 50 as double) / 100.0 as confidence,
   cast(line_id * 40 + k % 3 as double) as y_center, cast((k * 7 + line_id) % 30 as double) as x_min,
   cast(line_id * 40 + k % 3 - 10 - case when k % 12 = 1 and line_id = 8 then -25 else 0 end as double) as y_min,
@@ -72,9 +72,10 @@ ANGLES_DUCKDB = ANGLES.format(explode=", (select unnest(range(0, 4)) as a) t").r
 BINS = """
 select p_partkey as record_id,
   case when p_partkey % 5 = 4 then 'no json' else
-  '{"Brand": ' || case when p_partkey % 3 = 0 then '[1, 2]' when p_partkey % 3 = 1 then '"1"' else '[]' end ||
-  ', "class type": [3], "class_type": ' || case when p_partkey % 4 = 0 then '[3.0, 3, true]' else '["3", [2]]' end ||
-  ', "ABV": 4, "net_contents": [5, 99], "Gov_Warning": [6, 7, 8], "other": [1], "ignore": [2, 9]}' end as payload
+  '{"Brand": ' || case when p_partkey % 7 = 3 then '"5, 1"' when p_partkey % 7 = 5 then '"Copper fox"' when p_partkey % 11 = 4 then '["Stone, 2, Mill", 3.5]' when p_partkey % 11 = 5 then '["www. EXAMPLE", ["Blue"]]'
+                       when p_partkey % 3 = 0 then '[1, 2]' when p_partkey % 3 = 1 then '"1"' else '[]' end ||
+  ', "class type": [3], "class_type": ' || case when p_partkey % 4 = 0 then '[3.0, 3, true]' when p_partkey % 4 = 1 then '"3.0"' else '["3", [2]]' end ||
+  ', "ABV": ' || case when p_partkey % 6 = 1 then '"proof)"' else '4' end || ', "net_contents": [5, 99], "Gov_Warning": [6, 7, 8], "other": [1], "ignore": [2, 9]}' end as payload
 from part"""
 
 
@@ -93,10 +94,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, text: the lines of a record in order, one below the other."""
-    return lines(spark, sf_dir).groupBy("record_id").agg(_text())
+    return lines(spark, sf_dir).groupBy("record_id").agg(joined_text())
 
 
-def _text():
+def joined_text():
     from pyspark.sql import functions as F
 
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "text"))), lambda x: x["text"]), "\n").alias("text")

@@ -11,7 +11,11 @@ def q(s: str) -> str:
 
 
 def ws(x: str) -> str:
-    return f"trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(coalesce({x}, ''), '[\\s\\x{{A0}}]+', ' ', 'g'))"
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
 
 
 def sub(x: str, pattern: str, new: str) -> str:
@@ -63,7 +67,7 @@ def like(x: str, p: str) -> str:
 
 
 def batch_lot(x: str) -> str:
-    t = f"lower(trim({x}))"
+    t = f"lower({strip(x)})"
     return f"({like(t, V.BATCH_LOT)} or ({like(t, V.BATCH)} and {like(t, V.LOT)}))"
 
 
@@ -72,7 +76,7 @@ def noise(x: str) -> str:
 
 
 def discard(x: str) -> str:
-    return f"(trim({x}) = '' or {batch_lot(x)} or {like(f'lower(trim({x}))', V.any_of(V.NOISE))})"
+    return f"({strip(x)} = '' or {batch_lot(x)} or {like(f'lower({strip(x)})', V.any_of(V.NOISE))})"
 
 
 def noun(x: str) -> str:
@@ -115,6 +119,58 @@ def garbled(x: str) -> str:
     )
 
 
+def unannotated(x: str) -> str:
+    return strip(f"regexp_replace({strip(x)}, {q(V.ANNOTATION)}, '')")
+
+
+def lines_of(x: str) -> str:
+    """The lines of a text, stripped, without the empty ones."""
+    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda y: {strip('y')}), lambda y: y <> '')"
+
+
+def repaired(name: str, source: str, column: str) -> str:
+    """A table of source's columns with its column repaired, in steps."""
+    t = column
+    for old, new in V.REPAIRED_WORDS:
+        t = f"replace({t}, {q(old)}, {q(new)})"
+    for pattern, new in V.REPAIRED_PATTERNS:
+        t = sub(t, pattern, new)
+    for pattern, new, most in V.REPAIRED_AT_MOST:
+        for _ in range(most):
+            t = f"regexp_replace({t}, {q(pattern)}, {q(new)})"
+    fixed = "body"
+    for pattern, new in V.REPAIRED_WARNING:
+        fixed = sub(fixed, pattern, new)
+    return (
+        f"{name}_1 as (select *, {t} as t from {source}), "
+        f"{name}_2 as (select *, {ws(f'regexp_extract(t, {q(f"(?is)({V.HEADER_COLON}.*)")}, 1)')} as body, {lines_of(f'regexp_replace(t, {q(f"(?is){V.HEADER_COLON}.*")}, {q("")})')} as head from {name}_1), "
+        f"{name}_3 as (select *, {fixed} as fixed from {name}_2), "
+        f"{name} as (select * replace (case when body = '' then {strip('t')} else array_to_string(list_append(head, case when fixed like '%.' then fixed else regexp_replace(fixed, '_+$', '') || '.' end), chr(10)) end as {column}) "
+        f"from {name}_3)"
+    )
+
+
+def merged_warning(full: str, warning: str) -> str:
+    body = strip(f"regexp_extract({warning}, {q(f'(?is)({V.HEADER_COLON}.*)')}, 1)")
+    head = lines_of(f"regexp_replace({full}, {q(f'(?is){V.HEADER_COLON}.*')}, '')")
+    return f"case when {body} = '' then {full} else array_to_string(list_append({head}, {body}), chr(10)) end"
+
+
+def warning_block(gap: float) -> str:
+    """Tables that end in blocks (record_id, warning): line after line from the first header on."""
+    ends = like(f"lower({ws('joined')})", V.any_of(V.WARNING_END))
+    skip = f"({like('lower(o.text)', V.any_of(V.NOISE))} and not contains(lower(o.text), 'warning'))"
+    return f""", placed as materialized (select *, row_number() over (partition by record_id order by y_center, x_min, line_id) as rn from lines),
+begins as (select record_id, min(rn) as rn from placed where {like('text', '(?i)' + V.HEADER)} group by 1),
+walk as (
+  select p.record_id, p.rn, {strip('p.text')} as t, p.y_max as low, false as done from placed p join begins using (record_id, rn)
+  union all
+  select record_id, rn, case when far or skip then t else joined end, case when far or skip then low else y_max end, far or (not skip and {ends})
+  from (select w.record_id, o.rn, w.t, w.low, o.y_max, greatest(o.y_min - w.low, 0.0) > {gap} as far, {skip} as skip, w.t || ' ' || {strip('o.text')} as joined
+        from walk w join placed o on o.record_id = w.record_id and o.rn = w.rn + 1 where not w.done)),
+blocks as (select c.record_id, coalesce(any_value({trim_warning('w.t')}), '') as warning from claims c left join (select record_id, arg_max(t, rn) as t from walk group by 1) w using (record_id) group by 1)"""
+
+
 def trim_warning(x: str) -> str:
     return f"coalesce(nullif({ws(f'regexp_extract({ws(x)}, {q(V.WARNING_BLOCK)}, 1)')}, ''), {ws(x)})"
 
@@ -171,15 +227,16 @@ def brand_rule(c: str, r: str) -> tuple[str, str]:
 #: Tables that queries build on.
 BASE = f"""claims as materialized ({K.CLAIMS}), lines as materialized ({K.LINES_DUCKDB}),
 reads as (select record_id, string_agg(text, chr(10) order by line_id) as text from lines group by record_id),
-numbered as materialized (select record_id, row_number() over (partition by record_id order by line_id) as line_no, trim(text) as line from lines where trim(text) <> ''),
+numbered as materialized (select record_id, row_number() over (partition by record_id order by line_id) as line_no, {strip('text')} as line from lines where {strip('text')} <> ''),
 flagged as materialized (
   select *, {ws('line')} as x, {noise('line')} as noise, {warn('line')} as warn, {body('line')} as body, {fragment('line')} as frag, {noun('line')} as noun,
     {abv('line')} as abv, regexp_extract(line, {q(V.MILLILITRES)}, 0) as volume,
-    case when not {noise('line')} and not {warn('line')} and {distillery('line')} then line else '' end as named from numbered),
+    {unannotated('line')} as u, case when not {noise('line')} and not {warn('line')} and {distillery('line')} then {unannotated('line')} else '' end as named from numbered),
 stops as (select record_id, coalesce(min(line_no) filter (warn and not noise), 1000) as stop from flagged group by record_id),
 brands as (
-  select record_id, coalesce(nullif({ws("string_agg(line, ' ' order by line_no) filter (line_no < stop and not noise and not body and not frag)")}, ''),
-    nullif({ws("arg_max(named, length(named) * 1000 - line_no) filter (named <> '')")}, ''), arg_min(line, line_no) filter (not noise and not body and not frag and not warn), '') as brand
+  select record_id, coalesce(nullif({ws("string_agg(u, ' ' order by line_no) filter (line_no < stop and not noise and not body and not frag)")}, ''),
+    nullif({ws("arg_max(named, length(named) * 1000 - line_no) filter (named <> '')")}, ''), arg_min(u, line_no) filter (not noise and not body and not frag and not warn), '') as brand,
+    coalesce(nullif({ws("string_agg(u, ' ' order by line_no) filter (line_no < stop and not noise and not body and not frag)")}, ''), arg_min(u, line_no) filter (not noise and not body and not frag and not warn), '') as brand_of_run
   from flagged join stops using (record_id) group by record_id),
 around as (
   select *, lag(x) over w as prev, lag(body) over w as prev_body, lead(x) over w as nxt, lead(body) over w as nxt_body from flagged window w as (partition by record_id order by line_no)),
@@ -203,7 +260,7 @@ parsed as materialized (
 
 
 def base(sql: str) -> str:
-    return f"with {BASE} {sql}"
+    return f"with recursive {BASE} {sql}"
 
 
 def line_is(n: int) -> str:
@@ -215,7 +272,8 @@ def _long() -> str:
     shown = f"case when {class_prefix('r.brand_name')} then '' else r.brand_name end"
     joined = f"(select c.record_id, c.brand_name cb, c.class_type cc, c.alcohol_content ca, c.net_contents cn, c.government_warning cw, {shown} rb, r.class_type rc, r.alcohol_content ra, r.net_contents rn, r.government_warning rw from claims c join parsed r using (record_id))"
     rules = (("rb", brand_rule("cb", "rb")), ("rc", text_rule("cc", "rc")), ("ra", number_rule("ca", "ra", abv, V.ABV_TOLERANCE)), ("rn", number_rule("cn", "rn", ml, V.ML_TOLERANCE)), ("rw", warning_rule("cw", "rw")))
-    each = " union all ".join(f"select record_id, {i} as field_pos, {q(V.FIELDS[i])} as field_key, {r} as read, {s} as severity, {why} as reason from j" for i, (r, (s, why)) in enumerate(rules))
+    shown_as = lambda i, r, why: f"case when {why} in ('same_words', 'same_letters') then {('cb', 'cc')[i]} else {r} end" if i < 2 else r
+    each = " union all ".join(f"select record_id, {i} as field_pos, {q(V.FIELDS[i])} as field_key, {('cb', 'cc', 'ca', 'cn', 'cw')[i]} as claim, {r} as read, {shown_as(i, r, why)} as shown, {s} as severity, {why} as reason from j" for i, (r, (s, why)) in enumerate(rules))
     return f", j as materialized (select * from {joined}), long as materialized ({each})"
 
 
@@ -230,16 +288,24 @@ def oracle_sql() -> dict[str, str]:
     words = "(select record_id, (line_id // 4)::int as block, (line_id % 4)::int as paragraph, case when line_id % 3 = 0 or (p - 1) % 5 = 4 then 0.0 else confidence end as confidence, x_min + (p - 1) * 50 as x0, y_min as y0, x_min + (p - 1) * 50 + 45 as x1, y_max as y1, p, string_split(text, ' ')[p] as t from (select *, unnest(range(1, len(string_split(text, ' ')) + 1)) as p from lines))"
     score = "(record_id % 250)::double"
     low = f"lower({ws('text')})"
-    named = f"p as ({K.BINS}), named as materialized (select record_id, field_key, refs from (select record_id, case regexp_replace(lower(k), '[^a-z0-9_]', '', 'g') {' '.join(f'when {q(x)} then {q(y)}' for x, y in [*V.BIN_ALIASES.items(), *((f, f) for f in (*V.FIELDS, 'ignore'))])} end as field_key, k, case json_type(payload, '$.\"' || k || '\"') when 'VARCHAR' then payload ->> ('$.\"' || k || '\"') else replace((payload -> ('$.\"' || k || '\"'))::varchar, ' ', '') end as refs, pos from (select record_id, payload, unnest(json_keys(payload)) as k, unnest(range(0, len(json_keys(payload)))) as pos from (select * from p where json_valid(payload)))) where field_key is not null qualify row_number() over (partition by record_id, field_key order by pos desc) = 1)"
-    token = "unnest(regexp_extract_all(refs, '[A-Za-z0-9_.\"-]+')) as t, unnest(range(0, len(regexp_extract_all(refs, '[A-Za-z0-9_.\"-]+')))) as i"
+    alias = " ".join(f"when {q(x)} then {q(y)}" for x, y in [*V.BIN_ALIASES.items(), *((f, f) for f in (*V.FIELDS, "ignore"))])
+    value = "regexp_replace((payload -> ('$.\"' || k || '\"'))::varchar, '([0-9])[.]0+([],]|$)', '\\1\\2', 'g')"
+    named = f"p as ({K.BINS}), named as materialized (select record_id, field_key, refs from (select record_id, case regexp_replace(lower(k), '[^a-z0-9_]', '', 'g') {alias} end as field_key, k, {value} as refs, pos from (select record_id, payload, unnest(json_keys(payload)) as k, unnest(range(0, len(json_keys(payload)))) as pos from (select * from p where json_valid(payload)))) where field_key is not null qualify row_number() over (partition by record_id, field_key order by pos desc) = 1)"
+    tokens_of = """regexp_extract_all(refs, '"(?:[^"\\\\]|\\\\.)*"|[^\\s\\[\\],]+')"""
+    token = f"unnest({tokens_of}) as t, unnest(range(0, len({tokens_of}))) as i"
     numbers = f"(select i, case when regexp_matches(t, '^\"[0-9]+\"$') then try_cast(trim(t, '\"') as int) when regexp_matches(t, '^[0-9]+([.]0+)?$') then nullif(try_cast(t as double)::int, 0) end as n from (select {token})) where n is not null"
+    strings = """case when refs like '"%' then [refs::json ->> '$'] when refs like '[%' then list_transform(list_filter(json_extract(refs, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$') else [] end"""
     flat = lambda x: f"lower(regexp_replace({x}, '\\s+', '', 'g'))"
     own = f"case field_key when 'government_warning' then min(line_no) filter ({like('line', '(?i)' + V.HEADER)}) when 'alcohol_content' then min(line_no) filter (abv is not null) when 'net_contents' then min(line_no) filter (volume <> '') else min(line_no) filter (line = claim or contains({flat('line')}, {flat('claim')}) or contains({flat('claim')}, {flat('line')})) end"
     refs = f""", {named}, keyed as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as claim from claims),
 given as (select record_id, field_key, n, i from named, lateral (select i, n from {numbers}) where field_key <> 'ignore'), ignored as (select record_id, n from named, lateral (select i, n from {numbers}) where field_key = 'ignore'),
-found as (select record_id, field_key, {own} as n, 0 as i from keyed join flagged using (record_id) anti join given using (record_id, field_key) group by record_id, field_key),
+said as (select record_id, field_key, i, v from (select record_id, field_key, {strip('v')} as v, i from (select record_id, field_key, unnest({strings}) as v, unnest(range(0, len({strings}))) as i from named where field_key <> 'ignore')) where v <> '' and not regexp_matches(v, '^[0-9]+$')),
+texted as (select s.record_id, s.field_key, s.i, coalesce(min(line_no) filter (line = v or contains({flat('line')}, {flat('v')}) or contains({flat('v')}, {flat('line')})), min(line_no) filter (contains({flat('line')}, {flat('claim')}) or contains({flat('claim')}, {flat('line')}))) as n
+  from said s join keyed using (record_id, field_key) join flagged using (record_id) anti join given using (record_id, field_key) group by 1, 2, 3),
+spoken as (select record_id, field_key, n, i from texted where n is not null),
+found as (select record_id, field_key, {own} as n, 0 as i from keyed join flagged using (record_id) anti join given using (record_id, field_key) anti join spoken using (record_id, field_key) group by record_id, field_key),
 sizes as (select record_id, max(line_no) as size from numbered group by 1),
-chosen as (select record_id, field_key, n, min(i) as i from (select * from given union all select record_id, field_key, n, i from found) anti join ignored using (record_id, n) join sizes using (record_id) where n between 1 and size group by 1, 2, 3)"""
+chosen as (select record_id, field_key, n, min(i) as i from (select * from given union all select * from spoken union all select record_id, field_key, n, i from found) anti join ignored using (record_id, n) join sizes using (record_id) where n between 1 and size group by 1, 2, 3)"""
     kept = f"not (case field_key when 'government_warning' then not {like('line', '(?i)' + V.HEADER)} and {discard('line')} and not warn when 'brand_name' then named = '' and ({discard('line')} or {garbled('line')}) else {discard('line')} end)"
     binned = f""", picked as (select record_id, field_key, i, case when field_key = 'brand_name' and named <> '' then named else line end as v from chosen join flagged on chosen.record_id = flagged.record_id and chosen.n = flagged.line_no where {kept}),
 whole as (select record_id, field_key, case when count(*) = 1 and field_key <> 'government_warning' then any_value(v) else {ws("string_agg(v, ' ' order by i)")} end as v from picked group by 1, 2),
@@ -247,6 +313,34 @@ binned as (select record_id, {', '.join(f"coalesce(max(v) filter (field_key = {q
     complete = ", complete as (select b.record_id, " + ", ".join(f"coalesce(nullif(b.{k}, ''), p.{k}, '') as {k}" for k in V.FIELDS) + " from binned b left join parsed p using (record_id))"
     absent = ", ".join(f"case when trim({k}) = '' then {q(k)} end" for k in V.FIELDS)
     brand_ok = f"(brand_name = '' or ({ml('brand_name')} is null and not {warn('brand_name')}))"
+    upright = lambda x, s: f"({readability(x)} >= 0.55 or ({readability(x)} >= 0.40 and {like(x, '(?i)government warning')}) or ({readability(x)} >= 0.35 and ({s} / greatest(length({ws(x)}), 1) >= 0.55 or {s} >= 180)))"
+    turned = f"a as ({K.ANGLES_DUCKDB}), turned as (select record_id, angle, case when angle = (record_id % 4) * 90 then r.text else substr(r.text, 1, 12) end as text, score as raw from a join reads r using (record_id)), worths as materialized (select record_id, angle, s * (0.25::double + 0.75::double * ({readability('text')})) as score, angle = 0 and {upright('text', 's')} as up from (select *, raw * length(text) / 3.0::double as s from turned))"
+    worth_it = "angle = 0 or (score > base and score - base >= 0.10 and not (base > 0 and (score - base) / (case when base > 0 then base else 1 end) < 0.06))"
+    turns = f"""a as ({K.ANGLES_DUCKDB}), kept as (select *, max(case when angle = 0 then score end) over (partition by record_id) as base from a where record_id % 3 <> 1 or angle = 0),
+whole as (select record_id, angle from kept where {worth_it} qualify row_number() over (partition by record_id order by score desc, angle) = 1),
+scored as (select w.record_id, w.angle, w.record_id % 5 = 0 as upright, z.score as brand_upright, h.score as brand_score, case when w.record_id % 4 = 0 then 0 when w.record_id % 4 = 1 then 90 else 180 end as brand_angle,
+  case when w.record_id % 6 < 3 then 0 when w.record_id % 6 = 3 then null else 180 end as warning_angle, case when w.record_id % 7 = 0 then 3 else 0 end as skew, w.record_id % 11 <> 0 as sweeps
+  from whole w join a z on w.record_id = z.record_id and z.angle = 0 join a h on w.record_id = h.record_id and h.angle = 180),
+decided as (select *, case when not sweeps then 'direct' when angle = 0 and coalesce(warning_angle = 0 and brand_angle in (90, 180, 270) and brand_score > brand_upright + 0.05, false) then 'per_region'
+  when angle = 0 and coalesce(not upright and brand_angle = warning_angle and brand_angle <> 0, false) then 'uniform' else 'whole' end as decision from scored),
+turned_by as (select *, case decision when 'uniform' then brand_angle when 'whole' then angle else 0 end::int as rotation_deg, case when decision in ('uniform', 'whole') then skew else 0 end::int as skew_deg from decided),
+rotations as materialized (select record_id, decision, rotation_deg, skew_deg, decision = 'direct' or (decision <> 'per_region' and rotation_deg = 0 and skew_deg = 0) as was_upright,
+  decision = 'per_region' and brand_angle = 180 and coalesce(warning_angle = 0, false) as brand_inverted, decision = 'per_region' as per_region,
+  case when decision = 'per_region' then brand_angle else rotation_deg end::int as brand_deg, case when decision = 'per_region' then warning_angle else rotation_deg end::int as warning_deg from turned_by),
+reasons as materialized (select record_id, case when per_region then 'per_region' when brand_inverted and rotation_deg = 0 and skew_deg = 0 then 'brand_inverted' when was_upright then '' when rotation_deg in (90, 180, 270) and skew_deg <> 0 then 'turned_and_tilted'
+  when rotation_deg in (90, 180, 270) then 'turned' when skew_deg <> 0 then 'tilted' else 'adjusted' end as reason from rotations)"""
+    area = "(x1 - x0) * (y1 - y0)"
+    cover = "greatest(0, least(e.x1, b.x1) - greatest(e.x0, b.x0)) * greatest(0, least(e.y1, b.y1) - greatest(e.y0, b.y0))::double / greatest((b.x1 - b.x0) * (b.y1 - b.y0), 1) >= 0.35"
+    grown = "{'x0': least(e.x0, b.x0), 'y0': least(e.y0, b.y0), 'x1': greatest(e.x1, b.x1), 'y1': greatest(e.y1, b.y1)}"
+    merge = lambda source: f"""sized as materialized (select record_id, x0::int as x0, y0::int as y0, x1::int as x1, y1::int as y1, row_number() over (partition by record_id order by {area} desc, box_id) as k from {source}),
+fold as (select record_id, k, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] as acc from sized where k = 1
+  union all select record_id, k, case when spot is null then list_append(acc, {{'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}}) else list_concat(acc[1:spot - 1], list_transform(acc[spot:spot], lambda e: {grown}), acc[spot + 1:]) end
+  from (select f.record_id, b.k, f.acc, b, list_position(list_transform(f.acc, lambda e: {cover}), true) as spot from fold f join sized b on b.record_id = f.record_id and b.k = f.k + 1)),
+folded as (select record_id, arg_max(acc, k) as acc from fold group by 1),
+merged_boxes as materialized (select record_id, unnest(range(0, len(acc)))::int as place, unnest(acc) as m from folded)"""
+    region = f"""{merge('(select * from b where ' + area + ' >= img_w * img_h * 0.02 and x1 - x0 >= img_w * 0.08 and y1 - y0 >= img_h * 0.08)')},
+flat as (select record_id, place as box_id, m.x0 as x0, m.y0 as y0, m.x1 as x1, m.y1 as y1, 1800 as img_w, 950 as img_h from merged_boxes)"""
+    word = "(select record_id, (x_min + (p - 1) * 50 + x_min + (p - 1) * 50 + 45) / 2.0 as cx, (y_min + y_max) / 2.0 as cy, (line_id // 4)::int * 1000 + (line_id % 4)::int * 100 + p - 1 as word_id, string_split(text, ' ')[p] as t, case when line_id % 3 = 0 or (p - 1) % 5 = 4 then 0.0 else confidence end as confidence, x_min + (p - 1) * 50 as x0, y_min as y0, x_min + (p - 1) * 50 + 45 as x1, y_max as y1 from (select *, unnest(range(1, len(string_split(text, ' ')) + 1)) as p from lines))"
     images = "select p_partkey as record_id, (800 + (p_partkey * 7) % 3000)::int as img_w, (500 + (p_partkey * 3) % 1900)::int as img_h, (p_partkey % 31 - 15)::double as degrees from part"
     return {
         "abv_net_verdict": base(f"select {status(f'greatest({a}, {n})')} as status, count(*) as n from claims c join lines t4 on c.record_id = t4.record_id and t4.line_id = 4 join lines t5 on c.record_id = t5.record_id and t5.line_id = 5 group by 1"),
@@ -254,7 +348,7 @@ binned as (select record_id, {', '.join(f"coalesce(max(v) filter (field_key = {q
         "brand_normalize": base(f"select record_id, {brand_fold('text')} as folded from lines where line_id = 1"),
         "ocr_fold": base(f"select record_id, {letters('text')} as folded from lines where line_id = 1"),
         "warning_fold": base(f"select record_id, line_id, {warning_fold('text')} as folded from lines where line_id in (6, 7, 8)"),
-        "token_sets": f"select doc_id, len(t)::int as n, array_to_string(list_sort(t)[1:5], ' ') as first_five from (select doc_id, {tokens('text')} as t from documents)",
+        "token_sets": f"select doc_id, len(t)::int as n, md5(array_to_string(list_sort(t), ' ')) as words from (select doc_id, {tokens('text')} as t from documents)",
         "token_jaccard": base(f"select record_id, round({jaccard('class_type', 'text')}, 6) as overlap from {line_is(3)}"),
         "token_set_equal": base(f"select record_id, {same_set('brand_name', 'text')} as same from {line_is(1)}"),
         "garbled_flags": base(f"select record_id, line_id, {garbled('text')} as garbled, ({ml('text')} is null and {garbled('text')}) as garbled_prose from lines where line_id <= 5"),
@@ -270,7 +364,7 @@ binned as (select record_id, {', '.join(f"coalesce(max(v) filter (field_key = {q
         "text_field_verdict": base(f"select record_id, {t3[0]} as severity, {t3[1]} as reason from {line_is(3)}"),
         "warning_verdict": base(f"select record_id, {w[0]} as severity, {w[1]} as reason from claims c join parsed p using (record_id)"),
         "brand_verdict_norm": base(f"select record_id, {t1[0]} as severity, {t1[1]} as reason from (select *, case when {class_prefix('text')} then '' else text end as shown from {line_is(1)})"),
-        "all_fields_long": base(f"{_long()} select record_id, field_pos, field_key, read, severity, reason, {status('severity')} as status from long"),
+        "all_fields_long": base(f"{_long()} select record_id, field_pos, field_key, read, shown, severity, reason, {status('severity')} as status from long"),
         "record_rollup": base(f"{_long()} select record_id, {status('max(severity)')} as overall_status, coalesce(string_agg(field_key, ',' order by field_pos) filter (severity = 2), '') as failed_keys, coalesce(string_agg(field_key, ',' order by field_pos) filter (severity > 0), '') as rescue_keys from long group by record_id"),
         "missing_parts": base(f"select record_id, array_to_string({missing('government_warning')}, '|') as missing from parsed"),
         "trimmed_warning": base(f"select record_id, {trim_warning('text')} as warning from reads"),
@@ -309,4 +403,45 @@ binned as (select record_id, {', '.join(f"coalesce(max(v) filter (field_key = {q
         "claims_from_json": base("select record_id // 20 as batch_id, count(*) as n, (count(*) - 1)::int as last_pos, count(*) filter (net_contents = '1.5 L') as litres from claims group by 1"),
         "detection_tuples": base("select record_id, text, case when record_id % 2 = 0 then 0.5 else 0.85 end::double as confidence from lines where line_id = 2"),
         "order_totals_verdict": "select case when total is null then 'REVIEW' when abs(total - o_totalprice) < 50000 then 'PASS' else 'FAIL' end as status, count(*) as n from orders left join (select l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as total from lineitem group by 1) on o_orderkey = l_orderkey group by 1",
+        "repaired_text": base(f", put as (select record_id, replace(text, 'Alc./Vol.', 'Alc NVol.') as text from reads), {repaired('done', 'put', 'text')} select record_id, text from done"),
+        "merged_warning": base(f"select r.record_id, {merged_warning('r.text', 's.text')} as text from reads r join (select record_id, 'noise ' || text as text from lines where line_id = 6) s using (record_id)"),
+        "merged_reads": base(f""", second as (select record_id, string_agg(text, chr(10) order by line_id) as text from lines where line_id >= 5 group by 1), {repaired('b', 'reads', 'text')}, {repaired('w', 'second', 'text')},
+put as (select b.record_id, w.text as second, b.text as first, {merged_warning('b.text', 'w.text')} as text from b join w using (record_id)), {repaired('done', 'put', 'text')},
+firsts as (select record_id, line, line_no as n, 0 as part from numbered),
+nexts as (select record_id, case when i % 2 = 1 then upper(x) else x || ' again' end as line, i as n, 1 as part from (select record_id, unnest(l) as x, unnest(range(1, len(l) + 1)) as i from (select record_id, {lines_of('text')} as l from second))),
+news as (select * from nexts n where not exists (select 1 from firsts f where f.record_id = n.record_id and lower(f.line) = lower(n.line)) qualify row_number() over (partition by record_id, lower(line) order by n) = 1),
+joined as (select record_id, string_agg(line, '|' order by part, n) as raw_lines from (select * from firsts union all select * from news) group by 1)
+select record_id, case when second = '' then first else done.text end as text, raw_lines from done join joined using (record_id)"""),
+        "warning_block": base(f"{warning_block(V.GAP_FULL)} select record_id, warning from blocks"),
+        "warning_block_region": base(f"{warning_block(V.GAP_REGION)} select record_id, warning from blocks"),
+        "assembled_text": base(f"""{warning_block(V.GAP_FULL)}, firsts as (select record_id, arg_min(line, line_no) filter (abv is not null) as alcohol, arg_min(volume, line_no) filter (volume <> '') as volume from flagged group by 1)
+select record_id, concat_ws(chr(10), nullif(brand_of_run, ''), nullif(class_type, ''), alcohol, volume, nullif(warning, '')) as text from brands join firsts using (record_id) join blocks using (record_id) left join classes using (record_id)"""),
+        "line_group_fold": base(f""", words as materialized (select *, row_number() over (partition by record_id order by cy, cx, word_id) as k from {word}),
+tols as (select record_id, greatest(list_sort(list((y1 - y0)::double))[count(*) // 2 + 1] * 0.65, 8.0) as tol from words group by 1),
+walk as (select record_id, k, cy as c, 1 as line_no from words where k = 1
+  union all select w.record_id, w.k, case when abs(w.cy - f.c) <= tol then (f.c + w.cy) / 2.0 else w.cy end, f.line_no + (abs(w.cy - f.c) > tol)::int from walk f join words w on w.record_id = f.record_id and w.k = f.k + 1 join tols on tols.record_id = w.record_id)
+select record_id, line_no, string_agg(t, ' ' order by cx, word_id) as text, round(avg(confidence), 6) as confidence, min(x0) as x_min, min(y0) as y_min, max(x1) as x_max, max(y1) as y_max from walk join words using (record_id, k) group by 1, 2"""),
+        "box_merge": f"with recursive b as ({K.BOXES_DUCKDB}), {merge('b')} select record_id, place, m.x0 as x0, m.y0 as y0, m.x1 as x1, m.y1 as y1 from merged_boxes",
+        "region_roles": f"""with recursive b as ({K.BOXES_DUCKDB}), {region}, two as (select *, row_number() over (partition by record_id order by x0, box_id) as place, count(*) over (partition by record_id) as n from (select * from flat qualify row_number() over (partition by record_id order by {area} desc, box_id) <= 2)),
+t as (select *, {shape} as shape from two), g as (select record_id, count(distinct shape) as kinds from t group by 1),
+r as (select record_id, unnest(case when n = 1 then (case when shape = 'brand' then ['brand'] else ['brand', 'warning'] end) when kinds = 2 then [shape] when place = 1 then ['brand'] else ['warning'] end) as role, x0, y0, x1, y1 from t join g using (record_id)),
+i as (select p_partkey as record_id, (800 + p_partkey % 1000)::int as img_w from part), n as (select * from i anti join r using (record_id))
+select record_id, role, greatest(x0 - 8, 0) as x0, greatest(y0 - 8, 0) as y0, least(x1 + 8, 1800) as x1, least(y1 + 8, 950) as y1 from r
+union all select record_id, 'brand', 0, 0, floor(img_w * 0.48)::int, 950 from n union all select record_id, 'warning', floor(img_w * 0.48)::int, 0, img_w, 950 from n""",
+        "rotation_read": base(f", {turned}, gated as (select *, max(up) over (partition by record_id) as upright from worths), kept as (select *, max(case when angle = 0 then score end) over (partition by record_id) as base from gated where not upright or angle = 0) select record_id, angle, upright, floor(score * 1e6::double + 0.3::double)::bigint as score from kept where {worth_it} qualify row_number() over (partition by record_id order by score desc, angle) = 1"),
+        "skew_pick": base(f""", a as ({K.ANGLES_DUCKDB}), w as (select record_id, angle as pos, case when angle = 90 then 0 else angle // 30 - 3 end as skew, (1.0::double + score / 10) * (0.25::double + 0.75::double * ({readability('text')})) as worth from a join reads using (record_id)),
+z as (select record_id, max(worth) filter (skew = 0) as base, arg_max({{'worth': worth, 'skew': skew}}, {{'worth': worth, 'k': -pos}}) filter (skew <> 0) as best from w group by 1),
+g as (select *, best.worth > base and case when abs(best.skew) <= 3 then false when abs(best.skew) >= 6 then best.worth - base >= 0.03 else best.worth - base >= 0.05 end as good from z)
+select record_id, case when good then best.skew else 0 end::int as skew, floor((case when good then best.worth else base end) * 1e6::double + 0.3::double)::bigint as score from g"""),
+        "orientation_decision": f"with {turns} select * from rotations",
+        "rotation_reasons": f"with {turns} select * from reasons",
+        "verification_json": base(f"""{_long()}, {turns}, f as (select record_id, {status('max(severity)')} as overall_status, list({{'field_pos': field_pos, 'field_key': field_key, 'claim': claim, 'shown': shown, 'status': {status('severity')}, 'reason': reason}} order by field_pos) as fields from long group by 1),
+v as (select f.*, case when length(text) > {V.PREVIEW} then substr(text, 1, {V.PREVIEW}) || '...' else text end as preview from f join reads using (record_id))
+select v.record_id, overall_status, case when v.record_id % 2 = 0 then to_json({{'record_id': v.record_id, 'overall_status': overall_status, 'fields': fields, 'preview': preview, 'rotation': {{'rotation_deg': rotation_deg, 'skew_deg': skew_deg, 'was_upright': was_upright, 'brand_inverted': brand_inverted, 'per_region': per_region, 'brand_deg': brand_deg, 'warning_deg': warning_deg, 'reason': reason}}}})
+  else to_json({{'record_id': v.record_id, 'overall_status': overall_status, 'fields': fields, 'preview': preview}}) end::varchar as result from v join rotations using (record_id) join reasons using (record_id)"""),
+        "mapping_outcomes": base(f"{refs}{binned}{complete}, valid as (select record_id, concat_ws(',', {absent}) as missing, ({brand_ok} and (government_warning = '' or {like('government_warning', '(?i)' + V.HEADER)}) and concat_ws(',', {absent}) = '') as valid from complete) select v.record_id, case when not json_valid(payload) then 'bad_payload' when not valid then 'invalid' else 'mapped' end as outcome, case when json_valid(payload) and not valid then missing else '' end as missing from valid v join p using (record_id)"),
+        "rescue_outcomes": base(f"""{refs}{binned}{_long()}, sev as (select record_id, field_key, severity from long), own as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as v from binned),
+fit as (select record_id, field_key, severity, case field_key when 'brand_name' then {strip('v')} <> '' and {ml('v')} is null and not {warn('v')} when 'government_warning' then {like('v', '(?i)' + V.HEADER)} else {strip('v')} <> '' end as ok from own join sev using (record_id, field_key)),
+s as (select record_id, max(severity) as severity, bool_or(severity > 0 and ok) as any_ok from fit group by 1)
+select record_id, case when severity = 0 then 'no_targets' when record_id % 41 = 0 then 'no_lines' when not json_valid(payload) then 'bad_payload' when not any_ok then 'nothing_valid' else 'rescued' end as outcome from s join p using (record_id)"""),
     }

@@ -36,6 +36,18 @@ def parsed(spark, sf) -> DataFrame:
     return E.parse(K.reads(spark, sf))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; as it is where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or _shared(df.sparkSession) else df
+
+
+def _shared(spark: SparkSession) -> bool:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        spark.sparkContext.setCheckpointDir(found)
+    return bool(found)
+
+
 def line(spark, sf, n: int) -> DataFrame:
     return K.lines(spark, sf).filter(F.col("line_id") == n)
 
@@ -75,8 +87,8 @@ def warning_fold(spark, sf):
 
 @query
 def token_sets(spark, sf):
-    t = T.tokens(F.col("text"))
-    return docs(spark, sf).select("doc_id", F.size(t).alias("n"), F.array_join(F.slice(F.array_sort(t), 1, 5), " ").alias("first_five"))
+    rows = E.once(docs(spark, sf).select("doc_id", "text"), t=T.tokens(F.col("text")))
+    return rows.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("words"))
 
 
 @query
@@ -129,14 +141,13 @@ def raw_lines(spark, sf):
 
 @query
 def brand_read(spark, sf):
-    rows = E.once(K.reads(spark, sf), l=T.split_lines(F.col("text")))
-    return rows.select("record_id", E.brand_read(F.col("l")).alias("brand"))
+    return E.flagged(K.reads(spark, sf), T.split_lines(F.col("text"))).select("record_id", E.brand_read(F.col("f")).alias("brand"))
 
 
 @query
 def class_read(spark, sf):
-    rows = E.once(K.reads(spark, sf), l=F.transform(T.split_lines(F.col("text")), T.ws))
-    return rows.select("record_id", E.class_read(F.col("l")).alias("class_type"))
+    rows = E.flagged(K.reads(spark, sf), F.transform(T.split_lines(F.col("text")), T.ws))
+    return rows.select("record_id", E.class_read(F.col("f")).alias("class_type"))
 
 
 @query
@@ -165,7 +176,7 @@ def brand_verdict_norm(spark, sf):
 
 @query
 def brand_verdict_fuzzy(spark, sf):
-    return C.compare(K.claims(spark, sf), parsed(spark, sf)).filter("field_key = 'brand_name'")
+    return C.compare(K.claims(spark, sf), parsed(spark, sf), fields=("brand_name",))
 
 
 @query
@@ -181,7 +192,7 @@ def record_rollup(spark, sf):
 @query
 def verification_json(spark, sf):
     reads = K.reads(spark, sf)
-    return C.results(K.claims(spark, sf), E.parse(reads), reads)
+    return C.results(K.claims(spark, sf), E.parse(reads), reads, fuzzy=False, rotations=_rotations(spark, sf).filter("record_id % 2 = 0"))
 
 
 @query
@@ -242,11 +253,25 @@ def bin_validity(spark, sf):
 
 @query
 def rescue_recompare(spark, sf):
-    claims, p = K.claims(spark, sf), parsed(spark, sf)
-    rescued = B.rescued_fields(C.compare(claims, p), B.picked(_refs(spark, sf)))
+    # the parsed and compared tables are used twice: written once in the shared folder
+    claims, p = K.claims(spark, sf), written(parsed(spark, sf).drop("raw_lines"))
+    rescued = B.rescued_fields(written(C.compare(claims, p)), B.picked(_refs(spark, sf)))
     return C.rollup(C.with_rescue(claims, p, rescued))
 
 
+@query
+def rescue_outcomes(spark, sf):
+    compared = written(C.compare(K.claims(spark, sf), parsed(spark, sf), fuzzy=False))
+    rescued = B.rescued_fields(compared, B.picked(_refs(spark, sf)))
+    reads = K.reads(spark, sf).withColumn("text", F.when(F.col("record_id") % 41 == 0, F.lit("")).otherwise(F.col("text")))
+    return B.rescue_outcome(compared, reads, K.bins(spark, sf), rescued)
+
+
+@query
+def mapping_outcomes(spark, sf):
+    return B.mapping_outcome(K.bins(spark, sf), bin_validity(spark, sf))
+
+
 @query
 def line_dedupe_union(spark, sf):
     first = L.numbered_lines(K.reads(spark, sf))
@@ -340,6 +365,67 @@ def rotation_pick(spark, sf):
     return R.best_rotation(K.angles(spark, sf))
 
 
+def millionths(name: str):
+    """A number in whole millionths, cut where sums of decimals don't stand."""
+    return F.floor(F.col(name) * 1e6 + 0.3).alias(name)
+
+
+def _turned(spark, sf) -> DataFrame:
+    """Reads of a record at four angles: text, more or less of it as the angle fits, and a score."""
+    text = F.when(F.col("angle") == (F.col("record_id") % 4) * 90, F.col("text")).otherwise(F.substring("text", 1, 12))
+    both = K.angles(spark, sf).join(K.reads(spark, sf), "record_id")
+    return both.select("record_id", "angle", text.alias("text"), (F.col("score") * F.length(text) / 3.0).alias("score"))
+
+
+@query
+def rotation_read(spark, sf):
+    """The angle of a record's text, with the gate for reads that are upright already."""
+    return R.best_read(_turned(spark, sf)).select("record_id", "angle", "upright", millionths("score"))
+
+
+@query
+def skew_pick(spark, sf):
+    rows = K.angles(spark, sf).join(K.reads(spark, sf), "record_id")
+    skew = ((F.col("angle") / 30).cast("int") - 3) * F.when(F.col("angle") == 90, 0).otherwise(1)
+    found = rows.select("record_id", F.col("angle").alias("pos"), skew.alias("skew"), "text", (F.lit(1.0) + F.col("score") / 10).alias("score"))
+    return R.best_skew(found).select("record_id", "skew", millionths("score"))
+
+
+def _rotations(spark, sf) -> DataFrame:
+    a = K.angles(spark, sf)
+    whole = R.best_rotation(a.filter("record_id % 3 != 1 or angle = 0")).select("record_id", "angle", (F.col("record_id") % 5 == 0).alias("upright"))
+    at = lambda n, c: a.filter(F.col("angle") == n).select("record_id", F.col("score").alias(c))
+    rows = whole.join(at(0, "brand_upright"), "record_id").join(at(180, "brand_score"), "record_id")
+    return R.orientation(rows.withColumns({
+        "brand_angle": F.when(F.col("record_id") % 4 == 0, 0).when(F.col("record_id") % 4 == 1, 90).otherwise(180), "warning_angle": F.when(F.col("record_id") % 6 < 3, 0).when(F.col("record_id") % 6 == 3, F.lit(None)).otherwise(180),
+        "skew": F.when(F.col("record_id") % 7 == 0, 3).otherwise(0), "sweeps": F.col("record_id") % 11 != 0,
+    }))
+
+
+@query
+def orientation_decision(spark, sf):
+    return _rotations(spark, sf)
+
+
+@query
+def rotation_reasons(spark, sf):
+    return _rotations(spark, sf).select("record_id", C.rotation_reason(*map(F.col, C.ROTATION[:5])).alias("reason"))
+
+
+@query
+def merged_reads(spark, sf):
+    rows = K.reads(spark, sf).withColumn("raw_lines", T.split_lines(F.col("text")))
+    second = K.lines(spark, sf).filter("line_id >= 5").groupBy("record_id").agg(K.joined_text())
+    second = second.withColumn("raw_lines", F.transform(T.split_lines(F.col("text")), lambda x, i: F.when(i % 2 == 0, F.upper(x)).otherwise(F.concat(x, F.lit(" again")))))
+    return L.merged_reads(rows, second).select("record_id", "text", F.array_join("raw_lines", "|").alias("raw_lines"))
+
+
+@query
+def region_roles(spark, sf):
+    """Boxes to regions in one go: large ones are merged, get roles and a margin; records without any are split."""
+    return R.regions(K.boxes(spark, sf), _canvas(spark, sf))
+
+
 @query
 def skew_gate(spark, sf):
     a = K.angles(spark, sf)
@@ -354,6 +440,10 @@ def orientation_conflict(spark, sf):
     return R.orientation_conflict(best.join(base, "record_id")).select("record_id", "brand_angle", "conflict")
 
 
+def _canvas(spark, sf) -> DataFrame:
+    return K.part(spark, sf).selectExpr("p_partkey as record_id", "cast(800 + p_partkey % 1000 as int) as img_w", "950 as img_h")
+
+
 @query
 def box_filter(spark, sf):
     return R.large_enough(K.boxes(spark, sf)).select("record_id", "box_id")
@@ -376,7 +466,7 @@ def box_roles(spark, sf):
 
 @query
 def box_halves(spark, sf):
-    return R.halves(K.part(spark, sf).selectExpr("p_partkey as record_id", "cast(800 + p_partkey % 1000 as int) as img_w", "950 as img_h"))
+    return R.halves(_canvas(spark, sf))
 
 
 @query
@@ -399,7 +489,7 @@ def paragraph_fold(spark, sf):
 @query
 def line_group_fold(spark, sf):
     words = _words(spark, sf).withColumn("word_id", F.col("block") * 1000 + F.col("paragraph") * 100 + F.col("pos")).drop("block", "paragraph", "pos")
-    return L.group_words(words)
+    return L.group_words(words).withColumn("confidence", F.round("confidence", 6))
 
 
 @query
