@@ -24,7 +24,10 @@ def brute(docs, items):
             ish = Counter(tuple(iw[j : j + 5]) for j in range(len(iw) - 4))
             n = min(sum(ish.values()), len(sh))
             weight = lambda s: sum(len(x.encode()) for x in s)
+            known = [x in ish for x in sh]
             for s in range(len(sh) - n + 1 if n else 0):
+                if not any(known[s : s + n]):  # nothing in common
+                    continue
                 own = Counter(sh[s : s + n])
                 keys = set(own) | set(ish)
                 low = sum(min(own[k], ish[k]) * weight(k) for k in keys)

@@ -1,11 +1,13 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import random
+
 import pytest
 
 import corpus_pipeline as pipeline
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_quality import brute as counts
-from tests.llm.test_simhash import groups, plain
+from tests.llm.test_near_copies import brute as near_brute
 from veriframe.llm import op06_line_dedup, op09_quality, op10_mixing
 
 SF = "/root/testdata/sf0.001"
@@ -59,11 +61,10 @@ def test_line_dedup(staged):
 
 
 def test_near_dedup(staged):
+    """By the Jaccard similarity of all pairs of texts."""
     before, after = map(texts, staged["near_dedup"])
-    ids = list(before)
-    prints = [plain(before[d]) for d in ids]
-    near = [(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if (a ^ b).bit_count() <= 2]
-    assert set(after) == {min(ids[i] for i in g) for g in groups(len(ids), near)}
+    groups = near_brute(list(before.items()))
+    assert set(after) == {min(d for _, d, _ in members) for members in groups.values()}
 
 
 def test_decontaminate(spark, staged):
@@ -81,3 +82,23 @@ def test_mix(staged):
 
 def test_run(spark, staged):
     assert pipeline.run(spark, SF).count() == staged["mix_sources"][1].count()
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, clashing names, an empty table."""
+    rng = random.Random(1)
+    words = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(90))
+    names = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, row string, copy_no int, key string"
+    rows = [(1, words, "en", "a", 700, 1, "r", 2, "k"), (None, words, None, None, None, None, None, None, None), (2, None, None, None, None, None, None, None, None), (3, "", "en", "b", 0, 0, "", 0, ""), (1, words, "en", "a", 700, 1, "r", 2, "k")]
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = out.collect()
+        if name == "quality_rules":
+            assert [r["doc_id"] for r in got].count(1) == 2 and {r["doc_id"] for r in got} <= {1, None}
+        if name == "near_dedup":
+            assert sorted(r["doc_id"] for r in got) == [1, 2]
+        if name == "decontaminate":
+            assert len(got) == 5
+        assert stage(spark, docs.limit(0), SF).count() == 0
