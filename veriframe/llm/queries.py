@@ -77,11 +77,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op12_secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm.op13_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from veriframe.llm import op10_mixing
+    from veriframe.llm import op10_mixing, op13_divergence
 
-    return {"op10_source_mixing": op10_mixing.ORACLE_SQL}
+    return {"op10_source_mixing": op10_mixing.ORACLE_SQL, "op13_source_divergence": op13_divergence.ORACLE_SQL}
