@@ -90,6 +90,20 @@ def test_quota(spark):
     assert Q.remaining(spark.createDataFrame([(1, 7)], "tenant long, used long"), 0).first()["remaining"] == Q.NO_LIMIT
 
 
+def test_quota_blocks(spark):
+    """A hot tenant in blocks of blocks, ties, nulls, empty tables; no task gets it whole, no Python."""
+    rng = random.Random(4)
+    rows = [(1, s, rng.randint(0, 3)) for s in range(3000)] + [(t, s, rng.randint(1, 9)) for t in range(2, 40) for s in range(rng.randint(1, 20))] + [(2, 5, 1), (2, 5, 1)]
+    df = spark.createDataFrame(rows, "tenant long, seq long, n int").repartition(6)
+    for limit, width in ((10, 4), (1000, 16), (0, 7), (-1, 3000)):
+        assert sorted(tuple(r) for r in Q.reserve(df, limit, width).collect()) == grants(rows, limit)
+    odd = spark.createDataFrame([(None, 1, 3), (None, 2, None), ("a", 1, 11)], "tenant string, seq long, n int")
+    got = {(r["tenant"], r["seq"]): (r["granted"], r["used"]) for r in Q.reserve(odd, 10, 2).collect()}
+    assert got == {(None, 1): (True, 3), (None, 2): (True, 3), ("a", 1): (False, 0)}
+    assert Q.reserve(df.limit(0), 10).count() == 0
+    assert "Python" not in Q.reserve(df, 10, 4)._jdf.queryExecution().toString()
+
+
 def test_quota_stream(spark, tmp_path):
     from veriframe.streaming.verify import quota_stream
 

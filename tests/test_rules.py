@@ -1,11 +1,13 @@
 """Rules and reads on small tables, one case for each row of a rule and each oddity."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
-from veriframe.functions.similarity import similarity
+from veriframe.functions.similarity import ratio, similarity
 from veriframe.operators import bins as B
 from veriframe.operators import compare as C
 from veriframe.operators import extract as E
@@ -162,3 +164,29 @@ def test_claims_file(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"brand_name": " A ", "sample_file": "x.png", "other": 1}, {"brand_name": null, "sample_file": "y.png"}]')
     rows = {r["sample_file"]: r["brand_name"] for r in read_claims(spark, str(tmp_path / "c.json")).collect()}
     assert rows == {"x.png": "A", "y.png": ""}
+
+
+def test_similarity_against_difflib(spark):
+    """Matching blocks of generated pairs, short and long (where frequent letters begin no run), nulls and empty texts."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+
+    def edited(w):
+        w = list(w)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 2)] = rng.choices("ABCDE", k=rng.randint(0, 2))
+        return "".join(w)
+
+    pairs = [(None, "A"), ("A", None), ("", "A"), ("A", "")]
+    for _ in range(8000):
+        one = "".join(rng.choices("ABCDé日"[: rng.randint(2, 6)], k=rng.choice((0, 1, 2, 5, 8, 15, 25))))
+        pairs.append((one, edited(one) if rng.random() < 0.6 else "".join(rng.choices("ABCD", k=rng.randint(0, 20)))))
+    for _ in range(30):
+        one = "".join(rng.choices("ABCDEFGHIJKLMNOP", weights=range(1, 17), k=rng.randint(150, 330)))
+        pairs += [(one, edited(edited(one))), (edited(one)[:40], one)]
+    for r in spark.createDataFrame(pairs, "a string, b string").repartition(16).select("a", "b", ratio(F.col("a"), F.col("b")).alias("r")).collect():
+        a, b = r["a"], r["b"]
+        want = None if a is None or b is None else 0.0 if not a or not b else SequenceMatcher(None, a, b).ratio()
+        assert (r["r"] is None) == (want is None) and (want is None or abs(r["r"] - want) < 1e-12), (a, b)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
+from veriframe.operators.extract import once
 
 
 def clean_payload(c: Column) -> Column:
@@ -59,33 +60,44 @@ def text_refs(c: Column) -> Column:
     return F.filter(texts, lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
 
 
-def first_line_with(lines: Column, candidate: Column) -> Column:
-    """Number (from 1) of the first line that equals the candidate or holds it, white space and case aside; 0 if none."""
-    return F.array_position(F.transform(lines, lambda x: (x == candidate) | T.collapsed_match(candidate, x)), True).cast("int")
+def first_line_with(lines: Column, candidate: Column, flats: Column | None = None) -> Column:
+    """Number (from 1) of the first line that equals the candidate or holds it, white space and case aside; 0 if none.
+
+    flats: the lines without white space and in lower case, where a caller has them.
+    """
+    flats = F.transform(lines, T.collapsed) if flats is None else flats
+    held = lambda x, c: (x["line"] == c["own"]) | ((x["flat"] != "") & (c["flat"] != "") & (F.contains(x["flat"], c["flat"]) | F.contains(c["flat"], x["flat"])))
+    both = F.zip_with(lines, flats, lambda x, y: F.struct(x.alias("line"), y.alias("flat")))
+    found = lambda c: F.array_position(F.transform(both, lambda x: held(x, c)), True).cast("int")
+    return T.let(F.struct(candidate.alias("own"), T.collapsed(candidate).alias("flat")), found)
 
 
 def refs(reads: DataFrame, payloads: DataFrame, claims: DataFrame) -> DataFrame:
     """record_id, field_key, line_nos: the lines of each field.
 
     Numbers first; else lines found by the payload's texts, the claim as a hint; else a search of the field's
-    own kind. Ignored, repeated and out-of-range numbers go.
+    own kind. Ignored, repeated and out-of-range numbers go. A record's lines are folded once, and so is each candidate.
     """
     named = payload_fields(payloads)
     ignored = named.filter("field_key = 'ignore'").select("record_id", line_refs(F.col("refs")).alias("ignored"))
     long = claims.select("record_id", F.explode(F.array(*[F.struct(F.lit(k).alias("field_key"), F.col(k).alias("claim")) for k in V.FIELDS])).alias("x")).select("record_id", "x.*")
-    lines = reads.select("record_id", T.split_lines(F.col("text")).alias("lines"))
+    lines = once(once(reads, lines=T.split_lines(F.col("text"))).select("record_id", "lines"), flats=F.transform("lines", T.collapsed))
     df = long.join(lines, "record_id").join(named.filter("field_key != 'ignore'"), ["record_id", "field_key"], "left").join(ignored, "record_id", "left")
     at = lambda test: F.array_position(F.transform("lines", test), True).cast("int")
-    hint = F.when(T.strip(F.col("claim")) != "", first_line_with(F.col("lines"), F.col("claim"))).otherwise(0)
-    numbers = F.coalesce(line_refs(F.col("refs")), F.array().cast("array<int>"))
-    by_text = F.transform(F.coalesce(text_refs(F.col("refs")), F.array().cast("array<string>")), lambda x: F.coalesce(F.nullif(first_line_with(F.col("lines"), x), F.lit(0)), hint))
+    df = once(df, numbers=F.coalesce(line_refs(F.col("refs")), F.array().cast("array<int>")), texts=F.coalesce(text_refs(F.col("refs")), F.array().cast("array<string>")))
+    none = F.size("numbers") == 0
+    asked = none & ((F.size("texts") > 0) | F.col("field_key").isin("brand_name", "class_type")) & (T.strip(F.col("claim")) != "")
+    df = once(df, hint=F.when(asked, first_line_with(F.col("lines"), F.col("claim"), F.col("flats"))).otherwise(0))
+    hint, numbers = F.col("hint"), F.col("numbers")
+    by_text = F.when(none, F.transform("texts", lambda x: F.coalesce(F.nullif(first_line_with(F.col("lines"), x, F.col("flats")), F.lit(0)), hint)))
     own = (
         F.when(F.col("field_key") == "government_warning", at(lambda x: x.rlike(f"(?i){V.HEADER}")))
         .when(F.col("field_key") == "alcohol_content", at(lambda x: T.abv(x).isNotNull()))
         .when(F.col("field_key") == "net_contents", at(lambda x: T.millilitres(x).isNotNull()))
         .otherwise(hint)
     )
-    found = F.filter(by_text, lambda x: x > 0)
+    df = once(df, found=F.filter(by_text, lambda x: x > 0))
+    found = F.col("found")
     ladder = F.when(F.size(numbers) > 0, numbers).when(F.size(found) > 0, found).otherwise(F.array(own))
     good = F.filter(F.array_distinct(F.array_except(ladder, F.coalesce("ignored", F.array().cast("array<int>")))), lambda n: (n >= 1) & (n <= F.size("lines")))
     return df.select("record_id", "field_key", "lines", good.alias("line_nos"))

@@ -33,15 +33,15 @@ def improve(reads: DataFrame, found: DataFrame, claims: DataFrame) -> DataFrame:
     """record_id, text: reads whose brand line gives way to the candidate most like the claim, if that is better.
 
     The best candidate (a distillery word counts .08 more) replaces the first line that is nearly as like the
-    claim, or a class prefix in the first line; else it goes on top. Python sees brands and lines only.
+    claim, or a class prefix in the first line; else it goes on top.
     """
     rows = _with_brand(reads)
     rows = rows.withColumn("read", F.when(F.col("read") == "", T.strip(F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")))).otherwise(F.col("read")))
     rows = rows.withColumn("current", F.when(T.is_class_prefix(F.col("read")), F.lit("")).otherwise(F.col("read")))
     rows = rows.join(claims.select("record_id", F.col("brand_name").alias("claim")), "record_id")
     every = F.lit(True)
-    rows = rows.withColumn("current_score", F.when(F.col("current") != "", similarity(F.col("claim"), F.col("current"), F.col("current") != "")).otherwise(0.0))
-    scored = found.join(claims.select("record_id", F.col("brand_name").alias("claim")), "record_id").withColumn("s", similarity(F.col("claim"), F.col("candidate"), every))
+    rows = once(rows, current_score=F.when(F.col("current") != "", similarity(F.col("claim"), F.col("current"), F.col("current") != "")).otherwise(0.0))
+    scored = once(found.join(claims.select("record_id", F.col("brand_name").alias("claim")), "record_id"), s=similarity(F.col("claim"), F.col("candidate"), every))
     scored = scored.withColumn("s", F.when(T.has_distillery(F.col("candidate")), F.least(F.col("s") + BONUS, F.lit(1.0))).otherwise(F.col("s")))
     best = scored.groupBy("record_id").agg(F.max_by("candidate", F.struct("s", (-F.col("pos")).alias("p"))).alias("candidate"), F.max("s").alias("s"))
     rows = rows.join(best, "record_id", "left")
@@ -49,7 +49,7 @@ def improve(reads: DataFrame, found: DataFrame, claims: DataFrame) -> DataFrame:
     rows = rows.withColumns({"best": F.when(better, F.col("candidate")).otherwise(F.col("current")), "best_score": F.when(better, F.col("s")).otherwise(F.col("current_score"))})
     rows = rows.withColumn("change", (F.col("best") != "") & (F.col("best_score") >= FLOOR) & ((F.col("best") != F.col("current")) | (F.col("current") == "")) & (F.size("l") > 0))
     each = rows.filter("change").select("record_id", "claim", "best_score", F.posexplode("l").alias("i", "line"))
-    like = each.withColumn("s", similarity(F.col("claim"), T.strip(F.col("line")), every)).filter(F.col("s") >= F.col("best_score") * REPLACE).groupBy("record_id").agg(F.min("i").alias("at"))
+    like = once(each, s=similarity(F.col("claim"), T.strip(F.col("line")), every)).filter(F.col("s") >= F.col("best_score") * REPLACE).groupBy("record_id").agg(F.min("i").alias("at"))
     rows = rows.join(like, "record_id", "left")
     at = F.when(F.col("at").isNotNull(), F.col("at")).when((F.col("current") != "") & T.is_class_prefix(F.element_at("l", 1)), 0)
     changed = F.when(at.isNotNull(), F.transform("l", lambda x, i: F.when(i == at, F.col("best")).otherwise(x))).otherwise(F.concat(F.array("best"), F.col("l")))
@@ -63,7 +63,7 @@ def clarified(reads: DataFrame, claims: DataFrame) -> DataFrame:
     rows = rows.join(claims.select("record_id", F.col("brand_name").alias("claim")), "record_id")
     some = (F.size("l") > 0) & (T.brand_fold(F.col("raw")) != T.brand_fold(F.col("claim")))
     rows = once(rows, garbled=some & T.is_garbled(F.col("raw")), some=some)
-    rows = rows.withColumn("s", similarity(F.col("claim"), F.col("raw"), F.col("garbled")))
+    rows = once(rows, s=similarity(F.col("claim"), F.col("raw"), F.col("garbled")))
     remark = F.concat("claim", F.lit(V.REMARK[0]), "raw", F.lit(V.REMARK[1]))
     shown = F.when(F.coalesce(F.col("s") >= V.BRAND_REVIEW, F.lit(False)), F.transform("l", lambda x, i: F.when(i == 0, remark).otherwise(x))).otherwise(F.col("l"))
     return rows.select("record_id", F.when(F.col("some"), F.array_join(shown, "\n")).otherwise(F.col("text")).alias("text"))

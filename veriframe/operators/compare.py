@@ -92,7 +92,7 @@ def compare(claims: DataFrame, reads: DataFrame, fuzzy: bool = True, fields: tup
     """A row for each record and field: record_id, field_pos, field_key, claim, read, shown, severity, reason, status.
 
     claims and reads have record_id and the five fields. A claim without a read gives unread rows.
-    One equi-join on record_id; the similarity function is fed garbled brands only; only the rules of ``fields`` are computed.
+    One equi-join on record_id; similarities are computed for garbled brands only; only the rules of ``fields`` are computed.
     ``shown`` is the claim where brand or class differ from it by order, case or letters that are often confused only.
     """
     keys = [k for k in V.FIELDS if k in fields]
@@ -104,7 +104,7 @@ def compare(claims: DataFrame, reads: DataFrame, fuzzy: bool = True, fields: tup
     if "brand_name" in keys:
         df = df.withColumn("r_brand_name", brand_shown(F.col("r_brand_name")))
         if fuzzy:
-            df = df.withColumn("ratio", similarity(c("brand_name"), r("brand_name"), T.is_garbled(r("brand_name"))))
+            df = once(df, ratio=similarity(c("brand_name"), r("brand_name"), T.is_garbled(r("brand_name"))))
             ratio = F.col("ratio")
     rules = {
         "brand_name": lambda: brand_rule(c("brand_name"), r("brand_name"), ratio), "class_type": lambda: text_rule(c("class_type"), r("class_type")),
@@ -126,17 +126,21 @@ def rollup(compared: DataFrame) -> DataFrame:
     return compared.groupBy("record_id").agg(status(F.max(s)).alias("overall_status"), keys(s == FAIL).alias("failed_keys"), keys(s > PASS).alias("rescue_keys"))
 
 
-def with_rescue(claims: DataFrame, reads: DataFrame, rescued: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Compare again with rescued fields in place of the read ones; blank ones fall back. Adds ``rescued``.
+def with_rescue(claims: DataFrame, reads: DataFrame, rescued: DataFrame, fuzzy: bool = True, compared: DataFrame | None = None) -> DataFrame:
+    """The comparison with rescued fields in place of the read ones; blank ones fall back. Adds ``rescued``.
 
-    rescued: record_id and any of the five fields, null or empty where not rescued.
+    rescued: record_id and any of the five fields, null or empty where not rescued. Only records with a rescued field are
+    compared again; the rows of the others are those of ``compared`` (the comparison of claims and reads, made here if not given).
     """
-    renamed = rescued.select("record_id", *[F.col(k).alias(f"s_{k}") for k in V.FIELDS])
+    given = F.array(*[F.when(F.coalesce(T.strip(F.col(f"s_{k}")), F.lit("")) != "", F.lit(k)) for k in V.FIELDS])
+    renamed = once(rescued.select("record_id", *[F.col(k).alias(f"s_{k}") for k in V.FIELDS]), hits=F.array_compact(given)).filter(F.size("hits") > 0)
     pick = lambda k: F.coalesce(F.nullif(T.strip(F.col(f"s_{k}")), F.lit("")), F.col(k))
-    merged = reads.join(renamed, "record_id", "left").select("record_id", *[pick(k).alias(k) for k in V.FIELDS])
-    keys = renamed.select("record_id", F.explode(F.array(*[F.when(F.coalesce(T.strip(F.col(f"s_{k}")), F.lit("")) != "", F.lit(k)) for k in V.FIELDS])).alias("field_key")).filter("field_key is not null").withColumn("hit", F.lit(True))
-    out = compare(claims, merged, fuzzy).join(keys, ["record_id", "field_key"], "left")
-    return out.withColumn("rescued", F.coalesce("hit", F.lit(False)) & (F.col("severity") == PASS)).drop("hit")
+    merged = reads.join(renamed, "record_id").select("record_id", *[pick(k).alias(k) for k in V.FIELDS])
+    changed = renamed.select("record_id", "hits")
+    again = compare(claims.join(changed.select("record_id"), "record_id", "left_semi"), merged, fuzzy).join(changed, "record_id")
+    again = again.withColumn("rescued", F.array_contains("hits", F.col("field_key")) & (F.col("severity") == PASS)).drop("hits")
+    before = compare(claims, reads, fuzzy) if compared is None else compared
+    return again.unionByName(before.join(changed, "record_id", "left_anti").withColumn("rescued", F.lit(False)))
 
 
 def rotation_reason(rotation: Column, skew: Column, upright: Column, inverted: Column, per_region: Column) -> Column:

@@ -224,6 +224,24 @@ def brand_rule(c: str, r: str) -> tuple[str, str]:
     return rule([(f"{brand_fold(r)} = ''", 1, "not_read"), (f"{brand_fold(c)} = {brand_fold(r)}", 0, "equal"), (same_set(c, r), 0, "same_words"), (f"{letters(c)} = {letters(r)}", 0, "same_letters"), (f"not {garbled(r)}", 2, "different")], (1, "garbled"))
 
 
+def ratios(name: str, pairs: str) -> str:
+    """A table (a, b, ratio) of distinct pairs of texts: pieces left and right of the longest common run, again and again."""
+    longest = "len(list_filter(range(1, len(x) - i::int + 2), lambda n: contains(y, substr(x, i::int, n::int))))"
+    return f"""{name}_pairs as materialized (select distinct a, b from ({pairs})),
+{name}_work as (
+  select a, b, a as x, b as y from {name}_pairs where a <> '' and b <> ''
+  union all
+  select a, b, p.x, p.y from (
+    select a, b, unnest([{{'x': substr(x, 1, k - 1), 'y': substr(y, 1, j - 1)}}, {{'x': substr(x, k + n), 'y': substr(y, j + n)}}]) as p
+    from (select *, strpos(y, substr(x, k, n))::int as j from (select *, n * 100000 - best as k from (select *, ((best + 99999) // 100000)::int as n
+      from (select *, list_max(list_transform(range(1, len(x) + 1), lambda i: {longest} * 100000 - i))::int as best from {name}_work)) where n > 0)))
+  where p.x <> '' and p.y <> ''),
+{name}_sums as (
+  select a, b, sum((best + 99999) // 100000) as n
+  from (select *, list_max(list_transform(range(1, len(x) + 1), lambda i: {longest} * 100000 - i))::int as best from {name}_work) group by a, b),
+{name} as materialized (select a, b, case when a = '' or b = '' then 0.0 when a = b then 1.0 else 2 * n::double / (len(a) + len(b)) end as ratio from {name}_pairs left join {name}_sums using (a, b))"""
+
+
 #: Tables that queries build on.
 BASE = f"""claims as materialized ({K.CLAIMS}), lines as materialized ({K.LINES_DUCKDB}),
 reads as (select record_id, string_agg(text, chr(10) order by line_id) as text from lines group by record_id),
@@ -267,14 +285,72 @@ def line_is(n: int) -> str:
     return f"(select c.*, l.text from claims c join lines l using (record_id) where l.line_id = {n})"
 
 
-def _long() -> str:
-    """Five rows for each record, as in the flow of all rules."""
+def _long(reads: str = "parsed", name: str = "long", fuzzy: bool = False) -> str:
+    """Five rows for each record, as in the flow of all rules; fuzzy: garbled brands by their similarity."""
     shown = f"case when {class_prefix('r.brand_name')} then '' else r.brand_name end"
-    joined = f"(select c.record_id, c.brand_name cb, c.class_type cc, c.alcohol_content ca, c.net_contents cn, c.government_warning cw, {shown} rb, r.class_type rc, r.alcohol_content ra, r.net_contents rn, r.government_warning rw from claims c join parsed r using (record_id))"
-    rules = (("rb", brand_rule("cb", "rb")), ("rc", text_rule("cc", "rc")), ("ra", number_rule("ca", "ra", abv, V.ABV_TOLERANCE)), ("rn", number_rule("cn", "rn", ml, V.ML_TOLERANCE)), ("rw", warning_rule("cw", "rw")))
-    shown_as = lambda i, r, why: f"case when {why} in ('same_words', 'same_letters') then {('cb', 'cc')[i]} else {r} end" if i < 2 else r
-    each = " union all ".join(f"select record_id, {i} as field_pos, {q(V.FIELDS[i])} as field_key, {('cb', 'cc', 'ca', 'cn', 'cw')[i]} as claim, {r} as read, {shown_as(i, r, why)} as shown, {s} as severity, {why} as reason from j" for i, (r, (s, why)) in enumerate(rules))
-    return f", j as materialized (select * from {joined}), long as materialized ({each})"
+    fields = "c.record_id, c.brand_name cb, c.class_type cc, c.alcohol_content ca, c.net_contents cn, c.government_warning cw, r.class_type rc, r.alcohol_content ra, r.net_contents rn, r.government_warning rw"
+    joined = f"(select {fields}, {shown} rb from claims c join {reads} r using (record_id))"
+    brand, alike, more = brand_rule("cb", "rb"), "'same_words', 'same_letters'", ""
+    if fuzzy:
+        more = f", {ratios(f'{name}_like', f'select {letters('cb')} as a, {letters('rb')} as b from {joined} where {garbled('rb')}')}"
+        joined = f"(select j.*, ratio from (select *, {letters('cb')} as lc, {letters('rb')} as lr from {joined}) j left join {name}_like on lc = a and lr = b)"
+        garbled_ones = {1: f"case when ratio >= {V.BRAND_PASS} then 0 when ratio >= {V.BRAND_REVIEW} then 1 else 2 end", 2: f"case when ratio >= {V.BRAND_PASS} then 'similar' when ratio >= {V.BRAND_REVIEW} then 'likely' else 'garbled_different' end"}
+        brand = tuple(f"case when ({brand[1]}) = 'garbled' then {garbled_ones[i + 1]} else {b} end" for i, b in enumerate(brand))
+        alike += ", 'similar'"
+    rules = (("rb", brand), ("rc", text_rule("cc", "rc")), ("ra", number_rule("ca", "ra", abv, V.ABV_TOLERANCE)), ("rn", number_rule("cn", "rn", ml, V.ML_TOLERANCE)), ("rw", warning_rule("cw", "rw")))
+    shown_as = lambda i, r, why: f"case when {why} in ({alike}) then {('cb', 'cc')[i]} else {r} end" if i < 2 else r
+    each = " union all ".join(
+        f"select record_id, {i} as field_pos, {q(V.FIELDS[i])} as field_key, {('cb', 'cc', 'ca', 'cn', 'cw')[i]} as claim, {r} as read, {shown_as(i, r, why)} as shown, {s} as severity, {why} as reason from {name}_j"
+        for i, (r, (s, why)) in enumerate(rules)
+    )
+    return f"{more}, {name}_j as materialized (select * from {joined}), {name} as materialized ({each})"
+
+
+#: Verdict and keys of each record of a table as _long makes it.
+ROLLUP = (
+    f"select record_id, {status('max(severity)')} as overall_status, coalesce(string_agg(field_key, ',' order by field_pos) filter (severity = 2), '') as failed_keys, "
+    "coalesce(string_agg(field_key, ',' order by field_pos) filter (severity > 0), '') as rescue_keys from {} group by record_id"
+)
+
+
+def _named(x: str) -> str:
+    """The brand that a line with a distillery word gives."""
+    u = unannotated(x)
+    return f"case when {distillery(u)} and {u} <> '' and not {noise(u)} and not {warn(u)} then {u} else '' end"
+
+
+def _heads() -> str:
+    """brand_of (the brand read, else the first line) and the lines of each read."""
+    return f""", heads_of as materialized (select record_id, list(text order by line_id) as l, arg_min({strip('text')}, line_id) as head from lines where {strip('text')} <> '' group by 1),
+told as materialized (select record_id, brand, head, l, coalesce(nullif(brand, ''), head) as raw, c.brand_name as claim, text from reads join claims c using (record_id) join heads_of using (record_id) join brands using (record_id))"""
+
+
+def _clarified() -> str:
+    remark = f"claim || {q(V.REMARK[0])} || raw || {q(V.REMARK[1])}"
+    pairs = f"select {letters('claim')} as a, {letters('raw')} as b from told"
+    return base(f"""{_heads()}, {ratios('alike', pairs)}
+select record_id, case when {brand_fold('raw')} = {brand_fold('claim')} then text when {garbled('raw')} and ratio >= {V.BRAND_REVIEW} then array_to_string(list_prepend({remark}, l[2:]), chr(10)) else array_to_string(l, chr(10)) end as text
+from told join alike on {letters('claim')} = a and {letters('raw')} = b""")
+
+
+def _improved() -> str:
+    """Candidates are all lines of a second reading, whose first line is another brand in odd records."""
+    bad = f"({ml('line')} is not null or {abv('line')} is not null or contains(lower(line), 'government warning') or {batch_lot('line')} or {class_prefix('line')})"
+    return base(f"""{_heads()},
+again as materialized (select record_id, line_id as pos, line, case when {_named('line')} <> '' then {_named('line')} else line end as candidate
+  from (select record_id, line_id, {strip("case when line_id = 1 and record_id % 2 = 1 then 'Old Lantern Distillery' else text end")} as line from lines)
+  where line <> '' qualify row_number() over (partition by record_id, lower(line) order by line_id) = 1 and not {bad}),
+now as materialized (select *, case when {class_prefix('raw')} then '' else raw end as current from told),
+{ratios('alike', f"select {letters('claim')} as a, {letters('current')} as b from now union all select {letters('claim')}, {letters('candidate')} from now join again using (record_id) union all select {letters('claim')}, {letters('line')} from now join numbered using (record_id)")},
+scored as (select record_id, pos, candidate, case when {distillery('candidate')} then least(ratio + 0.08::double, 1.0) else ratio end as s from again join now using (record_id) join alike on {letters('claim')} = a and {letters('candidate')} = b),
+best as (select record_id, arg_max(candidate, {{'s': s, 'p': -pos}}) as candidate, max(s) as s from scored group by 1),
+weighed as (select now.*, candidate, coalesce(s, -1) as s, case when current = '' then 0.0 else ratio end as own from now join alike on {letters('claim')} = a and {letters('current')} = b left join best using (record_id)),
+picked as materialized (select *, case when s > own then candidate else current end as pick, greatest(s, own) as score from weighed),
+changes as materialized (select * from picked where pick <> '' and score >= 0.45 and (pick <> current or current = '')),
+places as (select record_id, min(line_no) as spot from changes join numbered using (record_id) join alike on {letters('claim')} = a and {letters('line')} = b where ratio >= score * 0.85::double group by 1)
+select p.record_id, case when c.record_id is null then p.text when spot is not null then array_to_string(list_concat(p.l[1:spot - 1], [p.pick], p.l[spot + 1:]), chr(10))
+  when p.current <> '' and {class_prefix('p.head')} then array_to_string(list_prepend(p.pick, p.l[2:]), chr(10)) else array_to_string(list_prepend(p.pick, p.l), chr(10)) end as text
+from picked p left join changes c using (record_id) left join places using (record_id)""")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -365,7 +441,10 @@ flat as (select record_id, place as box_id, m.x0 as x0, m.y0 as y0, m.x1 as x1,
         "warning_verdict": base(f"select record_id, {w[0]} as severity, {w[1]} as reason from claims c join parsed p using (record_id)"),
         "brand_verdict_norm": base(f"select record_id, {t1[0]} as severity, {t1[1]} as reason from (select *, case when {class_prefix('text')} then '' else text end as shown from {line_is(1)})"),
         "all_fields_long": base(f"{_long()} select record_id, field_pos, field_key, read, shown, severity, reason, {status('severity')} as status from long"),
-        "record_rollup": base(f"{_long()} select record_id, {status('max(severity)')} as overall_status, coalesce(string_agg(field_key, ',' order by field_pos) filter (severity = 2), '') as failed_keys, coalesce(string_agg(field_key, ',' order by field_pos) filter (severity > 0), '') as rescue_keys from long group by record_id"),
+        "record_rollup": base(f"{_long()} {ROLLUP.format('long')}"),
+        "brand_verdict_fuzzy": base(f"{_long(fuzzy=True)} select record_id, field_pos, field_key, claim, read, shown, severity, reason, {status('severity')} as status from long where field_pos = 0"),
+        "clarified_text": _clarified(),
+        "improved_brand": _improved(),
         "missing_parts": base(f"select record_id, array_to_string({missing('government_warning')}, '|') as missing from parsed"),
         "trimmed_warning": base(f"select record_id, {trim_warning('text')} as warning from reads"),
         "payload_fields": f"with {named} select record_id, field_key, refs from named",
@@ -440,6 +519,10 @@ v as (select f.*, case when length(text) > {V.PREVIEW} then substr(text, 1, {V.P
 select v.record_id, overall_status, case when v.record_id % 2 = 0 then to_json({{'record_id': v.record_id, 'overall_status': overall_status, 'fields': fields, 'preview': preview, 'rotation': {{'rotation_deg': rotation_deg, 'skew_deg': skew_deg, 'was_upright': was_upright, 'brand_inverted': brand_inverted, 'per_region': per_region, 'brand_deg': brand_deg, 'warning_deg': warning_deg, 'reason': reason}}}})
   else to_json({{'record_id': v.record_id, 'overall_status': overall_status, 'fields': fields, 'preview': preview}}) end::varchar as result from v join rotations using (record_id) join reasons using (record_id)"""),
         "mapping_outcomes": base(f"{refs}{binned}{complete}, valid as (select record_id, concat_ws(',', {absent}) as missing, ({brand_ok} and (government_warning = '' or {like('government_warning', '(?i)' + V.HEADER)}) and concat_ws(',', {absent}) = '') as valid from complete) select v.record_id, case when not json_valid(payload) then 'bad_payload' when not valid then 'invalid' else 'mapped' end as outcome, case when json_valid(payload) and not valid then missing else '' end as missing from valid v join p using (record_id)"),
+        "rescue_recompare": base(f"""{refs}{binned}{_long(fuzzy=True)}, own as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as v from binned),
+fit as (select record_id, field_key, case when severity > 0 and (case field_key when 'brand_name' then {strip('v')} <> '' and {ml('v')} is null and not {warn('v')} when 'government_warning' then {like('v', '(?i)' + V.HEADER)} else true end) then {strip('v')} else '' end as v from own join long using (record_id, field_key)),
+saved as (select record_id, {', '.join(f"max(v) filter (field_key = {q(k)}) as s_{k}" for k in V.FIELDS)} from fit group by 1),
+again as materialized (select p.record_id, {', '.join(f"coalesce(nullif(s_{k}, ''), {k}) as {k}" for k in V.FIELDS)} from parsed p left join saved using (record_id)){_long('again', 'second', True)} {ROLLUP.format('second')}"""),
         "rescue_outcomes": base(f"""{refs}{binned}{_long()}, sev as (select record_id, field_key, severity from long), own as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as v from binned),
 fit as (select record_id, field_key, severity, case field_key when 'brand_name' then {strip('v')} <> '' and {ml('v')} is null and not {warn('v')} when 'government_warning' then {like('v', '(?i)' + V.HEADER)} else {strip('v')} <> '' end as ok from own join sev using (record_id, field_key)),
 s as (select record_id, max(severity) as severity, bool_or(severity > 0 and ok) as any_ok from fit group by 1)

@@ -15,6 +15,7 @@ from veriframe.operators import lines as L
 from veriframe.operators import quota as Q
 from veriframe.operators import regions as R
 from veriframe.plans import corpus as K
+from veriframe.shared import written
 
 _QUERIES = {}
 
@@ -36,18 +37,6 @@ def parsed(spark, sf) -> DataFrame:
     return E.parse(K.reads(spark, sf))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; as it is where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or _shared(df.sparkSession) else df
-
-
-def _shared(spark: SparkSession) -> bool:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        spark.sparkContext.setCheckpointDir(found)
-    return bool(found)
-
-
 def line(spark, sf, n: int) -> DataFrame:
     return K.lines(spark, sf).filter(F.col("line_id") == n)
 
@@ -255,8 +244,9 @@ def bin_validity(spark, sf):
 def rescue_recompare(spark, sf):
     # the parsed and compared tables are used twice: written once in the shared folder
     claims, p = K.claims(spark, sf), written(parsed(spark, sf).drop("raw_lines"))
-    rescued = B.rescued_fields(written(C.compare(claims, p)), B.picked(_refs(spark, sf)))
-    return C.rollup(C.with_rescue(claims, p, rescued))
+    compared = written(C.compare(claims, p))
+    rescued = written(B.rescued_fields(compared, B.picked(_refs(spark, sf))))
+    return C.rollup(C.with_rescue(claims, p, rescued, compared=compared))
 
 
 @query
@@ -341,7 +331,8 @@ def rotated_sizes(spark, sf):
 
 @query
 def improved_brand(spark, sf):
-    again = K.lines(spark, sf).filter("line_id <= 3 and record_id % 2 = 1").select("record_id", F.col("line_id").alias("pos"), F.when(F.col("line_id") == 1, F.lit("Old Lantern Distillery")).otherwise(F.col("text")).alias("line"))
+    another = (F.col("line_id") == 1) & (F.col("record_id") % 2 == 1)
+    again = K.lines(spark, sf).select("record_id", F.col("line_id").alias("pos"), F.when(another, F.lit("Old Lantern Distillery")).otherwise(F.col("text")).alias("line"))
     return Br.improve(K.reads(spark, sf), Br.candidates(again), K.claims(spark, sf))
 
 
