@@ -1,7 +1,9 @@
 """Folds against plain loops, and the streams."""
 
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veriframe.operators import lines as L
@@ -105,17 +107,34 @@ def test_quota_blocks(spark):
 
 
 def test_quota_stream(spark, tmp_path):
+    """Requests in shuffled order over several micro-batches and a restart: the grants of the batch, each once."""
     from veriframe.streaming.verify import quota_stream
 
+    rng = random.Random(7)
     rows = [(t, s, 1 + (t + s) % 4) for t in range(5) for s in range(8)]
-    for part in range(2):
-        batch = [r for r in rows if (r[1] >= 4) == bool(part)]
-        spark.createDataFrame(batch, "tenant long, seq long, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("tenant long, seq long, n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = quota_stream(stream, 10).writeStream.format("memory").queryName("grants").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table("grants").collect())
-    assert got == grants(rows, 10)
+    kind = "tenant long, seq long, n int, ts timestamp"
+
+    def arrive(some):
+        timed = spark.createDataFrame([(t, s, n, 1_000_000 + 60 * s) for t, s, n in some], "tenant long, seq long, n int, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        timed.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        grants_of = quota_stream(stream, 10, "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        grants_of.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+
+    mixed = rng.sample(rows, len(rows))
+    for part in (mixed[:15], mixed[15:25]):
+        arrive(part)
+    run()
+    assert not list((tmp_path / "out").glob("*.parquet")) or spark.read.parquet(str(tmp_path / "out")).count() == 0  # all wait for earlier ones
+    arrive(mixed[25:])
+    run()
+    arrive([(99, 1000, 1)])  # the watermark passes all others
+    run()
+    run()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in got.filter("tenant < 99").select("tenant", "seq", "n", "granted", "used").collect()) == grants(rows, 10)
 
 
 def test_verify_stream(spark, tmp_path):
@@ -139,7 +158,7 @@ def test_event_windows(spark):
 
 
 def test_usage_snapshots(spark, tmp_path):
-    from veriframe.sources.usage import read_usage, write_usage
+    from veriframe.sources.usage import VersionTaken, read_usage, read_version, write_usage
 
     path = str(tmp_path / "usage")
     assert read_usage(spark, path).count() == 0
@@ -147,6 +166,19 @@ def test_usage_snapshots(spark, tmp_path):
     write_usage(grants, path, 1)
     write_usage(grants, path, 2, read_usage(spark, path))
     assert sorted(tuple(r) for r in read_usage(spark, path).collect()) == [(1, 4), (2, 6)]
+    with pytest.raises(VersionTaken):
+        write_usage(grants, path, 2)
+    assert read_version(spark, path)[0] == 2
+    # a damaged version falls back to the one before, and nothing whole reads as no use
+    for version, left in ((2, [(1, 2), (2, 3)]), (1, [])):
+        said = json.loads((tmp_path / "usage" / "commits" / f"{version:012d}").read_text())
+        for part in (tmp_path / "usage" / "data" / said["data"]).glob("part-*"):
+            part.write_bytes(b"garbage")
+        for checksum in (tmp_path / "usage" / "data" / said["data"]).glob(".part-*.crc"):
+            checksum.unlink()
+        assert sorted(tuple(r) for r in read_usage(spark, path).collect()) == left
+    (tmp_path / "usage" / "commits" / "000000000003").write_text("{not json")
+    assert read_usage(spark, path).count() == 0
 
 
 def test_improved_and_clarified_brand(spark):

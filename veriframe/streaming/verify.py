@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from veriframe.operators import compare as C
 from veriframe.operators import extract as E
@@ -30,22 +29,57 @@ def verify_stream(reads: DataFrame, claims: DataFrame, path: str, checkpoint: st
 GRANTS = "tenant long, seq long, n long, granted boolean, used long"
 
 
-def quota_stream(requests: DataFrame, limit: int) -> DataFrame:
-    """requests (tenant, seq, n), a stream -> GRANTS; the used count of a tenant is its state.
-
-    Within a micro-batch a tenant's requests are granted in order of seq; a rejected one takes nothing.
+class _Quota(StatefulProcessor):
+    """A tenant's used count, and its requests that wait for their turn."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "used long")
+        self.held = handle.getListState("held", "at long, seq long, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        new = [(int(r["at"]), int(r["seq"]), int(r["n"])) for r in rows]
+        self.held.appendList(new)
+        first = min(new)[0]
+        if first <= timerValues.getCurrentWatermarkInMs():
+            yield from self._grant(key, timerValues)
+        else:
+            self.handle.registerTimer(first)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        yield from self._grant(key, timerValues)
+
+    def _grant(self, key: Any, timerValues: TimerValues) -> Iterator[Row]:
+        """Requests that no earlier one can precede any more, in order."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(h) for h in self.held.get())
+        due = [h for h in held if h[0] <= mark]
+        if not due:
+            return
+        used = self.used.get()[0] if self.used.exists() else 0
+        for _, seq, n in due:
+            ok = self.limit <= 0 or used + n <= self.limit
+            used += n if ok else 0
+            yield Row(tenant=key[0], seq=seq, n=n, granted=ok, used=used)
+        self.used.update((used,))
+        if rest := held[len(due) :]:
+            self.held.put(rest)
+            self.handle.registerTimer(rest[0][0])
+        else:
+            self.held.clear()
+
+
+def quota_stream(requests: DataFrame, limit: int, delay: str = "0 seconds") -> DataFrame:
+    """requests (tenant, seq, n, ts), a stream -> GRANTS, each request once, in order of (ts, seq) within a tenant.
+
+    Requests may arrive in any order within ``delay``: they wait in the tenant's state until the watermark has passed their ts, when a timer has
+    them granted; a rejected one takes nothing. Later ones are dropped, as by any operator on event time. What a tenant holds is what arrives for it within
+    the delay; its used count is one number. After a restart the state is that of the last whole micro-batch, so nothing is granted twice.
+    Needs the RocksDB state store, which is set here for the session.
     """
-
-    def one(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values("seq")
-        out = []
-        for seq, n in zip(rows["seq"], rows["n"], strict=True):
-            ok = limit <= 0 or used + n <= limit
-            used += int(n) if ok else 0
-            out.append((key[0], int(seq), int(n), bool(ok), used))
-        state.update((used,))
-        yield pd.DataFrame(out, columns=["tenant", "seq", "n", "granted", "used"])
-
-    typed = requests.select(F.col("tenant").cast("long").alias("tenant"), F.col("seq").cast("long").alias("seq"), F.col("n").cast("long").alias("n"))
-    return typed.groupBy("tenant").applyInPandasWithState(one, GRANTS, "used long", "append", GroupStateTimeout.NoTimeout)
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    typed = requests.withWatermark("ts", delay).select(*[F.col(c).cast("long").alias(c) for c in ("tenant", "seq", "n")], "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return typed.groupBy("tenant").transformWithState(_Quota(limit), GRANTS, "append", "eventTime")
