@@ -79,6 +79,10 @@ select p_partkey as record_id,
 from part"""
 
 
+#: What a model answers where none is at hand.
+STUB_ANSWER = '{"Brand": [1], "class_type": [3], "ABV": 4, "net_contents": [5], "Gov_Warning": [6, 7, 8]}'
+
+
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/part.parquet")

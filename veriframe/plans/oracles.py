@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veriframe.functions import vocab as V
 from veriframe.plans import corpus as K
+from veriframe.plans.corpus import STUB_ANSWER
 
 
 def q(s: str) -> str:
@@ -281,8 +282,15 @@ def base(sql: str) -> str:
     return f"with recursive {BASE} {sql}"
 
 
-def line_is(n: int) -> str:
-    return f"(select c.*, l.text from claims c join lines l using (record_id) where l.line_id = {n})"
+def grants(order: str) -> str:
+    """A table f of requests with what is granted of them, one after the other."""
+    return f"""with recursive r as (select user_id as tenant, event_id as seq, 1 + event_id % 4 as n, row_number() over (partition by user_id order by {order}) as k from events),
+f as (select tenant, seq, n, k, n <= 10 as granted, case when n <= 10 then n else 0 end as used from r where k = 1
+  union all select r.tenant, r.seq, r.n, r.k, f.used + r.n <= 10, case when f.used + r.n <= 10 then f.used + r.n else f.used end from f join r on r.tenant = f.tenant and r.k = f.k + 1)"""
+
+
+#: Claims beside every line of their read.
+BESIDE = "(select c.*, l.line_id, l.text from claims c join lines l using (record_id))"
 
 
 def _long(reads: str = "parsed", name: str = "long", fuzzy: bool = False) -> str:
@@ -382,6 +390,14 @@ spoken as (select record_id, field_key, n, i from texted where n is not null),
 found as (select record_id, field_key, {own} as n, 0 as i from keyed join flagged using (record_id) anti join given using (record_id, field_key) anti join spoken using (record_id, field_key) group by record_id, field_key),
 sizes as (select record_id, max(line_no) as size from numbered group by 1),
 chosen as (select record_id, field_key, n, min(i) as i from (select * from given union all select * from spoken union all select record_id, field_key, n, i from found) anti join ignored using (record_id, n) join sizes using (record_id) where n between 1 and size group by 1, 2, 3)"""
+    answers = f"select p_partkey as record_id, {q(STUB_ANSWER)} as payload from part"
+    ok = f"case field_key when 'brand_name' then {strip('v')} <> '' and {ml('v')} is null and not {warn('v')} when 'government_warning' then {like('v', '(?i)' + V.HEADER)} else true end"
+    # the fields that a re-mapping saves, and the reads with them; given: what else has to hold
+    rescued = lambda given: f"""own as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as v from binned),
+asked as (select record_id, max(severity) as overall, any_value(contains(text, 'www.')) as failed from long join reads using (record_id) group by 1),
+fit as (select record_id, field_key, case when severity > 0 and ({ok}) {given} then {strip('v')} else '' end as v from own join long using (record_id, field_key)),
+saved as (select record_id, {', '.join(f"max(v) filter (field_key = {q(k)}) as s_{k}" for k in V.FIELDS)} from fit group by 1),
+again as materialized (select p.record_id, {', '.join(f"coalesce(nullif(s_{k}, ''), {k}) as {k}" for k in V.FIELDS)} from parsed p left join saved using (record_id))"""
     kept = f"not (case field_key when 'government_warning' then not {like('line', '(?i)' + V.HEADER)} and {discard('line')} and not warn when 'brand_name' then named = '' and ({discard('line')} or {garbled('line')}) else {discard('line')} end)"
     binned = f""", picked as (select record_id, field_key, i, case when field_key = 'brand_name' and named <> '' then named else line end as v from chosen join flagged on chosen.record_id = flagged.record_id and chosen.n = flagged.line_no where {kept}),
 whole as (select record_id, field_key, case when count(*) = 1 and field_key <> 'government_warning' then any_value(v) else {ws("string_agg(v, ' ' order by i)")} end as v from picked group by 1, 2),
@@ -421,13 +437,13 @@ flat as (select record_id, place as box_id, m.x0 as x0, m.y0 as y0, m.x1 as x1,
     return {
         "abv_net_verdict": base(f"select {status(f'greatest({a}, {n})')} as status, count(*) as n from claims c join lines t4 on c.record_id = t4.record_id and t4.line_id = 4 join lines t5 on c.record_id = t5.record_id and t5.line_id = 5 group by 1"),
         "ws_normalize": f"select doc_id, md5({ws('text')}) as folded from documents",
-        "brand_normalize": base(f"select record_id, {brand_fold('text')} as folded from lines where line_id = 1"),
-        "ocr_fold": base(f"select record_id, {letters('text')} as folded from lines where line_id = 1"),
-        "warning_fold": base(f"select record_id, line_id, {warning_fold('text')} as folded from lines where line_id in (6, 7, 8)"),
+        "brand_normalize": base(f"select record_id, line_id, {brand_fold('text')} as folded from lines"),
+        "ocr_fold": base(f"select record_id, line_id, {letters('text')} as folded from lines"),
+        "warning_fold": base(f"select record_id, line_id, {warning_fold('text')} as folded from lines"),
         "token_sets": f"select doc_id, len(t)::int as n, md5(array_to_string(list_sort(t), ' ')) as words from (select doc_id, {tokens('text')} as t from documents)",
-        "token_jaccard": base(f"select record_id, round({jaccard('class_type', 'text')}, 6) as overlap from {line_is(3)}"),
-        "token_set_equal": base(f"select record_id, {same_set('brand_name', 'text')} as same from {line_is(1)}"),
-        "garbled_flags": base(f"select record_id, line_id, {garbled('text')} as garbled, ({ml('text')} is null and {garbled('text')}) as garbled_prose from lines where line_id <= 5"),
+        "token_jaccard": base(f"select record_id, line_id, round({jaccard('class_type', 'text')}, 6) as overlap from {BESIDE}"),
+        "token_set_equal": base(f"select record_id, line_id, {same_set('brand_name', 'text')} as same from {BESIDE}"),
+        "garbled_flags": base(f"select record_id, line_id, {garbled('text')} as garbled, ({ml('text')} is null and {garbled('text')}) as garbled_prose from lines"),
         "line_kinds": base(f"select record_id, line_no, line, {batch_lot('line')} as is_batch_lot, {discard('line')} as is_discard, noise as is_noise, {like('lower(line)', V.any_of(V.NOISE))} as is_noise_words, body as is_body, frag as is_class_fragment, warn as is_warning, {class_prefix('line')} as is_class_prefix from flagged"),
         "noise_by_kind": base(f"select {batch_lot('line')} as is_batch_lot, noise as is_noise, {discard('line')} as is_discard, count(*) as n from flagged group by 1, 2, 3"),
         "document_lines": f"select record_id, count(*) as n_lines, max(length(l)) as longest from (select doc_id as record_id, trim(unnest({split})) as l from documents) where l <> '' group by 1",
@@ -437,9 +453,9 @@ flat as (select record_id, place as box_id, m.x0 as x0, m.y0 as y0, m.x1 as x1,
         "brand_read": base("select record_id, brand from brands"),
         "class_read": base("select record_id, coalesce(class_type, '') as class_type from brands left join classes using (record_id)"),
         "parsed_fields": base("select * from parsed"),
-        "text_field_verdict": base(f"select record_id, {t3[0]} as severity, {t3[1]} as reason from {line_is(3)}"),
+        "text_field_verdict": base(f"select record_id, line_id, {t3[0]} as severity, {t3[1]} as reason from {BESIDE}"),
         "warning_verdict": base(f"select record_id, {w[0]} as severity, {w[1]} as reason from claims c join parsed p using (record_id)"),
-        "brand_verdict_norm": base(f"select record_id, {t1[0]} as severity, {t1[1]} as reason from (select *, case when {class_prefix('text')} then '' else text end as shown from {line_is(1)})"),
+        "brand_verdict_norm": base(f"select record_id, line_id, {t1[0]} as severity, {t1[1]} as reason from (select *, case when {class_prefix('text')} then '' else text end as shown from {BESIDE})"),
         "all_fields_long": base(f"{_long()} select record_id, field_pos, field_key, read, shown, severity, reason, {status('severity')} as status from long"),
         "record_rollup": base(f"{_long()} {ROLLUP.format('long')}"),
         "brand_verdict_fuzzy": base(f"{_long(fuzzy=True)} select record_id, field_pos, field_key, claim, read, shown, severity, reason, {status('severity')} as status from long where field_pos = 0"),
@@ -455,7 +471,7 @@ flat as (select record_id, place as box_id, m.x0 as x0, m.y0 as y0, m.x1 as x1,
         "bin_validity": base(f"{refs}{binned}{complete} select record_id, concat_ws(',', {absent}) as missing, {brand_ok} as brand_ok, ({brand_ok} and (government_warning = '' or {like('government_warning', '(?i)' + V.HEADER)}) and concat_ws(',', {absent}) = '') as valid from complete"),
         "line_dedupe_union": base("select record_id, row_number() over (partition by record_id order by part, line_no) as line_no, line from (select * from (select record_id, line_no, line, 0 as part from numbered union all select record_id, line_no, case when line_no % 2 = 0 then upper(line) else line || ' again' end, 1 from numbered) qualify part = 0 or row_number() over (partition by record_id, lower(line) order by part, line_no) = 1)"),
         "positional_pair": "with p as (select p_partkey, p_partkey // 50 as batch_id, p_partkey % 50 as pos, p_name from part), g as (select batch_id, count(*) filter (p_partkey % 97 != 5) as n, count(*) as m from p group by 1) select batch_id, pos, p_name, p_partkey as record_id, n, pos + 1 as k from p join g using (batch_id) where n = m and p_partkey % 97 != 5",
-        "hash_pair": base("select c.record_id, c.net_contents, p.net_contents as read from claims c join parsed p using (record_id) where c.record_id % 3 != 0"),
+        "hash_pair": base("select c.record_id, c.net_contents, p.net_contents as read from claims c join parsed p using (record_id)"),
         "text_containment_join": base("select c.record_id, coalesce(min(n.line_no) filter (n.line = c.class_type or contains(a, b) or contains(b, a)), 0)::int as line_no from claims c join (select *, lower(regexp_replace(line, '\\s+', '', 'g')) as a from numbered) n using (record_id), lateral (select lower(regexp_replace(c.class_type, '\\s+', '', 'g')) as b) group by 1"),
         "doc_score": base("select record_id, round(case when record_id % 2 = 0 then avg(confidence) else 0.75 end * length(any_value(r.text)), 6) as score from reads r join lines l using (record_id) group by record_id"),
         "readability": base(f"select record_id, floor(({readability('text')}) * 1e6::double + 0.5::double)::bigint as millionths from reads"),
@@ -474,16 +490,16 @@ flat as (select record_id, place as box_id, m.x0 as x0, m.y0 as y0, m.x1 as x1,
         "box_halves": "with i as (select p_partkey as record_id, (800 + p_partkey % 1000)::int as img_w from part) select record_id, 'brand' as role, 0 as x0, 0 as y0, floor(img_w * 0.48)::int as x1, 950 as y1 from i union all select record_id, 'warning', floor(img_w * 0.48)::int, 0, img_w, 950 from i",
         "paragraph_fold": base(f"select record_id, block, paragraph, string_agg(t, ' ' order by p) as text, round(coalesce(avg(confidence) filter (confidence <> 0), 0.9), 6) as confidence, min(x0) as x_min, min(y0) as y_min, max(x1) as x_max, max(y1) as y_max from {words} group by 1, 2, 3"),
         "text_preview": f"select doc_id, md5(case when length(text) > {V.PREVIEW} then substr(text, 1, {V.PREVIEW}) || '...' else text end) as preview from documents",
-        "quota_greedy": "with recursive r as (select user_id as tenant, event_id as seq, 1 + event_id % 4 as n, row_number() over (partition by user_id order by event_id) as k from events), f as (select tenant, seq, n, k, n <= 10 as granted, case when n <= 10 then n else 0 end as used from r where k = 1 union all select r.tenant, r.seq, r.n, r.k, f.used + r.n <= 10, case when f.used + r.n <= 10 then f.used + r.n else f.used end from f join r on r.tenant = f.tenant and r.k = f.k + 1) select tenant, seq, n, granted, used from f",
+        "quota_greedy": f"{grants('event_id')} select tenant, seq, n, granted, used from f",
         "quota_remaining": "select user_id as tenant, sum(1 + event_id % 4)::bigint as used, 50::bigint as max_tests, greatest(50 - sum(1 + event_id % 4), 0)::bigint as remaining from events group by 1",
         "upper_median": "select event_type, round(list_sort(list(value))[count(value) // 2 + 1], 3) as median from events group by 1",
         "score_report": "select case when quality = 1 then 'PASS' else 'FAIL' end as expected, count(*) as n, count(*) filter (doc_id % 7 != 0 and (case when doc_id % 5 = 0 then 'REVIEW' when toxic = 1 then 'FAIL' else 'PASS' end) = (case when quality = 1 then 'PASS' else 'FAIL' end)) as correct, count(*) filter (doc_id % 7 != 0 and doc_id % 5 = 0) as review from labels group by 1",
         "sample_names": "with a as (select distinct p_brand as name from part where p_size % 2 = 0), b as (select distinct p_brand as name from part where p_size % 3 = 0) select name, name in (select name from a) and name in (select name from b) as in_both from (select * from a union select * from b)",
         "claims_from_json": base("select record_id // 20 as batch_id, count(*) as n, (count(*) - 1)::int as last_pos, count(*) filter (net_contents = '1.5 L') as litres from claims group by 1"),
-        "detection_tuples": base("select record_id, text, case when record_id % 2 = 0 then 0.5 else 0.85 end::double as confidence from lines where line_id = 2"),
+        "detection_tuples": base("select record_id, line_id, text, case when record_id % 2 = 0 then 0.5 else 0.85 end::double as confidence from lines"),
         "order_totals_verdict": "select case when total is null then 'REVIEW' when abs(total - o_totalprice) < 50000 then 'PASS' else 'FAIL' end as status, count(*) as n from orders left join (select l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as total from lineitem group by 1) on o_orderkey = l_orderkey group by 1",
         "repaired_text": base(f", put as (select record_id, replace(text, 'Alc./Vol.', 'Alc NVol.') as text from reads), {repaired('done', 'put', 'text')} select record_id, text from done"),
-        "merged_warning": base(f"select r.record_id, {merged_warning('r.text', 's.text')} as text from reads r join (select record_id, 'noise ' || text as text from lines where line_id = 6) s using (record_id)"),
+        "merged_warning": base(f"select record_id, {merged_warning('text', 'second')} as text from (select *, 'noise ' || text as second from reads)"),
         "merged_reads": base(f""", second as (select record_id, string_agg(text, chr(10) order by line_id) as text from lines where line_id >= 5 group by 1), {repaired('b', 'reads', 'text')}, {repaired('w', 'second', 'text')},
 put as (select b.record_id, w.text as second, b.text as first, {merged_warning('b.text', 'w.text')} as text from b join w using (record_id)), {repaired('done', 'put', 'text')},
 firsts as (select record_id, line, line_no as n, 0 as part from numbered),
@@ -519,10 +535,17 @@ v as (select f.*, case when length(text) > {V.PREVIEW} then substr(text, 1, {V.P
 select v.record_id, overall_status, case when v.record_id % 2 = 0 then to_json({{'record_id': v.record_id, 'overall_status': overall_status, 'fields': fields, 'preview': preview, 'rotation': {{'rotation_deg': rotation_deg, 'skew_deg': skew_deg, 'was_upright': was_upright, 'brand_inverted': brand_inverted, 'per_region': per_region, 'brand_deg': brand_deg, 'warning_deg': warning_deg, 'reason': reason}}}})
   else to_json({{'record_id': v.record_id, 'overall_status': overall_status, 'fields': fields, 'preview': preview}}) end::varchar as result from v join rotations using (record_id) join reasons using (record_id)"""),
         "mapping_outcomes": base(f"{refs}{binned}{complete}, valid as (select record_id, concat_ws(',', {absent}) as missing, ({brand_ok} and (government_warning = '' or {like('government_warning', '(?i)' + V.HEADER)}) and concat_ws(',', {absent}) = '') as valid from complete) select v.record_id, case when not json_valid(payload) then 'bad_payload' when not valid then 'invalid' else 'mapped' end as outcome, case when json_valid(payload) and not valid then missing else '' end as missing from valid v join p using (record_id)"),
-        "rescue_recompare": base(f"""{refs}{binned}{_long(fuzzy=True)}, own as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as v from binned),
-fit as (select record_id, field_key, case when severity > 0 and (case field_key when 'brand_name' then {strip('v')} <> '' and {ml('v')} is null and not {warn('v')} when 'government_warning' then {like('v', '(?i)' + V.HEADER)} else true end) then {strip('v')} else '' end as v from own join long using (record_id, field_key)),
-saved as (select record_id, {', '.join(f"max(v) filter (field_key = {q(k)}) as s_{k}" for k in V.FIELDS)} from fit group by 1),
-again as materialized (select p.record_id, {', '.join(f"coalesce(nullif(s_{k}, ''), {k}) as {k}" for k in V.FIELDS)} from parsed p left join saved using (record_id)){_long('again', 'second', True)} {ROLLUP.format('second')}"""),
+        "rescue_recompare": base(f"{refs}{binned}{_long(fuzzy=True)}, {rescued('')}{_long('again', 'second', True)} {ROLLUP.format('second')}"),
+        "reads_source": base("select text, count(*) as n, 0.85::double as confidence from lines group by 1"),
+        "usage_snapshot": f"{grants('event_id')} select tenant, (sum(n) * any_value(case when tenant % 2 = 0 then 2 else 1 end))::bigint as used from f where granted group by tenant",
+        "quota_stream": f"{grants('ts, event_id')} select tenant, seq, n, granted, used from f",
+        "event_log": base(f"""{_long()}, verdicts as (select record_id, {status('max(severity)')} as status from long group by 1),
+told as (select record_id // 50 as batch_id, (record_id % 50 + 1)::int as k, 50::int as n, record_id, status from verdicts)
+select 'log' as type, batch_id, k, n, record_id, '[' || lpad(k::varchar, 3, '0') || '/050] ' || record_id as message from told union all select 'result', batch_id, k, n, record_id, status from told
+union all select 'done', null, null, count(*)::int, null, '{{"used": ' || count(*) || ', "remaining": ' || (1000000 - count(*)) || '}}' from told"""),
+        "model_rescue": base(f"""{refs.replace(K.BINS, answers)}{binned}{_long(fuzzy=True)}, {rescued('and record_id in (select record_id from asked where not failed)')}
+{_long('again', 'second', True)}, rolled as ({ROLLUP.format('second')}), fits as (select record_id, bool_or(v <> '') as kept_any from fit group by 1)
+select rolled.*, case when overall = 0 then 'no_targets' when failed then 'call_failed' when not kept_any then 'nothing_valid' else 'rescued' end as reason from rolled join asked using (record_id) join fits using (record_id)"""),
         "rescue_outcomes": base(f"""{refs}{binned}{_long()}, sev as (select record_id, field_key, severity from long), own as (select record_id, unnest({list(V.FIELDS)}) as field_key, unnest([{', '.join(V.FIELDS)}]) as v from binned),
 fit as (select record_id, field_key, severity, case field_key when 'brand_name' then {strip('v')} <> '' and {ml('v')} is null and not {warn('v')} when 'government_warning' then {like('v', '(?i)' + V.HEADER)} else {strip('v')} <> '' end as ok from own join sev using (record_id, field_key)),
 s as (select record_id, max(severity) as severity, bool_or(severity > 0 and ok) as any_ok from fit group by 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from veriframe.operators import lines as L
 from veriframe.operators import quota as Q
 from veriframe.operators import regions as R
 from veriframe.plans import corpus as K
-from veriframe.shared import written
+from veriframe.shared import shared_dir, written
 
 _QUERIES = {}
 
@@ -46,6 +48,11 @@ def claim_and_line(spark, sf, n: int) -> DataFrame:
     return K.claims(spark, sf).join(line(spark, sf, n).select("record_id", "text"), "record_id")
 
 
+def claims_and_lines(spark, sf) -> DataFrame:
+    """Claims beside every line of their read."""
+    return K.claims(spark, sf).join(K.lines(spark, sf).select("record_id", "line_id", "text"), "record_id")
+
+
 @query
 def abv_net_verdict(spark, sf):
     rows = claim_and_line(spark, sf, 4).join(line(spark, sf, 5).select("record_id", F.col("text").alias("volume")), "record_id")
@@ -61,17 +68,17 @@ def ws_normalize(spark, sf):
 
 @query
 def brand_normalize(spark, sf):
-    return line(spark, sf, 1).select("record_id", T.brand_fold(F.col("text")).alias("folded"))
+    return K.lines(spark, sf).select("record_id", "line_id", T.brand_fold(F.col("text")).alias("folded"))
 
 
 @query
 def ocr_fold(spark, sf):
-    return line(spark, sf, 1).select("record_id", T.confusion_fold(F.col("text")).alias("folded"))
+    return K.lines(spark, sf).select("record_id", "line_id", T.confusion_fold(F.col("text")).alias("folded"))
 
 
 @query
 def warning_fold(spark, sf):
-    return K.lines(spark, sf).filter("line_id in (6, 7, 8)").select("record_id", "line_id", T.warning_fold(F.col("text")).alias("folded"))
+    return K.lines(spark, sf).select("record_id", "line_id", T.warning_fold(F.col("text")).alias("folded"))
 
 
 @query
@@ -82,18 +89,18 @@ def token_sets(spark, sf):
 
 @query
 def token_jaccard(spark, sf):
-    return claim_and_line(spark, sf, 3).select("record_id", F.round(T.jaccard(T.tokens(F.col("class_type")), T.tokens(F.col("text"))), 6).alias("overlap"))
+    return claims_and_lines(spark, sf).select("record_id", "line_id", F.round(T.jaccard(T.tokens(F.col("class_type")), T.tokens(F.col("text"))), 6).alias("overlap"))
 
 
 @query
 def token_set_equal(spark, sf):
-    return claim_and_line(spark, sf, 1).select("record_id", T.same_set(T.tokens(F.col("brand_name")), T.tokens(F.col("text"))).alias("same"))
+    return claims_and_lines(spark, sf).select("record_id", "line_id", T.same_set(T.tokens(F.col("brand_name")), T.tokens(F.col("text"))).alias("same"))
 
 
 @query
 def garbled_flags(spark, sf):
     c = F.col("text")
-    return K.lines(spark, sf).filter("line_id <= 5").select("record_id", "line_id", T.is_garbled(c).alias("garbled"), T.is_garbled_prose(c).alias("garbled_prose"))
+    return K.lines(spark, sf).select("record_id", "line_id", T.is_garbled(c).alias("garbled"), T.is_garbled_prose(c).alias("garbled_prose"))
 
 
 @query
@@ -147,7 +154,7 @@ def parsed_fields(spark, sf):
 @query
 def text_field_verdict(spark, sf):
     r = C.text_rule(F.col("class_type"), F.col("text"))
-    return claim_and_line(spark, sf, 3).select("record_id", r["severity"].alias("severity"), r["reason"].alias("reason"))
+    return claims_and_lines(spark, sf).select("record_id", "line_id", r["severity"].alias("severity"), r["reason"].alias("reason"))
 
 
 @query
@@ -160,7 +167,7 @@ def warning_verdict(spark, sf):
 @query
 def brand_verdict_norm(spark, sf):
     r = C.brand_rule(F.col("brand_name"), C.brand_shown(F.col("text")), None)
-    return claim_and_line(spark, sf, 1).select("record_id", r["severity"].alias("severity"), r["reason"].alias("reason"))
+    return claims_and_lines(spark, sf).select("record_id", "line_id", r["severity"].alias("severity"), r["reason"].alias("reason"))
 
 
 @query
@@ -201,8 +208,7 @@ def repaired_text(spark, sf):
 
 @query
 def merged_warning(spark, sf):
-    both = K.reads(spark, sf).join(line(spark, sf, 6).select("record_id", F.col("text").alias("second")), "record_id")
-    return both.select("record_id", T.merge_warning(F.col("text"), F.concat(F.lit("noise "), F.col("second"))).alias("text"))
+    return K.reads(spark, sf).select("record_id", T.merge_warning(F.col("text"), F.concat(F.lit("noise "), F.col("text"))).alias("text"))
 
 
 @query
@@ -280,7 +286,7 @@ def positional_pair(spark, sf):
 
 @query
 def hash_pair(spark, sf):
-    p = parsed(spark, sf).filter("record_id % 3 != 0").select("record_id", F.col("net_contents").alias("read"))
+    p = parsed(spark, sf).select("record_id", F.col("net_contents").alias("read"))
     return K.claims(spark, sf).select("record_id", "net_contents").join(p, "record_id")
 
 
@@ -546,8 +552,8 @@ def claims_from_json(spark, sf):
 def detection_tuples(spark, sf):
     from veriframe.sources.connectors import detections
 
-    rows = line(spark, sf, 2).select("record_id", F.when(F.col("record_id") % 2 == 0, F.to_json(F.array(F.lit("[]"), "text", F.lit("0.5")))).otherwise(F.to_json(F.array(F.lit("[]"), "text"))).alias("detection"))
-    return detections(rows).select("record_id", "text", "confidence")
+    rows = K.lines(spark, sf).select("record_id", "line_id", F.when(F.col("record_id") % 2 == 0, F.to_json(F.array(F.lit("[]"), "text", F.lit("0.5")))).otherwise(F.to_json(F.array(F.lit("[]"), "text"))).alias("detection"))
+    return detections(rows).select("record_id", "line_id", "text", "confidence")
 
 
 @query
@@ -557,3 +563,72 @@ def order_totals_verdict(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
     severity = F.when(F.col("total").isNull(), C.REVIEW).when(F.abs(F.col("total") - F.col("o_totalprice")) < 50000, C.PASS).otherwise(C.FAIL)
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(C.status(severity).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def reads_source(spark, sf):
+    """Lines of a folder of files, through the data source of reads: how often each stands there."""
+    from veriframe.sources import reads
+
+    reads.register(spark)
+    folder = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}"
+    K.lines(spark, sf).select("text").write.text(folder)
+    found = spark.read.format(reads.NAME).schema("text string, confidence double").option("path", folder).load()
+    return found.groupBy("text").agg(F.count("*").alias("n"), F.min("confidence").alias("confidence"))
+
+
+@query
+def usage_snapshot(spark, sf):
+    """Grants in two versions of the counter: all tenants, then those of even number again."""
+    from veriframe.sources.usage import read_usage, write_usage
+
+    path = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
+    granted = Q.reserve(K.requests(spark, sf), 10)
+    write_usage(granted, path, 1)
+    write_usage(granted.filter("tenant % 2 = 0"), path, 2, read_usage(spark, path))
+    return read_usage(spark, path)
+
+
+@query
+def event_log(spark, sf):
+    """The events of a stream of verdicts, in batches of 50 records, written by the sink and read back."""
+    from veriframe.streaming.events import emit, read_events
+
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    batch, record = F.expr("record_id div 50"), F.col("record_id")
+    verdicts = record_rollup(spark, sf).select(batch.alias("batch_id"), (record % 50 + 1).cast("int").alias("k"), F.lit(50).alias("n"), "record_id", F.col("overall_status").alias("status"))
+    verdicts.write.parquet(f"{path}/results")
+    emit(spark.readStream.schema(verdicts.schema).parquet(f"{path}/results"), f"{path}/log", f"{path}/checkpoint", limit=1_000_000).awaitTermination()
+    return read_events(spark, f"{path}/log").drop("micro_batch")
+
+
+@query
+def quota_stream(spark, sf):
+    """Quotas of a stream of requests: in order of time within a tenant, whatever the order of arrival."""
+    from veriframe.streaming.verify import quota_stream
+
+    path = f"{shared_dir(spark)}/quota-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id as tenant", "event_id as seq", "1 + event_id % 4 as n", "cast(ts as timestamp) as ts")
+    # a request of nobody, later than all, lets the watermark pass the last one
+    last = events.agg(F.expr("max(ts) + interval 1 day").alias("ts")).select(F.lit(-1).cast("long").alias("tenant"), F.lit(0).cast("long").alias("seq"), F.lit(1).cast("long").alias("n"), "ts")
+    events.unionByName(last).write.parquet(f"{path}/requests")
+    grants = quota_stream(spark.readStream.schema(events.schema).parquet(f"{path}/requests"), 10)
+    grants.writeStream.format("parquet").option("path", f"{path}/grants").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(grants.schema).parquet(f"{path}/grants").filter("tenant >= 0")
+
+
+def _stub_model(prompt: str) -> str:
+    """Stands for a language model: fails on lines with an address."""
+    if "www." in prompt:
+        raise RuntimeError("no answer")
+    return K.STUB_ANSWER
+
+
+@query
+def model_rescue(spark, sf):
+    """Unclear fields re-mapped by a model's answers: verdicts, and why a record has none."""
+    from veriframe.sources import models
+
+    claims, reads, p = K.claims(spark, sf), K.reads(spark, sf), written(parsed(spark, sf).drop("raw_lines"))
+    compared = written(C.compare(claims, p))
+    return models.rescue(claims, reads, p, compared, _stub_model, f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
