@@ -62,7 +62,7 @@ ALLOWED_BEFORE = (
     rb"(?i)(?:https?://|www\.)[^\x00-\x20\"'<>]*$",
 )
 #: What reads as a word in a name: capitalised or long ones, and whole pieces between signs.
-WORDS = rb"[A-Z][a-z]{2,}|[a-z]{6,}|[A-Z]{14,}|(?<![A-Za-z0-9])(?:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[a-z]{2,}(?=[A-Z])"
+WORDS = rb"[A-Z][a-z]{2,}|[a-z]{8,}|[A-Z]{14,}|(?<![A-Za-z0-9])(?:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9])|(?<![A-Za-z0-9])[a-z]{2,}(?=[A-Z])"
 #: A name is made of words: this share of its letters stands in some.
 WORDY = 0.7
 
