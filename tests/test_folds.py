@@ -193,3 +193,37 @@ def test_improved_and_clarified_brand(spark):
     assert got == {0: "Old Lantern Distillery\n45%", 1: "Old Lantern Distillery\nSmall Batch\nRye Whiskey", 2: "Old Lantern Distillery\n45%", 3: "", 4: "Blue Heron\n45%"}
     shown = {r["record_id"]: r["text"] for r in Br.clarified(reads, claims).collect()}
     assert shown[0].startswith("Old Lantern Distillery  [script OCR read: 01d") and shown[2] == "Old Lantern Distillery\n45%" and shown[4] == "Blue Heron\n45%"
+
+
+def test_group_words_of_a_long_record(spark):
+    """A record of 60,000 words: lines by the loop, and no array longer than a segment's."""
+    rng = random.Random(6)
+    rows = [(1, i, f"w{i}", 0.5, float(rng.randint(0, 800)), float((i // 12) * 30 + rng.randint(-4, 4))) for i in range(60_000)]
+    df = spark.createDataFrame([(r, w, t, c, x, y, x + 20, y + 10) for r, w, t, c, x, y in rows], "record_id long, word_id int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    out = L.group_words(df.repartition(8)).orderBy("line_no").collect()
+    own = sorted(((y + 5.0, x + 10.0, w) for _, w, _, _, x, y in rows))
+    groups, at = [], None
+    for cy, cx, w in own:
+        if at is not None and abs(cy - at) <= 8:
+            groups[-1].append((cx, w))
+            at = (at + cy) / 2
+        else:
+            groups.append([(cx, w)])
+            at = cy
+    assert [r["text"] for r in out] == [" ".join(f"w{w}" for _, w in sorted(g)) for g in groups]
+    assert [r["line_no"] for r in out] == list(range(1, len(groups) + 1))
+
+
+def test_upper_median_under_skew(spark):
+    """Equal values, near ones beside an outlier, few distinct ones, small keys: the element at n // 2, in rounds."""
+    rng = random.Random(8)
+    by = {
+        "near": [1.0 + rng.random() * 1e-6 for _ in range(20_000)] + [1e12], "equal": [5.0] * 15_001, "two": [1.0] * 5000 + [2.0] * 5000, "few": [float(rng.randint(0, 3)) for _ in range(9000)],
+        "wide": [rng.choice((-1, 1)) * 10 ** rng.uniform(-300, 300) for _ in range(12_000)], "one": [7.25], "pair": [1.0, 2.0], None: [3.0, 1.0, 2.0],
+    }
+    rows = [(k, v) for k, vs in by.items() for v in vs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(8)
+    for most in (50, 100_000):
+        got = {r["k"]: r["v"] for r in L.upper_value(df, "k", "v", most).collect()}
+        assert got == {k: sorted(vs)[len(vs) // 2] for k, vs in by.items()}
+    assert L.upper_value(df.limit(0), "k", "v").count() == 0

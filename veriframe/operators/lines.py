@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
 from veriframe.operators.extract import once
+from veriframe.shared import written
 
 _ORDER = ("y_center", "x_min", "line_id")
 
@@ -81,31 +82,51 @@ def warning_block(lines: DataFrame, max_gap: float = V.GAP_FULL) -> DataFrame:
     return collected(lines).select("record_id", block.alias("warning"))
 
 
+def _line_starts(words: Column, tol: Column) -> Column:
+    """Places (from 0) of the words of a segment that begin a line: a word joins if it is near the line's running centre."""
+    start = F.struct(F.lit(None).cast("double").alias("c"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        joins = F.coalesce(F.abs(x["cy"] - acc["c"]) <= tol, F.lit(False))
+        moved = F.struct(((acc["c"] + x["cy"]) / 2.0).alias("c"), acc["at"].alias("at"))
+        return F.when(joins, moved).otherwise(F.struct(x["cy"].alias("c"), F.concat(acc["at"], F.array(x["i"])).alias("at")))
+
+    return F.aggregate(F.transform(words, lambda x, i: F.struct(x["cy"].alias("cy"), i.alias("i"))), start, step)["at"]
+
+
 def group_words(words: DataFrame) -> DataFrame:
     """Lines from word boxes (record_id, word_id, text, confidence, x0, y0, x1, y1).
 
     Words by centre, top to bottom; one joins the current line if its centre is within the tolerance of the
     line's running centre, which then moves half way to it. Tolerance: .65 of the upper median height, 8 at
     least. Out: record_id, line_no, text, confidence (mean), x_min, y_min, x_max, y_max.
-    """
-    item = F.struct(((F.col("y0") + F.col("y1")) / 2.0).alias("cy"), ((F.col("x0") + F.col("x1")) / 2.0).alias("cx"), "word_id", "text", "confidence", "x0", "y0", "x1", "y1")
-    heights = F.array_sort(F.collect_list((F.col("y1") - F.col("y0")).cast("double")))
-    by = words.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("w"), heights.alias("h"))
-    by = by.withColumn("tol", F.greatest(F.coalesce(F.try_element_at("h", (F.size("h") / 2).cast("int") + 1), F.lit(20.0)) * 0.65, F.lit(8.0)))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("c"), F.array().cast("array<int>").alias("of"))
 
-    def step(acc: Column, x: Column) -> Column:
-        joins = F.coalesce(F.abs(x["cy"] - acc["c"]) <= F.col("tol"), F.lit(False))
-        n = F.when(joins, acc["n"]).otherwise(acc["n"] + 1)
-        c = F.when(joins, (acc["c"] + x["cy"]) / 2.0).otherwise(x["cy"])
-        return F.struct(n.alias("n"), c.alias("c"), F.concat(acc["of"], F.array(n)).alias("of"))
-
-    by = by.withColumn("of", F.aggregate("w", start, step)["of"])
-    each = by.select("record_id", F.explode(F.arrays_zip("w", "of")).alias("z")).select("record_id", F.col("z.of").alias("line_no"), "z.w.*")
-    own = F.array_sort(F.collect_list(F.struct("cx", "word_id", "text")))
-    return each.groupBy("record_id", "line_no").agg(
-        F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"), F.avg("confidence").alias("confidence"),
-        F.min("x0").alias("x_min"), F.min("y0").alias("y_min"), F.max("x1").alias("x_max"), F.max("y1").alias("y_max"),
+    A running centre is never below the word before, so a gap above the tolerance always ends a line: such gaps cut a record into segments that are
+    folded apart. A record of any length is sorted (and spilled) by Spark and never held as a whole; a fold keeps line starts only.
+    """
+    height = (F.col("y1") - F.col("y0")).cast("double")
+    median = upper_value(words.select("record_id", height.alias("h")), "record_id", "h").withColumnRenamed("v", "h")
+    tol = F.greatest(F.coalesce("h", F.lit(20.0)) * 0.65, F.lit(8.0))
+    centred = words.withColumns({"cy": (F.col("y0") + F.col("y1")) / 2.0, "cx": (F.col("x0") + F.col("x1")) / 2.0})
+    rows = centred.join(median, "record_id", "left").withColumn("tol", tol).drop("h")
+    order = Window.partitionBy("record_id").orderBy("cy", "cx", "word_id")
+    apart = F.coalesce(F.col("cy") - F.lag("cy").over(order) > F.col("tol"), F.lit(False)).cast("long")
+    rows = rows.withColumn("apart", apart).withColumn("segment", F.sum("apart").over(order))
+    item = F.struct("cy", "cx", "word_id", "text", "confidence", "x0", "y0", "x1", "y1")
+    by = rows.groupBy("record_id", "segment", "tol").agg(F.array_sort(F.collect_list(item)).alias("w"))
+    by = once(by, at=_line_starts(F.col("w"), F.col("tol")))
+    before = F.sum(F.size("at")).over(Window.partitionBy("record_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    by = by.withColumn("before", F.coalesce(before, F.lit(0)).cast("int"))
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("w")))
+    lines = by.select("record_id", "before", "w", F.posexplode(F.arrays_zip(F.col("at").alias("at"), ends.alias("to"))).alias("k", "z"))
+    lines = once(lines, own=F.slice("w", F.col("z.at") + 1, F.col("z.to") - F.col("z.at")))
+    text = F.transform(F.array_sort(F.transform("own", lambda x: F.struct(x["cx"], x["word_id"], x["text"]))), lambda x: x["text"])
+    known = F.filter("own", lambda x: x["confidence"].isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.nullif(F.size(known), F.lit(0))
+    least, most = (lambda c: F.array_min(F.col(f"own.{c}"))), (lambda c: F.array_max(F.col(f"own.{c}")))
+    return lines.select(
+        "record_id", (F.col("before") + F.col("k") + 1).alias("line_no"), F.array_join(text, " ").alias("text"), mean.alias("confidence"),
+        least("x0").alias("x_min"), least("y0").alias("y_min"), most("x1").alias("x_max"), most("y1").alias("y_max"),
     )
 
 
@@ -156,22 +177,54 @@ def merged_reads(brand: DataFrame, warning: DataFrame) -> DataFrame:
     return rows.select("record_id", text.alias("text"), F.concat(first, fresh(F.col("w.raw_lines"))).alias("raw_lines"))
 
 
-def upper_median(df: DataFrame, key: str, value: str, parts: int = 256) -> DataFrame:
-    """The element at n // 2 of a key's sorted values, rounded to three places.
+#: Cuts of a sketch, its accuracy, and the rows of a key that are sorted in one task at most.
+CUTS, ACCURACY, SORTED = 1000, 10_000, 100_000
+
+
+def upper_value(df: DataFrame, key: str, value: str, most: int = SORTED) -> DataFrame:
+    """key and v: the element at n // 2 of a key's sorted values, exactly; nulls are left out.
 
-    A key's values fall into ``parts`` ranges of equal width. They are counted first; only the range that holds the
-    rank is sorted, so a key with most of the rows isn't sorted in one task.
+    A key of more than ``most`` values is narrowed first: a sketch (merged on the map side) gives cuts by count, the cuts around the rank are
+    counted exactly, and either one of them is the answer or only the values between them remain. That is about a hundredth or
+    less, whatever the values' distances and however many are equal, so a few rounds are enough; then the rest is sorted.
     """
-    rows = df.select(key, F.col(value).cast("double").alias("v")).filter("v is not null")
-    ends = rows.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    width = (F.col("high") - F.col("low")) / F.lit(parts)
-    part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(parts - 1))).otherwise(0).cast("int")
-    dealt = rows.join(ends, key).withColumn("part", part)
-    counts = dealt.groupBy(key, "part").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    w = Window.partitionBy(key).orderBy("part")
-    counts = counts.withColumn("before", F.sum("c").over(w) - F.col("c")).withColumn("rank", F.expr("n div 2 + 1") - F.col("before"))
-    chosen = counts.filter("rank between 1 and c").select(key, "part", "rank")
-    each = dealt.groupBy(key, "part", "v").agg(F.count("*").alias("c")).join(chosen, [key, "part"])
-    upto = F.sum("c").over(Window.partitionBy(key).orderBy("v"))
-    found = each.withColumn("upto", upto).filter("upto >= rank").groupBy(key).agg(F.min("v").alias("v"))
-    return found.select(key, F.round("v", 3).alias("median"))
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    none = F.lit(None).cast("double")
+    state = rows.groupBy("k").agg(F.count("*").alias("n"))
+    state = state.select("k", "n", F.expr("n div 2 + 1").alias("rank"), none.alias("low"), none.alias("high"), none.alias("found"))
+    within = (F.coalesce(F.col("v") > F.col("low"), F.lit(True))) & (F.coalesce(F.col("v") < F.col("high"), F.lit(True)))
+
+    def inside(bounds: DataFrame) -> DataFrame:
+        return rows.join(bounds.withColumnRenamed("k", "of"), F.col("k").eqNullSafe(F.col("of"))).filter(within).drop("of")
+
+    while not state.filter(F.col("found").isNull() & (F.col("n") > most)).isEmpty():
+        wide = F.col("found").isNull() & (F.col("n") > most)
+        shares = [i / CUTS for i in range(CUTS + 1)]
+        cuts = inside(state.filter(wide)).groupBy("k", "n", "rank", "low", "high").agg(F.percentile_approx("v", shares, ACCURACY).alias("c"))
+        near = F.lit(CUTS) * (F.col("rank") / F.col("n"))
+        slack = 2 * CUTS / ACCURACY
+        at = lambda i: F.get("c", F.least(F.greatest(i, F.lit(0)), F.lit(CUTS)).cast("int"))
+        cut = cuts.withColumns({"a": at(F.floor(near - slack - 1)), "b": at(F.ceil(near + slack + 1))}).drop("c")
+        tally = {"less": F.col("v") < F.col("a"), "first": F.col("v") == F.col("a"), "between": (F.col("v") > F.col("a")) & (F.col("v") < F.col("b")), "last": (F.col("v") == F.col("b")) & (F.col("a") < F.col("b"))}
+        told = inside(cut).groupBy("k", "n", "rank", "low", "high", "a", "b").agg(*[F.count_if(c).alias(name) for name, c in tally.items()])
+        r, less, first, between, last = (F.col(c) for c in ("rank", "less", "first", "between", "last"))
+        steps = (
+            (r <= less, less, r, "low", "a", none), (r <= less + first, less, r, "low", "a", F.col("a")),
+            (r <= less + first + between, between, r - less - first, "a", "b", none), (r <= less + first + between + last, between, r, "a", "b", F.col("b")),
+        )
+        made = lambda n, rank, low, high, found: F.struct(n.cast("long").alias("n"), rank.cast("long").alias("rank"), F.col(low).alias("low"), F.col(high).alias("high"), found.alias("found"))
+        over = F.col("n") - less - first - between - last
+        chosen = made(over, r - (F.col("n") - over), "b", "high", none)
+        for cond, *values in reversed(steps):
+            chosen = F.when(cond, made(*values)).otherwise(chosen)
+        state = written(told.select("k", chosen.alias("s")).select("k", "s.*").unionByName(state.filter(~wide)))
+    each = inside(state.filter("found is null")).groupBy("k", "rank", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy("v"))
+    sorted_ones = each.withColumn("upto", upto).filter("upto >= rank").groupBy("k").agg(F.min("v").alias("v"))
+    both = sorted_ones.unionByName(state.filter("found is not null").select("k", F.col("found").alias("v")))
+    return both.select(F.col("k").alias(key), "v")
+
+
+def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key and median: the element at n // 2 of a key's sorted values, rounded to three places."""
+    return upper_value(df, key, value).select(key, F.round("v", 3).alias("median"))
