@@ -75,6 +75,10 @@ CLASS_REVIEW, WARNING_REVIEW = 0.88, 0.85
 PREVIEW = 500
 GAP_FULL, GAP_REGION = 28.0, 40.0
 
+#: Small turns in degrees that are tried, in this order, on a text that wasn't turned, and on one that was.
+SKEWS = (-15, -12, -9, -6, -3, 3, 6, 9, 12, 15)
+SKEWS_TURNED = (-6, -3, 3, 6)
+
 
 def any_of(words) -> str:
     """A pattern that finds any of the words as a part of the text."""

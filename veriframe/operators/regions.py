@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
+from veriframe.functions import vocab as V
 
 PAD = 8
 SPLIT = 0.48
@@ -156,6 +157,34 @@ def best_skew(candidates: DataFrame, readable: float | None = None) -> DataFrame
     return by.select("record_id", F.when(good, F.col("best.skew")).otherwise(0).alias("skew"), F.when(good, F.col("best.worth")).otherwise(F.col("base")).alias("score"))
 
 
+def coarse_turns(records: DataFrame) -> DataFrame:
+    """record_id, angle and skew of the first reads of a record: upright and by quarter turns."""
+    return records.select("record_id", F.explode(F.array(*[F.lit(a) for a in (0, 90, 180, 270)])).alias("angle"), F.lit(0).alias("skew"))
+
+
+def fine_turns(picked: DataFrame, narrow: bool = False) -> DataFrame:
+    """record_id, angle, pos and skew of the second reads: small turns around the angle that the first reads chose (``best_read``).
+
+    A text that was turned by quarters, and any text with ``narrow``, gets the shorter list.
+    """
+    listed = lambda skews: F.array(*[F.lit(a) for a in skews])
+    skews = listed(V.SKEWS_TURNED) if narrow else F.when(F.col("angle") == 0, listed(V.SKEWS)).otherwise(listed(V.SKEWS_TURNED))
+    return picked.select("record_id", "angle", F.posexplode(skews).alias("pos", "skew"))
+
+
+def turn_search(candidates: DataFrame, readable: float | None = None, narrow: bool = False) -> DataFrame:
+    """record_id, angle, skew, score: of candidates (record_id, angle, skew, text, score) the best quarter turn, then the best small turn at it.
+
+    The second pass looks at the candidates of ``fine_turns`` only; ``readable`` as in ``best_skew``. Where reads cost much, read ``coarse_turns`` first, then
+    the ``fine_turns`` of what ``best_read`` picks of them.
+    """
+    first = best_read(candidates.filter("skew = 0").drop("skew")).select("record_id", "angle")
+    second = candidates.join(fine_turns(first, narrow), ["record_id", "angle", "skew"])
+    base = candidates.filter("skew = 0").join(first, ["record_id", "angle"]).withColumn("pos", F.lit(-1))
+    each = second.unionByName(base).select("record_id", "pos", "skew", "text", "score")
+    return best_skew(each, readable).join(first, "record_id").select("record_id", "angle", "skew", "score")
+
+
 def orientation(scored: DataFrame, margin: float = 0.05) -> DataFrame:
     """How a record is read: record_id, decision, and the columns of a rotation (see compare.ROTATION).
 

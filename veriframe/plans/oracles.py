@@ -524,6 +524,14 @@ i as (select p_partkey as record_id, (800 + p_partkey % 1000)::int as img_w from
 select record_id, role, greatest(x0 - 8, 0) as x0, greatest(y0 - 8, 0) as y0, least(x1 + 8, 1800) as x1, least(y1 + 8, 950) as y1 from r
 union all select record_id, 'brand', 0, 0, floor(img_w * 0.48)::int, 950 from n union all select record_id, 'warning', floor(img_w * 0.48)::int, 0, img_w, 950 from n""",
         "rotation_read": base(f", {turned}, gated as (select *, max(up) over (partition by record_id) as upright from worths), kept as (select *, max(case when angle = 0 then score end) over (partition by record_id) as base from gated where not upright or angle = 0) select record_id, angle, upright, floor(score * 1e6::double + 0.3::double)::bigint as score from kept where {worth_it} qualify row_number() over (partition by record_id order by score desc, angle) = 1"),
+        "turn_search": base(f""", {turned}, gated as (select *, max(up) over (partition by record_id) as upright from worths),
+kept as (select *, max(case when angle = 0 then score end) over (partition by record_id) as base from gated where not upright or angle = 0),
+coarse as (select record_id, angle, score as base from kept where {worth_it} qualify row_number() over (partition by record_id order by score desc, angle) = 1),
+fine as (select record_id, angle, base, text, raw * length(text) / 3.0::double as s, unnest(case when angle = 0 then {list(V.SKEWS)} else {list(V.SKEWS_TURNED)} end) as skew from coarse join turned using (record_id, angle)),
+w as (select *, s * (1.0::double + ((record_id + angle + skew + 15) % 7 - 2) / 20.0::double) * (0.25::double + 0.75::double * ({readability('text')})) as worth from fine),
+z as (select record_id, angle, base, arg_max({{'worth': worth, 'skew': skew}}, {{'worth': worth, 'k': -skew}}) as best from w group by 1, 2, 3),
+g as (select *, best.worth > base and case when abs(best.skew) <= 3 then false when abs(best.skew) >= 6 then best.worth - base >= 0.03 else best.worth - base >= 0.05 end as good from z)
+select record_id, angle, case when good then best.skew else 0 end::int as skew, floor((case when good then best.worth else base end) * 1e6::double + 0.3::double)::bigint as score from g"""),
         "skew_pick": base(f""", a as ({K.ANGLES_DUCKDB}), w as (select record_id, angle as pos, case when angle = 90 then 0 else angle // 30 - 3 end as skew, (1.0::double + score / 10) * (0.25::double + 0.75::double * ({readability('text')})) as worth from a join reads using (record_id)),
 z as (select record_id, max(worth) filter (skew = 0) as base, arg_max({{'worth': worth, 'skew': skew}}, {{'worth': worth, 'k': -pos}}) filter (skew <> 0) as best from w group by 1),
 g as (select *, best.worth > base and case when abs(best.skew) <= 3 then false when abs(best.skew) >= 6 then best.worth - base >= 0.03 else best.worth - base >= 0.05 end as good from z)

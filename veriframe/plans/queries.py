@@ -388,6 +388,16 @@ def skew_pick(spark, sf):
     return R.best_skew(found).select("record_id", "skew", millionths("score"))
 
 
+@query
+def turn_search(spark, sf):
+    """Quarter turns first, then small turns around the best, by the list of its kind."""
+    skews = F.explode(F.array(*[F.lit(a) for a in sorted([0, *V.SKEWS])])).alias("skew")
+    each = _turned(spark, sf).select("record_id", "angle", "text", "score", skews)
+    lean = F.when(F.col("skew") == 0, 0.0).otherwise((F.col("record_id") + F.col("angle") + F.col("skew") + 15) % 7 - 2)
+    found = R.turn_search(each.withColumn("score", F.col("score") * (F.lit(1.0) + lean / 20.0)))
+    return found.select("record_id", "angle", "skew", millionths("score"))
+
+
 def _rotations(spark, sf) -> DataFrame:
     a = K.angles(spark, sf)
     whole = R.best_rotation(a.filter("record_id % 3 != 1 or angle = 0")).select("record_id", "angle", (F.col("record_id") % 5 == 0).alias("upright"))
