@@ -5,8 +5,10 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import compare, duck
 from veriframe.llm import op11_merkle as op
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, row string, digest int, level binary"
 
 
@@ -81,10 +83,11 @@ def test_against_whole_trees(spark, stride):
 
 
 def test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = op.audit(docs)
     assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     assert ordered(map(tuple, got.collect())) == ordered(brute([r.asDict() for r in docs.collect()]))
+    assert compare(spark, duck(SF), "op11", lambda s, d: got, op.ORACLE_SQL, SF) is None
 
 
 def test_manifest_proves_each_row(spark):

@@ -109,10 +109,11 @@ def test_allow_list():
 def test_recall_on_random_keys_and_prose():
     rng = random.Random(3)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    for alphabet, n in ((letters, 32), (letters, 40), ("0123456789ABCDEF", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("abcdefghijklmnopqrstuvwxyz0123456789", 32)):
+    single = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789")
+    for alphabet, n, least in ((letters, 32, 0.95), (letters, 40, 0.95), ("0123456789ABCDEF", 40, 0.99), (single[0], 32, 0.93), (single[1], 32, 0.9)):
         keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(500)]
         found = [any(k == "entropy" for k, _, _ in s) for s in op.find([f"then {k} came".encode() for k in keys])]
-        assert sum(found) >= 0.93 * len(keys), (alphabet, n, sum(found))
+        assert sum(found) >= least * len(keys), (alphabet, n, sum(found))
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=range(26, 0, -1), k=rng.randint(2, 28))) for _ in range(5000)]
     assert not any(op.find([" ".join(words).encode(), " ".join(words).upper().encode()]))
 

@@ -166,3 +166,45 @@ def audit(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     folded = fold(F.coalesce(F.col("row.now"), F.col("leaf")), F.col("proof"))
     out = proved.select("row.doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _oracle_tree(name: str, leaves: str) -> str:
+    """Tables of DuckDB: name_nodes (lv, g, at, digest), name_runs (lv, g, run, ds) of nodes that are hashed together, name_tops (g, digest)."""
+    return f"""{name}_nodes as materialized (
+  select 0 as lv, g, at_ as spot, digest from {leaves}
+  union all
+  select lv + 1, g, spot // {FANOUT}, sha256(string_agg(digest, '' order by spot)) from (select *, count(*) over (partition by g) as c from {name}_nodes) where c > 1 group by lv, g, spot // {FANOUT}),
+{name}_runs as materialized (
+  select lv, g, spot // {FANOUT} as run, list(digest order by spot) as ds from (select *, count(*) over (partition by lv, g) as c from {name}_nodes) where c > 1 group by lv, g, spot // {FANOUT}),
+{name}_tops as materialized (select g, arg_max(digest, lv) as digest from {name}_nodes where spot = 0 group by g)"""
+
+
+def _oracle_walk(name: str, tree: str, start: str) -> str:
+    """A table of each leaf's way up a tree: id, node (folded) and proof; the last step counts."""
+    return f"""{name} as (
+  select id, 0 as lv, g, spot, node, proof from {start}
+  union all
+  select id, w.lv + 1, w.g, spot // {FANOUT}, sha256(array_to_string(ds[1:spot % {FANOUT}], '') || node || array_to_string(ds[spot % {FANOUT} + 2:], '')),
+    proof || array_to_string(ds[1:spot % {FANOUT}], '') || array_to_string(ds[spot % {FANOUT} + 2:], '')
+  from {name} w join {tree}_runs r on r.lv = w.lv and r.g = w.g and r.run = w.spot // {FANOUT}),
+{name}_done as materialized (select id, any_value(g) as g, arg_max(node, lv) as node, arg_max(proof, lv) as proof from {name} group by id)"""
+
+
+def _oracle_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)) + ")"
+
+
+_CRC_BYTE = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda v, z: xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end))"
+#: The same manifest in DuckDB's SQL: all levels of all trees, and each leaf's way up.
+ORACLE_SQL = f"""with recursive docs as materialized (
+  select row_number() over () as id, doc_id, coalesce('=' || source, '-') as g, {_oracle_leaf('text')} as digest, {_oracle_leaf("replace(text, chr(10), '')")} as changed,
+    (list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint)), lambda c, b: {_CRC_BYTE}) & 1) = 1 as hit from documents),
+leaves as materialized (select *, row_number() over (partition by g order by doc_id nulls first, digest, id) - 1 as at_ from docs),
+{_oracle_tree('own', 'leaves')},
+subroots as materialized (select '' as g, row_number() over (order by g) - 1 as at_, g as of_group, digest from own_tops),
+{_oracle_tree('top', 'subroots')},
+{_oracle_walk('low', 'own', "(select id, g, at_ as spot, case when hit then changed else digest end as node, '' as proof from leaves)")},
+{_oracle_walk('high', 'top', "(select id, s.g, at_ as spot, node, proof from low_done d join subroots s on d.g = s.of_group)")}
+select doc_id, leaves.digest as leaf, o.digest as subroot, t.digest as root, sha256(h.proof) as proof_sha256, h.node as folded_root, h.node = t.digest as verified
+from leaves join high_done h using (id) join own_tops o on o.g = leaves.g cross join top_tops t
+"""

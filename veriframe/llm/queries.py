@@ -94,6 +94,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from veriframe.llm import op10_mixing, op13_divergence
+    from veriframe.llm import op10_mixing, op11_merkle, op13_divergence
 
-    return {"op10_source_mixing": op10_mixing.ORACLE_SQL, "op13_source_divergence": op13_divergence.ORACLE_SQL}
+    return {"op10_source_mixing": op10_mixing.ORACLE_SQL, "op11_merkle_manifest": op11_merkle.ORACLE_SQL, "op13_source_divergence": op13_divergence.ORACLE_SQL}
