@@ -92,3 +92,38 @@ def test_against_all_earlier_positions(spark):
     docs.sort()
     docs += [(5000 + d, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for d in range(60)]
     assert all(check(spark, docs)[100 * k + 9] == {1, 2, 3} for k in range(12))
+
+
+def test_windows_select_the_same_grams():
+    """Equal runs of three lines select the same gram in any surroundings; about two grams of three are selected."""
+    from veriframe.llm.common import WordHasher
+
+    rng, hasher = random.Random(2), WordHasher()
+    lines = [[f"{rng.randint(0, 10**9)}".encode()] for _ in range(6000)]
+    rows = list(op.marks(lines, hasher))
+    assert 0.6 * len(lines) < len(rows) < 0.72 * len(lines)
+    windows = {(v, -1, b): p - 1 for v, p, n, b, a in rows if b is not None} | {(v, 1, a): p for v, p, n, b, a in rows if a is not None}
+    assert sorted(windows.values()) == list(range(len(lines) - 2))
+    for at in range(0, 5900, 50):
+        own = list(op.marks([[b"x"], *lines[at : at + 3], [b"y"]], hasher))
+        keys = {(v, -1, b): p - 1 for v, p, n, b, a in own if b is not None} | {(v, 1, a): p for v, p, n, b, a in own if a is not None}
+        assert {p: k for k, p in keys.items()}[1] in windows
+    assert list(op.marks(lines[:2], hasher)) == []
+
+
+def test_matches_are_extended_to_whole_runs(spark):
+    """A copied passage of 30 lines is one run, between strange lines and after fragments of it elsewhere."""
+    passage = [f"line {i} of it" for i in range(30)]
+    docs = [(1, passage[4:9]), (2, ["a", *passage, "b"]), (3, ["c", "d", *passage, "e"])]
+    df = spark.createDataFrame([(d, "\n".join(t)) for d, t in docs], "doc_id long, text string")
+    from veriframe.llm.common import content_key
+
+    runs = {r["doc_id"]: sorted((x["from"], x["to"]) for x in r["runs"]) for r in op.repeated_runs(content_key(df)).collect()}
+    assert runs == {2: [(5, 9)], 3: [(2, 7), (6, 10), (9, 31)]}
+
+
+def test_very_long_text_and_two_texts_of_one_id(spark):
+    long = "\n".join(f"row {i}" for i in range(40_000))
+    docs = [(1, long), (2, long + "\nend"), (3, "a a\nb b\nc c\nd d"), (3, "z\na a\nb b\nc c")]
+    rows = op.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_deleted"]) for r in rows) in ([(1, 40_000, 0), (2, 40_001, 40_000), (3, 4, 0), (3, 4, 3)],)
