@@ -227,3 +227,32 @@ def test_upper_median_under_skew(spark):
         got = {r["k"]: r["v"] for r in L.upper_value(df, "k", "v", most).collect()}
         assert got == {k: sorted(vs)[len(vs) // 2] for k, vs in by.items()}
     assert L.upper_value(df.limit(0), "k", "v").count() == 0
+
+
+def test_box_merge_in_clusters(spark):
+    """Clusters give what one fold gives: scattered boxes, touching ones, chains and a crowd."""
+    rng = random.Random(12)
+
+    def some(n, canvas, most):
+        out = []
+        for i in range(n):
+            x, y, w, h = rng.randrange(canvas), rng.randrange(canvas), rng.randint(1, most), rng.randint(1, most)
+            out += [(i, x, y, x + w, y + h)]
+        return out
+
+    rows = [(r, *b) for r, (n, canvas, most) in enumerate([(300, 4000, 60), (200, 300, 60), (120, 1000, 400), (1, 10, 5), (250, 2500, 20)]) for b in some(n, canvas, most)]
+    rows += [(9, i, 10 * i, 0, 10 * i + 14, 10) for i in range(100)] + [(10, i, 10 * i, 0, 10 * i + 10, 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "record_id long, box_id int, x0 int, y0 int, x1 int, y1 int").repartition(6)
+    one = sorted(tuple(r) for r in R.merged_boxes(df, many=10_000).collect())
+    assert sorted(tuple(r) for r in R.merged_boxes(df, many=20).collect()) == one
+    apart = R._clusters(df.filter("record_id = 4"))
+    assert apart.select("cluster").distinct().count() > 20
+    assert R.merged_boxes(df.limit(0)).count() == 0
+
+
+def test_box_merge_of_a_large_record(spark):
+    """100,000 boxes of one record in groups of three, of which each is merged to one."""
+    df = spark.range(33_334).selectExpr("1 record_id", "id", "cast(id % 200 * 50 as int) x", "cast(id div 200 * 50 as int) y")
+    df = df.selectExpr("record_id", "explode(array(0, 1, 2)) k", "id * 3 + k box_id", "x + k * 3 x0", "y + k * 2 y0", "x + 30 - k x1", "y + 25 y1").drop("k")
+    out = R.merged_boxes(df).agg(F.count("*").alias("n"), F.max("place").alias("last"), F.min(F.col("x1") - F.col("x0")).alias("w")).first()
+    assert (out["n"], out["last"], out["w"]) == (33_334, 33_333, 30)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
+from veriframe.shared import written
 
 PAD = 8
 SPLIT = 0.48
@@ -69,23 +70,65 @@ def halves(images: DataFrame) -> DataFrame:
     return images.select("record_id", F.explode(rows).alias("b")).select("record_id", "b.*")
 
 
-def merged_boxes(boxes: DataFrame, overlap: float = 0.35) -> DataFrame:
-    """Greedy merge, largest first: a box goes into the first kept one that covers ``overlap`` of its area."""
+#: Records of more boxes than this are folded in clusters.
+MANY_BOXES = 1000
+
+
+def _clusters(boxes: DataFrame) -> DataFrame:
+    """boxes with cluster: boxes of different clusters of a record lie in rectangles that don't meet, so no merge can join them.
+
+    Rectangles are dealt to the cells of a grid (as wide as the record's boxes on the average); those of a cell become one cluster, and clusters
+    the rectangle around their boxes, until no two share a cell. Rectangles meet through their cells only: no pairs.
+    """
+    sides = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    grid = boxes.groupBy("record_id").agg(F.greatest(F.ceil(F.avg(sides)), F.lit(1)).cast("int").alias("g"))
+    rows = written(boxes.join(grid, "record_id").withColumn("cluster", F.xxhash64("box_id", "x0", "y0", "x1", "y1")))
+    labels = rows.select("record_id", "cluster", F.col("cluster").alias("now")).distinct()
+    count = -1
+    while True:
+        labels = written(labels)
+        now = rows.join(labels, ["record_id", "cluster"]).groupBy("record_id", "now", "g").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        found = written(now)
+        if (n := found.count()) == count:
+            return rows.join(labels, ["record_id", "cluster"]).drop("cluster", "g").withColumnRenamed("now", "cluster")
+        count = n
+        cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("g")), F.floor(F.greatest(F.col(low), F.col(high) - 1) / F.col("g"))))
+        dealt = found.select("record_id", "now", "g", "y0", "y1", cells("x0", "x1").alias("cx")).select("record_id", "now", "cx", cells("y0", "y1").alias("cy"))
+        least = dealt.groupBy("record_id", "cx", "cy").agg(F.min("now").alias("least"))
+        joined = dealt.join(least, ["record_id", "cx", "cy"]).groupBy("record_id", "now").agg(F.min("least").alias("least"))
+        labels = labels.join(joined, ["record_id", "now"]).select("record_id", "cluster", F.col("least").alias("now"))
+
+
+def merged_boxes(boxes: DataFrame, overlap: float = 0.35, many: int = MANY_BOXES) -> DataFrame:
+    """Greedy merge, largest first: a box goes into the first kept one that covers ``overlap`` of its area.
+
+    Boxes (record_id, box_id, x0, y0, x1, y1) of a record with more than ``many`` are dealt to clusters that can't meet, and each cluster is folded alone;
+    what comes out is the same. A cluster's boxes are one array.
+    """
     item = F.struct((-area()).alias("k"), "box_id", "x0", "y0", "x1", "y1")
-    start = F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    ints = boxes.select("record_id", "box_id", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    box = ", ".join(f"{k}:{t}" for k, t in (("k", "int"), ("box_id", dict(ints.dtypes)["box_id"]), *((c, "int") for c in ("x0", "y0", "x1", "y1"))))
+    start = F.array().cast(f"array<struct<{box}>>")
 
     def step(acc: Column, b: Column) -> Column:
         size = F.greatest((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]), F.lit(1))
         w = lambda e: F.least(b["x1"], e["x1"]) - F.greatest(b["x0"], e["x0"])
         h = lambda e: F.least(b["y1"], e["y1"]) - F.greatest(b["y0"], e["y0"])
         into = F.array_position(F.transform(acc, lambda e: (w(e) > 0) & (h(e) > 0) & (w(e) * h(e) / size >= overlap)), True).cast("int")
-        grown = lambda e: F.struct(F.least(b["x0"], e["x0"]).alias("x0"), F.least(b["y0"], e["y0"]).alias("y0"), F.greatest(b["x1"], e["x1"]).alias("x1"), F.greatest(b["y1"], e["y1"]).alias("y1"))
-        own = F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"))
-        return F.when(into > 0, F.transform(acc, lambda e, i: F.when(i + 1 == into, grown(e)).otherwise(e))).otherwise(F.concat(acc, F.array(own)))
-
-    ints = boxes.select("record_id", "box_id", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    grouped = ints.groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("b"))
-    return grouped.select("record_id", F.posexplode(F.aggregate("b", start, step)).alias("place", "m")).select("record_id", "place", "m.*")
+        wide = {"x0": F.least, "y0": F.least, "x1": F.greatest, "y1": F.greatest}
+        grown = lambda e: F.struct(e["k"].alias("k"), e["box_id"].alias("box_id"), *[f(b[c], e[c]).alias(c) for c, f in wide.items()])
+        return F.when(into > 0, F.transform(acc, lambda e, i: F.when(i + 1 == into, grown(e)).otherwise(e))).otherwise(F.concat(acc, F.array(b)))
+
+    crowded = ints.groupBy("record_id").count().filter(F.col("count") > many).select("record_id")
+    dealt = ints.withColumn("cluster", F.lit(0).cast("long"))
+    if not crowded.isEmpty():
+        apart = _clusters(ints.join(crowded, "record_id", "left_semi"))
+        dealt = dealt.join(crowded, "record_id", "left_anti").unionByName(apart)
+    grouped = dealt.groupBy("record_id", "cluster").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    kept = grouped.select("record_id", F.inline(F.aggregate("b", start, step)))
+    # a kept box stands where the box stood that it began with
+    place = (F.row_number().over(Window.partitionBy("record_id").orderBy("k", "box_id", "x0", "y0", "x1", "y1")) - 1).cast("int")
+    return kept.select("record_id", place.alias("place"), "x0", "y0", "x1", "y1")
 
 
 def regions(boxes: DataFrame, images: DataFrame, pad: int = PAD) -> DataFrame:
