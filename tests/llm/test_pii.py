@@ -144,3 +144,16 @@ def test_precision_and_recall_on_planted_rows(spark):
         right += sum(any(s < y and x < e for x, y in own) for s, e in spans)
     assert hit >= 0.9 * 450, hit
     assert right >= 0.9 * found, (right, found)
+
+
+def test_what_follows_a_cue(spark):
+    """Values up to white space or a quote, of any length and letters; cue words begin where words do."""
+    found = ["password: ab:cd9!efg", "pwd='x7;k,9Q'", "pin: 4711", "the token = q8Zt,kk2", "Secret => hunter2x9."]
+    not_found = ["spin: fast11", "compass: north9", "password: required", "the secret is that", "pin: a"]
+    rows = [(i, t) for i, t in enumerate(found + not_found)]
+    out = {r["doc_id"]: r["spans"] for r in op.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    values = ["ab:cd9!efg", "x7;k,9Q", "4711", "q8Zt,kk2", "hunter2x9"]
+    for i, (text, value) in enumerate(zip(found, values)):
+        start = text.index(value)
+        assert f"secret:{start}:{start + len(value)}" in out[i].split(","), (text, out[i])
+    assert [out[i + len(found)] for i in range(len(not_found))] == [""] * len(not_found)

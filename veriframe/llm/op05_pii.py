@@ -11,7 +11,7 @@ overlap base spans; added ones that overlap one another are one span.
 
 Positions without a scan of their own: matches are marked with two control characters, the text is split at
 the first, and the lengths of the pieces add up to the starts, in code points. Texts that hold these
-characters have them masked by another one first; no pattern can match any of them.
+characters have them masked by another one first, which no base pattern can match.
 
 Null text counts as empty (no spans, hash of the empty string). Texts are read whole; running sums are kept
 in blocks, so a very long text with many matches stays cheap. Repeated rows give equal rows, an empty table
@@ -40,10 +40,12 @@ NUMBER = r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}(?![A-Za-z0-9+/_-])"
 SPELLED = r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\x20at\x20|[(\[]at[)\]])\x20?[A-Za-z0-9-]++\x20?(?:\x20dot\x20|[(\[]dot[)\]])\x20?[A-Za-z]{2,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:\x20[A-Za-z0-9]{4}){2,7}+(?:\x20[A-Za-z0-9]{1,3}(?![A-Za-z0-9]))?"
-#: What follows a cue word and a sign, however short and whatever its letters.
-CUES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|pin)"
-CUED = rf"(?i)(?<={CUES}[\x22']{{0,1}}\x20{{0,2}}(?:[:=]|is|=>|:=)\x20{{0,2}}[\x22']{{0,1}})(?<![^\x20\x09-\x0D\x22':=>])[^\x20\x09-\x0D\x22',;<>:=]{{4,}}+"
-ANY_CUE = rf"(?i){CUES}[\x22']?\x20{{0,2}}(?:[:=]|is)"
+#: What follows a cue word and a sign, to the next white space or quote, however short; signs that end a sentence aren't part of it.
+#: Short cues begin a word (a compass and a spin aren't any). The first group is left out of the match.
+CUES = r"(?:(?<![A-Za-z0-9])(?:pass(?:phrase|code)?|pwd|pin)|password|passwd|secret|token|credential|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key)"
+_SIGN = r"[\x22']?\x20{0,2}(?:[:=]=?>?|is\x20)\x20{0,2}[\x22']?"
+CUED = rf"(?i)({CUES}{_SIGN})([^\x20\x09-\x0D\x22']*[^\x20\x09-\x0D\x22'.,;:)])"
+ANY_CUE = rf"(?i){CUES}{_SIGN}"
 GENERATORS = ("number", "secret", "contact", "iban", "cued")
 #: The kind of a span by generator.
 ADDED = ("number", "secret", "contact", "number", "secret")
@@ -91,8 +93,12 @@ def _spans(parts: Column, sums: Column) -> Column:
 
 
 def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Adds the spans of each pattern under its name; the second of a pair is a cheap test for any match."""
-    parts = {f"__p_{k}": F.when(may, F.split(F.regexp_replace(F.col(text), p, f"{_A}$0{_B}"), _A, -1)) for k, (p, may) in patterns.items()}
+    """Adds the spans of each pattern under its name; the second of a pair is a cheap test for any match.
+
+    The span of CUED is its second group; that of any other pattern the whole match.
+    """
+    marked = lambda p: f"$1{_A}$2{_B}" if p == CUED else f"{_A}$0{_B}"
+    parts = {f"__p_{k}": F.when(may, F.split(F.regexp_replace(F.col(text), p, marked(p)), _A, -1)) for k, (p, may) in patterns.items()}
     df = _once(df, parts)
     some = {k: F.size(f"__p_{k}") > 1 for k in patterns}
     df = _once(df, {f"__l_{k}": F.when(some[k], F.transform(f"__p_{k}", lambda p, i: F.length(p) - F.when(i == 0, 0).otherwise(1))) for k in patterns})
@@ -197,7 +203,9 @@ def labelled(seed: int = 7, n: int = TRAIN_ROWS) -> list[tuple[int, str, str, st
         lambda: (3, near(("iban", "bank", "pay to", "")), country() + d(2) + " " + letters(4).upper() + " " + " ".join(d(4) for _ in range(rng.randint(2, 5))) + rng.choice(("", " " + d(2))), 1.0),
         lambda: (4, cue(True), rng.choice((word() + d(rng.randint(1, 4)), word() + word(), mixed(rng.randint(6, 14)), word() + rng.choice("!$%&#*?") + d(2), letters(rng.randint(16, 40)))), 1.0),
         lambda: (4, cue(False), rng.choice((word() + d(rng.randint(2, 4)), mixed(rng.randint(8, 30)), word() + rng.choice("!$%&#*?") + d(2))), 1.0),
+        lambda: (4, cue(True), rng.choice((d(rng.randint(4, 8)), word() + rng.choice(":;,=<") + mixed(rng.randint(4, 9)), mixed(rng.randint(4, 6)))), 1.0),
         # other
+        lambda: (4, cue(True), rng.choice((letters(rng.randint(1, 3)), d(1), "-", "***", "n/a")), 0.0),
         lambda: (3, plain(), letters(2).upper() + d(2) + " " + " ".join([letters(4), *(rng.choice((d(4), letters(4))) for _ in range(rng.randint(1, 3)))]), 0.0),
         lambda: (3, plain(), f"{rng.choice(('in', 'to', 'no', 'by'))}{d(2)} {letters(4)} {letters(4)} {letters(4)}", 0.0),
         lambda: (4, cue(True), rng.choice(_PLAIN_ANSWERS), 0.0),
