@@ -112,3 +112,21 @@ def test_against_a_plain_scan_for_templates():
             want = {(i, f) for i, line in enumerate(plain) for f, ts in op.TEMPLATES.items() for x in ts if " ".join(op.fold(x.encode()).decode().split()) == " ".join(line.split())}
             got = {(x[1], x[2]) for x in op.scan(["\n".join(lines).encode()], model)}
             assert want == {(at, family)} and got == want, (t, got)
+
+
+def test_headings_identifiers_and_the_named_family():
+    """Short usual forms are found; templates of families that the classifier didn't name, or siblings, don't count."""
+    model = op.trained()
+    forms = {
+        "SPDX-License-Identifier: BSD-2-Clause": "bsd", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl", "# SPDX-License-Identifier: GPL-2.0-only": "gpl", "MIT License": "mit", "// MIT License": "mit",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "gpl", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999": "lgpl",
+    }
+    found = op.scan([t.encode() for t in forms], model)
+    named = {i: {f for k, _, f, *_ in found if k == i} for i in range(len(forms))}
+    hits = sum(family in named[i] for i, family in enumerate(forms.values()))
+    assert hits >= 6, named
+    text = op.fold(op.TEMPLATES["mit"][-1].encode())
+    words = op.end_to_end([text])[0]
+    assert model.confirm("mit", words)[:2] == ("mit", 1.0)
+    assert model.confirm("apache", words)[1] < op.CONFIRM
+    assert model.confirm("isc", words)[0] == "mit"

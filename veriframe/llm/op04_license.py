@@ -8,9 +8,9 @@ multinomial logistic regression gives each piece a licence family or the class u
 driver on ``TRAIN_ROWS`` generated, labelled paragraphs (perturbed notices, and prose that may speak of
 licences); this bound is documented and doesn't depend on the corpus. On a held-out third the scores are
 calibrated with a temperature, and a notice is believed only from the least probability (that it isn't unknown) at which
-the held-out precision is ``PRECISION``; everything less certain is unknown. A believed family is confirmed if the piece
-holds ``CONFIRM`` of the word pairs of one of its templates, and reported then; if it holds more of a template of another family,
-that one is reported. Marks of comments before the lines of a notice are punctuation, and so nothing.
+the held-out precision is ``PRECISION``; everything less certain is unknown. Families are tried from the likeliest on, as far as ``POSSIBLE``: one is
+confirmed, and reported, if the piece holds ``CONFIRM`` of the word pairs of one of its templates; among families that share most of their words
+(``SIBLINGS``) the template that is held best decides. Marks of comments before the lines of a notice are punctuation, and so nothing.
 
 One narrow pass, no shuffle. Null text counts as empty; long texts are read whole; repeated rows give repeated
 findings; empty tables give empty results; other columns are ignored.
@@ -35,6 +35,8 @@ EPOCHS = 40
 RATE = 10.0
 PRECISION = 0.98
 CONFIRM = 0.6
+#: A family less probable than this isn't looked at.
+POSSIBLE = 0.001
 UNKNOWN = "unknown"
 
 #: Notices by which licences are given, by family.
@@ -48,6 +50,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Released under the MIT License",
         "Licensed under the MIT License",
+        "The MIT License (MIT)",
+        "MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ),
@@ -55,21 +59,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Licensed under the GPL, version 2",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "bsd": (
         "Licensed under the BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "BSD 2-Clause License",
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
@@ -131,6 +144,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "All rights reserved",
     ),
 }
+#: Families whose notices share most of their words: templates of all of them decide among them.
+SIBLINGS = (("gpl", "agpl", "lgpl"), ("mit", "isc", "bsd"), tuple(f for f in TEMPLATES if f.startswith("cc-")))
 FAMILIES = (UNKNOWN, *TEMPLATES)
 
 #: Upper case to lower, ASCII punctuation but the hyphen to a space; line ends stay.
@@ -171,11 +186,18 @@ class Model:
     def confirm(self, family: str, words: np.ndarray) -> tuple[str, float, int]:
         """The family, the greatest share of a template's word pairs that the piece holds, and where the first of them stands.
 
-        If a template of another family is held better, it is that one: families that share most words differ by few.
+        Only templates of the family that the classifier names can confirm it, and those of its siblings: of these the one
+        that is held best decides. If all that a piece holds of it stands in a sibling's template too, the words that tell them apart are
+        missing, and nothing is confirmed.
         """
         found = pairs(words).tolist()
         own = set(found)
-        best = max(((len(own & t) / len(t), f == family, len(t), f, t) for f, ts in self.templates.items() for t in ts), key=lambda x: x[:3])
+        near = next((group for group in SIBLINGS if family in group), (family,))
+        held = [(len(own & t) / len(t), f == family, len(t), f, t) for f in near for t in self.templates[f]]
+        best = max(held, key=lambda x: x[:3])
+        shared = own & best[4]
+        if best[0] < 1 and any(shared <= t for _, _, _, f, t in held if f != best[3]):
+            return best[3], 0.0, 0
         return best[3], best[0], next((i for i, x in enumerate(found) if x in best[4]), 0)
 
 
@@ -308,9 +330,14 @@ def scan(texts: list[bytes], model: Model) -> list[tuple[int, int, str, float, f
     found: dict[tuple, tuple] = {}
     across: dict[tuple, list] = {}
     for j in np.flatnonzero((best > 0) & (1 - p[:, 0] >= model.least)).tolist():
-        family, own = FAMILIES[best[j]], words[low[j] : high[j]]
-        family, share, at = model.confirm(family, own) if len(own) > 1 else (family, 0.0, 0)
-        if share < CONFIRM:
+        own, share = words[low[j] : high[j]], 0.0
+        for k in np.argsort(-p[j]).tolist():  # the likeliest family that a template confirms
+            if p[j, k] < POSSIBLE or len(own) < 2:
+                break
+            if k and (told := model.confirm(FAMILIES[k], own))[1] >= CONFIRM:
+                family, share, at = told
+                break
+        if not share:
             continue
         value = (float(1 - p[j, 0]), share, len(own))
         if wrapped[j]:
