@@ -192,7 +192,7 @@ def trim_warning(c: Column) -> Column:
 def distillery_brand(c: Column) -> Column:
     """The brand that a line with a distillery word gives, or empty; behind a warning's end too."""
     def own(t: Column) -> Column:
-        tail = F.regexp_replace(strip(F.regexp_extract(t, r"(?i)health problems\.?\s*(.+)$", 1)), r"^[ .]+|[ .]+$", "")
+        tail = F.regexp_replace(strip(F.regexp_extract(t, V.BEHIND_WARNING, 1)), r"^[ .]+|[ .]+$", "")
         return F.when(F.contains(F.lower(t), F.lit("government warning")), tail).otherwise(t)
 
     # the distillery word is the rarest and cheapest to look for

@@ -75,6 +75,10 @@ CLASS_REVIEW, WARNING_REVIEW = 0.88, 0.85
 PREVIEW = 500
 GAP_FULL, GAP_REGION = 28.0, 40.0
 
+#: Fixed patterns: what stands behind a warning's end in its last line, and the words that a class may go on from the line before.
+BEHIND_WARNING = r"(?i)health problems\.?\s*(.+)$"
+SMALL_BATCH = r"(?i)\bsmall\s+batch\b"
+
 #: Small turns in degrees that are tried, in this order, on a text that wasn't turned, and on one that was.
 SKEWS = (-15, -12, -9, -6, -3, 3, 6, 9, 12, 15)
 SKEWS_TURNED = (-6, -3, 3, 6)

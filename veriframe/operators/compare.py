@@ -176,3 +176,18 @@ def score(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Correct verdicts by expected class; REVIEW is never correct. results: record_id, overall_status."""
     both = expected.join(results, "record_id", "left")
     return both.groupBy("expected").agg(F.count("*").alias("n"), F.count_if(F.col("overall_status") == F.col("expected")).alias("correct"), F.count_if(F.col("overall_status") == "REVIEW").alias("review"))
+
+
+def reader_report(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """How each reader does: reader, n, correct_pass, correct_fail, review and median_seconds (upper median, three places; 0 without times).
+
+    results: reader, record_id, overall_status, seconds; expected: record_id, expected. Results of records that nothing is expected of
+    don't count; REVIEW is never correct.
+    """
+    from veriframe.operators.lines import upper_median
+
+    both = results.join(expected, "record_id")
+    right = lambda s: F.count_if((F.col("expected") == s) & (F.col("overall_status") == s)).alias(f"correct_{s.lower()}")
+    counts = both.groupBy("reader").agg(F.count("*").alias("n"), right("PASS"), right("FAIL"), F.count_if(F.col("overall_status") == "REVIEW").alias("review"))
+    medians = upper_median(both, "reader", "seconds").withColumnRenamed("median", "median_seconds")
+    return counts.join(medians, "reader", "left").na.fill(0.0, ["median_seconds"])

@@ -63,7 +63,7 @@ def class_read(f: Column) -> Column:
     def near(at: Column) -> Column:
         # an index below 1 is never asked for; missing neighbours are null
         prev = F.when(at > 1, F.try_element_at(f, F.greatest(at - 1, F.lit(1))))
-        small = F.regexp_extract(F.coalesce(prev["x"], F.lit("")), r"(?i)\bsmall\s+batch\b", 0)
+        small = F.regexp_extract(F.coalesce(prev["x"], F.lit("")), V.SMALL_BATCH, 0)
         return F.struct(at.alias("at"), F.try_element_at(f, F.greatest(at, F.lit(1))).alias("own"), prev.alias("prev"), F.try_element_at(f, at + 1).alias("next"), small.alias("small"))
 
     def merged(n: Column) -> Column:

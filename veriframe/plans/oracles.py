@@ -494,6 +494,10 @@ flat as (select record_id, place as box_id, m.x0 as x0, m.y0 as y0, m.x1 as x1,
         "quota_remaining": "select user_id as tenant, sum(1 + event_id % 4)::bigint as used, 50::bigint as max_tests, greatest(50 - sum(1 + event_id % 4), 0)::bigint as remaining from events group by 1",
         "upper_median": "select event_type, round(list_sort(list(value))[count(value) // 2 + 1], 3) as median from events group by 1",
         "score_report": "select case when quality = 1 then 'PASS' else 'FAIL' end as expected, count(*) as n, count(*) filter (doc_id % 7 != 0 and (case when doc_id % 5 = 0 then 'REVIEW' when toxic = 1 then 'FAIL' else 'PASS' end) = (case when quality = 1 then 'PASS' else 'FAIL' end)) as correct, count(*) filter (doc_id % 7 != 0 and doc_id % 5 = 0) as review from labels group by 1",
+        "reader_report": """with e as (select doc_id, toxic, case when quality = 1 then 'PASS' else 'FAIL' end as expected, unnest([0, 1, 2]) as r from labels),
+v as (select *, case when (doc_id + r) % 5 = 0 then 'REVIEW' when toxic = 1 then 'FAIL' else 'PASS' end as verdict, (doc_id * (r + 3) % 97)::double / 8.0::double as seconds from e)
+select 'reader ' || r as reader, count(*) as n, count(*) filter (expected = 'PASS' and verdict = 'PASS') as correct_pass, count(*) filter (expected = 'FAIL' and verdict = 'FAIL') as correct_fail,
+  count(*) filter (verdict = 'REVIEW') as review, round(list_sort(list(seconds))[count(*) // 2 + 1], 3) as median_seconds from v group by 1""",
         "sample_names": "with a as (select distinct p_brand as name from part where p_size % 2 = 0), b as (select distinct p_brand as name from part where p_size % 3 = 0) select name, name in (select name from a) and name in (select name from b) as in_both from (select * from a union select * from b)",
         "claims_from_json": base("select record_id // 20 as batch_id, count(*) as n, (count(*) - 1)::int as last_pos, count(*) filter (net_contents = '1.5 L') as litres from claims group by 1"),
         "detection_tuples": base("select record_id, line_id, text, case when record_id % 2 = 0 then 0.5 else 0.85 end::double as confidence from lines"),

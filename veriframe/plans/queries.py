@@ -543,6 +543,22 @@ def score_report(spark, sf):
     return C.score(results, expected)
 
 
+@query
+def reader_report(spark, sf):
+    """Verdicts and times of three readers, written as a report file and read back."""
+    from veriframe.sources.claims import write_report
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    expected = labels.select(F.col("doc_id").alias("record_id"), F.when(F.col("quality") == 1, "PASS").otherwise("FAIL").alias("expected"))
+    reader = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    each = labels.select(F.col("doc_id").alias("record_id"), "toxic", reader.alias("r"))
+    verdict = F.when((F.col("record_id") + F.col("r")) % 5 == 0, "REVIEW").when(F.col("toxic") == 1, "FAIL").otherwise("PASS")
+    results = each.select(F.concat(F.lit("reader "), F.col("r").cast("string")).alias("reader"), "record_id", verdict.alias("overall_status"), ((F.col("record_id") * (F.col("r") + 3) % 97) / 8.0).alias("seconds"))
+    path, report = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}", C.reader_report(results, expected)
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 @query
 def sample_names(spark, sf):
     p = K.part(spark, sf)
