@@ -108,3 +108,27 @@ def test_merged_reads_and_documents_without_lines(spark):
 def test_assembled_brand_is_no_later_distillery(spark):
     f = E.flagged(spark.createDataFrame([(1, ["GOVERNMENT WARNING: x", "Old Lantern Distillery"])], "record_id long, l array<string>"), F.col("l"))
     assert f.select(E.brand_read(F.col("f"))).first()[0] == "Old Lantern Distillery"
+
+
+def test_turn_search(spark):
+    """Quarter turns first; then only the small turns of the list that belongs to the angle, at that angle."""
+    from veriframe.functions import vocab as V
+
+    records = spark.createDataFrame([(1,), (2,)], "record_id long")
+    assert R.coarse_turns(records).count() == 8
+    fine = R.fine_turns(spark.createDataFrame([(1, 0), (2, 90)], "record_id long, angle int"))
+    got = {k: tuple(r["skew"] for r in sorted(fine.filter(F.col("record_id") == k).collect(), key=lambda r: r["pos"])) for k in (1, 2)}
+    assert got == {1: V.SKEWS, 2: V.SKEWS_TURNED}
+    label = "GOVERNMENT WARNING: Surgeon General 45% alc 750 ml whiskey"
+    rows = [(1, 0, 0, label, 10.0), (1, 0, 12, label, 30.0), (1, 0, 6, label, 20.0), (1, 90, 0, "x", 1.0), (1, 90, 6, label, 900.0)]
+    rows += [(2, 0, 0, "x", 1.0), (2, 90, 0, label, 100.0), (2, 90, 12, label, 500.0), (2, 90, 3, label, 400.0)]
+    out = R.turn_search(spark.createDataFrame(rows, "record_id long, angle int, skew int, text string, score double"))
+    # 12 degrees aren't in the list of turned texts, and 3 are too small a turn to be worth it
+    assert {r["record_id"]: (r["angle"], r["skew"]) for r in out.collect()} == {1: (0, 12), 2: (90, 0)}
+
+
+def test_reader_report(spark):
+    results = spark.createDataFrame([("a", 1, "PASS", 1.0), ("a", 2, "REVIEW", 3.0), ("a", 3, "FAIL", 2.0), ("a", 9, "PASS", 50.0), ("b", 1, "FAIL", None)], "reader string, record_id long, overall_status string, seconds double")
+    expected = spark.createDataFrame([(1, "PASS"), (2, "PASS"), (3, "FAIL")], "record_id long, expected string")
+    got = {r["reader"]: tuple(r)[1:] for r in C.reader_report(results, expected).select("reader", "n", "correct_pass", "correct_fail", "review", "median_seconds").collect()}
+    assert got == {"a": (3, 1, 1, 1, 2.0), "b": (1, 0, 0, 0, 0.0)}
