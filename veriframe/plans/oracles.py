@@ -398,6 +398,8 @@ asked as (select record_id, max(severity) as overall, any_value(contains(text, '
 fit as (select record_id, field_key, case when severity > 0 and ({ok}) {given} then {strip('v')} else '' end as v from own join long using (record_id, field_key)),
 saved as (select record_id, {', '.join(f"max(v) filter (field_key = {q(k)}) as s_{k}" for k in V.FIELDS)} from fit group by 1),
 again as materialized (select p.record_id, {', '.join(f"coalesce(nullif(s_{k}, ''), {k}) as {k}" for k in V.FIELDS)} from parsed p left join saved using (record_id))"""
+    assembled = f"""{warning_block(V.GAP_FULL)}, firsts as (select record_id, arg_min(line, line_no) filter (abv is not null) as alcohol, arg_min(volume, line_no) filter (volume <> '') as volume from flagged group by 1)
+select record_id, concat_ws(chr(10), nullif(brand_of_run, ''), nullif(class_type, ''), alcohol, volume, nullif(warning, '')) as text from brands join firsts using (record_id) join blocks using (record_id) left join classes using (record_id)"""
     kept = f"not (case field_key when 'government_warning' then not {like('line', '(?i)' + V.HEADER)} and {discard('line')} and not warn when 'brand_name' then named = '' and ({discard('line')} or {garbled('line')}) else {discard('line')} end)"
     binned = f""", picked as (select record_id, field_key, i, case when field_key = 'brand_name' and named <> '' then named else line end as v from chosen join flagged on chosen.record_id = flagged.record_id and chosen.n = flagged.line_no where {kept}),
 whole as (select record_id, field_key, case when count(*) = 1 and field_key <> 'government_warning' then any_value(v) else {ws("string_agg(v, ' ' order by i)")} end as v from picked group by 1, 2),
@@ -513,8 +515,8 @@ joined as (select record_id, string_agg(line, '|' order by part, n) as raw_lines
 select record_id, case when second = '' then first else done.text end as text, raw_lines from done join joined using (record_id)"""),
         "warning_block": base(f"{warning_block(V.GAP_FULL)} select record_id, warning from blocks"),
         "warning_block_region": base(f"{warning_block(V.GAP_REGION)} select record_id, warning from blocks"),
-        "assembled_text": base(f"""{warning_block(V.GAP_FULL)}, firsts as (select record_id, arg_min(line, line_no) filter (abv is not null) as alcohol, arg_min(volume, line_no) filter (volume <> '') as volume from flagged group by 1)
-select record_id, concat_ws(chr(10), nullif(brand_of_run, ''), nullif(class_type, ''), alcohol, volume, nullif(warning, '')) as text from brands join firsts using (record_id) join blocks using (record_id) left join classes using (record_id)"""),
+        "assembled_text": base(f"{assembled}"),
+        "assembled_documents": base(f"{assembled} union all select record_id + 1000000, brand_name from claims union all select record_id + 2000000, class_type from claims"),
         "line_group_fold": base(f""", words as materialized (select *, row_number() over (partition by record_id order by cy, cx, word_id) as k from {word}),
 tols as (select record_id, greatest(list_sort(list((y1 - y0)::double))[count(*) // 2 + 1] * 0.65, 8.0) as tol from words group by 1),
 walk as (select record_id, k, cy as c, 1 as line_no from words where k = 1
