@@ -171,6 +171,7 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, least: float):
         self.weights, self.bias, self.temperature, self.least = weights.astype(np.float32), bias, temperature, least
         self.templates = {f: [_pair_set(t) for t in ts] for f, ts in TEMPLATES.items()}
+        self.pairs = np.array(sorted({p for ts in self.templates.values() for t in ts for p in t}), np.uint64)
 
     def probabilities(self, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A row for each piece words[start:end]."""
@@ -183,6 +184,12 @@ class Model:
             sums[:, k] = a[end] - a[start] + b[end - 1] - b[start]
         return softmax((sums / np.sqrt(2 * (end - start) - 1)[:, None] + self.bias) / self.temperature)
 
+    def held(self, words: np.ndarray) -> np.ndarray:
+        """Whether each pair of neighbouring words stands in any template."""
+        own = pairs(words)
+        at = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
+        return self.pairs[at] == own
+
     def confirm(self, family: str, words: np.ndarray) -> tuple[str, float, int]:
         """The family, the greatest share of a template's word pairs that the piece holds, and where the first of them stands.
 
@@ -190,15 +197,15 @@ class Model:
         that is held best decides. If all that a piece holds of it stands in a sibling's template too, the words that tell them apart are
         missing, and nothing is confirmed.
         """
-        found = pairs(words).tolist()
-        own = set(found)
+        found = pairs(words)
+        own = set(found[self.held(words)].tolist())
         near = next((group for group in SIBLINGS if family in group), (family,))
         held = [(len(own & t) / len(t), f == family, len(t), f, t) for f in near for t in self.templates[f]]
         best = max(held, key=lambda x: x[:3])
         shared = own & best[4]
         if best[0] < 1 and any(shared <= t for _, _, _, f, t in held if f != best[3]):
             return best[3], 0.0, 0
-        return best[3], best[0], next((i for i, x in enumerate(found) if x in best[4]), 0)
+        return best[3], best[0], next((i for i, x in enumerate(found.tolist()) if x in best[4]), 0)
 
 
 def _pair_set(text: str) -> set[int]:
@@ -327,13 +334,14 @@ def scan(texts: list[bytes], model: Model) -> list[tuple[int, int, str, float, f
     low, high = np.array(low), np.array(high)
     p = model.probabilities(words, low, high)
     best = p.argmax(axis=1)
+    some = np.concatenate(([0], np.cumsum(model.held(words))))
+    some = some[np.maximum(high - 1, low)] > some[low]  # a piece without any pair of any template confirms nothing
     found: dict[tuple, tuple] = {}
     across: dict[tuple, list] = {}
-    for j in np.flatnonzero((best > 0) & (1 - p[:, 0] >= model.least)).tolist():
+    for j in np.flatnonzero((best > 0) & (1 - p[:, 0] >= model.least) & some).tolist():
         own, share = words[low[j] : high[j]], 0.0
-        for k in np.argsort(-p[j]).tolist():  # the likeliest family that a template confirms
-            if p[j, k] < POSSIBLE or len(own) < 2:
-                break
+        likely = np.flatnonzero(p[j] >= POSSIBLE)
+        for k in likely[np.argsort(-p[j, likely])].tolist():  # the likeliest family that a template confirms
             if k and (told := model.confirm(FAMILIES[k], own))[1] >= CONFIRM:
                 family, share, at = told
                 break
