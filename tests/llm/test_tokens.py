@@ -62,3 +62,11 @@ def test_given_edits_and_a_long_pretoken(spark, counter):
 def test_no_vocabulary():
     with pytest.raises(FileNotFoundError, match="no vocabulary"):
         op.read_ranks("/nowhere.tiktoken")
+
+
+def test_edits_that_overlap_are_an_error():
+    good = [(0, 2, "a"), (2, 2, "b"), (5, 9, "")]
+    assert op._in_order(good, 9) == good
+    for bad in ([(3, 5, ""), (1, 2, "")], [(0, 4, ""), (3, 5, "")], [(4, 3, "")], [(8, 10, "")], [(-1, 2, "")]):
+        with pytest.raises(ValueError, match="sorted, disjoint"):
+            op._in_order(bad, 9)

@@ -16,7 +16,7 @@ broadcast (about a megabyte), so executors need no such file. Nothing is trained
 
 One narrow pass, no shuffle. Null text counts as empty (0 tokens), texts are cut and counted whole, repeated
 rows give repeated rows, empty tables give empty results, other columns are ignored. Edits (start, end,
-replacement) are in code points of the text, sorted and disjoint; null edits are none.
+replacement) are in code points of the text, sorted and disjoint; others are an error. Null edits are none.
 """
 
 from __future__ import annotations
@@ -176,6 +176,16 @@ EDITS = "array<struct<start:int,end:int,new:string>>"
 COUNTED = "doc_id long, n_chars long, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, n_pretokens_encoded_again long"
 
 
+def _in_order(edits: list[tuple[int, int, str]], length: int) -> list[tuple[int, int, str]]:
+    """The edits, if they are sorted, disjoint and within the text."""
+    at = 0
+    for start, end, _ in edits:
+        if not at <= start <= end <= length:
+            raise ValueError(f"edits must be sorted, disjoint and within the text of {length} characters: {start} to {end} comes after {at}")
+        at = end
+    return edits
+
+
 def _counted(docs: DataFrame, vocabulary: str, pattern: str, edits_of) -> DataFrame:
     """COUNTED of docs (doc_id, text, perhaps edits); edits_of gives the edits of a text and its edits column."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
@@ -189,7 +199,7 @@ def _counted(docs: DataFrame, vocabulary: str, pattern: str, edits_of) -> DataFr
             held = b.column("edits").to_pylist() if given else [None] * b.num_rows
             for doc_id, text, own in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), held, strict=True):
                 tree = Tree(text or "", counter)
-                chars, tokens, edits = tree.chars, tree.tokens, edits_of(text or "", own)
+                chars, tokens, edits = tree.chars, tree.tokens, _in_order(edits_of(text or "", own), len(text or ""))
                 for start, end, new in reversed(edits):  # from the back: the places of those before stay
                     tree.edit(start, end, new)
                 rows.append((doc_id, chars, tokens, len(edits), tree.chars, tree.tokens, tree.encoded))
