@@ -3,6 +3,7 @@
 import pytest
 
 from tests.compare import compare, duck
+from veriframe.plans import corpus as K
 from veriframe.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,14 @@ def test_plans(spark):
     assert "Python" not in fuzzy and "ArrowEval" not in fuzzy
     flagship = queries.queries()["abv_net_verdict"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "p_name" not in flagship.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_merged_warning_joins_every_second_read(spark):
+    """A read meets each of its lines and the whole read, the line with the header (6) among them."""
+    rows = queries.queries()["merged_warning"](spark, SF)
+    reads = K.reads(spark, SF).count()
+    assert {r["line_id"]: r["count"] for r in rows.groupBy("line_id").count().collect()} == dict.fromkeys(range(K.N_LINES + 1), reads)
+    line = {r["record_id"]: r["text"].strip() for r in K.lines(spark, SF).filter("line_id = 6").collect()}
+    for r in rows.filter("line_id = 6").collect():
+        if line[r["record_id"]]:
+            assert r["text"].endswith(line[r["record_id"]]) and "Surgeon" not in r["text"]

@@ -505,7 +505,8 @@ select 'reader ' || r as reader, count(*) as n, count(*) filter (expected = 'PAS
         "detection_tuples": base("select record_id, line_id, text, case when record_id % 2 = 0 then 0.5 else 0.85 end::double as confidence from lines"),
         "order_totals_verdict": "select case when total is null then 'REVIEW' when abs(total - o_totalprice) < 50000 then 'PASS' else 'FAIL' end as status, count(*) as n from orders left join (select l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as total from lineitem group by 1) on o_orderkey = l_orderkey group by 1",
         "repaired_text": base(f", put as (select record_id, replace(text, 'Alc./Vol.', 'Alc NVol.') as text from reads), {repaired('done', 'put', 'text')} select record_id, text from done"),
-        "merged_warning": base(f"select record_id, {merged_warning('text', 'second')} as text from (select *, 'noise ' || text as second from reads)"),
+        "merged_warning": base(f"""select r.record_id, s.line_id, {merged_warning('r.text', 's.text')} as text from reads r
+join (select record_id, line_id, 'noise ' || text as text from lines union all select record_id, 0, 'noise ' || text from reads) s using (record_id)"""),
         "merged_reads": base(f""", second as (select record_id, string_agg(text, chr(10) order by line_id) as text from lines where line_id >= 5 group by 1), {repaired('b', 'reads', 'text')}, {repaired('w', 'second', 'text')},
 put as (select b.record_id, w.text as second, b.text as first, {merged_warning('b.text', 'w.text')} as text from b join w using (record_id)), {repaired('done', 'put', 'text')},
 firsts as (select record_id, line, line_no as n, 0 as part from numbered),
