@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from veriframe.llm import near_copies as op
@@ -81,3 +82,39 @@ def test_empty(spark):
     assert op.keep_first(docs).count() == 0
     one = spark.createDataFrame([(1, "a b", {"k": 1}), (1, "a b", {"k": 2})], docs.schema)
     assert op.keep_first(one).count() == 1
+
+
+def test_candidates_come_from_covering_simhash(spark):
+    """Fingerprints by their definition; sets that differ in two bits of a part meet, whatever the rest; others don't."""
+    own = op.shingle_sets([" ".join(words(random.Random(1), 300)).encode()])[0]
+    parts, width = op.layout(1000)
+    hashes = [[int(x) for x in op.mix64(np.array([h], np.uint64) + op._WORDS)] for h in [*own, op._COMMON]]
+    bits = op.simhash(own, parts * width)
+    assert bits.tolist() == [2 * sum(h[i // 64] >> i % 64 & 1 for h in hashes) > len(hashes) for i in range(parts * width)]
+    whole = op.prints([own], parts, width)[0][0].tolist()
+    assert whole == [sum(int(bits[p * width + i]) << i for i in range(width)) for p in range(parts)]
+    rng = random.Random(2)
+    rows = [(0, whole)]
+    for sid in range(1, 60):  # two bits in one part, all in the others
+        kept, two = rng.randrange(parts), rng.sample(range(width), 2)
+        rows.append((sid, [x ^ sum(1 << b for b in two) if p == kept else x ^ (1 << width) - 1 for p, x in enumerate(whole)]))
+    rows += [(sid, [x ^ (1 << width) - 1 for x in whole]) for sid in (100, 101)]
+    once = spark.createDataFrame([(s, s, x, 0, 0) for s, x in rows], "sid long, root long, parts array<long>, x long, y long")
+    met = set()
+    for first in range(0, parts, op.ROUND):
+        dealt = op._dealt(once, first)
+        met |= {r["sid"] for r in dealt.join(dealt.filter("sid = 0").select("key"), "key", "left_semi").select("sid").distinct().collect()}
+    assert met == set(range(60))
+
+
+@pytest.mark.parametrize(("size", "shared"), [((4, 5), 4), ((9, 9), 8), ((12, 15), 12), ((40, 50), 40), ((90, 90), 80), ((360, 360), 320)])
+def test_pairs_at_the_similarity_meet(size, shared):
+    """Of pairs at exactly 0.8 none is left out: by masks, by the words that go with a set, by sizes."""
+    rng, kept = np.random.default_rng(3), np.array(op.masks(2))
+    parts, width = op.layout(200_000)
+    for _ in range(300):
+        h = rng.integers(0, 2**64, sum(size) - shared, dtype=np.uint64)
+        each, x, y = op.prints([h[: size[0]], h[size[0] - shared :]], parts, width)
+        assert ((each[0] ^ each[1])[:, None] & kept == 0).any()
+        assert (int(x[0] ^ x[1]) % 2**64).bit_count() + (int(y[0] ^ y[1]) % 2**64 >> 10).bit_count() <= op.NEAR
+        assert abs(int(y[0] & 1023) - int(y[1] & 1023)) <= op.STEPS

@@ -4,13 +4,20 @@ A document is the set of its runs of SHINGLE words, ASCII letters lower-cased; a
 Documents whose sets have a Jaccard similarity of SIMILARITY or more link, and documents in one connected
 component are near copies. Texts without a word are copies of each other.
 
-Candidates. At 0.8 two SimHashes of 64 bits differ in 10 bits on the average and in up to 16 of nearly all pairs. Masks
-that cover 16 bits are 2**17 - 1 tables, or, over four parts of 16 bits, 124 tables of 8 bits each, which hold nearly
-all documents in each bucket. So here each set gets BANDS groups of ROWS least hashes instead, and sets meet that
-share a group. A pair at 0.8 exactly is missed with probability (1 - 0.8**6)**50 = 2.5e-7, a more similar pair less often; one at 0.25 meets with 0.012.
-
-Every candidate's similarity is then taken from the whole sets. Equal sets are dealt once. Buckets of up to
-``PAIRWISE`` sets are compared pair by pair. In a larger bucket each set is compared with its hub, the set that meets
+Candidates come from SimHash with the covering masks of ``op03_simhash``. One fingerprint of 64 bits can't hold 0.8: two of them differ
+in 10 bits on the average and in up to 16 of nearly all pairs, and masks that cover 16 bits are 2**17 - 1 tables. So a set
+gets a longer fingerprint of ``parts`` parts, each dealt under the 7 masks that cover ``RADIUS`` differing bits. Sets meet that differ in RADIUS bits or
+fewer in any part; by the pigeonhole that is every pair that differs in fewer than ``(RADIUS + 1) * parts`` bits in all.
+At 0.8 a bit differs with probability FLIP, and there are as many parts as leave a pair at 0.8 out with probability
+MISS, a more similar pair less often (``layout``). Parts have WIDTH bits, or as many as keep
+a bucket's share of unrelated sets at CROWD or so: buckets are dealt in time and space linear in the rows up to 10 million sets.
+Sets that meet go on if two words of their fingerprints differ in NEAR bits or fewer, which a pair at 0.8 exceeds with
+probability 1e-7, and their sizes allow the similarity.
+
+Every candidate's similarity is then taken from the whole sets. Equal sets are dealt once. First each set is compared with the
+nearest one before it in each bucket of the first parts, so that the sets of a large group are mostly in one component. Then all parts are dealt, and buckets of up to
+``PAIRWISE`` sets are compared pair by pair, but for pairs of one component. In a larger bucket of several components, and in one where a set
+is near FEW others or more, each set is compared with its hub, the set that meets
 the most others in all buckets: in a group of copies that is the least edited one. Hubs of one component are a family, and its best hub meets all sets
 that the family met. Then only a set x outside the component that holds most of these needs more, and only with a partner y that can reach the similarity by what is known of both against
 the hub A: either both hold one of the rarest shingles that A lacks (so many of either side's that partners without one in
@@ -25,24 +32,36 @@ whole; an empty table gives an empty one; other columns pass through, whatever t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import discard, end_to_end, hash_shingles, materialize, mix64, slices, texts_of
+from veriframe.llm.common import discard, end_to_end, hash_shingles, materialize, mix64, release, slices, texts_of
 from veriframe.llm.components import components
+from veriframe.llm.op03_simhash import RADIUS, masks
 
 SHINGLE = 5
 #: 0.8 as a fraction, so that the comparison is exact.
 SIMILARITY = (4, 5)
-BANDS, ROWS = 50, 6
-PAIRWISE = 16
+PAIRWISE, FEW = 128, 2
+#: Probability that a bit differs at SIMILARITY: the angle of two sets of equal size, as a part of the half turn. For a pair at SIMILARITY to meet nowhere.
+FLIP, MISS = math.acos(8 / 9) / math.pi, 1e-6
+#: Differing bits of the two words that go with a set, and steps of a 16th of a power of two between sizes; one step more than 0.8 takes.
+NEAR, STEPS = 40, 6
+#: Parts dealt at once, so that a round's shuffle is bounded.
+ROUND = 9
+#: Bits of a part at least, and unrelated sets in a bucket up to which that is enough.
+WIDTH, CROWD = 32, 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-_BAND = mix64(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
+_WORDS = mix64(np.arange(1, 1025, dtype=np.uint64))
+_LANES = np.uint64(0x0101010101010101)
+#: Counts as a shingle of every set: sets of four and five would differ in more bits without it.
+_COMMON = np.uint64(0x5851F42D4C957F2D)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -53,15 +72,45 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(runs[a : b - SHINGLE + 1] if b - a >= SHINGLE else hash_shingles(words[a:b], SHINGLE)) for a, b in ends]
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """The keys of a set's buckets."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), 4096):  # a bounded table, however long the text
-        np.minimum(least, (own[None, at : at + 4096] * _FACTORS[:, None]).min(axis=1), out=least)
-    key = _BAND
-    for k in range(ROWS):
-        key = mix64(key + least[k::ROWS])
-    return key.view(np.int64)
+def layout(rows: int) -> tuple[int, int]:
+    """(parts, width of a part in bits) of the fingerprints of so many rows.
+
+    A mask keeps four of seven bits. Bit i has vector 1 + i % 7; a pair meets if the vectors of its differing bits lie on a line.
+    """
+    width = min(64, max(WIDTH, math.ceil(7 / 4 * math.log2(max(rows, 1) / CROWD))))
+    clean = [(1 - FLIP) ** len(range(v, width, 7)) for v in range(7)]
+    meets = 0.0
+    for differ in range(1 << 7):
+        if any(all((v + 1 & m).bit_count() % 2 == 0 for v in range(7) if differ >> v & 1) for m in range(1, 8)):
+            meets += math.prod(1 - c if differ >> v & 1 else c for v, c in enumerate(clean))
+    return math.ceil(math.log(MISS) / math.log(1 - meets)), width
+
+
+def simhash(own: np.ndarray, bits: int) -> np.ndarray:
+    """The fingerprint of a set: bits that are set in over half its hashes, _COMMON among them."""
+    own, words = np.append(own, _COMMON), -(-bits // 64)
+    ones = np.zeros((8, words * 8), np.int64)
+    for at in range(0, len(own), 255):  # a bounded table, however long the text; a byte counts to 255
+        h = mix64(own[at : at + 255, None] + _WORDS[:words])
+        for b in range(8):
+            ones[b] += ((h >> np.uint64(b)) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return (2 * ones > len(own)).T.reshape(-1)[:bits]
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 bits as signed longs, the first bit lowest."""
+    padded = np.zeros((*bits.shape[:-1], 64), np.uint8)
+    padded[..., : bits.shape[-1]] = bits
+    return np.packbits(padded, axis=-1, bitorder="little").view("<i8")[..., 0]
+
+
+def prints(own: list[np.ndarray], parts: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of the fingerprints of sets, and two words of each, the second with the size in place of its first 10 bits."""
+    bits = np.stack([simhash(s, max(parts * width, 128)) for s in own])
+    sizes = np.fromiter(map(len, own), np.float64, len(own))
+    step = np.floor(16 * np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    other = (_packed(bits[:, 64:128]) & ~np.int64(1023)) | np.minimum(step, 1023)
+    return _packed(bits[:, : parts * width].reshape(len(own), parts, width)), _packed(bits[:, :64]), other
 
 
 def _key():
@@ -72,8 +121,8 @@ def _key():
 _KEY = "struct<doc_id:bigint,h:bigint>"
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """row (its name), sid (the set's name), size (of the set), keys (of its buckets) for each row of docs."""
+def sets(docs: DataFrame, parts: int, width: int) -> DataFrame:
+    """row (its name), sid (the set's name), size (of the set), parts (of its fingerprint), x and y (its two words) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -81,10 +130,57 @@ def sets(docs: DataFrame) -> DataFrame:
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             sid = np.array([int(mix64(s).sum(dtype=np.uint64)) for s in own], np.uint64)
             sid = mix64(sid + sizes.astype(np.uint64)).view(np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([bands(s) for s in own])))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(sid), pa.array(sizes), keys], ["row", "sid", "size", "keys"])
+            each, x, y = prints(own, parts, width)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * parts), pa.array(each.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(sid), pa.array(sizes), lists, pa.array(x), pa.array(y)], ["row", "sid", "size", "parts", "x", "y"])
+
+    return docs.select(_key().alias("row"), "text").mapInArrow(run, f"row {_KEY}, sid long, size long, parts array<long>, x long, y long")
+
+
+def _dealt(once: DataFrame, first: int) -> DataFrame:
+    """sid, root, x, y, key (of a bucket): a row for each mask of ROUND parts from the first."""
+    part = once.select("sid", "root", "x", "y", F.posexplode(F.slice("parts", first + 1, ROUND)).alias("n", "part"))
+    keys = [F.xxhash64(F.col("n") + first, F.lit(v), F.col("part").bitwiseAND(F.lit(m))) for v, m in enumerate(masks(RADIUS))]
+    return part.select("sid", "root", "x", "y", F.explode(F.array(*keys)).alias("key"))
+
+
+def _apart(one: Column, other: Column) -> Column:
+    """Differing bits of the words of two sets (x, y)."""
+    return F.bit_count(one["x"].bitwiseXOR(other["x"])) + F.bit_count(F.shiftright(one["y"].bitwiseXOR(other["y"]), 10))
+
 
-    return docs.select(_key().alias("row"), "text").mapInArrow(run, f"row {_KEY}, sid long, size long, keys array<long>")
+def _near(one: Column, other: Column) -> Column:
+    """Whether two sets (root, x, y) may reach SIMILARITY and would join two components."""
+    size = lambda s: s["y"].bitwiseAND(F.lit(1023))
+    return (one["root"] != other["root"]) & (F.abs(size(one) - size(other)) <= STEPS) & (_apart(one, other) <= NEAR)
+
+
+def _before(pairwise: int) -> tuple[Column, Column]:
+    """The last ``pairwise`` - 1 sets before a set in its bucket that are near it, and the set itself."""
+    before = F.collect_list(F.struct("sid", "root", "x", "y")).over(Window.partitionBy("key").orderBy("sid").rowsBetween(1 - pairwise, -1))
+    return before, F.struct("root", "x", "y")
+
+
+def _nearest(dealt: DataFrame, pairwise: int) -> DataFrame:
+    """Pairs (a, b): each set b with the nearest a of those before it in its bucket."""
+    before, own = _before(pairwise)
+    rows = dealt.withColumn("others", before).filter(F.size("others") > 0)
+    least = F.array_min(F.transform(F.filter("others", lambda o: _near(o, own)), lambda o: F.struct(_apart(o, own).alias("apart"), o["sid"].alias("a"))))
+    return rows.select(least["a"].alias("a"), F.col("sid").alias("b")).filter("a is not null").distinct()
+
+
+def _met(dealt: DataFrame, pairwise: int) -> DataFrame:
+    """key, n (sets in the bucket), sid, others (near sets before it, of other components), most (others of any set) of buckets of several components.
+
+    Buckets of more than ``pairwise`` sets are given whole, without others; of smaller ones, sets that have others.
+    """
+    before, own = _before(pairwise)
+    whole = Window.partitionBy("key").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = dealt.withColumns({"n": F.count("*").over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole), "others": before}).filter("low != high")
+    near = F.transform(F.filter("others", lambda o: _near(o, own)), lambda o: o["sid"])
+    rows = rows.select("key", "n", "sid", F.when(F.col("n") <= pairwise, near).alias("others"))
+    rows = rows.filter((F.col("n") > pairwise) | (F.size("others") > 0))
+    return rows.withColumn("most", F.max(F.size("others")).over(Window.partitionBy("key")))
 
 
 def _shingles(asked: DataFrame, once: DataFrame, docs: DataFrame) -> DataFrame:
@@ -180,21 +276,28 @@ def _beside_the_hub(members: DataFrame, compared: DataFrame, sizes: DataFrame) -
     return materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
 
 
-def links(rows: DataFrame, docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, parts: int, pairwise: int = PAIRWISE) -> DataFrame:
     """(node, root) of the components of all similar pairs that share a bucket, for sets that have any."""
-    once = materialize(rows.groupBy("sid").agg(F.min("size").alias("size"), F.min("row").alias("row"), F.any_value("keys").alias("keys")))
-    dealt = once.select("sid", F.explode("keys").alias("key"))
-    many = materialize(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = materialize(dealt.join(many, "key"))
-    small, large = met.filter(F.col("n") <= pairwise), met.filter(F.col("n") > pairwise)
-    each = small.select("key", F.col("sid").alias("a")).join(small.select("key", F.col("sid").alias("b")), "key").filter("a < b").select("a", "b")
-    edges = _compared(materialize(each.distinct()), once, docs)
+    once = materialize(rows.groupBy("sid").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in ("size", "parts", "x", "y")]))
+    known = _compared(materialize(_nearest(_dealt(once.withColumn("root", F.col("sid")), 0), pairwise)), once, docs)
+    told = materialize(components(known))
+    rooted = materialize(once.join(told, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "parts", "x", "y"))
+    rounds = []
+    for first in range(0, parts, ROUND):
+        rounds.append(materialize(_met(_dealt(rooted, first), pairwise)))
+        release(docs)
+    met = reduce(DataFrame.union, rounds)
+    small = met.filter(F.col("n") <= pairwise)
+    crowded = small.filter(F.col("most") >= FEW).select("key", "n", F.explode(F.concat("others", F.array("sid"))).alias("sid")).distinct()
+    large = materialize(met.filter(F.col("n") > pairwise).select("key", "n", "sid").union(crowded))
+    each = small.filter(F.col("most") < FEW).select(F.explode("others").alias("a"), F.col("sid").alias("b"))
+    edges = materialize(known.union(_compared(materialize(each.distinct()), once, docs)))
+    discard(rooted, told)
     if large.isEmpty():
         return materialize(components(edges))
     score = materialize(large.groupBy("sid").agg(F.sum("n").alias("score")))
     hub = materialize(large.join(score, "sid").groupBy("key").agg(F.max(F.struct("score", "sid"))["sid"].alias("hub")))
     star = materialize(large.join(hub, "key").filter("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
-    edges = materialize(edges.union(_compared(star, once, docs)))
     found = materialize(components(edges))
     members = _families(star, found, score)
     if members.isEmpty():
@@ -206,8 +309,9 @@ def links(rows: DataFrame, docs: DataFrame, pairwise: int = PAIRWISE) -> DataFra
 
 def keep_first(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """One row of docs for each component, with all columns of docs."""
-    rows = materialize(sets(docs))
-    found = links(rows, docs, pairwise)
+    parts, width = layout(docs.count())
+    rows = materialize(sets(docs, parts, width))
+    found = links(rows, docs, parts, pairwise)
     # null ids last
     least = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), "row"))["row"]
     first = materialize(rows.groupBy("sid").agg(least.alias("row")))
