@@ -118,3 +118,26 @@ def test_pairs_at_the_similarity_meet(size, shared):
         assert ((each[0] ^ each[1])[:, None] & kept == 0).any()
         assert (int(x[0] ^ x[1]) % 2**64).bit_count() + (int(y[0] ^ y[1]) % 2**64 >> 10).bit_count() <= op.NEAR
         assert abs(int(y[0] & 1023) - int(y[1] & 1023)) <= op.STEPS
+
+
+def test_a_group_edited_apart_meets_once_a_set_and_once_a_pair(spark, monkeypatch):
+    """Sets of crowded buckets are told once each, not with each other in all buckets; a pair is one row, however many shingles it shares."""
+    rng = random.Random(5)
+    base = words(rng, 200)
+    texts = []
+    for k in range(60):  # each is unlike all others but for a twin that shares its edits, and more of its own
+        own = list(base)
+        for at in range(k % 7, 200, 9):
+            own[at] = f"e{k}x{at}"
+        twin = list(own)
+        twin[150] = twin[160] = f"t{k}"
+        texts += [" ".join(own), " ".join(twin)]
+    texts += [" ".join(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, joined = [], []
+    monkeypatch.setattr(op, "_nearest", lambda dealt, pairwise: dealt.select("sid", "sid").limit(0).toDF("a", "b"))
+    monkeypatch.setattr(op, "_met", lambda *a, f=op._met: met.extend(f(*a).collect()) or f(*a))
+    monkeypatch.setattr(op, "_linked", lambda pairs, own, f=op._linked: joined.append(pairs.count()) or f(pairs, own))
+    assert {r["doc_id"] for r in op.keep_first(docs, 16).collect()} == {*range(0, 120, 2), 120}
+    assert all(not r["others"] or len(r["others"]) < op.FEW for r in met)
+    assert joined[-1] < 3 * len(texts)

@@ -16,14 +16,9 @@ probability 1e-7, and their sizes allow the similarity.
 
 Every candidate's similarity is then taken from the whole sets. Equal sets are dealt once. First each set is compared with the
 nearest one before it in each bucket of the first parts, so that the sets of a large group are mostly in one component. Then all parts are dealt, and buckets of up to
-``PAIRWISE`` sets are compared pair by pair, but for pairs of one component. In a larger bucket of several components, and in one where a set
-is near FEW others or more, each set is compared with its hub, the set that meets
-the most others in all buckets: in a group of copies that is the least edited one. Hubs of one component are a family, and its best hub meets all sets
-that the family met. Then only a set x outside the component that holds most of these needs more, and only with a partner y that can reach the similarity by what is known of both against
-the hub A: either both hold one of the rarest shingles that A lacks (so many of either side's that partners without one in
-common fall short, and only where what follows it in both is enough), or they share none of these and are so short that
-what they hold of A is enough. Both are joins on equal keys, and leave out no pair of a bucket that could join two
-components.
+``PAIRWISE`` sets are compared pair by pair, but for pairs of one component. Larger buckets of several components, and those where a set
+is near FEW others or more, are not paired: their sets, each once whatever the number of its buckets, meet by the rarest classes of
+shingles that they hold in common (``_may_link``), an exact filter that leaves out no pair at SIMILARITY.
 
 Repeated rows are copies; of the rows of a component that with the least doc_id stays (null last), of equal ids that
 with the least hash of the text; rows that repeat id and text are one. Null text counts as empty; long texts are read
@@ -155,32 +150,33 @@ def _near(one: Column, other: Column) -> Column:
     return (one["root"] != other["root"]) & (F.abs(size(one) - size(other)) <= STEPS) & (_apart(one, other) <= NEAR)
 
 
-def _before(pairwise: int) -> tuple[Column, Column]:
-    """The last ``pairwise`` - 1 sets before a set in its bucket that are near it, and the set itself."""
-    before = F.collect_list(F.struct("sid", "root", "x", "y")).over(Window.partitionBy("key").orderBy("sid").rowsBetween(1 - pairwise, -1))
-    return before, F.struct("root", "x", "y")
+def _others(first: int, last: int) -> tuple[Column, Column]:
+    """The sets of a bucket from so many places before a set to so many behind it, and the set itself."""
+    others = F.collect_list(F.struct("sid", "root", "x", "y")).over(Window.partitionBy("key").orderBy("sid").rowsBetween(first, last))
+    return others, F.struct("root", "x", "y")
 
 
 def _nearest(dealt: DataFrame, pairwise: int) -> DataFrame:
     """Pairs (a, b): each set b with the nearest a of those before it in its bucket."""
-    before, own = _before(pairwise)
+    before, own = _others(1 - pairwise, -1)
     rows = dealt.withColumn("others", before).filter(F.size("others") > 0)
     least = F.array_min(F.transform(F.filter("others", lambda o: _near(o, own)), lambda o: F.struct(_apart(o, own).alias("apart"), o["sid"].alias("a"))))
     return rows.select(least["a"].alias("a"), F.col("sid").alias("b")).filter("a is not null").distinct()
 
 
 def _met(dealt: DataFrame, pairwise: int) -> DataFrame:
-    """key, n (sets in the bucket), sid, others (near sets before it, of other components), most (others of any set) of buckets of several components.
+    """sid, others (near sets before it, of other components) for the sets of buckets of several components.
 
-    Buckets of more than ``pairwise`` sets are given whole, without others; of smaller ones, sets that have others.
+    Sets of crowded buckets have null for others: all sets of a bucket of more than ``pairwise``, and those that are near any where one has FEW before it.
     """
-    before, own = _before(pairwise)
+    others, own = _others(1 - pairwise, pairwise - 1)
     whole = Window.partitionBy("key").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = dealt.withColumns({"n": F.count("*").over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole), "others": before}).filter("low != high")
-    near = F.transform(F.filter("others", lambda o: _near(o, own)), lambda o: o["sid"])
-    rows = rows.select("key", "n", "sid", F.when(F.col("n") <= pairwise, near).alias("others"))
-    rows = rows.filter((F.col("n") > pairwise) | (F.size("others") > 0))
-    return rows.withColumn("most", F.max(F.size("others")).over(Window.partitionBy("key")))
+    rows = dealt.withColumns({"n": F.count("*").over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole), "others": others}).filter("low != high")
+    near = F.transform(F.filter("others", lambda o: _near(o, own)), lambda o: o["sid"])  # a set is of its own component, so not near itself
+    rows = rows.select("key", "sid", (F.col("n") > pairwise).alias("large"), F.when(F.col("n") <= pairwise, near).alias("near"))
+    rows = rows.filter(F.col("large") | (F.size("near") > 0)).withColumn("others", F.filter("near", lambda o: o < F.col("sid")))
+    crowded = F.col("large") | (F.max(F.size("others")).over(Window.partitionBy("key")) >= FEW)
+    return rows.select("sid", F.when(~crowded, F.col("others")).alias("others")).filter("others is null or size(others) > 0")
 
 
 def _shingles(asked: DataFrame, once: DataFrame, docs: DataFrame) -> DataFrame:
@@ -203,82 +199,56 @@ def _alike(both: Column, a: Column, b: Column) -> Column:
     return SIMILARITY[1] * both >= SIMILARITY[0] * (a + b - both)
 
 
-def _compared(pairs: DataFrame, once: DataFrame, docs: DataFrame, apart: bool = False) -> DataFrame:
-    """The pairs (a, b) that link; if ``apart``, all pairs with ``links``, the number of shared shingles, and those of b that a lacks."""
+def _linked(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets (sid, shingles)."""
+    x, y = own.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), own.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+    n, m = F.size("x"), F.size("y")
+    may = SIMILARITY[1] * F.least(n, m) >= SIMILARITY[0] * F.greatest(n, m)
+    return materialize(pairs.join(x, "a").join(y, "b").filter(may).filter(_alike(F.size(F.array_intersect("x", "y")), n, m)).select("a", "b"))
+
+
+def _compared(pairs: DataFrame, once: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
     asked = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
     own = _shingles(asked, once, docs)
-    x, y = own.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), own.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(x, "a").join(y, "b")
-    if apart:
-        met = met.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.array_except("y", "x").alias("lacks"))
-        shared = F.col("m") - F.size("lacks")
-        out = materialize(met.select("a", "b", _alike(shared, F.col("n"), F.col("m")).alias("links"), shared.alias("shared"), "lacks"))
-    else:
-        n, m = F.size("x"), F.size("y")
-        may = SIMILARITY[1] * F.least(n, m) >= SIMILARITY[0] * F.greatest(n, m)
-        out = materialize(met.filter(may).filter(_alike(F.size(F.array_intersect("x", "y")), n, m)).select("a", "b"))
+    out = _linked(pairs, own)
     discard(asked, own)
     return out
 
 
-def _families(star: DataFrame, found: DataFrame, score: DataFrame) -> DataFrame:
-    """hub, sid, root, main of sets in large buckets, once for each family of hubs, where not all are of one component.
+def _may_link(own: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that may link and would join two components: all that reach SIMILARITY are among them.
 
-    star: a (hub), b (a set it met). Hubs whose sets lie mostly in one component, main, are one family; the one that meets the
-    most others stands for all of them.
+    own: sid, shingles; rooted: sid, root, x, y. Shingles that the same sets hold are one class, with its number of shingles;
+    classes stand in one order, those of few sets first. What two sets share lies in their first common class and behind it in
+    both, so where that is too little to reach SIMILARITY no row is made; neither is for sets of one component.
     """
-    of = found.select(F.col("node").alias("b"), "root")
-    rows = materialize(star.join(of, "b", "left").select("a", "b", F.coalesce("root", "b").alias("root")))
-    counts = rows.groupBy("a", "root").agg(F.count("*").alias("c"))
-    main = materialize(counts.groupBy("a").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
-    hub = main.join(score, F.col("a") == F.col("sid")).groupBy("main").agg(F.max_by("a", F.struct("score", "a")).alias("hub"))
-    members = materialize(rows.join(main, "a").select("main", F.col("b").alias("sid"), "root").distinct())
-    mixed = materialize(members.filter("root != main").select("main").distinct().join(materialize(hub), "main"))
-    return materialize(members.join(mixed, "main").filter("sid != hub"))
-
-
-def _beside_the_hub(members: DataFrame, compared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one family that may link and would join two components.
-
-    members: as ``_families`` gives them; compared: a (hub), b (member), shared, lacks; sizes: sid, size.
-    """
-    low, high = SIMILARITY
-    told = compared.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "shared", "lacks")
-    least = F.ceil(F.col("size") * low / F.lit(high))  # a partner shares so many at least, and at most ``shared`` of them within the hub
-    rows = members.join(told, ["hub", "sid"]).join(sizes, "sid")
-    rows = materialize(rows.withColumns({"outside": F.col("root") != F.col("main"), "rarest": F.size("lacks") - F.greatest(least - F.col("shared"), F.lit(1)) + 1}))
-    # only sets that can reach the best of those outside
-    best = rows.filter("outside").groupBy("hub").agg(F.max("shared").alias("x_shared"), F.max(F.size("lacks")).alias("x_lacks"), F.min("size").alias("x_size"))
-    fits = _alike(F.least("x_shared", "shared") + F.least(F.col("x_lacks"), F.size("lacks")), F.col("x_size"), F.col("size"))
-    rows = materialize(rows.join(materialize(best), "hub").filter(F.col("outside") | fits).drop("x_shared", "x_lacks", "x_size"))
-    # the rarest shingles that the hub lacks: partners share one of these on either side, if any such at all
-    each = rows.select("hub", "sid", F.explode("lacks").alias("s"))
-    common = materialize(each.groupBy("hub", "s").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = materialize(each.join(common, ["hub", "s"]))
-    own = Window.partitionBy("hub", "sid")
-    met = met.withColumns({"place": F.row_number().over(own.orderBy("n", "s")), "k": F.count("*").over(own)})
-    first = met.join(rows.select("hub", "sid", "root", "outside", "rarest", "size", "shared", F.size("lacks").alias("all")), ["hub", "sid"])
-    # shingles that stand alone come before all others and meet nobody
-    first = first.withColumn("left", F.col("k") - F.col("place") + 1).filter(F.col("all") - F.col("left") + 1 <= F.col("rarest"))
-    first = materialize(first.select("hub", "sid", "s", "root", "outside", "size", "shared", "left"))
-    x, y = (first.select("hub", "s", *[F.col(c).alias(f"{c}_{n}") for c in ("sid", "root", "size", "shared", "left")], *([] if n == "y" else ["outside"])) for n in "xy")
-    # what they can share: within the hub, and from this shingle on
-    most = F.least("shared_x", "shared_y") + F.least("left_x", "left_y")
-    apart = (F.col("root_x") != F.col("root_y")) & _alike(most, F.col("size_x"), F.col("size_y"))
-    by_shingle = x.filter("outside").join(y, (x["hub"] == y["hub"]) & (x["s"] == y["s"]) & apart).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"))
-    # without such a shingle all they share lies within the hub
-    to = F.floor((low + high) * F.col("shared") / F.lit(low)) - F.col("size")
-    short = rows.filter("outside").filter(to >= least).select("hub", F.col("sid").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"), F.explode(F.sequence(least.cast("long"), to.cast("long"))).alias("size"))
-    short, members = materialize(short).alias("a"), rows.select("hub", "size", "sid", "shared", "root").alias("b")
-    same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.size") == F.col("b.size")) & (F.col("root") != F.col("x_root")) & _alike(F.least("x_shared", "shared"), F.col("x_size"), F.col("b.size"))
-    by_size = short.join(members, same).select("x", F.col("sid").alias("y"))
-    both = by_shingle.union(by_size)
-    return materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
+    held = own.withColumn("size", F.size("shingles")).join(rooted, "sid")
+    each = held.select("sid", "root", F.explode("shingles").alias("s"))
+    holders = each.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # no two components share the others
+    shared = materialize(holders.filter("low != high").select("s", "n", F.xxhash64("n", "c").alias("c")))
+    classes = materialize(each.join(shared, "s").groupBy("sid", "n", "c").agg(F.count("*").alias("k")))
+    behind = F.sum("k").over(Window.partitionBy("sid").orderBy("n", "c").rowsBetween(0, Window.unboundedFollowing))
+    # a partner holds SIMILARITY of the set at least
+    first = classes.withColumn("left", behind).join(held.drop("shingles"), "sid").filter(SIMILARITY[1] * F.col("left") >= SIMILARITY[0] * F.col("size"))
+    first = materialize(first.select("sid", "c", "left", "size", "root", "x", "y"))
+    # of two components one isn't the class's largest
+    counts = materialize(first.groupBy("c", "root").agg(F.count("*").alias("k")))
+    main = materialize(counts.groupBy("c").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("of")).filter("of > 1").select("c", "main"))
+    first = materialize(first.join(main, "c").withColumn("outside", F.col("root") != F.col("main")))
+    x, y = first.filter("outside").alias("p"), first.alias("q")
+    p, q = ({c: F.col(f"{n}.{c}") for c in ("sid", "root", "x", "y", "left", "size")} for n in "pq")
+    once = ~F.col("q.outside") | (p["sid"] < q["sid"])
+    pairs = x.join(y, (F.col("p.c") == F.col("q.c")) & once & _near(p, q) & _alike(F.least(p["left"], q["left"]), p["size"], q["size"]))
+    out = materialize(pairs.select(F.least(p["sid"], q["sid"]).alias("a"), F.greatest(p["sid"], q["sid"]).alias("b")).distinct())
+    discard(shared, classes, counts, main, first)
+    return out
 
 
 def links(rows: DataFrame, docs: DataFrame, parts: int, pairwise: int = PAIRWISE) -> DataFrame:
     """(node, root) of the components of all similar pairs that share a bucket, for sets that have any."""
-    once = materialize(rows.groupBy("sid").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in ("size", "parts", "x", "y")]))
+    once = materialize(rows.groupBy("sid").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in ("parts", "x", "y")]))
     known = _compared(materialize(_nearest(_dealt(once.withColumn("root", F.col("sid")), 0), pairwise)), once, docs)
     told = materialize(components(known))
     rooted = materialize(once.join(told, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "parts", "x", "y"))
@@ -287,24 +257,19 @@ def links(rows: DataFrame, docs: DataFrame, parts: int, pairwise: int = PAIRWISE
         rounds.append(materialize(_met(_dealt(rooted, first), pairwise)))
         release(docs)
     met = reduce(DataFrame.union, rounds)
-    small = met.filter(F.col("n") <= pairwise)
-    crowded = small.filter(F.col("most") >= FEW).select("key", "n", F.explode(F.concat("others", F.array("sid"))).alias("sid")).distinct()
-    large = materialize(met.filter(F.col("n") > pairwise).select("key", "n", "sid").union(crowded))
-    each = small.filter(F.col("most") < FEW).select(F.explode("others").alias("a"), F.col("sid").alias("b"))
+    each = met.select(F.explode("others").alias("a"), F.col("sid").alias("b"))
     edges = materialize(known.union(_compared(materialize(each.distinct()), once, docs)))
-    discard(rooted, told)
-    if large.isEmpty():
+    crowded = materialize(met.filter("others is null").select("sid").distinct())
+    discard(rooted, told, *rounds)
+    if crowded.isEmpty():
         return materialize(components(edges))
-    score = materialize(large.groupBy("sid").agg(F.sum("n").alias("score")))
-    hub = materialize(large.join(score, "sid").groupBy("key").agg(F.max(F.struct("score", "sid"))["sid"].alias("hub")))
-    star = materialize(large.join(hub, "key").filter("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
     found = materialize(components(edges))
-    members = _families(star, found, score)
-    if members.isEmpty():
-        return found
-    held = _compared(materialize(members.select(F.col("hub").alias("a"), F.col("sid").alias("b"))), once, docs, apart=True)
-    more = _beside_the_hub(members, held, once.select("sid", "size"))
-    return materialize(components(edges.union(held.filter("links").select("a", "b")).union(_compared(more, once, docs))))
+    rooted = once.join(crowded, "sid", "left_semi").join(found, F.col("sid") == F.col("node"), "left")
+    rooted = materialize(rooted.select("sid", F.coalesce("root", "sid").alias("root"), "x", "y"))
+    own = _shingles(crowded, once, docs)
+    more = _linked(_may_link(own, rooted), own)
+    discard(own, rooted, crowded)
+    return materialize(components(edges.union(more)))
 
 
 def keep_first(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
