@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
-from veriframe.shared import written
+from veriframe.shared import met, written
 
 PAD = 8
 SPLIT = 0.48
@@ -178,7 +178,7 @@ def best_read(candidates: DataFrame) -> DataFrame:
     rows = rows.withColumn("upright", F.max("up").over(Window.partitionBy("record_id")))
     kept = rows.filter(~F.col("upright") | (F.col("angle") == 0)).select("record_id", "angle", F.col("worth").alias("score"), "upright")
     best = best_rotation(kept)
-    return best.join(kept.filter("angle = 0").select("record_id", "upright"), "record_id").select("record_id", "angle", "score", "upright")
+    return met(best, kept.filter("angle = 0").select("record_id", "upright"), "record_id").select("record_id", "angle", "score", "upright")
 
 
 def best_skew(candidates: DataFrame, readable: float | None = None) -> DataFrame:
@@ -222,10 +222,10 @@ def turn_search(candidates: DataFrame, readable: float | None = None, narrow: bo
     the ``fine_turns`` of what ``best_read`` picks of them.
     """
     first = best_read(candidates.filter("skew = 0").drop("skew")).select("record_id", "angle")
-    second = candidates.join(fine_turns(first, narrow), ["record_id", "angle", "skew"])
-    base = candidates.filter("skew = 0").join(first, ["record_id", "angle"]).withColumn("pos", F.lit(-1))
+    second = met(candidates, fine_turns(first, narrow), ["record_id", "angle", "skew"])
+    base = met(candidates.filter("skew = 0"), first, ["record_id", "angle"]).withColumn("pos", F.lit(-1))
     each = second.unionByName(base).select("record_id", "pos", "skew", "text", "score")
-    return best_skew(each, readable).join(first, "record_id").select("record_id", "angle", "skew", "score")
+    return met(best_skew(each, readable), first, "record_id").select("record_id", "angle", "skew", "score")
 
 
 def orientation(scored: DataFrame, margin: float = 0.05) -> DataFrame:
