@@ -8,6 +8,16 @@ from tests.compare import compare, duck
 from veriframe.plans import oracles, queries
 
 
+@pytest.mark.parametrize("name", ["assembled_documents"])
+def test_ids_beyond_a_million(spark, tmp_path, name):
+    """Ids that are those of other records when a million or two are added."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").filter("p_partkey < 40")
+    for shift in (1_000_000, 2_000_000):
+        parts.selectExpr("*", f"p_partkey + {shift} as k").drop("p_partkey").withColumnRenamed("k", "p_partkey").unionByName(parts).write.mode("append").parquet(str(tmp_path / "all"))
+    spark.read.parquet(str(tmp_path / "all")).distinct().write.parquet(str(tmp_path / "part.parquet"))
+    assert compare(spark, duck(str(tmp_path)), name, queries.queries()[name], oracles.oracle_sql()[name], str(tmp_path)) is None
+
+
 def test_events_beyond_the_limit(spark, tmp_path):
     """As in the SQL of event_log, more results than the limit leave less than nothing."""
     from veriframe.streaming.events import emit, read_events
