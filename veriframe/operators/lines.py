@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 from veriframe.functions import vocab as V
 from veriframe.operators.extract import once
-from veriframe.shared import written
+from veriframe.shared import met, written
 
 _ORDER = ("y_center", "x_min", "line_id")
 
@@ -108,7 +108,7 @@ def group_words(words: DataFrame) -> DataFrame:
     median = upper_value(words.select("record_id", height.alias("h")), "record_id", "h").withColumnRenamed("v", "h")
     tol = F.greatest(F.coalesce("h", F.lit(20.0)) * 0.65, F.lit(8.0))
     centred = words.withColumns({"cy": (F.col("y0") + F.col("y1")) / 2.0, "cx": (F.col("x0") + F.col("x1")) / 2.0})
-    rows = centred.join(median, "record_id", "left").withColumn("tol", tol).drop("h")
+    rows = met(centred, median, "record_id", "left").withColumn("tol", tol).drop("h")
     order = Window.partitionBy("record_id").orderBy("cy", "cx", "word_id")
     apart = F.coalesce(F.col("cy") - F.lag("cy").over(order) > F.col("tol"), F.lit(False)).cast("long")
     rows = rows.withColumn("apart", apart).withColumn("segment", F.sum("apart").over(order))
@@ -187,15 +187,20 @@ def upper_value(df: DataFrame, key: str, value: str, most: int = SORTED) -> Data
     A key of more than ``most`` values is narrowed first: a sketch (merged on the map side) gives cuts by count, the cuts around the rank are
     counted exactly, and either one of them is the answer or only the values between them remain. That is about a hundredth or
     less, whatever the values' distances and however many are equal, so a few rounds are enough; then the rest is sorted.
+    Only keys of so many values are broadcast, of which ``most`` bounds the number; the others, however many, need no join.
     """
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null")
     none = F.lit(None).cast("double")
-    state = rows.groupBy("k").agg(F.count("*").alias("n"))
-    state = state.select("k", "n", F.expr("n div 2 + 1").alias("rank"), none.alias("low"), none.alias("high"), none.alias("found"))
+    state = rows.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    state = written(state.select("k", "n", F.expr("n div 2 + 1").alias("rank"), none.alias("low"), none.alias("high"), none.alias("found")))
+    few = rows
+    if not state.isEmpty():
+        large = state.select(F.col("k").alias("of"))
+        few = rows.join(F.broadcast(large), F.col("k").eqNullSafe(F.col("of")), "left_anti")
     within = (F.coalesce(F.col("v") > F.col("low"), F.lit(True))) & (F.coalesce(F.col("v") < F.col("high"), F.lit(True)))
 
     def inside(bounds: DataFrame) -> DataFrame:
-        return rows.join(bounds.withColumnRenamed("k", "of"), F.col("k").eqNullSafe(F.col("of"))).filter(within).drop("of")
+        return rows.join(F.broadcast(bounds.withColumnRenamed("k", "of")), F.col("k").eqNullSafe(F.col("of"))).filter(within).drop("of")
 
     while not state.filter(F.col("found").isNull() & (F.col("n") > most)).isEmpty():
         wide = F.col("found").isNull() & (F.col("n") > most)
@@ -218,9 +223,11 @@ def upper_value(df: DataFrame, key: str, value: str, most: int = SORTED) -> Data
         for cond, *values in reversed(steps):
             chosen = F.when(cond, made(*values)).otherwise(chosen)
         state = written(told.select("k", chosen.alias("s")).select("k", "s.*").unionByName(state.filter(~wide)))
-    each = inside(state.filter("found is null")).groupBy("k", "rank", "v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("k").orderBy("v"))
-    sorted_ones = each.withColumn("upto", upto).filter("upto >= rank").groupBy("k").agg(F.min("v").alias("v"))
+    narrowed = inside(state.filter("found is null")).select("k", "rank", "v")
+    each = few.withColumn("rank", F.lit(None).cast("long")).select("k", "rank", "v").unionByName(narrowed).groupBy("k", "rank", "v").agg(F.count("*").alias("c"))
+    of_key = Window.partitionBy("k")
+    each = each.withColumns({"upto": F.sum("c").over(of_key.orderBy("v")), "all": F.sum("c").over(of_key)})
+    sorted_ones = each.filter(F.col("upto") >= F.coalesce("rank", F.expr("all div 2 + 1"))).groupBy("k").agg(F.min("v").alias("v"))
     both = sorted_ones.unionByName(state.filter("found is not null").select("k", F.col("found").alias("v")))
     return both.select(F.col("k").alias(key), "v")
 
