@@ -27,3 +27,23 @@ def test_events_beyond_the_limit(spark, tmp_path):
     emit(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), limit=2).awaitTermination(120)
     done = read_events(spark, str(tmp_path / "out")).filter("type = 'done'").collect()
     assert [json.loads(e["message"]) for e in done] == [{"used": 3, "remaining": -1}]
+
+
+def test_reads_of_a_long_file(spark, tmp_path):
+    """A file is given on in batches, and no batch or line depends on where a chunk of it ends."""
+    import io
+
+    from pyspark.sql.types import StructType
+
+    from veriframe.sources import connectors, reads
+
+    odd = "a\r\nb\rc\n\nd\u2028e\x85é\n\r\n last"
+    for text in (odd, odd + "\r", "", "\n", "x" * 50):
+        data = text.encode() + b"\xff"[: len(text) % 2]
+        for chunk in range(1, 12):
+            assert list(connectors.split_text(io.BytesIO(data), chunk)) == data.decode("utf-8", "replace").splitlines(), (text, chunk)
+    (tmp_path / "long.txt").write_text("\n".join(f"line {i}" for i in range(25_000)))
+    reader = reads.ReadsSource({"path": str(tmp_path)}).reader(StructType.fromDDL("line_id int, text string"))
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(b.num_rows for b in batches) <= reads.ROWS and len(batches) == 3
+    assert [r for b in batches for r in b.to_pylist()] == [{"line_id": i, "text": f"line {i}"} for i in range(25_000)]
