@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veriframe.functions import text as T
 from veriframe.operators import bins as B
 from veriframe.operators import compare as C
-from veriframe.shared import written
+from veriframe.shared import met, written
 
 _ANSWERS = "key string, answer string, reason string"
 
@@ -39,7 +39,7 @@ def ask(prompts: DataFrame, call: Callable[[str], str], store: str, model: str =
     spark = prompts.sparkSession
     keyed = prompts.select("record_id", F.when(F.col("prompt").isNotNull(), F.sha2(F.concat(F.lit(f"{model}\n"), "prompt"), 256)).alias("key"), "prompt")
     known = _stored(spark, store)
-    todo = keyed.filter("key is not null").groupBy("key").agg(F.any_value("prompt").alias("prompt")).join(known.select("key"), "key", "left_anti")
+    todo = met(keyed.filter("key is not null").groupBy("key").agg(F.any_value("prompt").alias("prompt")), known.select("key"), "key", "left_anti")
     if budget is not None:
         todo = todo.orderBy("key").limit(budget)
 
@@ -63,7 +63,7 @@ def ask(prompts: DataFrame, call: Callable[[str], str], store: str, model: str =
     todo.mapInPandas(run, _ANSWERS).write.parquet(path)
     failed = spark.read.schema(_ANSWERS).parquet(path).filter("answer is null").select("key", "reason")
     answers = _stored(spark, store).groupBy("key").agg(F.max("answer").alias("answer"))
-    both = keyed.join(answers, "key", "left").join(failed, "key", "left")
+    both = met(met(keyed, answers, "key", "left"), failed, "key", "left")
     reason = F.when(F.col("answer").isNull() & F.col("key").isNotNull(), F.coalesce("reason", F.lit("over_budget")))
     return both.select("record_id", "answer", reason.alias("reason"))
 
@@ -73,7 +73,7 @@ def rescue_prompts(compared: DataFrame, reads: DataFrame) -> DataFrame:
     fields = F.array_sort(F.collect_list(F.struct("field_pos", "field_key")))
     target = compared.filter(F.col("severity") > C.PASS).groupBy("record_id").agg(F.transform(fields, lambda x: x["field_key"]).alias("fields"))
     lines = reads.select("record_id", T.split_lines(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
-    return target.join(lines, "record_id").select("record_id", F.to_json(F.struct("fields", "lines")).alias("prompt"))
+    return met(target, lines, "record_id").select("record_id", F.to_json(F.struct("fields", "lines")).alias("prompt"))
 
 
 def rescue(claims: DataFrame, reads: DataFrame, parsed: DataFrame, compared: DataFrame, call: Callable[[str], str], store: str, **options) -> DataFrame:
@@ -85,9 +85,9 @@ def rescue(claims: DataFrame, reads: DataFrame, parsed: DataFrame, compared: Dat
     answers = written(ask(rescue_prompts(compared, reads), call, store, **options))
     payloads = answers.filter("answer is not null").select("record_id", F.col("answer").alias("payload"))
     good = payloads.filter(B.is_object(F.col("payload")))
-    known = lambda df: df.join(good.select("record_id"), "record_id", "left_semi")
+    known = lambda df: met(df, good.select("record_id"), "record_id", "left_semi")
     rescued = written(B.rescued_fields(known(compared), B.picked(B.refs(known(reads), good, known(claims)))))
     outcome = B.rescue_outcome(compared, reads, payloads, rescued)
     failed = answers.filter("reason is not null").select("record_id", "reason")
-    told = outcome.join(failed, "record_id", "left").select("record_id", F.coalesce("reason", "outcome").alias("reason"))
-    return C.rollup(C.with_rescue(claims, parsed, rescued, compared=compared)).join(told, "record_id")
+    told = met(outcome, failed, "record_id", "left").select("record_id", F.coalesce("reason", "outcome").alias("reason"))
+    return met(C.rollup(C.with_rescue(claims, parsed, rescued, compared=compared)), told, "record_id")
