@@ -7,7 +7,7 @@ from veriframe.plans import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["turn_search", "bin_refs", "bin_fields", "bin_complete", "bin_validity", "mapping_outcomes", "rescue_outcomes", "brand_verdict_fuzzy", "rescue_recompare", "model_rescue"])
+@pytest.mark.parametrize("name", ["turn_search", "bin_refs", "bin_fields", "bin_complete", "bin_validity", "mapping_outcomes", "rescue_outcomes", "rescue_recompare", "model_rescue", "brand_verdict_fuzzy", "improved_brand"])
 def test_no_broadcast(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -47,3 +47,17 @@ def test_reads_of_a_long_file(spark, tmp_path):
     batches = [b for p in reader.partitions() for b in reader.read(p)]
     assert max(b.num_rows for b in batches) <= reads.ROWS and len(batches) == 3
     assert [r for b in batches for r in b.to_pylist()] == [{"line_id": i, "text": f"line {i}"} for i in range(25_000)]
+
+
+def test_similarity_of_many_equal_pairs(spark):
+    """Each different pair is measured once, broadcast or not; nulls have no similarity."""
+    from pyspark.sql import functions as F
+
+    from veriframe.functions.similarity import similarity
+    from veriframe.operators.brand import measured
+
+    rows = spark.createDataFrame([(k, [None, "Blue Heron", "B1ue Herom", ""][k % 4], ["Blue Heron", "Copper Fox", None, "blue heron", ""][k % 5]) for k in range(200)], "k int, a string, b string")
+    want = {r["k"]: r["s"] for r in rows.select("k", similarity(F.col("a"), F.col("b"), F.lit(True)).alias("s")).collect()}
+    for few in (0, 100):
+        got = measured(rows, F.col("a"), F.col("b"), "s", few)
+        assert got.count() == 200 and {r["k"]: r["s"] for r in got.select("k", "s").collect()} == want
